@@ -174,10 +174,11 @@ def filter_location(df: DataFrame, place: str, gazetteer: DataFrame, col: str =
     """Rows in a continent or country. The gazetteer maps a lower-case place to the upper-case
     country values it allows; a place it does not know stands for itself."""
     key = place.strip().lower()
-    known = gazetteer.where(F.col("place") == key).select(F.col("allowed").alias("_allowed"))
-    here = F.upper(F.trim(F.col(col)))
-    own = df.where(here == key.upper()).join(known.limit(1), how="left_anti", on=F.lit(True))
-    return df.join(known, here == F.col("_allowed"), "left_semi").unionByName(own)
+    known = F.col("place") == key
+    values = gazetteer.where(known).select(F.col("allowed").alias("_allowed"))
+    unknown = gazetteer.agg(F.count_if(known).alias("n")).where(F.col("n") == 0).select(
+        F.lit(key.upper()).alias("_allowed"))
+    return df.join(values.unionByName(unknown), F.upper(F.trim(F.col(col))) == F.col("_allowed"), "left_semi")
 
 
 def not_like(df: DataFrame, col: str, pattern: str) -> DataFrame:

@@ -63,19 +63,24 @@ def merge_sources(dfs: Sequence[DataFrame], policy: Sequence[str], key: str) ->
     """Attributes of several sources merged in order. 'fill' adds only what is still blank,
     'override' replaces by any non-blank value. One union and one aggregation: each row carries
     its source position, and the winner per column is the value with the best precedence."""
-    cols = sorted({c for d in dfs for c in d.columns if c != key})
+    types = {}
+    for d in dfs:
+        for c, t in d.dtypes:
+            types.setdefault(c, t)
+    cols = [c for c in types if c != key]
     parts = []
     for i, d in enumerate(dfs):
         # later overrides outrank everything before them; later fills rank below everything before
         rank = -(i + 1) if policy[i] == "override" else i + 1
         have = set(d.columns)
         parts.append(d.select(F.col(key), F.lit(rank).alias("_rank"),
-                              *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in cols]))
+                              *[(F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in cols]))
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
     return stacked.groupBy(key).agg(*[
-        F.min_by(F.col(c), F.when(~T.is_blank(c), F.col("_rank"))).alias(c) for c in cols])
+        F.min_by(F.col(c), F.when(~T.is_blank(c) if types[c] == "string" else F.col(c).isNotNull(), F.col("_rank")))
+        .alias(c) for c in cols])
 
 
 def derive_flags(org: DataFrame, jobs: DataFrame, stays: DataFrame, events: DataFrame, now) -> DataFrame:
