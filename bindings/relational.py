@@ -335,23 +335,16 @@ def _(t):
     return C.propagate(t.evt, results, "event_url").select("id", "event_url", "first_id", "found")
 
 
-def _site_paths():
-    return [f"{lang}/{n}" for lang in ("en", "fr", "de", "es") for n in range(1000)]
-
-
-@query("first_matching_page", "page", sql="""
-    WITH site AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS website FROM page),
-    hit AS (SELECT s.website, p.url, p.page_id, CASE regexp_extract(p.url, '^https?://[^/]+/([a-z]+)/', 1)
-            WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END * 1000 + CAST(regexp_extract(p.url, '/([0-9]+)$', 1) AS INTEGER) AS path_pos
-        FROM site s JOIN page p ON p.url LIKE s.website || '/%'
-        WHERE regexp_matches(p.url, '^https?://[^/]+/(en|fr|de|es)/([0-9]|[1-9][0-9]{1,2})$')
-            AND length(p.html) > 500 AND (contains(lower(p.html), 'article') OR contains(lower(p.html), 'footer')))
-    SELECT website, page_id, url, path_pos FROM hit QUALIFY row_number() OVER (PARTITION BY website ORDER BY path_pos, page_id) = 1""")
+@query("first_matching_page", "spage", sql=f"""
+    WITH site AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS website FROM spage),
+    path AS (SELECT unnest([{words(K.JOB_PATHS[:6])}]) AS path, unnest(range(6)) AS path_pos)
+    SELECT s.website, p.page_id, p.url, path_pos FROM site s, path JOIN spage p ON p.url = s.website || '/' || path.path
+    WHERE length(p.html) > 500 AND list_bool_or([contains(lower(p.html), w) FOR w IN [{words(K.JOB_PAGE_KEYWORDS)}]])
+    QUALIFY row_number() OVER (PARTITION BY s.website ORDER BY path_pos, page_id) = 1""")
 def _(t):
     from meadowlark.functions.urls import origin
-    sites = t.page.select(origin("url").alias("website")).distinct()
-    cands = C.candidate_urls(sites, _site_paths())
-    return C.discover_page(cands, t.page, C.page_passes("html", ["article", "footer"]), key="website", max_checks=None).select(
+    sites = t.spage.select(origin("url").alias("website")).distinct()
+    return C.discover_page(sites, t.spage, K.JOB_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS), key="website").select(
         "website", "page_id", "url", F.col("path_pos").cast("long").alias("path_pos"))
 
 

@@ -118,6 +118,14 @@ ROLES["rich"] = ("pages", [
     ("page_id", "page_id"), ("url", "url"),
     (f"replace(html, '</article>', concat({_MARKS}, '</article>'))", "html"),
 ])
+_SITE_PATHS = ["volunteer", "jobs", "stay", "accommodation", "events", "calendar", "careers", "rooms", "workshops", "apply", "about/jobs"]
+_AT = " ".join(f"WHEN {i} THEN '/{p}'" for i, p in enumerate(_SITE_PATHS))
+_ORIGIN = "concat(split_part(url, '/', 1), '//', split_part(url, '/', 3))"
+# The same pages, laid out as the sub-pages of their sites.
+ROLES["spage"] = ("pages", [
+    ("page_id", "page_id"), (f"concat({_ORIGIN}, CASE page_id % 13 {_AT} WHEN 11 THEN '/' ELSE '' END)", "url"),
+    (ROLES["rich"][1][2][0], "html"),
+])
 ROLES["note"] = ("documents", [
     ("doc_id", "id"),
     ("concat(text, CASE doc_id % 6"

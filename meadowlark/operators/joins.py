@@ -156,17 +156,36 @@ def candidate_urls(sites: DataFrame, paths: Sequence[str], site: str = "website"
         "candidate_url", F.concat(base, F.lit("/"), F.col("_path"))).drop("_path")
 
 
-def matching_pages(cands: DataFrame, pages: DataFrame, passes: Column, max_checks: int | None = None) -> DataFrame:
-    """Candidate URLs joined to the pages they lead to, kept where the page passes."""
-    tried = cands if max_checks is None else cands.where(F.col("path_pos") < max_checks)
-    return tried.join(pages.where(passes), tried["candidate_url"] == pages["url"])
+def pages_at(pages: DataFrame, paths: Sequence[str], max_checks: int | None = None) -> DataFrame:
+    """Pages that lie at one of the paths below some base: adds ``base`` and ``path_pos``.
+
+    The path list is matched against each page address, so sites never have to be multiplied
+    by paths: the later join is one row per fitting page.
+    """
+    tried = list(paths if max_checks is None else paths[:max_checks])
+    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit("/" + p).alias("tail")) for i, p in enumerate(tried)])
+    fits = F.filter(listed, lambda x: F.col("url").endswith(x["tail"]))
+    return (
+        pages.select("*", F.explode(fits).alias("_fit"))
+        .withColumn("path_pos", F.col("_fit.pos"))
+        .withColumn("base", F.substr("url", F.lit(1), F.length("url") - F.length("_fit.tail")))
+        .drop("_fit")
+    )
+
+
+def site_pages(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes: Column,
+               max_checks: int | None = None, site: str = "website") -> DataFrame:
+    """Every site with its pages at the paths, where the page passes. Pages are tested before
+    the join, so only passing ones are shuffled."""
+    found = pages_at(pages.where(passes), paths, max_checks)
+    return sites.withColumn("_base", urls.base_url(site)).join(found, F.col("_base") == F.col("base")).drop("_base", "base")
 
 
-def discover_page(cands: DataFrame, pages: DataFrame, passes: Column, key: str = "id",
-                  max_checks: int | None = 6) -> DataFrame:
-    """Per site, the first candidate whose page passes. The pages are tested before the join,
-    so only passing ones are shuffled."""
-    return first_per(matching_pages(cands, pages, passes, max_checks), [key], [F.col("path_pos"), F.col("page_id")])
+def discover_page(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes: Column, key: str = "id",
+                  max_checks: int | None = 6, site: str = "website") -> DataFrame:
+    """Per site, the page at the first path that passes, among the first ``max_checks`` paths."""
+    return first_per(site_pages(sites, pages, paths, passes, max_checks, site), [key],
+                     [F.col("path_pos"), F.col("page_id")])
 
 
 def page_passes(html, words: Sequence[str], min_len: int = 500) -> Column:
