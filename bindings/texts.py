@@ -429,7 +429,7 @@ def _(t):
     SELECT page_id, kw AS keywords, ext AS external, CASE WHEN form AND kw >= 2 THEN 'direct_form' WHEN frame OR ext > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
         WHEN (mail OR phone) AND kw >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM f""")
 def _(t):
-    f = t.rich.select("page_id", X.booking_features("html", X.text_simple("html"), "url").alias("f"))
+    f = t.rich.withColumn("text", X.text_simple("html")).select("page_id", X.booking_features("html", "text", "url").alias("f"))
     return f.select("page_id", F.col("f.booking_keywords").cast("long").alias("keywords"), F.size("f.external_links").cast("long").alias("external"),
                     X.booking_class(F.col("f")).alias("booking_type"))
 
@@ -492,7 +492,7 @@ _PLATFORM = "(?i)" + "|".join(K.VIDEO_PATTERNS)
         {first_sql(simple_text('html'), ['(?i)' + p for p in K.VIDEO_PATTERNS])} AS w FROM rich)
     SELECT page_id, coalesce(CASE WHEN h LIKE 'http%' THEN h ELSE 'https://' || h END, CASE WHEN w LIKE 'http%' THEN w ELSE 'https://' || w END, '') AS video FROM v""")
 def _(t):
-    return t.rich.select("page_id", X.video_link("html", X.text_simple("html")).alias("video"))
+    return t.rich.withColumn("text", X.text_simple("html")).select("page_id", X.video_link("html", "text").alias("video"))
 
 
 @query("registration_link", "rich", sql=f"""

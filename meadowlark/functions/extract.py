@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meadowlark import constants as K
 from meadowlark.functions import dates, urls
 from meadowlark.functions.text import (
-    any_of, blank_to_null, col, extract, extract_all, first_match, html_unescape, mentions,
+    any_of, blank_to_null, col, extract, extract_all, first_fitting, first_match, html_unescape, let, mentions,
     prefix, score_terms, squeeze, strip, words_regex,
 )
 
@@ -166,13 +166,14 @@ def strip_markdown(c) -> Column:
 
 def markdown_block(c, max_len: int = 2000) -> Column:
     """First block between headings that speaks of a community, else the whole text if over 60 characters."""
-    body = strip(F.element_at(F.split(col(c), "Markdown Content:", 2), -1))
-    has_marker = col(c).contains("Markdown Content:")
-    blocks = F.transform(F.split(body, r"\n#{1,3}\s+"), strip_markdown)
-    topical = F.filter(blocks, lambda b: F.lower(b).rlike(words_regex(K.COMMUNITY_WORDS)))
-    whole = strip_markdown(body)
-    best = F.coalesce(F.get(topical, F.lit(0)), F.when(F.length(whole) > 60, whole))
-    return F.when(has_marker, prefix(best, max_len))
+    def best(body):
+        blocks = F.transform(F.split(body, r"\n#{1,3}\s+"), strip_markdown)
+        topical = F.get(F.filter(blocks, lambda b: mentions(b, K.COMMUNITY_WORDS)), F.lit(0))
+        long_whole = let(strip_markdown(body), lambda whole: F.when(F.length(whole) > 60, whole))
+        return prefix(F.coalesce(topical, long_whole), max_len)
+
+    after = F.element_at(F.split(col(c), "Markdown Content:", 2), -1)
+    return F.when(col(c).contains("Markdown Content:"), let(strip(after), best))
 
 
 def low_quality(c) -> Column:
@@ -196,19 +197,13 @@ def job_role(c) -> Column:
 
 
 def skills(c) -> Column:
-    tries = []
-    for p in K.SKILLS_PATTERNS:
-        found = F.rtrim(strip(extract(c, p, 1)), F.lit(",.;:"))
-        tries.append(F.when((F.length(found) > 10) & (F.length(found) < 300), prefix(found, 200)))
-    return F.coalesce(*tries)
+    found = first_fitting(c, K.SKILLS_PATTERNS, 1, lambda x: (F.length(x) > 10) & (F.length(x) < 300),
+                          lambda x: F.rtrim(strip(x), F.lit(",.;:")))
+    return prefix(found, 200)
 
 
 def commitment(c) -> Column:
-    tries = []
-    for p in K.COMMITMENT_PATTERNS:
-        found = strip(extract(c, p, 0))
-        tries.append(F.when((F.length(found) > 3) & (F.length(found) < 200), prefix(found, 100)))
-    return F.coalesce(*tries)
+    return prefix(first_fitting(c, K.COMMITMENT_PATTERNS, 0, lambda x: (F.length(x) > 3) & (F.length(x) < 200), strip), 100)
 
 
 def remote(c) -> Column:
@@ -262,19 +257,16 @@ def _listing(block, org_name, role) -> Column:
 def job_blocks(text, org_name, terms: Sequence[str] = tuple(K.JOB_TERMS), min_len: int = 100) -> Column:
     """array<struct<title, block, role>>: text parts before capitals headings that speak of
     jobs; without any, the whole page if it does."""
-    body = clean_text(text)
-    parts = F.transform(F.split(body, K.CAPS_HEADING_SPLIT), strip)
-    hits = F.filter(parts, lambda b: (F.length(b) >= min_len) & (score_terms(b, terms) >= 2))
-    listings = F.transform(hits, lambda b: _listing(b, org_name, job_role(b)))
-    whole = F.array(_listing(body, org_name, F.lit("volunteer")))
-    fits = (score_terms(body, terms) >= 3) & (F.length(body) > 300)
-    none = F.filter(whole, lambda x: F.lit(False))
-    return (
-        F.when(F.length(col(text)) < 200, none)
-        .when(F.size(listings) > 0, listings)
-        .when(fits, whole)
-        .otherwise(none)
-    )
+    def blocks(body):
+        parts = F.transform(F.split(body, K.CAPS_HEADING_SPLIT), strip)
+        hits = F.filter(parts, lambda b: (F.length(b) >= min_len) & (score_terms(b, terms) >= 2))
+        whole = F.array(_listing(body, org_name, F.lit("volunteer")))
+        fits = (F.length(body) > 300) & (score_terms(body, terms) >= 3)
+        return let(F.transform(hits, lambda b: _listing(b, org_name, job_role(b))),
+                   lambda found: F.when((F.size(found) == 0) & fits, whole).otherwise(found))
+
+    # a page under 200 characters has no listing
+    return let(F.when(F.length(col(text)) >= 200, clean_text(text)).otherwise(F.lit("")), blocks)
 
 
 def _is_title_line(line: Column) -> Column:
@@ -288,19 +280,20 @@ def title_blocks(text) -> Column:
     with its line breaks; without any listing, the whole text is one."""
     lines = F.filter(F.transform(F.split(col(text), r"\n"), strip), lambda x: x != "")
     marked = F.transform(lines, lambda x: F.when(_is_title_line(x), F.concat(F.lit("\u0001"), x)).otherwise(x))
-    # the piece before the first heading belongs to no listing
-    pieces = F.split(F.array_join(marked, "\n"), "\u0001")
-    headed = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    listings = F.transform(headed, lambda p: F.struct(
-        prefix(F.get(F.split(p, r"\n"), F.lit(0)), 200).alias("title"),
-        prefix(strip(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n", " ")), 1000).alias("description"),
-    ))
-    kept = F.filter(listings, lambda x: F.length(x["description"]) > 50)
+    def listings(pieces):
+        # the piece before the first heading belongs to no listing
+        headed = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.filter(F.transform(headed, lambda p: F.struct(
+            prefix(F.get(F.split(p, r"\n", 2), F.lit(0)), 200).alias("title"),
+            prefix(strip(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n", " ")), 1000).alias("description"),
+        )), lambda x: F.length(x["description"]) > 50)
+
     whole = F.array(F.struct(
         prefix(F.get(F.split(col(text), r"\. ", 2), F.lit(0)), 200).alias("title"),
         prefix(col(text), 2000).alias("description"),
     ))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(whole, lambda x: F.length(col(text)) > 200))
+    return let(listings(F.split(F.array_join(marked, "\n"), "\u0001")), lambda kept: F.when(
+        (F.size(kept) == 0) & (F.length(col(text)) > 200), whole).otherwise(kept))
 
 
 # --- sentences ------------------------------------------------------------------------
@@ -324,12 +317,14 @@ def _is_prose(s: Column, skip: Sequence[str]) -> Column:
 
 def lead_sentences(c, max_len: int = 500) -> Column:
     """Up to three prose sentences; else one with a topic word; else the start of the text."""
-    body = strip(F.regexp_replace(clean_text(c), r"^[—–\-|·\s]+", ""))
-    every = sentences(body)
-    lead = F.array_join(F.slice(F.filter(every, lambda s: _is_prose(s, K.SENTENCE_SKIP)), 1, 3), " ")
-    topical = F.get(F.filter(every, lambda s: (F.length(s) > 40) & mentions(s, K.SENTENCE_FALLBACK)), F.lit(0))
-    chosen = F.when(F.length(lead) >= 50, lead).otherwise(F.coalesce(topical, lead))
-    return prefix(F.when(F.length(chosen) >= 50, chosen).otherwise(prefix(body, 300)), max_len)
+    def choose(body):
+        every = sentences(body)
+        lead = F.array_join(F.slice(F.filter(every, lambda s: _is_prose(s, K.SENTENCE_SKIP)), 1, 3), " ")
+        topical = F.get(F.filter(every, lambda s: (F.length(s) > 40) & mentions(s, K.SENTENCE_FALLBACK)), F.lit(0))
+        chosen = let(lead, lambda x: F.when(F.length(x) >= 50, x).otherwise(F.coalesce(topical, x)))
+        return let(chosen, lambda x: prefix(F.when(F.length(x) >= 50, x).otherwise(prefix(body, 300)), max_len))
+
+    return let(strip(F.regexp_replace(clean_text(c), r"^[—–\-|·\s]+", "")), choose)
 
 
 def _sentence_score(s: Column) -> Column:
@@ -355,55 +350,63 @@ def best_sentences(c, scan: int = 15, keep: int = 4) -> Column:
 
 def _cut_at_sentence(c, limit: int, ellipsis: bool) -> Column:
     """Cut to a length, back to the last full sentence if that keeps over 100 characters."""
-    cut = prefix(c, limit)
-    whole = F.regexp_extract(cut, r"(?s)^(.*\.) ", 1)
-    rest = F.concat(cut, F.lit("...")) if ellipsis else cut
-    return F.when(F.length(whole) > 101, whole).otherwise(rest)
+    def cut(text):
+        rest = F.concat(text, F.lit("...")) if ellipsis else text
+        return let(F.regexp_extract(text, r"(?s)^(.*\.) ", 1),
+                   lambda whole: F.when(F.length(whole) > 101, whole).otherwise(rest))
+
+    return let(prefix(c, limit), cut)
+
+
+def _drop_lead(c: Column, lead: Column) -> Column:
+    """Without a leading title or name and the separators after it."""
+    return let(c, lambda b: F.when(
+        b.startswith(lead), F.ltrim(F.substr(b, F.length(lead) + 1), F.lit(" —|-–·"))).otherwise(b))
 
 
 def job_description(text, title, org_name, meta) -> Column:
     """A good meta description, else the best sentences, else any topical sentence."""
-    m = col(meta)
-    clean_meta = ~mentions(m, K.META_JUNK) & (F.length(m) > 80)
-    from_meta = F.when(F.length(prefix(m, 500)) > 450, _cut_at_sentence(m, 500, False)).otherwise(prefix(m, 500))
-    body = squeeze(text)
-    for lead in (squeeze(title), col(org_name)):
-        # drop a leading title or name
-        body = F.when(body.startswith(lead), F.ltrim(F.substr(body, F.length(lead) + 1), F.lit(" —|-–·"))
-                      ).otherwise(body)
-    body = strip(F.regexp_replace(body, r"^[—–\-|·\s]+", ""))
-    best = best_sentences(body)
-    topical = F.get(F.filter(sentences(body), lambda s: (F.length(s) > 40)
-                             & mentions(s, K.SENTENCE_HIGH + K.SENTENCE_MEDIUM)), F.lit(0))
-    long_meta = F.when(F.length(m) > 50, prefix(m, 500))
-    return (
-        F.when(clean_meta, from_meta)
-        .when(F.coalesce(blank_to_null(text), F.lit("")) == "", F.when(F.length(m) > 50, m))
-        .when(F.length(best) > 500, _cut_at_sentence(best, 500, True))
-        .when(F.length(best) > 50, best)
-        .otherwise(F.coalesce(prefix(topical, 500), long_meta))
-    )
+    def from_text(m):
+        def from_best(body):
+            topical = F.get(F.filter(sentences(body), lambda s: (F.length(s) > 40)
+                                     & mentions(s, K.SENTENCE_HIGH + K.SENTENCE_MEDIUM)), F.lit(0))
+            return let(best_sentences(body), lambda best: (
+                F.when(F.length(best) > 500, _cut_at_sentence(best, 500, True))
+                .when(F.length(best) > 50, best)
+                .otherwise(F.coalesce(prefix(topical, 500), F.when(F.length(m) > 50, prefix(m, 500))))))
+
+        body = squeeze(text)
+        for lead in (F.coalesce(squeeze(title), F.lit("")), col(org_name)):
+            body = _drop_lead(body, lead)
+        return let(strip(F.regexp_replace(body, r"^[—–\-|·\s]+", "")), from_best)
+
+    def choose(m):
+        clean_meta = F.coalesce((F.length(m) > 80) & ~mentions(m, K.META_JUNK), F.lit(False))
+        from_meta = F.when(F.length(m) > 450, _cut_at_sentence(m, 500, False)).otherwise(m)
+        return (
+            F.when(clean_meta, from_meta)
+            .when(F.coalesce(col(text), F.lit("")) == "", F.when(F.length(m) > 50, m))
+            .otherwise(from_text(m))
+        )
+
+    return let(col(meta), choose)
 
 
 # --- stays ----------------------------------------------------------------------------
 
 def price_info(c) -> Column:
     """First price phrase, else up to five amounts."""
-    tries = []
-    for p in K.PRICE_PATTERNS:
-        found = strip(extract(c, p, 0))
-        tries.append(F.when(F.length(found) < 200, found))
+    phrase = first_fitting(c, K.PRICE_PATTERNS, 0, lambda x: F.length(x) < 200, strip)
     amounts = blank_to_null(F.array_join(F.slice(extract_all(c, K.AMOUNT, 1), 1, 5), ", "))
-    return F.coalesce(*tries, amounts)
+    return F.coalesce(phrase, amounts)
 
 
 def stay_types(c) -> Column:
-    named = F.array(*[F.when(mentions(c, words), F.lit(name)) for name, words in K.STAY_TYPE_WORDS])
-    return first_type(F.array_join(named, ", "))
+    def named(low):
+        return F.array(*[F.when(low.rlike(words_regex(words)), F.lit(name)) for name, words in K.STAY_TYPE_WORDS])
 
-
-def first_type(joined: Column) -> Column:
-    return F.when(joined == "", F.lit("accommodation")).otherwise(joined)
+    joined = let(F.lower(col(c)), lambda low: F.array_join(named(low), ", "))
+    return F.coalesce(blank_to_null(joined), F.lit("accommodation"))
 
 
 def booking_features(html, text, url=None) -> Column:
@@ -509,24 +512,23 @@ def registration_link(html, url) -> Column:
 
 def page_start_date(html, text) -> Column:
     """Start from meta tags, else from the first dated phrase of 2024 or later."""
-    metas = []
-    for p in ("og:start_date", "article:published_time", "event:start_time"):
-        metas.append(dates.parse_date(extract(
-            html, rf"(?i)<meta\s+(?:property|name)=[\"']{p}[\"']\s+content=[\"']([^\"']+)[\"']")))
-    written = [dates.parse_date(extract(text, p)) for p in K.PAGE_DATE_PATTERNS]
-    return F.coalesce(*metas, *[F.when(F.year(w) >= 2024, w) for w in written])
+    metas = _meta_dates(html, ("og:start_date", "article:published_time", "event:start_time"))
+    written = F.transform(F.array(*[F.regexp_extract(col(text), p, 1) for p in K.PAGE_DATE_PATTERNS]), dates.parse_date)
+    return F.coalesce(F.get(metas, F.lit(0)), F.get(F.filter(written, lambda w: F.year(w) >= 2024), F.lit(0)))
+
+
+def _meta_dates(html, names: Sequence[str]) -> Column:
+    raw = F.array(*[F.regexp_extract(
+        col(html), rf"(?i)<meta\s+(?:property|name)=[\"']{p}[\"']\s+content=[\"']([^\"']+)[\"']", 1) for p in names])
+    return F.filter(F.transform(raw, dates.parse_date), lambda d: d.isNotNull())
 
 
 def page_end_date(html) -> Column:
-    return F.coalesce(*[dates.parse_date(extract(
-        html, rf"(?i)<meta\s+(?:property|name)=[\"']{p}[\"']\s+content=[\"']([^\"']+)[\"']"))
-        for p in ("og:end_date", "event:end_time")])
+    return F.get(_meta_dates(html, ("og:end_date", "event:end_time")), F.lit(0))
 
 
 def with_clock(start, text) -> Column:
     """A start at midnight takes the first clock time of the text."""
-    s = col(start)
-    minutes = dates.first_clock(text)
-    return F.when(dates.has_clock(s) | minutes.isNull(), s).otherwise(
-        s + F.make_dt_interval(mins=minutes))
-
+    timed = let(dates.first_clock(text), lambda minutes: F.when(
+        minutes.isNull(), col(start)).otherwise(col(start) + F.make_dt_interval(mins=minutes)))
+    return F.when(dates.has_clock(start), col(start)).otherwise(timed)

@@ -24,6 +24,11 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_regex(words: Sequence[str]) -> str:
     """One alternation for a word list, so a text is scanned once."""
     return "|".join(re.escape(w) for w in words)
@@ -87,14 +92,13 @@ def mentions(c, words: Sequence[str]) -> Column:
 
 def keyword_hits(c, words: Sequence[str]) -> Column:
     """The words of the list that occur in the text, in list order."""
-    low = F.lower(col(c))
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    listed = F.array(*[F.lit(w) for w in words])
+    return let(F.lower(col(c)), lambda low: F.filter(listed, lambda w: low.contains(w)))
 
 
 def score_terms(c, terms: Sequence[str]) -> Column:
     """How many distinct terms occur in the text."""
-    low = F.lower(col(c))
-    return reduce(lambda a, b: a + b, [low.contains(t).cast("int") for t in terms])
+    return F.size(keyword_hits(c, terms))
 
 
 def extract(c, pattern: str, group: int = 1) -> Column:
@@ -106,6 +110,13 @@ def first_match(c, patterns: Sequence[str], group: int = 0) -> Column:
     return F.coalesce(*[extract(c, p, group) for p in patterns])
 
 
+def first_fitting(c, patterns: Sequence[str], group: int, ok, clean=None) -> Column:
+    """The first pattern's match that fits after cleaning; every pattern is searched once."""
+    found = F.array(*[F.regexp_extract(col(c), p, group) for p in patterns])
+    cleaned = found if clean is None else F.transform(found, clean)
+    return F.get(F.filter(cleaned, lambda x: (x != "") & ok(x)), F.lit(0))
+
+
 def extract_all(c, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), group)
 

@@ -17,20 +17,25 @@ _FIELDS = ("title", "description", "start_raw", "end_raw", "is_online", "is_in_p
 
 def _block_event(block: Column, url: Column) -> Column:
     """One listing from the markup of its container."""
-    text = X.text_simple(block)
     heading = X.text_simple(T.extract(block, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"))
-    lead = T.prefix(F.get(F.split(text, r"[.!?]\s+", 2), F.lit(0)), 120)
-    found = X.event_dates(text)
-    return F.struct(
-        F.coalesce(T.blank_to_null(heading), lead).alias("title"), T.prefix(text, 800).alias("description"),
-        F.get(found, F.lit(0)).alias("start_raw"), F.get(found, F.lit(1)).alias("end_raw"),
-        text.rlike(K.BLOCK_ONLINE).alias("is_online"), text.rlike(K.BLOCK_IN_PERSON).alias("is_in_person"),
-        X.registration_link(block, url).alias("registration_url"), url.alias("event_url"), text.alias("text"))
+
+    def listing(text):
+        lead = T.prefix(F.get(F.split(text, r"[.!?]\s+", 2), F.lit(0)), 120)
+        return T.let(X.event_dates(text), lambda found: F.struct(
+            F.coalesce(T.blank_to_null(heading), lead).alias("title"), T.prefix(text, 800).alias("description"),
+            F.get(found, F.lit(0)).alias("start_raw"), F.get(found, F.lit(1)).alias("end_raw"),
+            text.rlike(K.BLOCK_ONLINE).alias("is_online"), text.rlike(K.BLOCK_IN_PERSON).alias("is_in_person"),
+            X.registration_link(block, url).alias("registration_url"), url.alias("event_url"), F.length(text).alias("n")))
+
+    return T.let(X.text_simple(block), listing)
 
 
-def _calendar_event(html: Column, url: Column) -> Column:
+def _worth_keeping(e: Column) -> Column:
+    return (e["n"] >= 20) & ~X.is_junk_event(e["title"], e["description"], e["start_raw"])
+
+
+def _calendar_event(html: Column, url: Column, text: Column, kind: Column, feed: Column) -> Column:
     """The whole page as one listing, when it is a calendar without listings."""
-    text, kind, feed = X.text_simple(html), X.calendar_system(html), X.calendar_feed(html, url)
     shown = F.initcap(F.replace(kind, F.lit("_"), F.lit(" ")))
     embedded = F.concat(F.lit("Embedded "), kind, F.lit(" calendar detected. "), T.prefix(text, 600),
                         F.coalesce(F.concat(F.lit(" Feed: "), feed), F.lit("")))
@@ -39,7 +44,7 @@ def _calendar_event(html: Column, url: Column) -> Column:
         F.coalesce(embedded, T.prefix(text, 1200)).alias("description"),
         F.lit(None).cast("string").alias("start_raw"), F.lit(None).cast("string").alias("end_raw"),
         text.rlike(K.BLOCK_ONLINE).alias("is_online"), text.rlike(K.BLOCK_IN_PERSON).alias("is_in_person"),
-        feed.alias("registration_url"), url.alias("event_url"), text.alias("text"))
+        feed.alias("registration_url"), url.alias("event_url"), F.length(text).alias("n"))
 
 
 def event_blocks(pages: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -50,49 +55,50 @@ def event_blocks(pages: DataFrame, keep: tuple = ()) -> DataFrame:
     All strategies read the page once as arrays in one row; nothing is parsed again.
     """
     html, url = F.col("html"), F.col("url")
+
+    def at(tier, a, b, c):
+        return F.struct(F.lit(tier).alias("tier"), a.alias("a"), b.alias("b"), c.alias("c")).alias("pos")
+
+    none = F.lit(0)
     marked = T.extract_all(html, K.EVENT_CONTAINER, 2)
     dated = F.array_distinct(T.extract_all(html, K.EVENT_DATE_BLOCK, 1))
     timed = T.extract_all(html, K.EVENT_TIME_BLOCK, 1)
-    step2 = F.when(F.size("_marked") < 2, F.concat("_marked", dated)).otherwise(F.col("_marked"))
-    step3 = F.when(F.size("_blocks") < 2, F.concat("_blocks", timed)).otherwise(F.col("_blocks"))
+    found = T.let(marked, lambda x: F.when(F.size(x) < 2, F.concat(x, dated)).otherwise(x))
+    found = T.let(found, lambda x: F.when(F.size(x) < 2, F.concat(x, timed)).otherwise(x))
+    listings = F.filter(F.transform(found, lambda b: _block_event(b, url)), _worth_keeping)
     blocks = (
-        pages.select("page_id", "url", "html", *keep, marked.alias("_marked"))
-        .withColumn("_blocks", step2).withColumn("_blocks", step3)
-        .select("page_id", "url", *keep, F.posexplode("_blocks").alias("i", "_block"))
-        .select("page_id", *keep, F.col("i"), _block_event(F.col("_block"), url).alias("e"))
-        .where((F.length("e.text") >= 20) & ~X.is_junk_event("e.title", "e.description", "e.start_raw"))
-        .select("page_id", *keep, F.struct(F.lit(1).alias("tier"), F.col("i").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("pos"),
-                *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
+        pages.select("page_id", *keep, F.posexplode(listings).alias("i", "e"))
+        .select("page_id", *keep, at(1, F.col("i"), none, none), *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
     )
-    items = web.jsonld_events(web.jsonld_items(pages)).select(
-        "page_id", F.struct(F.lit(0).alias("tier"), F.col("pos.block").alias("a"), F.col("pos.i").alias("b"), F.col("pos.g").alias("c")).alias("pos"),
+    items = web.jsonld_events(web.jsonld_items(pages, keep), keep).select(
+        "page_id", *keep, at(0, F.col("pos.block"), F.col("pos.i"), F.col("pos.g")),
         "title", "description", "start_raw", "end_raw", "is_online", "is_in_person",
         F.lit(None).cast("string").alias("registration_url"), F.col("url").alias("event_url"))
-    if keep:
-        items = items.join(pages.select("page_id", *keep).distinct(), "page_id")
-    listed = items.select(blocks.columns).unionByName(blocks)
-    text = X.text_simple(html)
-    calendar = (F.size(T.extract_all(text, K.DATE_MENTION, 1)) >= 3) | text.rlike(K.EVENT_PAGE_WORDS)
-    whole = (
-        pages.join(listed.select("page_id"), "page_id", "left_anti").where(calendar)
-        .select("page_id", *keep, _calendar_event(html, url).alias("e"))
-        .where(~X.is_junk_event("e.title", "e.description", "e.start_raw"))
-        .select("page_id", *keep, F.struct(F.lit(2).alias("tier"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("pos"),
-                *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
+    listed = items.unionByName(blocks)
+    whole = T.let(X.text_simple(html), lambda text: F.when(
+        (F.size(T.extract_all(text, K.DATE_MENTION, 1)) >= 3) | text.rlike(K.EVENT_PAGE_WORDS),
+        T.let(X.calendar_system(html), lambda kind: T.let(
+            X.calendar_feed(html, url), lambda feed: _calendar_event(html, url, text, kind, feed)))))
+    calendars = F.filter(F.array(whole), lambda e: e.isNotNull() & _worth_keeping(e))
+    fallback = (
+        pages.join(listed.select("page_id"), "page_id", "left_anti")
+        .select("page_id", *keep, F.explode(calendars).alias("e"))
+        .select("page_id", *keep, at(2, none, none, none), *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
     )
-    return dedupe_first(listed.unionByName(whole), "title", [F.col("pos")], ["page_id"])
+    return dedupe_first(listed.unionByName(fallback), "title", [F.col("pos")], ["page_id"])
 
 
 def resolve_event_dates(pages: DataFrame) -> DataFrame:
     """(page_id, start_date, end_date, online flags, video_url): structured data, then meta tags,
     then dated phrases of 2024 or later; a start at midnight takes the first clock time."""
-    text = X.text_simple("html")
     first = first_per(web.jsonld_events(web.jsonld_items(pages)), ["page_id"], [F.col("pos")]).select(
         F.col("page_id").alias("_page"), F.col("start_date").alias("_start"), F.col("end_date").alias("_end"),
         F.col("is_online").alias("_online"), F.col("is_in_person").alias("_person"), F.col("video_url").alias("_video"))
-    own = pages.select("page_id", X.page_start_date("html", text).alias("start2"), X.page_end_date("html").alias("end2"),
+    text = F.col("_text")
+    own = pages.select("page_id", "html", X.text_simple("html").alias("_text")).select(
+        "page_id", X.page_start_date("html", text).alias("start2"), X.page_end_date("html").alias("end2"),
                        X.video_link("html", text).alias("video2"), X.is_online(text).alias("online2"),
-                       X.is_in_person(text).alias("person2"), text.alias("_text"))
+                       X.is_in_person(text).alias("person2"), text)
     both = own.join(first, F.col("page_id") == F.col("_page"), "left")
     start = F.coalesce("_start", "start2")
     known = F.col("_page").isNotNull()

@@ -38,19 +38,21 @@ def robots_sitemaps(docs: DataFrame) -> DataFrame:
     return docs.select("url", F.posexplode(T.extract_all("body", r"(?i)Sitemap:\s*(\S+)", 1)).alias("pos", "sitemap_url"))
 
 
-def jsonld_items(pages: DataFrame) -> DataFrame:
+def jsonld_items(pages: DataFrame, keep: tuple = ()) -> DataFrame:
     """(page_id, pos, item): JSON-LD objects of each page as JSON text; arrays and @graph are
-    flattened, unreadable blocks skipped."""
-    blocks = pages.select("page_id", F.posexplode(T.extract_all("html", _LD_BLOCK, 1)).alias("block", "body"))
-    value = blocks.withColumn("v", F.try_parse_json("body")).where(F.col("v").isNotNull())
-    as_list = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    items = value.select("page_id", "block", F.posexplode(as_list).alias("i", "x"))
-    graph = F.coalesce(F.try_variant_get("x", "$['@graph']", "array<variant>"), F.array("x"))
-    return items.select("page_id", "block", "i", F.posexplode(graph).alias("g", "y")).select(
-        "page_id", F.struct("block", "i", "g").alias("pos"), F.to_json("y").alias("item"))
+    flattened, unreadable blocks skipped. Columns in ``keep`` pass through."""
+    def parts(value, path):
+        listed = F.try_variant_get(value, path, "array<variant>")
+        return F.coalesce(listed, F.array(value))
 
+    blocks = pages.select("page_id", *keep, F.posexplode(T.extract_all("html", _LD_BLOCK, 1)).alias("block", "body"))
+    value = blocks.select("page_id", *keep, "block", F.try_parse_json("body").alias("v")).where(F.col("v").isNotNull())
+    items = value.select("page_id", *keep, "block", F.posexplode(parts(F.col("v"), "$")).alias("i", "x"))
+    return items.select("page_id", *keep, "block", "i", F.posexplode(parts(F.col("x"), "$['@graph']")).alias("g", "y")).select(
+        "page_id", *keep, F.struct("block", "i", "g").alias("pos"), F.to_json("y").alias("item"))
 
-def jsonld_events(items: DataFrame) -> DataFrame:
+
+def jsonld_events(items: DataFrame, keep: tuple = ()) -> DataFrame:
     """Event-typed items as typed rows."""
     def get(path):
         return F.get_json_object("item", path)
@@ -61,7 +63,7 @@ def jsonld_events(items: DataFrame) -> DataFrame:
     video = F.coalesce(T.extract(get("$.url"), r"^(\S+)$", 1), F.lit(""))
     platform = "(?i)" + "|".join(K.VIDEO_PATTERNS)
     return items.where(kind.contains("event") | get("$['@type']").isin(K.EVENT_TYPES)).select(
-        "page_id", "pos",
+        "page_id", *keep, "pos",
         F.coalesce(get("$.name"), F.lit("")).alias("title"),
         F.coalesce(get("$.description"), F.lit("")).alias("description"),
         F.coalesce(get("$.startDate"), get("$.start_date")).alias("start_raw"),
