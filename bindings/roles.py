@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meadowlark.scale import spread
+
 # role -> (tables and joins in SQL, [(expression, alias)])
 ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "org": (
@@ -137,6 +139,9 @@ ROLES["note"] = ("documents", [
      " ELSE ' Skip to Content page not found' END)", "text"),
 ])
 
+# Tables whose rows are worth a core each; a single small file of them is dealt out first.
+TEXT_TABLES = ("pages", "documents")
+
 DIALECT = {"spark": {"ts": "TIMESTAMP_NTZ"}, "duckdb": {"ts": "TIMESTAMP"}}
 
 
@@ -155,6 +160,8 @@ def frame(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     _, tables = _select(role, "spark")
     words = tables.replace("=", " = ").split()
     out, i = table(spark, sf_dir, words[0]), 1
+    if words[0] in TEXT_TABLES:
+        out = spread(out)
     while i < len(words):
         # JOIN <table> ON <left> = <right>
         right = table(spark, sf_dir, words[i + 1])

@@ -101,5 +101,8 @@ def _order_names(order):
     return [F.col(f"_o{i}") for i in range(len(order))]
 
 
-def equi_null_safe(left: DataFrame, right: DataFrame, key: str) -> Column:
-    return left[key].eqNullSafe(right[key])
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores when the input has fewer partitions than there are cores, as with
+    one small file. Inputs already split that far are left alone, so large scans never shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
