@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meadowlark import schemas
 from meadowlark.functions import dates
+from meadowlark.functions import text as T
 from meadowlark.operators import filters as B
 from meadowlark.operators import joins as C
 from meadowlark.scale import first_per
+from meadowlark.session import durable
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -33,23 +36,21 @@ def ingest_submissions(stream: DataFrame, known: Callable[[], DataFrame], accept
     folder, so a replay decides the same way and overwrites the same folders.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        checked = B.validate(batch).persist()
-        try:
-            names = known().select("name")
-            earlier = _earlier(spark, accepted_path, epoch)
-            if earlier is not None:
-                names = names.unionByName(earlier.select("name"))
-            good = B.accepted(checked)
-            fresh = first_per(C.without_conflicts(good, names).withColumn("_name", F.lower(F.trim("name"))),
-                              ["_name"], [F.xxhash64("name", "description", "website"), F.col("description")])
-            stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else dates.moment(now)
-            _land(fresh.drop("_name", "matched").withColumn("source", F.lit("user_submitted"))
-                  .withColumn("direct_website", F.col("website")).withColumn("created_at", stamp), accepted_path, epoch)
-            taken = C.name_conflicts(good, names).withColumn("reason", F.lit("duplicate_name"))
-            _land(B.rejected(checked).unionByName(taken).drop("matched"), rejects_path, epoch)
-        finally:
-            checked.unpersist()
+        # row ids are fixed by the checkpoint, so each submission lands in exactly one folder
+        checked = durable(B.validate(batch).withColumn("_row", F.monotonically_increasing_id()))
+        names = known().select("name")
+        earlier = _earlier(batch.sparkSession, accepted_path, epoch)
+        if earlier is not None:
+            names = names.unionByName(earlier.select("name"))
+        good = B.accepted(checked)
+        unknown = C.without_conflicts(good, names).withColumn("_name", F.lower(T.strip("name")))
+        fresh = first_per(unknown, ["_name"], [F.xxhash64("name", "description", "website"), F.col("_row")])
+        fresh = durable(fresh.drop("_name"))
+        taken = good.join(fresh.select("_row"), "_row", "left_anti").withColumn("reason", F.lit("duplicate_name"))
+        stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else dates.moment(now)
+        _land(fresh.drop("_row", "matched").withColumn("source", F.lit("user_submitted"))
+              .withColumn("direct_website", F.col("website")).withColumn("created_at", stamp), accepted_path, epoch)
+        _land(B.rejected(checked).unionByName(taken).drop("_row", "matched"), rejects_path, epoch)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -57,11 +58,10 @@ def ingest_submissions(stream: DataFrame, known: Callable[[], DataFrame], accept
 
 def _earlier(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
     """Rows landed by other batches; None before the first."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if epoch == 0 or not fs.exists(jvm_path):
+    try:
+        return spark.read.parquet(path).where(F.col("batch") < epoch)
+    except AnalysisException:
         return None
-    return spark.read.parquet(path).where(F.col("batch") < epoch)
 
 
 def read_new_pages(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
