@@ -78,7 +78,7 @@ def anchors(html) -> Column:
 
 
 def is_page_link(href: Column) -> Column:
-    return ~any_of([href.startswith(p) for p in K.LINK_SKIP_PREFIXES])
+    return ~href.rlike(f"^(?:{words_regex(K.LINK_SKIP_PREFIXES)})")
 
 
 def geo_point(html) -> Column:
@@ -122,9 +122,13 @@ def emails(c) -> Column:
 
 def contact_email(html) -> Column:
     """First personal mailbox, else the first mailbox at all."""
-    found = extract_all(html, K.EMAIL)
-    personal = F.filter(found, lambda e: ~any_of([F.lower(e).startswith(g) for g in K.GENERIC_MAILBOXES]))
-    return F.coalesce(F.get(personal, F.lit(0)), F.get(found, F.lit(0)))
+    generic = f"^(?:{words_regex(K.GENERIC_MAILBOXES)})"
+
+    def pick(found):
+        personal = F.filter(found, lambda e: ~F.lower(e).rlike(generic))
+        return F.coalesce(F.get(personal, F.lit(0)), F.get(found, F.lit(0)))
+
+    return let(extract_all(html, K.EMAIL), pick)
 
 
 def listing_email(text) -> Column:

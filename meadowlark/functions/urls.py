@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meadowlark.functions.text import any_of, blank_to_null, col
+from meadowlark.functions.text import blank_to_null, col, let, words_regex
 
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -16,8 +16,7 @@ _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 def with_scheme(c) -> Column:
     """Trimmed URL with https assumed when no http scheme is given; '' becomes NULL."""
-    url = blank_to_null(F.trim(col(c)))
-    return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), url))
+    return blank_to_null(F.regexp_replace(F.trim(col(c)), "^(?!http)(?=.)", "https://"))
 
 
 def base_url(c) -> Column:
@@ -38,7 +37,11 @@ def path(c) -> Column:
 
 def on_host(h: Column, hosts: Sequence[str]) -> Column:
     """The host is one of the hosts or a sub-domain of one."""
-    return any_of([(h == x) | h.endswith("." + x) for x in hosts])
+    return h.rlike(rf"(?:^|\.)(?:{words_regex(hosts)})$")
+
+
+def below(p: Column, prefixes: Sequence[str]) -> Column:
+    return p.rlike(rf"^(?:{words_regex(prefixes)})")
 
 
 def resolve(base, rel) -> Column:
@@ -56,9 +59,9 @@ def resolve(base, rel) -> Column:
 def repair_url(c) -> Column:
     """A doubled URL is collapsed; anything that is not http becomes NULL."""
     once = F.regexp_replace(F.trim(col(c)), r"(https?://[^\s]+)\1+", "$1")
-    return F.when(once.startswith("http"), once)
+    return let(once, lambda u: F.when(u.startswith("http"), u))
 
 
 def clean_md_url(c, max_len: int = 150) -> Column:
     url = F.rtrim(F.replace(col(c), F.lit("]("), F.lit("")), F.lit(")"))
-    return F.when((F.length(url) <= max_len) & url.startswith("http"), url)
+    return let(url, lambda u: F.when((F.length(u) <= max_len) & u.startswith("http"), u))

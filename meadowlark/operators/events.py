@@ -47,45 +47,37 @@ def _calendar_event(html: Column, url: Column, text: Column, kind: Column, feed:
         feed.alias("registration_url"), url.alias("event_url"), F.length(text).alias("n"))
 
 
-def event_blocks(pages: DataFrame, keep: tuple = ()) -> DataFrame:
-    """(page_id, pos, listing fields): structured data first, then marked containers, dated blocks
-    if there are fewer than two, timed blocks if still so; a page without any is taken whole when
-    it is a calendar. Titles are unique per page; junk is dropped.
+def _structured_event(item: Column) -> Column:
+    e = web.event_item(item)
+    return T.let(e, lambda x: F.struct(
+        *[x[f].alias(f) for f in _FIELDS[:6]], F.lit(None).cast("string").alias("registration_url"),
+        x["url"].alias("event_url"), F.length(x["description"]).alias("n")))
 
-    All strategies read the page once as arrays in one row; nothing is parsed again.
-    """
-    html, url = F.col("html"), F.col("url")
 
-    def at(tier, a, b, c):
-        return F.struct(F.lit(tier).alias("tier"), a.alias("a"), b.alias("b"), c.alias("c")).alias("pos")
-
-    none = F.lit(0)
-    marked = T.extract_all(html, K.EVENT_CONTAINER, 2)
+def event_listings(html: Column, url: Column) -> Column:
+    """array of listings of one page: structured data, then marked containers, dated blocks if
+    there are fewer than two, timed blocks if still so; a page without any is taken whole when
+    it is a calendar. Junk is dropped."""
     dated = F.array_distinct(T.extract_all(html, K.EVENT_DATE_BLOCK, 1))
     timed = T.extract_all(html, K.EVENT_TIME_BLOCK, 1)
-    found = T.let(marked, lambda x: F.when(F.size(x) < 2, F.concat(x, dated)).otherwise(x))
+    found = T.let(T.extract_all(html, K.EVENT_CONTAINER, 2), lambda x: F.when(F.size(x) < 2, F.concat(x, dated)).otherwise(x))
     found = T.let(found, lambda x: F.when(F.size(x) < 2, F.concat(x, timed)).otherwise(x))
-    listings = F.filter(F.transform(found, lambda b: _block_event(b, url)), _worth_keeping)
-    blocks = (
-        pages.select("page_id", *keep, F.posexplode(listings).alias("i", "e"))
-        .select("page_id", *keep, at(1, F.col("i"), none, none), *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
-    )
-    items = web.jsonld_events(web.jsonld_items(pages, keep), keep).select(
-        "page_id", *keep, at(0, F.col("pos.block"), F.col("pos.i"), F.col("pos.g")),
-        "title", "description", "start_raw", "end_raw", "is_online", "is_in_person",
-        F.lit(None).cast("string").alias("registration_url"), F.col("url").alias("event_url"))
-    listed = items.unionByName(blocks)
+    blocks = F.filter(F.transform(found, lambda b: _block_event(b, url)), _worth_keeping)
+    items = F.transform(F.filter(web.jsonld_array(html), web.is_event_item), _structured_event)
     whole = T.let(X.text_simple(html), lambda text: F.when(
         (F.size(T.extract_all(text, K.DATE_MENTION, 1)) >= 3) | text.rlike(K.EVENT_PAGE_WORDS),
         T.let(X.calendar_system(html), lambda kind: T.let(
             X.calendar_feed(html, url), lambda feed: _calendar_event(html, url, text, kind, feed)))))
     calendars = F.filter(F.array(whole), lambda e: e.isNotNull() & _worth_keeping(e))
-    fallback = (
-        pages.join(listed.select("page_id"), "page_id", "left_anti")
-        .select("page_id", *keep, F.explode(calendars).alias("e"))
-        .select("page_id", *keep, at(2, none, none, none), *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
-    )
-    return dedupe_first(listed.unionByName(fallback), "title", [F.col("pos")], ["page_id"])
+    return T.let(F.concat(items, blocks), lambda every: F.when(F.size(every) > 0, every).otherwise(calendars))
+
+
+def event_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, listing fields), titles unique per page. Everything is found inside the row
+    of its page, so pages are read once and only listings are shuffled."""
+    rows = pages.select("page_id", F.posexplode(event_listings(F.col("html"), F.col("url"))).alias("pos", "e"))
+    listed = rows.select("page_id", "pos", *[F.col(f"e.{f}").alias(f) for f in _FIELDS])
+    return dedupe_first(listed, "title", [F.col("pos")], ["page_id"])
 
 
 def resolve_event_dates(pages: DataFrame) -> DataFrame:

@@ -136,10 +136,7 @@ def needs_description(df: DataFrame, markers: Sequence[str]) -> DataFrame:
 def is_allowed_url(url, hosts: Sequence[str] = tuple(K.BLOCKED_HOSTS), paths: Sequence[str] = ()) -> Column:
     full = urls.with_scheme(url)
     ok = full.isNotNull() & ~urls.on_host(urls.host(full), hosts)
-    if paths:
-        p = F.lower(urls.path(full))
-        ok = ok & ~T.any_of([p.startswith(x) for x in paths])
-    return ok
+    return ok & ~urls.below(F.lower(urls.path(full)), paths) if paths else ok
 
 
 def allowed_urls(df: DataFrame, col: str = "url", hosts=tuple(K.BLOCKED_HOSTS), paths=()) -> DataFrame:

@@ -38,11 +38,14 @@ def rank_percent(df: DataFrame, order: Sequence) -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, key, order: Sequence, partition: Sequence = (), key_len: int = 120) -> DataFrame:
-    """First row per normalized key (within ``partition``); rows with a blank key all stay."""
+    """First row per normalized key (within ``partition``); rows with a blank key all stay.
+
+    ``order`` must tell rows apart: a blank key is completed by it, which keeps such rows and
+    spreads them instead of gathering them under one key. One scan, cut before the shuffle.
+    """
     k = T.prefix(F.lower(T.strip(F.coalesce(T.col(key), F.lit("")))), key_len)
-    blank = df.where(k == "")
-    keyed = df.where(k != "").withColumn("_key", k)
-    return first_per(keyed, [*partition, "_key"], order).drop("_key").unionByName(blank)
+    keyed = df.withColumn("_key", k).withColumn("_own", F.when(F.col("_key") == "", F.struct(*order)))
+    return first_per(keyed, [*partition, "_key", "_own"], order).drop("_key", "_own")
 
 
 def calendar_month(events: DataFrame, year: int, month: int, n: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark import constants as K
@@ -38,44 +38,52 @@ def robots_sitemaps(docs: DataFrame) -> DataFrame:
     return docs.select("url", F.posexplode(T.extract_all("body", r"(?i)Sitemap:\s*(\S+)", 1)).alias("pos", "sitemap_url"))
 
 
-def jsonld_items(pages: DataFrame, keep: tuple = ()) -> DataFrame:
-    """(page_id, pos, item): JSON-LD objects of each page as JSON text; arrays and @graph are
-    flattened, unreadable blocks skipped. Columns in ``keep`` pass through."""
+def jsonld_array(html) -> Column:
+    """JSON-LD objects of a page as JSON texts, in page order; arrays and @graph are flattened,
+    unreadable blocks skipped."""
     def parts(value, path):
-        listed = F.try_variant_get(value, path, "array<variant>")
-        return F.coalesce(listed, F.array(value))
+        return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array(value))
 
-    blocks = pages.select("page_id", *keep, F.posexplode(T.extract_all("html", _LD_BLOCK, 1)).alias("block", "body"))
-    value = blocks.select("page_id", *keep, "block", F.try_parse_json("body").alias("v")).where(F.col("v").isNotNull())
-    items = value.select("page_id", *keep, "block", F.posexplode(parts(F.col("v"), "$")).alias("i", "x"))
-    return items.select("page_id", *keep, "block", "i", F.posexplode(parts(F.col("x"), "$['@graph']")).alias("g", "y")).select(
-        "page_id", *keep, F.struct("block", "i", "g").alias("pos"), F.to_json("y").alias("item"))
+    blocks = F.filter(F.transform(T.extract_all(html, _LD_BLOCK, 1), F.try_parse_json), lambda v: v.isNotNull())
+    items = F.flatten(F.transform(blocks, lambda v: parts(v, "$")))
+    return F.transform(F.flatten(F.transform(items, lambda v: parts(v, "$['@graph']"))), lambda v: F.to_json(v))
 
 
-def jsonld_events(items: DataFrame, keep: tuple = ()) -> DataFrame:
-    """Event-typed items as typed rows."""
+def jsonld_items(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, item): one row per JSON-LD object."""
+    return pages.select("page_id", F.posexplode(jsonld_array("html")).alias("pos", "item"))
+
+
+def is_event_item(item: Column) -> Column:
+    kind = F.coalesce(F.get_json_object(item, "$['@type']"), F.lit(""))
+    return F.lower(kind).contains("event") | kind.isin(K.EVENT_TYPES)
+
+
+def event_item(item: Column) -> Column:
+    """An event-typed object as a struct; dates stay as written."""
     def get(path):
-        return F.get_json_object("item", path)
+        return F.get_json_object(item, path)
 
-    kind = F.lower(F.coalesce(get("$['@type']"), F.lit("")))
-    place, mode = F.lower(get("$.location")), F.coalesce(get("$.eventAttendanceMode"), F.lit(""))
-    virtual = place.contains("virtual") | place.contains("online")
-    video = F.coalesce(T.extract(get("$.url"), r"^(\S+)$", 1), F.lit(""))
     platform = "(?i)" + "|".join(K.VIDEO_PATTERNS)
-    return items.where(kind.contains("event") | get("$['@type']").isin(K.EVENT_TYPES)).select(
-        "page_id", *keep, "pos",
-        F.coalesce(get("$.name"), F.lit("")).alias("title"),
-        F.coalesce(get("$.description"), F.lit("")).alias("description"),
+    place, mode = F.lower(F.coalesce(get("$.location"), F.lit(""))), F.coalesce(get("$.eventAttendanceMode"), F.lit(""))
+    virtual = place.rlike("virtual|online")
+    url = F.coalesce(get("$.url"), F.lit(""))
+    return F.struct(
+        F.coalesce(get("$.name"), F.lit("")).alias("title"), F.coalesce(get("$.description"), F.lit("")).alias("description"),
         F.coalesce(get("$.startDate"), get("$.start_date")).alias("start_raw"),
         F.coalesce(get("$.endDate"), get("$.end_date")).alias("end_raw"),
-        dates.parse_date(F.coalesce(get("$.startDate"), get("$.start_date"))).alias("start_date"),
-        dates.parse_date(F.coalesce(get("$.endDate"), get("$.end_date"))).alias("end_date"),
-        (mode.endswith("OnlineEventAttendanceMode") | F.coalesce(virtual, F.lit(False))).alias("is_online"),
+        (mode.endswith("OnlineEventAttendanceMode") | virtual).alias("is_online"),
         # without a stated mode an event is in person unless its location says otherwise
-        (mode.endswith("OfflineEventAttendanceMode") | ((mode == "") & ~F.coalesce(virtual, F.lit(False)))).alias("is_in_person"),
-        F.when(video.rlike(platform) & video.startswith("http"), video).otherwise(F.lit("")).alias("video_url"),
-        F.coalesce(get("$.url"), F.lit("")).alias("url"),
-    )
+        (mode.endswith("OfflineEventAttendanceMode") | ((mode == "") & ~virtual)).alias("is_in_person"),
+        F.when(url.rlike(platform) & url.startswith("http"), url).otherwise(F.lit("")).alias("video_url"),
+        url.alias("url"))
+
+
+def jsonld_events(items: DataFrame) -> DataFrame:
+    """Event-typed items as typed rows."""
+    rows = items.where(is_event_item(F.col("item"))).select("page_id", "pos", T.let(F.col("item"), event_item).alias("e"))
+    return rows.select("page_id", "pos", "e.*", dates.parse_date("e.start_raw").alias("start_date"),
+                       dates.parse_date("e.end_raw").alias("end_date"))
 
 
 def api_items(payloads: DataFrame, body: str = "body") -> DataFrame:
