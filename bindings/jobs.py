@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bindings.registry import query
 from bindings.relational import NOW
@@ -12,7 +13,11 @@ from meadowlark import schemas
 from meadowlark.functions import urls
 from meadowlark.operators import mutations as H
 from meadowlark.operators import search as S
+from meadowlark.operators import privacy
 from meadowlark.plans import catalogue, listings
+from meadowlark.scale import top_per
+from meadowlark.sinks import files
+from meadowlark.sources import tables
 from meadowlark.streaming import ingest
 
 
@@ -33,6 +38,19 @@ def site_children(t, schema):
     return H.evolve_schema(rows.select(*[c for c in rows.columns if c in known]), schema)
 
 
+def _scratch(t):
+    import tempfile
+
+    from meadowlark.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(t.spark)
+    if base.startswith(("file:/", "/")):
+        import os
+        os.makedirs(base.removeprefix("file:"), exist_ok=True)
+        return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:"))
+    import uuid
+    return f"{base}/stream-{uuid.uuid4().hex}"
+
+
 @query("map_features", "org", sql=f"""
     WITH p AS ({POPUP_SQL}) SELECT o.id, o.name, p.popup FROM org o JOIN p ON o.id = p.id
     WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND source = 'BUILDING' AND has_jobs = true""")
@@ -125,7 +143,9 @@ def _(t):
 @query("enrich_descriptions")
 def _(t):
     org = site_org(t).withColumn("description", F.concat("name", F.lit(" is an intentional community")))
-    per_site = t.spage.groupBy(urls.origin("url").alias("o")).agg(F.array_sort(F.collect_set("url")).alias("l"))
+    # a sitemap lists the first fifty addresses of its site
+    listed = top_per(t.spage.select(urls.origin("url").alias("o"), "url").distinct(), ["o"], [F.col("url")], 50)
+    per_site = listed.groupBy("o").agg(F.array_sort(F.collect_list("url")).alias("l"))
     locs = F.array_join(F.transform("l", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "")
     docs = per_site.select(F.concat("o", F.lit("/map.xml")).alias("url"), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body")).unionByName(
         per_site.select(F.concat("o", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("Sitemap: "), "o", F.lit("/map.xml")).alias("body")))
@@ -153,7 +173,9 @@ def _(t):
     return catalogue.repair_descriptions(t.org, features).select("id", "description", "popup_html")
 
 
-@query("build_vector_index")
+@query("build_vector_index", "org", sql="""
+    WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM org WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+    SELECT id, pos, pos // 500 AS chunk, 88 AS n FROM r""")
 def _(t):
     index = catalogue.build_vector_index(t.org, S.hashed_words(64), chunk=500)
     return index.chunks.select("id", "pos", "chunk", F.length("e").alias("n"))
@@ -174,24 +196,66 @@ def _(t):
     return catalogue.search_view(results, t.org, jobs=True, events=True).rows.select("id", "rank", "pct")
 
 
-# --- streams -----------------------------------------------------------------------------------
+# --- files written and read back ---------------------------------------------------------------
 
-@query("calendar_stream", "evt", sql="SELECT date_trunc('day', start_date) AS window_start, event_type, count(*) AS n FROM evt GROUP BY 1, 2")
+@query("read_json_array", "product", sql="SELECT id, name, size FROM product")
 def _(t):
-    return ingest.event_counts(t.evt, "1 day")
+    base = _scratch(t)
+    # each line is a JSON array of up to a hundred records
+    arrays = t.product.groupBy(F.expr("id div 100").alias("b")).agg(F.to_json(F.collect_list(F.struct("id", "name", "size"))).alias("value"))
+    arrays.select("value").write.text(f"{base}/arrays")
+    record = StructType.fromDDL("id bigint, name string, size int")
+    return tables.read_json(t.spark, f"{base}/arrays", record, one_per_line=True)
 
 
-def _scratch(t):
-    import tempfile
+@query("read_geojson", "org", sql="SELECT id, name, coalesce(country, '') AS country, latitude, longitude, has_jobs AS \"hasJobs\" FROM org WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+def _(t):
+    base = _scratch(t)
+    files.write_geojson(t.org, BASE, f"{base}/map")
+    return tables.read_geojson_lines(t.spark, f"{base}/map").select("id", "name", "country", "latitude", "longitude", "hasJobs")
 
-    from meadowlark.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(t.spark)
-    if base.startswith(("file:/", "/")):
-        import os
-        os.makedirs(base.removeprefix("file:"), exist_ok=True)
-        return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:"))
-    import uuid
-    return f"{base}/stream-{uuid.uuid4().hex}"
+
+@query("read_vector_chunks", "vec", sql="""
+    SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, CAST(len(embedding) AS INTEGER) AS dim, true AS close FROM vec""")
+def _(t):
+    base = _scratch(t)
+    vec = t.vec.select("id", "embedding", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon"))
+    files.write_vector_chunks(vec, base, "given", 64)
+    back = tables.read_vector_lines(t.spark, f"{base}/data").select("id", "pos", F.col("embedding").alias("restored"), "lo", "hi")
+    far = F.array_max(F.zip_with(F.col("embedding").cast("array<double>"), F.col("restored"), lambda a, b: F.abs(a - b)))
+    return back.join(t.vec, "id").select("id", "pos", F.size("restored").alias("dim"), (far <= (F.col("hi") - F.col("lo")) / 255).alias("close"))
+
+
+@query("full_refresh", "product", sql="SELECT id, name FROM product WHERE size > 20")
+def _(t):
+    base = _scratch(t)
+    H.refresh(t.product.select("id", "name"), f"{base}/table")
+    H.refresh(t.product.where(F.col("size") > 20).select("id", "name"), f"{base}/table")
+    return t.spark.read.parquet(f"{base}/table")
+
+
+@query("export_subject_data", "evt", sql="SELECT id, title, start_date FROM evt WHERE organization_id = 7")
+def _(t):
+    base = _scratch(t)
+    mine = t.evt.where(F.col("organization_id") == 7).select("id", "title", "start_date")
+    privacy.export_csv(mine, f"{base}/csv", "start_date")
+    return t.spark.read.options(**files.CLOCKS).csv(f"{base}/csv", header=True, schema="id bigint, title string, start_date timestamp_ntz")
+
+
+@query("write_json", "product", sql="SELECT 'json' AS fmt, id, name FROM product UNION ALL SELECT 'csv', id, name FROM product")
+def _(t):
+    base = _scratch(t)
+    for fmt in ("json", "csv"):
+        files.write_table(t.product.select("id", "name"), fmt, f"{base}/{fmt}")
+    back = t.spark.read.json(f"{base}/json", schema="id bigint, name string").select(F.lit("json").alias("fmt"), "id", "name")
+    return back.unionByName(t.spark.read.csv(f"{base}/csv", header=True, schema="id bigint, name string").select(F.lit("csv").alias("fmt"), "id", "name"))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+@query("calendar_stream", "evt", sql="SELECT date_trunc('day', start_date) AS window_start, event_type, count(*) AS n FROM evt GROUP BY 1, 2")
+def _(t):
+    return ingest.event_counts(t.evt, "1 day")
 
 
 @query("ingest_submissions", "org", sql="""

@@ -52,7 +52,7 @@ def _(t):
     return t.org.select("id", S.search_text().alias("text"))
 
 
-@query("encode")
+@query("encode", "org", sql="SELECT id, 1.0 AS norm2, 64 AS dim FROM org")
 def _(t):
     coded = S.encode(t.org.select("id", S.search_text().alias("text")), "text", S.hashed_words(64))
     norm = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
@@ -80,7 +80,7 @@ def _(t):
     return t.vec.select("id", F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("pack_f32")
+@query("pack_f32", "vec", sql="SELECT id, CAST(ceil(len(embedding) * 4 / 3.0) * 4 AS INTEGER) AS n, CAST(len(embedding) AS INTEGER) AS dim FROM vec")
 def _(t):
     return t.vec.select("id", V.pack_f32("embedding").alias("packed")).select("id", F.length("packed").alias("n"), V.unpack_f32("packed").alias("v")).select(
         "id", "n", F.size("v").alias("dim"))
@@ -94,7 +94,9 @@ def _(t):
     return h.select("model", "dim", "count", "num_chunks", F.get("range", F.lit(0)).alias("lo"), F.get("range", F.lit(1)).alias("hi"))
 
 
-@query("write_vector_chunks")
+@query("write_vector_chunks", "vec", sql="""
+    WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, len(embedding) AS d FROM vec)
+    SELECT id, pos, pos // 64 AS chunk, pos // 64 * 64 AS "offset", CAST(ceil(d / 3.0) * 4 AS INTEGER) AS n FROM r""")
 def _(t):
     vec = t.vec.select("id", "embedding", (F.col("id") / 10).alias("lat"), (F.col("id") / 5).alias("lon"))
     return files.vector_chunks(vec, 64).select("pos", "chunk", "offset", "id", F.length("e").alias("n"))

@@ -140,11 +140,20 @@ def _(t):
     return t.page.select("page_id", urls.clean_md_url(F.concat(F.lit("]("), F.col("url"), F.lit("))")), 40).alias("u"))
 
 
-@query("escapes", "doc", sql=r"""
-    SELECT id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, '''' || replace(text, '''', '''''') || '''' AS sql_text,
-        replace(replace(replace(replace(replace(text, '\', '\\'), ';', '\;'), ',', '\,'), chr(10), '\n'), chr(13), '') AS ics FROM doc""")
+@query("html_escape", "doc", sql="SELECT id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM doc")
 def _(t):
-    return t.doc.select("id", T.html_escape("text").alias("html"), T.sql_quote("text").alias("sql_text"), T.ics_escape("text").alias("ics"))
+    return t.doc.select("id", T.html_escape("text").alias("html"))
+
+
+@query("sql_escape", "doc", sql="SELECT id, chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39) AS sql_text FROM doc")
+def _(t):
+    return t.doc.select("id", T.sql_quote("text").alias("sql_text"))
+
+
+@query("ics_escape", "doc", sql="""
+    SELECT id, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), ';', chr(92) || ';'), ',', chr(92) || ','), chr(10), chr(92) || 'n'), chr(13), '') AS ics FROM doc""")
+def _(t):
+    return t.doc.select("id", T.ics_escape("text").alias("ics"))
 
 
 @query("date_parts", "evt", sql="""
@@ -315,6 +324,13 @@ def _(t):
 
 # --- jobs, stays ---------------------------------------------------------------------------
 
+def _clean_sql(c):
+    c = f"regexp_replace({c}, '\\[LINK:[^\\]]+\\]', '', 'g')"
+    for p in K.NAV_PHRASES:
+        c = f"regexp_replace({c}, '(?i)(?:{p})', '', 'g')"
+    return trimmed(f"regexp_replace({squeezed(c)}, '^[|·–—\\s]+', '')")
+
+
 def _skills_sql(c):
     tries = []
     for p in K.SKILLS_PATTERNS:
@@ -353,13 +369,29 @@ def _(t):
     return pages.select("page_id", F.inline(X.job_blocks("text", F.col("url"), min_len=100))).select("page_id", "title", "role", F.length("block").alias("n"))
 
 
-@query("title_blocks")
+@query("title_blocks", "doc", sql=rf"""
+    WITH n AS (SELECT id, replace(text, '. ', '.' || chr(10)) AS text FROM doc),
+    l AS (SELECT id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '') AS lines FROM n),
+    m AS (SELECT id, text, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN length(x) < 100 AND ((regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))
+        OR (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '(^|[^\p{{L}}])\p{{Ll}}') AND NOT regexp_matches(x, '\p{{L}}\p{{Lu}}')) OR ends_with(x, ':'))
+        THEN chr(1) || x ELSE x END), chr(10)), chr(1))[2:] AS pieces FROM l),
+    k AS (SELECT id, text, list_filter(list_transform(pieces, lambda p: {{'title': substr(split_part(p, chr(10), 1), 1, 200),
+        'description': substr({trimmed("replace(regexp_replace(p, '^[^' || chr(10) || ']*' || chr(10) || '?', ''), chr(10), ' ')")}, 1, 1000)}}), lambda x: length(x.description) > 50) AS kept FROM m),
+    a AS (SELECT id, unnest(CASE WHEN len(kept) = 0 AND length(text) > 200 THEN [{{'title': substr(split_part(text, '. ', 1), 1, 200), 'description': substr(text, 1, 2000)}}] ELSE kept END) AS b FROM k)
+    SELECT id, b.title AS title, b.description AS description FROM a""")
 def _(t):
-    pages = HT.html_text(t.rich, "lines")
-    return pages.select("page_id", F.inline(X.title_blocks("text")))
+    lined = t.doc.select("id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
+    return lined.select("id", F.inline(X.title_blocks("text")))
 
 
-@query("job_title")
+@query("job_title", "rich", sql=rf"""
+    WITH c AS (SELECT page_id, list_filter([{trimmed("regexp_replace(" + squeezed('h1') + r", '\s*[|–—-]\s*.*$', '')")},
+        regexp_replace({trimmed("regexp_replace(" + squeezed('title') + r", '\s*[|–—-]\s*.*$', '')")}, '(?i)^Home\s*[-|]\s*', '')],
+        lambda t: length(t) > 5 AND length(t) < 80 AND NOT {any_word('t', K.TITLE_JUNK)} AND lower(t) <> 'farm'
+        AND NOT (len(string_split_regex(t, '\s+')) > 8 AND len(list_filter(string_split_regex(t, '\s+'), lambda w: regexp_matches(w, '^\p{{Lu}}'))) > len(string_split_regex(t, '\s+')) * 0.7)) AS l
+        FROM (SELECT page_id, {unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+            {unescaped("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]+>', '', 'g')")} AS h1 FROM rich))
+    SELECT page_id, coalesce(l[1], 'Volunteer at Farm') AS title FROM c""")
 def _(t):
     return t.rich.select("page_id", X.job_title(X.page_h1("html"), X.page_title("html"), F.lit("Farm")).alias("title"))
 
@@ -370,23 +402,44 @@ def _(t):
     return pages.select("page_id", X.job_description("text", X.page_title("html"), F.lit("Farm"), X.meta_description("html")).alias("description"))
 
 
-@query("best_sentences")
+_BREAK = r"string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _list_of(c):
+    return f"list_transform({_BREAK.format(c=c)}, lambda s: {trimmed('s')})"
+
+
+def _prose_sql(s, skip):
+    ws = rf"string_split_regex({s}, '\s+')"
+    return (rf"length({s}) >= 25 AND NOT {any_word(s, skip)} AND NOT (len(list_filter({ws}, lambda w: regexp_matches(w, '^\p{{Lu}}'))) > len({ws}) * 0.7 AND len({ws}) > 5)"
+            rf" AND length({s}) - length(replace({s}, '|', '')) <= 2 AND NOT regexp_matches({s}, '(?i)^[\w\s\-]+\.(com|org|net|de|io|uk|co)\b')"
+            rf" AND NOT regexp_matches({s}, '^(Home|About|Contact|Blog|Events|Gallery|Shop)\s+')")
+
+
+@query("best_sentences", "doc", sql=f"""
+    WITH p AS (SELECT id, list_filter({_list_of(squeezed('text'))}, lambda s: {_prose_sql('s', K.SENTENCE_SKIP + K.SENTENCE_SKIP_EXTRA)}
+        AND NOT regexp_matches(s, '^(Transition Group|Community Growing|Other food|Nature Community)')) AS l FROM doc),
+    r AS (SELECT id, unnest(l) AS s, unnest(range(len(l))) AS i FROM p),
+    b AS (SELECT *, 3 * {count_words('s', K.SENTENCE_HIGH)} + 2 * {count_words('s', K.SENTENCE_MEDIUM)} + {count_words('s', K.SENTENCE_LOW)} AS base FROM r),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k FROM b WHERE i < 5 OR base > 0 QUALIFY k < 15),
+    t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM a QUALIFY o <= 4),
+    g AS (SELECT id, string_agg(s, ' ' ORDER BY o) AS best FROM t GROUP BY id)
+    SELECT d.id, coalesce(g.best, '') AS best FROM doc d LEFT JOIN g ON d.id = g.id""")
 def _(t):
     return t.doc.select("id", X.best_sentences(T.squeeze("text")).alias("best"))
 
 
-@query("lead_sentences")
+@query("lead_sentences", "doc", sql=rf"""
+    WITH b AS (SELECT id, {trimmed("regexp_replace(" + _clean_sql("text") + r", '^[—–\-|·\s]+', '')")} AS body FROM doc),
+    e AS (SELECT id, body, {_list_of('body')} AS l FROM b),
+    c AS (SELECT id, body, array_to_string(list_filter(l, lambda s: {_prose_sql('s', K.SENTENCE_SKIP)})[1:3], ' ') AS lead,
+        list_filter(l, lambda s: length(s) > 40 AND {any_word('s', K.SENTENCE_FALLBACK)})[1] AS topical FROM e),
+    x AS (SELECT id, body, CASE WHEN length(lead) >= 50 THEN lead ELSE coalesce(topical, lead) END AS chosen FROM c)
+    SELECT id, substr(CASE WHEN length(chosen) >= 50 THEN chosen ELSE substr(body, 1, 300) END, 1, 500) AS lead FROM x""")
 def _(t):
     return t.doc.select("id", X.lead_sentences("text").alias("lead"))
 
 
-def _clean_sql(c):
-    c = f"regexp_replace({c}, '\\[LINK:[^\\]]+\\]', '', 'g')"
-    for p in K.NAV_PHRASES:
-        c = f"regexp_replace({c}, '(?i)(?:{p})', '', 'g')"
-    return trimmed(f"regexp_replace({squeezed(c)}, '^[|·–—\\s]+', '')")
-
-
 @query("clean_text", "note", sql=f"""
     SELECT id, {_clean_sql('text')} AS cleaned, {squeezed("regexp_replace(" + squeezed('text') + ", 'https?://\\S+', '', 'g')")} AS without_urls FROM note""")
 def _(t):
@@ -468,7 +521,10 @@ def _(t):
     return web.jsonld_items(t.rich).select("page_id", "item")
 
 
-@query("jsonld_event")
+@query("jsonld_event", "rich", sql=r"""
+    WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1)) AS j FROM rich)
+    SELECT page_id, j ->> '$.name' AS title, strptime(j ->> '$.startDate', '%Y-%m-%dT%H:%M') AS start_date, contains(lower(j ->> '$.location'), 'online') AS is_online,
+        NOT contains(lower(j ->> '$.location'), 'online') AS is_in_person, coalesce(j ->> '$.url', '') AS url FROM b WHERE contains(lower(j ->> '$."@type"'), 'event')""")
 def _(t):
     return web.jsonld_events(web.jsonld_items(t.rich)).select("page_id", "title", "start_date", "is_online", "is_in_person", "url")
 
@@ -527,25 +583,22 @@ def _(t):
 
 
 def sitemap_docs(t):
-    """Index and leaf sitemaps listing the pages of each site."""
-    p = t.page.withColumn("site", urls.origin("url"))
-    leaf = p.groupBy("site", (F.col("page_id") % 3).alias("part")).agg(F.array_sort(F.collect_list("url")).alias("l"))
+    """Sitemaps of at most twenty neighbouring pages each, and for every one an index that leads to it."""
+    p = t.page.withColumn("site", urls.origin("url")).withColumn("part", F.expr("page_id div 20").cast("string"))
+    leaf = p.groupBy("site", "part").agg(F.array_sort(F.collect_list("url")).alias("l"))
     locs = F.array_join(F.transform("l", lambda u: F.concat(F.lit("<url><loc>"), T.html_escape(u), F.lit("</loc></url>"))), "")
-    leaf = leaf.select(F.concat("site", F.lit("/s"), "part", F.lit(".xml")).alias("url"),
-                       F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body"))
-    index = p.select("site").distinct().select(
-        F.concat("site", F.lit("/sitemap.xml")).alias("url"),
-        F.concat(F.lit("<sitemapindex>"), *[x for i in range(3) for x in (
-            F.lit("<sitemap><loc>"), F.col("site"), F.lit(f"/s{i}.xml</loc></sitemap>"))], F.lit("</sitemapindex>")).alias("body"))
-    return leaf.unionByName(index)
+    at = F.concat("site", F.lit("/s"), "part", F.lit(".xml"))
+    leaves = leaf.select(at.alias("url"), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body"))
+    index = leaf.select(F.concat("site", F.lit("/i"), "part", F.lit(".xml")).alias("url"),
+                        F.concat(F.lit("<sitemapindex><sitemap><loc>"), at, F.lit("</loc></sitemap></sitemapindex>")).alias("body"))
+    return leaves.unionByName(index)
 
 
 @query("sitemap_urls", "page", sql="""
-    WITH p AS (SELECT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site, page_id % 3 AS part,
+    WITH p AS (SELECT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site, page_id // 20 AS part,
             replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS u FROM page),
-    l AS (SELECT site || '/s' || part || '.xml' AS url, part, site, u FROM p),
-    e AS (SELECT url, 0 AS c, u FROM l UNION ALL SELECT site || '/sitemap.xml', part, u FROM l)
-    SELECT url, row_number() OVER (PARTITION BY url ORDER BY c, u) - 1 AS pos, u AS page_url FROM e QUALIFY pos < 4""")
+    e AS (SELECT site || '/s' || part || '.xml' AS url, u FROM p UNION ALL SELECT site || '/i' || part || '.xml', u FROM p)
+    SELECT url, row_number() OVER (PARTITION BY url ORDER BY u) - 1 AS pos, u AS page_url FROM e QUALIFY pos < 4""")
 def _(t):
     return web.sitemap_urls(sitemap_docs(t)).withColumn("pos", F.col("pos").cast("long"))
 

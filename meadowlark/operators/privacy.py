@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
+from meadowlark.sinks.files import write_table
 
 LOCAL_ADDRESSES = ("127.0.0.1", "::1", "0.0.0.0")
 
@@ -46,4 +47,4 @@ def truncate(df: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, col: str = "enriched_at") -> None:
-    df.orderBy(F.col(col).desc()).write.mode("overwrite").csv(path, header=True)
+    write_table(df.orderBy(F.col(col).desc()), "csv", path)

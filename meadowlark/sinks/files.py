@@ -12,9 +12,13 @@ from meadowlark.operators.search import index_header
 from meadowlark.sinks import render
 
 
+# text formats that keep microseconds
+CLOCKS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_table(df: DataFrame, fmt: str, path: str, mode: str = "overwrite") -> None:
     """Full table as json, csv (with header) or parquet."""
-    writer = df.write.mode(mode)
+    writer = df.write.mode(mode).options(**CLOCKS)
     if fmt == "csv":
         writer.csv(path, header=True)
     else:

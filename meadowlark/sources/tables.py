@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from meadowlark import schemas
 from meadowlark.functions import vectors as V
@@ -19,9 +19,13 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
     return df if cols is None else df.select(*cols)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Records from JSON array files."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: StructType, one_per_line: bool = False) -> DataFrame:
+    """Records from JSON array files. A file that is one array is read by one task; files with an
+    array per line are split."""
+    if not one_per_line:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    arrays = spark.read.text(path).select(F.from_json("value", ArrayType(schema)).alias("a"))
+    return arrays.select(F.inline("a"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
