@@ -88,7 +88,8 @@ def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledge
     Texts are taken once per page; at most ``max_pages`` texts meet in one organization.
     """
     todo = C.remaining(org, ledger).withColumn("site", site_url()).where(F.col("site").isNotNull())
-    todo = todo.select("id", "name", F.col("description").alias("old"), "site", urls.origin("site").alias("origin"))
+    # read five times below, so the open organizations are fixed once as narrow rows
+    todo = durable(todo.select("id", "name", F.col("description").alias("old"), "site", urls.origin("site").alias("origin")))
     sites = todo.select("origin").distinct()
     robots = web.robots_sitemaps(docs.where(F.col("url").endswith("/robots.txt"))).select(
         urls.origin("url").alias("origin"), F.col("pos").alias("try"), "sitemap_url")
@@ -101,7 +102,7 @@ def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledge
         "origin", "pos", F.col("page_url"))
     from_map = todo.select("id", "origin").join(listed, "origin").select("id", "pos", "page_url")
     home = todo.select("id", F.lit(1000).alias("pos"), F.rtrim("site", F.lit("/")).alias("page_url"))
-    asked = from_map.unionByName(home)
+    asked = durable(from_map.unionByName(home))
     keyed = pages.withColumn("_key", F.rtrim("url", F.lit("/")))
     wanted = keyed.join(asked.select(F.rtrim("page_url", F.lit("/")).alias("_key")), "_key", "left_semi")
     texts = HT.html_text(wanted.dropDuplicates(["_key"]), "frame").select("_key", "text").where(

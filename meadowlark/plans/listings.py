@@ -34,6 +34,7 @@ class Discovered(NamedTuple):
 
 def _listing_text(found: DataFrame, profile: str) -> DataFrame:
     """Text of discovered pages, taken once per page and given to every site that has the page."""
+    found = durable(found)
     once = HT.html_text(found.select("page_id", "html").dropDuplicates(["page_id"]), profile)
     return found.drop("html").join(once, "page_id")
 
@@ -58,8 +59,8 @@ def stay_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
 
 def discover_jobs_stays(org: DataFrame, pages: DataFrame, jobs: DataFrame, stays: DataFrame, now) -> Discovered:
     """First fitting job and stay page of every pending site, turned into listings."""
-    todo = B.allowed_urls(B.pending(org, "last_scrape_attempt", "being_processed_since"), "website",
-                          paths=K.BLOCKED_PATH_PREFIXES).select("id", "name", "website")
+    todo = durable(B.allowed_urls(B.pending(org, "last_scrape_attempt", "being_processed_since"), "website",
+                                  paths=K.BLOCKED_PATH_PREFIXES).select("id", "name", "website"))
     at = dates.moment(now)
     texts = _listing_text(job_pages(todo, pages).select("id", "name", "url", "page_id", "html"), "simple")
     new_jobs = durable(
@@ -119,19 +120,19 @@ class DiscoveredEvents(NamedTuple):
 def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
     """Events on the event pages of every site; sites without any follow the event links of
     their home page."""
-    sites = org.where(~T.is_blank("website")).select("id", "website")
+    sites = durable(org.where(~T.is_blank("website")).select("id", "website"))
     ok = pages.where(_event_url_ok("url"))
     direct = C.site_pages(sites, ok, K.EVENT_PATHS, F.lit(True)).select("id", "page_id", F.col("path_pos").alias("order"))
-    first = durable(_events_of(direct, ok))
+    first = durable(_events_of(durable(direct), ok))
     quiet = sites.join(first.select(F.col("organization_id").alias("id")), "id", "left_anti").withColumn("_base", urls.base_url("website"))
     homes = ok.withColumn("_home", F.rtrim("url", F.lit("/")))
-    home = quiet.join(homes, F.col("_base") == F.col("_home")).select("id", "page_id", "url", "html")
+    home = durable(quiet.join(homes, F.col("_base") == F.col("_home")).select("id", "page_id", "url", "html"))
     named = C.links(home.select("page_id", "url", "html").dropDuplicates(["page_id"])).where(
         F.lower("href").rlike(T.words_regex(K.EVENT_LINK_WORDS)) & _event_url_ok("href"))
     target = ok.select(F.col("page_id").alias("_target"), F.col("url").alias("_to"))
     followed = home.select("id", "page_id").join(named.select("page_id", "pos", "href"), "page_id").join(
         target, F.col("href") == F.col("_to")).select("id", F.col("_target").alias("page_id"), F.col("pos").alias("order"))
-    second = _events_of(followed, ok)
+    second = _events_of(durable(followed), ok)
     events = durable(first.unionByName(second))
     flagged = _flagged(org, org.select("id"), has_events=events).drop("_done")
     return DiscoveredEvents(events, flagged.withColumn("events_scraped_at", dates.moment(now)))
@@ -140,7 +141,8 @@ def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
 def refine_jobs(org: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """Jobs of unprocessed organizations, read again with attributes; parents without new rows keep theirs."""
     todo = B.allowed_urls(C.parents_pending(org, jobs, "jobs_rescraped"), "website").select("id", "name", "website")
-    found = C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS), max_checks=None)
+    found = durable(C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS), max_checks=None)
+                    .select("id", "name", "url", "page_id", "html"))
     once = HT.html_text(found.select("page_id", "html").dropDuplicates(["page_id"]), "full")
     texts = found.select("id", "name", "url", "page_id").join(once, "page_id")
     blocks = texts.select("id", "url", X.contact_email("html").alias("page_email"), F.inline(X.job_blocks("text", F.col("name"))))
