@@ -417,7 +417,7 @@ def _(t):
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_url ORDER BY start_date, id) AS rn, count(*) OVER (PARTITION BY event_url) AS n FROM evt)
     SELECT event_url, (rn - 1) // 25 AS page, max(n) AS n_items, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) AS ids FROM r GROUP BY 1, 2""")
 def _(t):
-    pages = A.group_list(t.evt, "event_url", [F.col("start_date"), F.col("id")], F.col("id").cast("string"), 25)
+    pages = A.group_list(t.evt.select("id", "event_url", "start_date"), "event_url", [F.col("start_date"), F.col("id")], F.col("id").cast("string"), 25)
     return pages.select("event_url", "page", "n_items", F.array_join("items", ",").alias("ids"))
 
 

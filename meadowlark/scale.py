@@ -77,30 +77,21 @@ def list_pages(df: DataFrame, keys: Sequence[str], order: Sequence, item: Column
     """Ordered lists per key, in pages of at most ``page_size`` items.
 
     Every item appears; a key with many rows simply has many pages, so no task ever
-    holds more than one page. Columns: keys, page (from 0), n_items (of the key), items.
+    holds more than one page. Columns: keys, page (from 0), n_items (of the key), items. All
+    columns of ``df`` are shuffled, so pass only those that keys, order and item need.
     """
-    item_name = "_item"
-    ranked = rank_within(df.select(*keys, *_order_inputs(df, keys, order), item.alias(item_name)),
-                         keys, _order_names(order), "_rank", "n_items")
+    ranked = rank_within(df.withColumn("_item", item), keys, order, "_rank", "n_items")
     page = F.floor((F.col("_rank") - 1) / page_size).cast("long").alias("page")
     return (
         ranked.groupBy(*keys, page)
         .agg(
             F.first("n_items").alias("n_items"),
-            F.array_sort(F.collect_list(F.struct("_rank", item_name))).alias("_sorted"),
+            F.array_sort(F.collect_list(F.struct("_rank", "_item"))).alias("_sorted"),
         )
-        .select(*keys, "page", "n_items", F.transform("_sorted", lambda x: x[item_name]).alias("items"))
+        .select(*keys, "page", "n_items", F.transform("_sorted", lambda x: x["_item"]).alias("items"))
     )
 
 
-def _order_inputs(df, keys, order):
-    return [F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)]
-
-
-def _order_names(order):
-    return [F.col(f"_o{i}") for i in range(len(order))]
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores when the input has fewer partitions than there are cores, as with
     one small file. Inputs already split that far are left alone, so large scans never shuffle."""

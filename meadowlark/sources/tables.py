@@ -35,7 +35,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Flat rows from FeatureCollection files, from bare lists of features, or from one feature
     per line. All shapes fit one reading schema: a bare feature has no ``features``."""
-    wide = StructType(list(schemas.FEATURE.fields)).add("features", f"array<{schemas.FEATURE.simpleString()}>")
+    wide = StructType(list(schemas.FEATURE.fields)).add("features", ArrayType(schemas.FEATURE))
     raw = spark.read.schema(wide).option("multiLine", True).json(path)
     own = F.array(F.struct("type", "geometry", "properties"))
     one = raw.select(F.explode(F.coalesce("features", own)).alias("f")).where(F.col("f.geometry").isNotNull())

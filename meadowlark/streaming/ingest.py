@@ -42,14 +42,17 @@ def ingest_submissions(stream: DataFrame, known: Callable[[], DataFrame], accept
         earlier = _earlier(batch.sparkSession, accepted_path, epoch)
         if earlier is not None:
             names = names.unionByName(earlier.select("name"))
-        good = B.accepted(checked)
-        unknown = C.without_conflicts(good, names).withColumn("_name", F.lower(T.strip("name")))
-        fresh = first_per(unknown, ["_name"], [F.xxhash64("name", "description", "website"), F.col("_row")])
+        trimmed = {c: T.strip(c) for c in ("name", "description", "country", "website") if c in checked.columns}
+        good = B.accepted(checked).withColumns(trimmed)
+        unknown = C.without_conflicts(good, names).withColumn("_name", F.lower("name"))
+        fresh = first_per(unknown, ["_name"], [F.xxhash64("name", "description"), F.col("_row")])
         fresh = durable(fresh.drop("_name"))
         taken = good.join(fresh.select("_row"), "_row", "left_anti").withColumn("reason", F.lit("duplicate_name"))
         stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else dates.moment(now)
-        _land(fresh.drop("_row", "matched").withColumn("source", F.lit("user_submitted"))
-              .withColumn("direct_website", F.col("website")).withColumn("created_at", stamp), accepted_path, epoch)
+        landed = fresh.drop("_row", "matched").withColumn("source", F.lit("user_submitted")).withColumn("created_at", stamp)
+        if "website" in landed.columns:
+            landed = landed.withColumn("direct_website", F.col("website"))
+        _land(landed, accepted_path, epoch)
         _land(B.rejected(checked).unionByName(taken).drop("_row", "matched"), rejects_path, epoch)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

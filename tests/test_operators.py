@@ -59,7 +59,7 @@ def test_blocked_hosts(spark):
 
 
 def test_validate(spark):
-    base = dict(name="Farm", description="x" * 25 + " permaculture", organization_type=None, country="FR", latitude=0.0, longitude=1.0)
+    base = dict(name="Zed", description="x" * 25 + " permaculture", organization_type=None, country="FR", latitude=0.0, longitude=1.0)
     cases = [base, {**base, "description": "x" * 19}, {**base, "description": "y" * 30}, {**base, "name": " a "}, {**base, "country": " "},
              {**base, "latitude": None}]
     df = spark.createDataFrame([tuple(c.values()) for c in cases],
