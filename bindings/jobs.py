@@ -114,7 +114,7 @@ def _(t):
     listing = t.rich.select("page_id", "url", F.concat(F.lit('<a href="'), F.col("url"), F.lit('">Farm '), F.col("page_id").cast("string"), F.lit("</a>")).alias("html"))
     listed = catalogue.listing_records(listing, targets, "example", "directory", "Eco Village")
     payloads = api_payloads(t).withColumnRenamed("payload_id", "record_id")
-    base = t.org.where(F.col("id") % 2 == 0)
+    base = t.org.where("has_jobs")
     base = H.evolve_schema(base.select(*[c for c in base.columns if c in {f.name for f in schemas.ORGANIZATIONS.fields}]), schemas.ORGANIZATIONS)
     return catalogue.merge_directories(listed, payloads, base, "api").added.select("id", "name", "website", "source", "latitude")
 
@@ -164,11 +164,11 @@ def _(t):
 
 
 @query("repair_descriptions", "org", sql="""
-    WITH f AS (SELECT name, id AS pos, '<p>Map text of ' || name || '</p>' AS popup FROM org WHERE id % 4 <> 0)
+    WITH f AS (SELECT name, id AS pos, '<p>Map text of ' || name || '</p>' AS popup FROM org WHERE has_jobs)
     SELECT o.id, CASE WHEN (o.description IS NULL OR o.description = '') AND f.name IS NOT NULL THEN 'Map text of ' || f.name ELSE o.description END AS description,
         coalesce(f.popup, o.popup_html) AS popup_html FROM org o LEFT JOIN f ON o.name = f.name""")
 def _(t):
-    mapped = F.when(F.col("id") % 4 != 0, F.concat(F.lit("<p>Map text of "), "name", F.lit("</p>")))
+    mapped = F.when(F.col("has_jobs"), F.concat(F.lit("<p>Map text of "), "name", F.lit("</p>")))
     features = t.org.select("name", F.col("id").alias("pos"), mapped.alias("popup")).where(F.col("popup").isNotNull())
     return catalogue.repair_descriptions(t.org, features).select("id", "description", "popup_html")
 
@@ -259,12 +259,12 @@ def _(t):
 
 
 @query("ingest_submissions", "org", sql="""
-    WITH s AS (SELECT id, name, CASE WHEN coalesce(length(trim(description)), 0) < 20 THEN 'description' WHEN latitude IS NULL THEN 'coordinates' END AS reason FROM org)
-    SELECT name, coalesce(reason, CASE WHEN id % 2 = 0 THEN 'duplicate_name' END, 'accepted') AS outcome FROM s""")
+    WITH s AS (SELECT id, name, has_jobs, CASE WHEN coalesce(length(trim(description)), 0) < 20 THEN 'description' WHEN latitude IS NULL THEN 'coordinates' END AS reason FROM org)
+    SELECT name, coalesce(reason, CASE WHEN has_jobs THEN 'duplicate_name' END, 'accepted') AS outcome FROM s""")
 def _(t):
     base = _scratch(t)
     t.org.select(*[f.name for f in schemas.SUBMISSIONS.fields]).write.json(f"{base}/in")
-    known = t.org.where(F.col("id") % 2 == 0)
+    known = t.org.where("has_jobs")
     ingest.ingest_submissions(ingest.read_submissions(t.spark, f"{base}/in"), lambda: known, f"{base}/ok", f"{base}/no", f"{base}/ckpt", NOW).awaitTermination()
     ok = t.spark.read.parquet(f"{base}/ok").select("name", F.lit("accepted").alias("outcome"))
     return ok.unionByName(t.spark.read.parquet(f"{base}/no").select("name", F.col("reason").alias("outcome")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
-from meadowlark.scale import list_pages, number_rows
+from meadowlark.scale import keys_of, list_pages, number_rows
 
 FEATURES = ("accepts_volunteers", "accepts_visitors", "accepts_shortterm", "accepts_longterm", "has_jobs", "has_stays")
 
@@ -97,8 +97,8 @@ def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def progress(org: DataFrame, jobs: DataFrame, stays: DataFrame) -> DataFrame:
     """Counts of a refinement run, one pass per table."""
-    done = jobs.join(org.where(F.col("jobs_rescraped") == 1).select(F.col("id").alias("organization_id")),
-                     "organization_id", "left_semi").agg(F.count_distinct("organization_id").alias("jobs_done"))
+    done = keys_of(jobs, "organization_id", "id").join(org.where(F.col("jobs_rescraped") == 1).select("id"), "id", "left_semi").agg(
+        F.count(F.lit(1)).alias("jobs_done"))
     j = jobs.agg(*[F.count_if(~T.is_blank(c)).alias(a) for c, a in
                    (("skills_needed", "jobs_skills"), ("commitment", "jobs_commitment"), ("application_email", "jobs_email"))])
     s = stays.agg(

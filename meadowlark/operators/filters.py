@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meadowlark import constants as K
 from meadowlark.functions import dates, urls
 from meadowlark.functions import text as T
+from meadowlark.scale import keys_of
 
 FLAGS = ("accepts_volunteers", "accepts_visitors", "accepts_shortterm", "accepts_longterm",
          "has_jobs", "has_stays", "has_events")
@@ -76,7 +77,7 @@ def in_period(df: DataFrame, year: int | None, month: int | None = None, col: st
 def toggles(df: DataFrame, base: DataFrame | None = None, jobs=False, stays=False, events=False) -> DataFrame:
     """AND of the enabled toggles, over all rows or over the ids of a current result."""
     if base is not None:
-        df = df.join(base.select("id"), "id", "left_semi")
+        df = df.join(keys_of(base, "id", "id"), "id", "left_semi")
     for on, flag in ((jobs, "has_jobs"), (stays, "has_stays"), (events, "has_events")):
         if on:
             df = df.where(F.col(flag))
@@ -85,8 +86,7 @@ def toggles(df: DataFrame, base: DataFrame | None = None, jobs=False, stays=Fals
 
 def by_ids(df: DataFrame, ids: Sequence[int] | DataFrame, key: str = "id") -> DataFrame:
     if isinstance(ids, DataFrame):
-        keep = ids.select(F.col(ids.columns[0]).alias(key))
-        return df.join(keep, key, "left_semi")
+        return df.join(keys_of(ids, ids.columns[0], key), key, "left_semi")
     return df.where(F.col(key).isin(list(ids)))
 
 
@@ -112,13 +112,16 @@ def drop_low_quality(df: DataFrame, generic_prefix: str) -> DataFrame:
 
 def pending(df: DataFrame, done_col: str, lease_col: str | None = None, n: int | None = None,
             offset: int = 0) -> DataFrame:
-    """Rows with a website that are neither done (NULL or false/0 counts as not done) nor claimed."""
+    """Rows with a website that are neither done (NULL or false/0 counts as not done) nor claimed;
+    by id when only some are wanted."""
     done = F.col(done_col)
     boolean = dict(df.dtypes)[done_col] in ("boolean", "int", "bigint")
     open_ = done.isNull() | (~done.cast("boolean")) if boolean else done.isNull()
     out = df.where(~T.is_blank("website") & open_)
     if lease_col is not None:
         out = out.where(F.col(lease_col).isNull())
+    if n is None and not offset:
+        return out
     out = out.orderBy("id")
     if offset:
         out = out.offset(offset)

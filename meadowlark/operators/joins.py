@@ -15,7 +15,7 @@ from meadowlark.functions import extract as X
 from meadowlark.functions import text as T
 from meadowlark.functions import urls
 from meadowlark.operators import filters
-from meadowlark.scale import first_per, list_pages
+from meadowlark.scale import first_per, keys_of, list_pages
 
 _PARENT = ("name", "website", "country", "city", "latitude", "longitude")
 
@@ -97,7 +97,7 @@ def org_profile(org: DataFrame, jobs: DataFrame, stays: DataFrame, page_size: in
 
 def parents_pending(org: DataFrame, jobs: DataFrame, done_col: str, lease_col: str | None = None) -> DataFrame:
     """Unprocessed organizations that have a child."""
-    kids = jobs.select(F.col("organization_id").alias("id"))
+    kids = keys_of(jobs, "organization_id", "id")
     return filters.pending(org, done_col, lease_col).join(kids, "id", "left_semi")
 
 
@@ -109,14 +109,14 @@ def stay_work(stays: DataFrame, org: DataFrame) -> DataFrame:
 
 
 def remaining(df: DataFrame, ledger: DataFrame, key: str = "id", done: str = "id") -> DataFrame:
-    return df.join(ledger.select(F.col(done).alias(key)), key, "left_anti")
+    return df.join(keys_of(ledger, done, key), key, "left_anti")
 
 
 def new_records(incoming: DataFrame, existing: DataFrame, order: Sequence) -> DataFrame:
     """Incoming rows whose name and URL are unknown, first per name."""
     in_name, in_url = T.norm_key("name"), T.norm_url_key("website")
-    names = existing.select(T.norm_key("name").alias("_n")).where(F.col("_n").isNotNull())
-    sites = existing.select(T.norm_url_key("website").alias("_u")).where(F.col("_u") != "")
+    names = keys_of(existing, T.norm_key("name"), "_n")
+    sites = keys_of(existing, T.blank_to_null(T.norm_url_key("website")), "_u")
     fresh = (
         incoming.withColumn("_name", in_name).withColumn("_url", F.coalesce(in_url, F.lit("")))
         .join(names, F.col("_name") == F.col("_n"), "left_anti")
@@ -126,12 +126,12 @@ def new_records(incoming: DataFrame, existing: DataFrame, order: Sequence) -> Da
 
 
 def name_conflicts(sub: DataFrame, org: DataFrame) -> DataFrame:
-    known = org.select(F.lower("name").alias("_known"))
+    known = keys_of(org, F.lower("name"), "_known")
     return sub.join(known, F.lower(T.strip("name")) == F.col("_known"), "left_semi")
 
 
 def without_conflicts(sub: DataFrame, org: DataFrame) -> DataFrame:
-    known = org.select(F.lower("name").alias("_known"))
+    known = keys_of(org, F.lower("name"), "_known")
     return sub.join(known, F.lower(T.strip("name")) == F.col("_known"), "left_anti")
 
 

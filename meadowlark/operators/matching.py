@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from meadowlark.functions import extract as X
 from meadowlark.functions import text as T
 from meadowlark.operators.sets import tokens
+from meadowlark.scale import keys_of
 from meadowlark.session import durable
 
 BLOCK_BYTES = 4 * 1024 * 1024  # reference names shipped to the tasks at a time
@@ -52,7 +53,7 @@ def contained_pairs(short: DataFrame, long: DataFrame, n: int, short_text: str,
     """
     wanted = short.select(short_text).distinct().select(short_text, F.explode(grams(short_text, n)).alias("g"))
     pieces = long.select(long_id, F.explode(grams(long_text, n)).alias("g"))
-    counts = pieces.join(wanted.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    counts = pieces.join(keys_of(wanted, "g", "g"), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     rare = (
         wanted.join(counts, "g", "left").groupBy(short_text)
         .agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"), F.min(F.coalesce("n", F.lit(0))).alias("n"))

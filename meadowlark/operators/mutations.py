@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
 from meadowlark.operators import filters
+from meadowlark.scale import keys_of
 
 
 def evolve_schema(df: DataFrame, target) -> DataFrame:
@@ -20,7 +21,7 @@ def evolve_schema(df: DataFrame, target) -> DataFrame:
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
     """Delta rows replace or extend the base; all other base rows stay."""
-    return base.join(delta.select(key), key, "left_anti").unionByName(delta)
+    return base.join(keys_of(delta, key, key), key, "left_anti").unionByName(delta)
 
 
 def refresh(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -29,7 +30,7 @@ def refresh(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def replace_children(old: DataFrame, new: DataFrame, fk: str = "organization_id") -> DataFrame:
     """A parent's children are replaced only if it has new ones."""
-    return old.join(new.select(fk), fk, "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(keys_of(new, fk, fk), fk, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def update_if(df: DataFrame, delta: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
@@ -87,7 +88,7 @@ def derive_flags(org: DataFrame, jobs: DataFrame, stays: DataFrame, events: Data
     """has_* flags from the presence of children, with the attempt time."""
     out = org.drop("has_jobs", "has_stays", "has_events", "last_scrape_attempt")
     for child, flag in ((jobs, "has_jobs"), (stays, "has_stays"), (events, "has_events")):
-        owners = child.select(F.col("organization_id").alias("_owner")).distinct()
+        owners = keys_of(child, "organization_id", "_owner")
         out = out.join(owners, F.col("id") == F.col("_owner"), "left").withColumn(
             flag, F.col("_owner").isNotNull()).drop("_owner")
     return out.withColumn("last_scrape_attempt", dates.moment(now))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
+from meadowlark.scale import keys_of
 from meadowlark.sinks.files import write_table
 
 LOCAL_ADDRESSES = ("127.0.0.1", "::1", "0.0.0.0")
@@ -32,13 +33,13 @@ def purge_counts(df: DataFrame, col: str, now, days: int = 180) -> DataFrame:
 
 def erase(df: DataFrame, key: str, subjects: DataFrame) -> DataFrame:
     """Without the rows of the given subjects."""
-    return df.join(subjects.select(key), key, "left_anti")
+    return df.join(keys_of(subjects, key, key), key, "left_anti")
 
 
 def erased_any(df: DataFrame, key: str, subjects: DataFrame) -> DataFrame:
     """Per subject, whether it had any row."""
-    found = df.select(F.col(key).alias("_k")).distinct()
-    return subjects.select(key).distinct().join(found, F.col(key) == F.col("_k"), "left").select(
+    found = keys_of(df, key, "_k")
+    return keys_of(subjects, key, key).join(found, F.col(key) == F.col("_k"), "left").select(
         key, F.col("_k").isNotNull().alias("erased"))
 
 

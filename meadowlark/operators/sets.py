@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark.functions import text as T
+from meadowlark.scale import keys_of
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def except_ids(base: DataFrame, keep: DataFrame, key: str = "id") -> DataFrame:
-    return base.join(keep.select(key), key, "left_anti")
+    return base.join(keys_of(keep, key, key), key, "left_anti")
 
 
 def tokens(c) -> Column:

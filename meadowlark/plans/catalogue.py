@@ -21,6 +21,7 @@ from meadowlark.operators import mutations as H
 from meadowlark.operators import ranking as E
 from meadowlark.operators import search as S
 from meadowlark.operators import sets as G
+from meadowlark.scale import keys_of
 from meadowlark.session import durable
 from meadowlark.sinks import files, render
 from meadowlark.sources import web
@@ -104,13 +105,13 @@ def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledge
     home = todo.select("id", F.lit(1000).alias("pos"), F.rtrim("site", F.lit("/")).alias("page_url"))
     asked = durable(from_map.unionByName(home))
     keyed = pages.withColumn("_key", F.rtrim("url", F.lit("/")))
-    wanted = keyed.join(asked.select(F.rtrim("page_url", F.lit("/")).alias("_key")), "_key", "left_semi")
+    wanted = keyed.join(keys_of(asked, F.rtrim("page_url", F.lit("/")), "_key"), "_key", "left_semi")
     texts = HT.html_text(wanted.dropDuplicates(["_key"]), "frame").select("_key", "text").where(
         (F.length("text") > 80) & ~X.low_quality("text"))
     texts = durable(texts)
     read = asked.withColumn("_key", F.rtrim("page_url", F.lit("/"))).join(texts, "_key").select("id", "pos", "text")
     mapped = read.where(F.col("pos") < 1000)
-    only_home = read.where(F.col("pos") == 1000).join(mapped.select("id"), "id", "left_anti")
+    only_home = read.where(F.col("pos") == 1000).join(keys_of(mapped, "id", "id"), "id", "left_anti")
     joined = mapped.unionByName(only_home).groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("_all"))
     cleaned = todo.join(joined, "id").withColumn("new", X.drop_urls("_all", 2000))

@@ -22,7 +22,7 @@ from meadowlark.operators import html as HT
 from meadowlark.operators import joins as C
 from meadowlark.operators import mutations as H
 from meadowlark.operators.ranking import dedupe_first
-from meadowlark.scale import first_per
+from meadowlark.scale import first_per, keys_of
 from meadowlark.session import durable
 
 
@@ -43,7 +43,7 @@ def _flagged(org: DataFrame, done: DataFrame, **found: DataFrame) -> DataFrame:
     """Flags of the processed organizations set from whether anything was found for them."""
     out = org.join(done.select(F.col("id").alias("_done")), F.col("id") == F.col("_done"), "left")
     for flag, rows in found.items():
-        owner = rows.select(F.col("organization_id").alias("_owner")).distinct()
+        owner = keys_of(rows, "organization_id", "_owner")
         out = out.join(owner, F.col("id") == F.col("_owner"), "left").withColumn(
             flag, F.when(F.col("_done").isNotNull(), F.col("_owner").isNotNull()).otherwise(F.col(flag))).drop("_owner")
     return out
@@ -103,7 +103,7 @@ def _event_url_ok(url) -> Column:
 
 def _events_of(owners: DataFrame, pages: DataFrame) -> DataFrame:
     """Events of the pages owners point to (id, page_id, order), unique by title per owner."""
-    wanted = pages.join(owners.select("page_id"), "page_id", "left_semi")
+    wanted = pages.join(keys_of(owners, "page_id", "page_id"), "page_id", "left_semi")
     blocks = E.event_blocks(wanted)
     mine = owners.join(blocks, "page_id").withColumn("_order", F.struct("order", "page_id", "pos"))
     return dedupe_first(mine, "title", [F.col("_order")], ["id"]).select(
@@ -124,7 +124,7 @@ def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
     ok = pages.where(_event_url_ok("url"))
     direct = C.site_pages(sites, ok, K.EVENT_PATHS, F.lit(True)).select("id", "page_id", F.col("path_pos").alias("order"))
     first = durable(_events_of(durable(direct), ok))
-    quiet = sites.join(first.select(F.col("organization_id").alias("id")), "id", "left_anti").withColumn("_base", urls.base_url("website"))
+    quiet = sites.join(keys_of(first, "organization_id", "id"), "id", "left_anti").withColumn("_base", urls.base_url("website"))
     homes = ok.withColumn("_home", F.rtrim("url", F.lit("/")))
     home = durable(quiet.join(homes, F.col("_base") == F.col("_home")).select("id", "page_id", "url", "html"))
     named = C.links(home.select("page_id", "url", "html").dropDuplicates(["page_id"])).where(
@@ -162,7 +162,7 @@ class RefinedStays(NamedTuple):
 def refine_stays(stays: DataFrame, org: DataFrame, pages: DataFrame) -> RefinedStays:
     """Price, types, booking class and title of each open stay from its booking page."""
     work = C.stay_work(stays, org).select("id", "booking_url", "org_name")
-    wanted = pages.join(work.select(F.col("booking_url").alias("url")), "url", "left_semi")
+    wanted = pages.join(keys_of(work, "booking_url", "url"), "url", "left_semi")
     text = HT.html_text(wanted, "full").withColumn("text", X.clean_text("text"))
     read = text.select("url", X.booking_features("html", "text", "url").alias("booking_analysis"), X.price_info("text").alias("price_info"),
                        X.stay_types("text").alias("stay_type"), X.stay_title("html", F.lit("")).alias("page_title"),

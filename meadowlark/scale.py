@@ -92,6 +92,13 @@ def list_pages(df: DataFrame, keys: Sequence[str], order: Sequence, item: Column
     )
 
 
+def keys_of(df: DataFrame, col, name: str) -> DataFrame:
+    """The distinct non-null values of a column, as the right side of a semi or anti join: a hot
+    value is reduced to one row before it is shuffled, and the join reuses that partitioning."""
+    value = F.col(col) if isinstance(col, str) else col
+    return df.select(value.alias(name)).where(F.col(name).isNotNull()).distinct()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores when the input has fewer partitions than there are cores, as with
     one small file. Inputs already split that far are left alone, so large scans never shuffle."""
