@@ -212,10 +212,10 @@ def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: s
         ref.select(F.lower("name").alias("_ref"), "pos", "url").groupBy("_ref")
         .agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
     )
+    # read three times: for its size, for its blocks and for the addresses of the winners
+    refs = durable(refs)
     size = refs.agg(F.sum(F.length("_ref") * 4 + 160).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    if blocks > 1:
-        refs = durable(refs)
     parts = []
     for b in range(blocks):
         block = refs if blocks == 1 else refs.where(F.pmod(F.xxhash64("_ref"), F.lit(blocks)) == b)

@@ -20,6 +20,8 @@ from meadowlark.session import durable
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so ties do not hang on the last bit
 BLOCK_BYTES = 32 * 1024 * 1024  # queries shipped to the tasks at a time
+BLOCK_ROWS = 4096
+QUERIES_AT_ONCE = 256  # bounds the score matrix of one batch
 
 
 # --- texts and vectors -----------------------------------------------------------------
@@ -86,16 +88,30 @@ def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str = "query_
                   query_vec: str = "embedding", corpus_vec: str = "embedding", keep: int | None = None) -> DataFrame:
     """Scores of every query against the corpus, thinned to the ``keep`` best per batch and query."""
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("vec"))
-    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    blocks = max(1, -(-(size["n"] * (size["dim"] or 1) * 8) // BLOCK_BYTES))
-    if blocks > 1:
-        q = durable(q)
     side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("vec"))
-    parts = []
+    return reduce(DataFrame.unionByName, [_score_block(side, rows, keep) for rows in _query_blocks(q)])
+
+
+def _query_blocks(q: DataFrame) -> Iterator[list]:
+    """Query rows in blocks within the byte size: all at once if so few, else by hash."""
+    head = q.limit(BLOCK_ROWS + 1).collect()
+    row_bytes = 8 * max([len(r["vec"]) for r in head[:1]] or [1])
+    if len(head) <= BLOCK_ROWS and len(head) * row_bytes <= BLOCK_BYTES:
+        yield head
+        return
+    q = durable(q)
+    blocks = -(-q.count() * row_bytes // BLOCK_BYTES)
     for b in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        parts.append(_score_block(side, block.collect(), keep))
-    return reduce(DataFrame.unionByName, parts)
+        yield q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+
+
+def _best(line: np.ndarray, own: np.ndarray, keep: int | None) -> np.ndarray:
+    """Positions of the ``keep`` best scores, the lower id first on ties; all if ``keep`` is None."""
+    if keep is None or keep >= len(line):
+        return np.arange(len(line))
+    floor = np.partition(line, len(line) - keep)[len(line) - keep]
+    pick = np.flatnonzero(line >= floor)
+    return pick[np.lexsort((own[pick], -line[pick]))][:keep]
 
 
 def _score_block(corpus: DataFrame, rows, keep: int | None) -> DataFrame:
@@ -109,15 +125,13 @@ def _score_block(corpus: DataFrame, rows, keep: int | None) -> DataFrame:
                 continue
             own = batch.column(0).to_numpy(zero_copy_only=False)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(matrix @ flat.reshape(batch.num_rows, -1).T, SCORE_DIGITS)
-            for qid, line in zip(ids, scores):
-                pick = np.arange(len(line))
-                if keep is not None and keep < len(line):
-                    floor = np.partition(line, len(line) - keep)[len(line) - keep]
-                    pick = np.flatnonzero(line >= floor)
-                    pick = pick[np.lexsort((own[pick], -line[pick]))][:keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pick), qid)), pa.array(own[pick]), pa.array(line[pick])], schema=schema)
+            vectors = flat.reshape(batch.num_rows, -1).T
+            for start in range(0, len(ids), QUERIES_AT_ONCE):
+                scores = np.round(matrix[start:start + QUERIES_AT_ONCE] @ vectors, SCORE_DIGITS)
+                for qid, line in zip(ids[start:start + QUERIES_AT_ONCE], scores):
+                    pick = _best(line, own, keep)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(pick), qid)), pa.array(own[pick]), pa.array(line[pick])], schema=schema)
 
     return corpus.mapInArrow(run, "query_id long, id long, score double")
 

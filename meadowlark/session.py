@@ -14,6 +14,8 @@ def build_session(app: str = "meadowlark", **conf) -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # page bodies are large: few rows per Arrow batch keep Python workers small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
