@@ -532,7 +532,7 @@ def _(t):
 @query("rerank_cap", "org", sql="""
     WITH r AS (SELECT id, source, balance, row_number() OVER (PARTITION BY source ORDER BY balance DESC, id) AS rr FROM org WHERE source IS NOT NULL),
     s AS (SELECT *, CASE WHEN rr <= 30 THEN CAST((id * 7919) % 1000 AS DOUBLE) ELSE balance END AS score FROM r WHERE rr <= 60)
-    SELECT id, source, rr AS retrieval_rank, score, row_number() OVER (PARTITION BY source ORDER BY (rr > 30), score DESC, id) AS rank FROM s""")
+    SELECT id, source, rr AS retrieval_rank, score, row_number() OVER (PARTITION BY source ORDER BY (rr > 30), score DESC, rr) AS rank FROM s""")
 def _(t):
     from meadowlark.scale import top_per
     got = top_per(t.org.where(F.col("source").isNotNull()).select("id", "source", "balance"), ["source"],

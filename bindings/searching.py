@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.registry import query
-from bindings.relational import NOW
+from bindings.relational import NOW, words
 from meadowlark import constants as K
 from meadowlark.functions import text as T
 from meadowlark.functions import vectors as V
@@ -121,6 +121,17 @@ def _(t):
     return S.query_location(place_queries(t), Z.from_countries(t.place))
 
 
+@query("stop_word_place", "place", sql=f"""
+    WITH w AS (SELECT unnest([{words(K.PLACE_STOP_WORDS)}]) AS w), q AS (SELECT 'living in ' || w AS text, '' AS place FROM w, place UNION
+        SELECT 'farms in Old' || lower(replace(continent, ' ', '')) || ' ', 'Old' || lower(replace(continent, ' ', '')) FROM place)
+    SELECT DISTINCT text, place FROM q""")
+def _(t):
+    stops = t.place.select(F.explode(F.array(*[F.lit(w) for w in K.PLACE_STOP_WORDS])).alias("w"))
+    a = stops.select(F.concat(F.lit("living in "), "w").alias("text"))
+    b = t.place.select(F.concat(F.lit("farms in Old"), F.lower(F.replace("continent", F.lit(" "), F.lit(""))), F.lit(" ")).alias("text"))
+    return a.unionByName(b).distinct().select("text", S.stop_word_place("text").alias("place"))
+
+
 def search_queries(t):
     region = t.raw("region").select(F.col("r_regionkey").cast("long").alias("query_id"),
                                     F.concat(F.lit("community farm in "), "r_name").alias("text"))
@@ -136,7 +147,7 @@ def search_queries(t):
     w AS (SELECT *, list_filter(string_split_regex(lower(query_text), '\\s+'), lambda x: length(x) > 2) AS ws,
         lower(concat_ws(' ', nullif(name, ''), nullif(organization_type, ''), nullif(description, ''), nullif(country, ''), nullif(city, ''))) AS st FROM r),
     s AS (SELECT *, CASE WHEN rr <= 30 THEN round(1 / (1 + exp(-(4.0 * len(list_filter(ws, lambda x: contains(st, x))) / len(ws) - 2.0))), 9) ELSE score END AS final FROM w)
-    SELECT query_id, id, name, country, round(final, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY (rr > 30), final DESC, id) AS rank,
+    SELECT query_id, id, name, country, round(final, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY (rr > 30), final DESC, rr) AS rank,
         substr(coalesce(description, ''), 1, 300) AS description FROM s QUALIFY rank <= 20""")
 def _(t):
     hits = S.search(search_queries(t), t.vec, t.org, Z.from_countries(t.place), top_n=20)
@@ -294,6 +305,16 @@ def _(t):
     return t.org.select("id", render.popup_html().alias("popup"))
 
 
+@query("short_popup", "org", sql=f"""
+    SELECT id, '<strong>' || name || '</strong><p>' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END || '</p>'
+        || coalesce('<div>' || nullif(badges, '') || '</div>', '')
+        || concat_ws('', '<a href="' || nullif(website, '') || '" target="_blank">🌐 Website</a>', '<a href="mailto:' || nullif(email, '') || '">Email</a>') AS popup
+    FROM (SELECT *, repeat(name || ' ', 12) AS t, concat_ws(' ', {_badge_sql('accepts_volunteers', '#ffc107', 'black', 'Volunteer')},
+        {_badge_sql('accepts_visitors', '#17a2b8', 'white', 'Visitors')}, {_badge_sql('has_jobs', '#dc3545', 'white', 'Jobs')}) AS badges FROM org)""")
+def _(t):
+    return t.org.select("id", render.short_popup(F.expr("repeat(concat(name, ' '), 12)")).alias("popup"))
+
+
 @query("to_geojson", "org", sql=f"""
     WITH p AS ({POPUP_SQL}) SELECT o.id, longitude AS lon, latitude AS lat, p.popup, coalesce(website, '') AS website, coalesce(accepts_volunteers, false) AS volunteers,
         CASE WHEN email <> '' THEN email END AS schema_email FROM org o JOIN p ON o.id = p.id WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")

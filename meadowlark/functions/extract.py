@@ -509,7 +509,8 @@ def video_link(html, text) -> Column:
 
 
 def registration_link(html, url) -> Column:
-    usable = F.filter(hrefs(html), is_page_link)
+    linked = extract_all(html, r"(?is)<a\s[^>]*?href=[\"']([^\"']+)[\"']", 1)
+    usable = F.filter(linked, is_page_link)
     full = F.transform(usable, lambda h: urls.resolve(url, h))
     return F.get(F.filter(full, lambda h: h.rlike(K.BLOCK_REGISTER)), F.lit(0))
 

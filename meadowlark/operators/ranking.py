@@ -86,8 +86,9 @@ def fill_unique(df: DataFrame) -> DataFrame:
 
 
 def tiered_rank(df: DataFrame, cap: int, first: Column, then: Column, query: str = "query_id",
-                tie: str = "id") -> DataFrame:
-    """The first ``cap`` retrieved rows are ordered by ``first``, all others after them by ``then``.
+                tie: str = "retrieval_rank") -> DataFrame:
+    """The first ``cap`` retrieved rows are ordered by ``first``, all others after them by ``then``;
+    equal scores keep their retrieval order.
     Rows per query are a retrieval result, so a query's window is bounded by the retrieval cut."""
     tier = (F.col("retrieval_rank") > cap).cast("int")
     scored = df.withColumn("_tier", tier).withColumn("score", F.when(tier == 0, first).otherwise(then))

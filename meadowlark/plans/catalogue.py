@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark import constants as K
@@ -63,32 +63,48 @@ def merge_directories(listed: DataFrame, payloads: DataFrame, org: DataFrame, so
     return Merged(everything, added, A.value_counts(everything, "source"))
 
 
-def fill_websites(org: DataFrame, ref: DataFrame, source: str, metric: str = "levenshtein", threshold: float = 0.6) -> DataFrame:
-    """Websites for one source's organizations without one: by equal name, else by containment,
-    else by similarity. Each step sees only the names the one before left open."""
-    open_ = org.where((F.col("source") == source) & T.is_blank("website")).select("id", "name")
-    exact = durable(M.match_exact(open_, ref))
-    left = exact.where(F.col("match_url").isNull()).drop("match_url")
-    inside = durable(M.match_contains(left, ref))
-    rest = inside.where(F.col("match_url").isNull()).drop("match_url")
-    close = M.match_fuzzy(rest, ref, threshold, metric).drop("match_score")
-    found = G.union_all(exact, inside, close).where(F.col("match_url").isNotNull()).select("id", F.col("match_url").alias("website"))
-    return H.update_if(org, found, "id", {"website": T.is_blank("website")})
-
-
-def site_url() -> F.Column:
-    """An organization's own address, else its directory entry."""
-    return urls.with_scheme(T.first_nonempty("direct_website", "website", "directory_url"))
+MATCHERS = {
+    "exact": lambda df, ref, threshold, metric: M.match_exact(df, ref),
+    "contains": lambda df, ref, threshold, metric: M.match_contains(df, ref),
+    "tokens": lambda df, ref, threshold, metric: M.match_tokens(df, ref),
+    "fuzzy": lambda df, ref, threshold, metric: M.match_fuzzy(df, ref, threshold, metric).drop("match_score"),
+}
+
+
+def fill_websites(org: DataFrame, ref: DataFrame, source: str, steps=("exact", "contains", "fuzzy"),
+                  metric: str = "levenshtein", threshold: float = 0.6) -> DataFrame:
+    """Websites for one source's organizations without one, by the matching steps in order. Each
+    step sees only the names the ones before left open."""
+    left = org.where((F.col("source") == source) & T.is_blank("website")).select("id", "name")
+    found = []
+    for step in steps:
+        tried = durable(MATCHERS[step](left, ref, threshold, metric))
+        found.append(tried.where(F.col("match_url").isNotNull()).select("id", F.col("match_url").alias("website")))
+        left = tried.where(F.col("match_url").isNull()).drop("match_url")
+    return H.update_if(org, G.union_all(*found), "id", {"website": T.is_blank("website")})
+
+
+def site_url(directories=(), placeholder: str = "") -> Column:
+    """The address to read for an organization: its own, else its directory entry. An address on a
+    directory is not read when the description is already good; otherwise an own one is used."""
+    any_site = urls.with_scheme(T.first_nonempty("direct_website", "website", "directory_url"))
+    if not directories:
+        return any_site
+    listed = T.words_regex(directories)
+    own = urls.with_scheme(T.first_nonempty("direct_website", "website"))
+    old = F.coalesce(F.col("description"), F.lit(""))
+    good = (F.length(old) > 100) & ~old.contains(placeholder)
+    return T.let(any_site, lambda s: F.when(~s.rlike(listed), s).when(~good, T.let(own, lambda o: F.when(~o.rlike(listed), o))))
 
 
 def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledger: DataFrame, placeholder: str,
-                        max_pages: int = 4) -> DataFrame:
+                        max_pages: int = 4, directories=()) -> DataFrame:
     """Richer descriptions from up to four sitemap pages of each site, else its home page.
 
     ``docs`` (url, body) holds robots files and sitemaps; organizations in the ledger are left.
     Texts are taken once per page; at most ``max_pages`` texts meet in one organization.
     """
-    todo = C.remaining(org, ledger).withColumn("site", site_url()).where(F.col("site").isNotNull())
+    todo = C.remaining(org, ledger).withColumn("site", site_url(directories, placeholder)).where(F.col("site").isNotNull())
     # read five times below, so the open organizations are fixed once as narrow rows
     todo = durable(todo.select("id", "name", F.col("description").alias("old"), "site", urls.origin("site").alias("origin")))
     sites = todo.select("origin").distinct()

@@ -62,10 +62,6 @@ _DDL["VECTOR_CHUNK"] = (
     " data ARRAY<STRUCT<id: BIGINT, lat: DOUBLE, lon: DOUBLE, e: STRING>>"
 )
 _DDL["VECTOR_HEADER"] = "model STRING, dim INT, count BIGINT, num_chunks BIGINT, range ARRAY<DOUBLE>"
-API_ITEMS = (
-    "array<struct<title: struct<rendered: string>, content: struct<rendered: string>, link: string,"
-    " meta: struct<latitude: string, longitude: string>, acf: struct<latitude: string, longitude: string>>>"
-)
 
 
 @cache

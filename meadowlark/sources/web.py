@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark import constants as K
-from meadowlark import schemas
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
 from meadowlark.functions.extract import strip_tags
@@ -89,17 +88,22 @@ def jsonld_events(items: DataFrame) -> DataFrame:
 def api_items(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Organizations from REST payload arrays: rendered texts without tags, coordinates from
     meta or else acf, zero as missing."""
-    rows = payloads.select(*[c for c in payloads.columns if c != body],
-                           F.inline(F.from_json(body, schemas.API_ITEMS)))
+    kept = [c for c in payloads.columns if c != body]
+    items = F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")
+    rows = payloads.select(*kept, F.explode(items).alias("v")).select(*kept, F.to_json("v").alias("_item"))
 
-    def number(c):
-        return F.nullif(F.col(c).try_cast("double"), F.lit(0.0))
+    def get(path):
+        return F.get_json_object("_item", path)
+
+    def number(path):
+        return F.nullif(get(path).try_cast("double"), F.lit(0.0))
 
-    name = T.prefix(T.strip(strip_tags("title.rendered")), 200)
+    # a title is an object with a rendered text, or the text itself
+    title = F.coalesce(get("$.title.rendered"), F.when(~get("$.title").startswith("{"), get("$.title")))
     return rows.select(
-        *[c for c in payloads.columns if c != body], name.alias("name"),
-        T.prefix(T.strip(strip_tags(F.coalesce("content.rendered", F.lit("")))), 1000).alias("description"),
-        F.coalesce("link", F.lit("")).alias("website"),
-        F.coalesce(number("meta.latitude"), number("acf.latitude")).alias("latitude"),
-        F.coalesce(number("meta.longitude"), number("acf.longitude")).alias("longitude"),
+        *kept, T.prefix(T.strip(strip_tags(title)), 200).alias("name"),
+        T.prefix(T.strip(strip_tags(F.coalesce(get("$.content.rendered"), F.lit("")))), 1000).alias("description"),
+        F.coalesce(get("$.link"), F.lit("")).alias("website"),
+        F.coalesce(number("$.meta.latitude"), number("$.acf.latitude")).alias("latitude"),
+        F.coalesce(number("$.meta.longitude"), number("$.acf.longitude")).alias("longitude"),
     ).where(F.coalesce(F.col("name"), F.lit("")) != "")

@@ -185,16 +185,27 @@ def test_enrich_descriptions_prefers_the_sitemap(spark):
     got = {r["id"]: r["description"] for r in catalogue.enrich_descriptions(org, pages, docs, ledger, "placeholder").collect()}
     assert got[1].startswith("This is our long story") and got[2].startswith("Quiet place.")
     assert catalogue.enrich_descriptions(org, pages, docs, org.select("id"), "placeholder").count() == 0
+    # a site on a directory is not read
+    away = catalogue.enrich_descriptions(org, pages, docs, ledger, "placeholder", directories=["b.org"])
+    assert [r["id"] for r in away.collect()] == [1]
+
+
+def test_fill_websites_by_other_steps(spark):
+    org = spark.createDataFrame([(1, "Green Valley Farm", "", "s"), (2, "Sun", None, "s"), (3, "Sun", "http://has", "s"), (4, "Sun", "", "other")],
+                                "id long, name string, website string, source string")
+    ref = spark.createDataFrame([("the valley of green", 0, "u0"), ("sun", 1, "u1")], "name string, pos long, url string")
+    got = {r["id"]: r["website"] for r in catalogue.fill_websites(org, ref, "s", steps=("exact", "tokens")).collect()}
+    assert got == {1: "u0", 2: "u1", 3: "http://has", 4: ""}
 
 
 def test_merge_directories_numbers_new_rows(spark):
     org = _org(spark)
     listed = spark.createDataFrame([("org 1", "d", "", 7), ("Brand New", "d", "https://n.org", 8)], "name string, description string, website string, record_id bigint")
-    payloads = spark.createDataFrame([(9, '[{"title":{"rendered":"<b>Api</b>"},"content":{"rendered":"x"},"link":"https://api.org","meta":{"latitude":"0"},"acf":{"latitude":"4.5"}}]')],
+    payloads = spark.createDataFrame([(9, '[{"title":{"rendered":"<b>Api</b>"},"content":{"rendered":"x"},"link":"https://api.org","meta":{"latitude":"0"},"acf":{"latitude":"4.5"}},{"title":"Plain","link":"https://p.org"}]')],
                                      "record_id bigint, body string")
     got = catalogue.merge_directories(listed, payloads, org, "api")
-    assert [(r["id"], r["name"], r["latitude"]) for r in got.added.orderBy("id").collect()] == [(6, "Brand New", None), (7, "Api", 4.5)]
-    assert got.organizations.count() == 7 and got.organizations.where("has_jobs = false").count() == 2
+    assert [(r["id"], r["name"], r["latitude"]) for r in got.added.orderBy("id").collect()] == [(6, "Brand New", None), (7, "Api", 4.5), (8, "Plain", None)]
+    assert got.organizations.count() == 8 and got.organizations.where("has_jobs = false").count() == 3
 
 
 def test_vector_index_of_located_organizations(spark):
