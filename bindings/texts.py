@@ -263,19 +263,25 @@ def _(t):
 _ANCHOR = """'(?is)(<a\\s[^>]*?href=["''][^"'']+["''][^>]*>.*?</a>)'"""
 
 
-@query("links", "rich", sql=f"""
+_FOUND_LINKS = f"""
     WITH a AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, {_ANCHOR}, 1), lambda x: {{
             'text': {squeezed(unescaped("regexp_replace(regexp_extract(x, '(?is)^<a\\s[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', '', 'g')"))},
             'href': {unescaped("regexp_extract(x, '(?is)href=[" + chr(34) + "'']([^" + chr(34) + "'']+)[" + chr(34) + "'']', 1)")}}}),
             lambda p: p.text <> '' AND NOT regexp_matches(p.href, '^(#|javascript:|mailto:|tel:|data:)')) AS l FROM rich),
     u AS (SELECT page_id, url, unnest(l) AS p, unnest(range(len(l))) AS pos FROM a),
-    v AS (SELECT page_id, url, pos, p.text AS text, p.href AS href FROM u)
-    SELECT page_id, pos, text, {_RESOLVED} AS href FROM v""")
+    v AS (SELECT page_id, url, pos, p.text AS text, p.href AS href FROM u),
+    found AS (SELECT page_id, pos, text, {_RESOLVED} AS href FROM v)"""
+
+
+@query("links", "rich", sql=_FOUND_LINKS + " SELECT page_id, pos, text, href FROM found")
 def _(t):
     return C.links(t.rich).select("page_id", F.col("pos").cast("long").alias("pos"), "text", "href")
 
 
-@query("link_page_follow")
+@query("link_page_follow", "rich", sql=_FOUND_LINKS + """,
+    target AS (SELECT href, min(page_id) AS target_id FROM found GROUP BY href)
+    SELECT f.href, f.text, f.page_id, t.target_id FROM found f JOIN target t ON f.href = t.href WHERE contains(f.href, '/the')
+    QUALIFY row_number() OVER (PARTITION BY f.href ORDER BY f.page_id, f.pos) = 1""")
 def _(t):
     # the targets are the addresses the pages link to
     targets = C.links(t.rich).groupBy(F.col("href").alias("url")).agg(F.min("page_id").alias("page_id"), F.min("text").alias("html"))
@@ -455,7 +461,17 @@ def _(t):
     return t.doc.select("id", X.strip_markdown(md).alias("plain"))
 
 
-@query("markdown_block")
+def _plain_md(c):
+    for p, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"#+\s*", ""), (r"[\*_]{1,3}", ""), (r"(?m)^[\*\-]\s+", "")):
+        c = f"regexp_replace({c}, '{p}', '{to}', 'g')"
+    return squeezed(c)
+
+
+@query("markdown_block", "doc", sql=rf"""
+    WITH m AS (SELECT id, {trimmed("replace(text, chr(10), chr(10) || '## ')")} AS body FROM doc),
+    b AS (SELECT id, {_plain_md('body')} AS whole, list_filter(list_transform(string_split_regex(body, '\n#{{1,3}}\s+'), lambda x: {_plain_md('x')}),
+        lambda x: {any_word('x', K.COMMUNITY_WORDS)})[1] AS topical FROM m)
+    SELECT id, substr(coalesce(topical, CASE WHEN length(whole) > 60 THEN whole END), 1, 2000) AS block FROM b""")
 def _(t):
     md = F.concat(F.lit("Title: x\nMarkdown Content:\n"), F.regexp_replace("text", "\n", "\n## "))
     return t.doc.select("id", X.markdown_block(md).alias("block"))
@@ -516,7 +532,9 @@ def _(t):
     return t.note.select("id", X.event_dates("text").alias("d")).select("id", F.get("d", F.lit(0)).alias("first_date"), F.get("d", F.lit(1)).alias("second_date"))
 
 
-@query("jsonld_blocks")
+@query("jsonld_blocks", "rich", sql=r"""
+    WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1)) AS j FROM rich)
+    SELECT page_id, '{"@type":"' || (j ->> '$."@type"') || '","location":"' || (j ->> '$.location') || '","name":"' || (j ->> '$.name') || '","startDate":"' || (j ->> '$.startDate') || '"}' AS item FROM b""")
 def _(t):
     return web.jsonld_items(t.rich).select("page_id", "item")
 

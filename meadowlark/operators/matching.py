@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meadowlark import constants as K
 from meadowlark.functions import extract as X
 from meadowlark.functions import text as T
 from meadowlark.operators.sets import tokens
@@ -253,7 +254,7 @@ def _scorer(rows, best_of):
 # --- pages by slug ----------------------------------------------------------------------------
 
 def match_slug_page(org: DataFrame, pages: DataFrame, base: str,
-                    markers=("og:title", "entry-title", "gen_project")) -> DataFrame:
+                    markers=tuple(K.PROJECT_MARKERS)) -> DataFrame:
     """(id, match_url): the page at base + slug of the name, if it is a real project page."""
     title = X.page_title("html")
     real = (T.any_of([F.col("html").contains(m) for m in markers]) & title.isNotNull()
