@@ -368,7 +368,7 @@ def _(t):
     return A.count_by(t.org, "source")
 
 
-_FEATS = ", ".join(f"count_if({f}) AS {f}" for f in A.FEATURES)
+_FEATS = ", ".join(f"CAST(count_if({f}) AS BIGINT) AS {f}" for f in A.FEATURES)
 
 
 @query("feature_counts", "org", sql=f"SELECT {_FEATS} FROM org")
@@ -430,19 +430,19 @@ _COV = ["description", "website", "email", "phone", "source"]
 
 
 @query("coverage", "org", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count_if({c} <> '') AS filled, count(*) - count_if({c} <> '') AS missing, "
-    f"round(100.0 * count_if({c} <> '') / count(*), 1) AS percent FROM org" for c in _COV))
+    f"SELECT '{c}' AS \"column\", CAST(count_if({c} <> '') AS BIGINT) AS filled, count(*) - CAST(count_if({c} <> '') AS BIGINT) AS missing, "
+    f"round(100.0 * CAST(count_if({c} <> '') AS BIGINT) / count(*), 1) AS percent FROM org" for c in _COV))
 def _(t):
     return A.coverage(t.org, _COV)
 
 
 @query("progress_counts", "org", "job", "stay", sql="""
     SELECT 'jobs_done' AS name, count(DISTINCT j.organization_id) AS n FROM job j JOIN org o ON j.organization_id = o.id WHERE o.jobs_rescraped = 1
-    UNION ALL SELECT 'jobs_skills', count_if(skills_needed <> '') FROM job
-    UNION ALL SELECT 'jobs_commitment', count_if(commitment <> '') FROM job
-    UNION ALL SELECT 'jobs_email', count_if(application_email <> '') FROM job
-    UNION ALL SELECT 'stays_priced', count_if(being_processed_since IS NULL AND price_info IS NOT NULL) FROM stay
-    UNION ALL SELECT 'stays_typed', count_if(stay_type <> 'accommodation') FROM stay""")
+    UNION ALL SELECT 'jobs_skills', CAST(count_if(skills_needed <> '') AS BIGINT) FROM job
+    UNION ALL SELECT 'jobs_commitment', CAST(count_if(commitment <> '') AS BIGINT) FROM job
+    UNION ALL SELECT 'jobs_email', CAST(count_if(application_email <> '') AS BIGINT) FROM job
+    UNION ALL SELECT 'stays_priced', CAST(count_if(being_processed_since IS NULL AND price_info IS NOT NULL) AS BIGINT) FROM stay
+    UNION ALL SELECT 'stays_typed', CAST(count_if(stay_type <> 'accommodation') AS BIGINT) FROM stay""")
 def _(t):
     return A.progress(t.org, t.job, t.stay)
 
@@ -477,7 +477,7 @@ def _(t):
 
 @query("privacy_stats", "evt", sql=f"""
     SELECT count(*) AS total, min(start_date) AS oldest, max(start_date) AS newest,
-        count_if(start_date < TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY) AS over_age FROM evt""")
+        CAST(count_if(start_date < TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY) AS BIGINT) AS over_age FROM evt""")
 def _(t):
     return A.retention_stats(t.evt, "2024-04-10 00:00:00", "start_date")
 
@@ -486,7 +486,7 @@ def _(t):
 
 @query("rank_results", "org", sql="SELECT id, balance, row_number() OVER (ORDER BY balance DESC, id) AS rank FROM org QUALIFY rank <= 200")
 def _(t):
-    return E.rank_results(t.org.select("id", "balance"), 200, "balance")
+    return E.rank_results(t.org.select("id", "balance"), 200, "balance").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("rank_percent", "org", sql="""
@@ -697,7 +697,7 @@ def _(t):
 
 
 @query("purge_counts", "evt", sql="""
-    SELECT count_if(start_date < TIMESTAMP '2024-07-15 00:00:00' - INTERVAL 180 DAY) AS purged, count(*) AS total FROM evt""")
+    SELECT CAST(count_if(start_date < TIMESTAMP '2024-07-15 00:00:00' - INTERVAL 180 DAY) AS BIGINT) AS purged, count(*) AS total FROM evt""")
 def _(t):
     return L.purge_counts(t.evt, "start_date", "2024-07-15 00:00:00")
 

@@ -52,7 +52,7 @@ def _(t):
     return t.org.select("id", S.search_text().alias("text"))
 
 
-@query("encode", "org", sql="SELECT id, 1.0 AS norm2, 64 AS dim FROM org")
+@query("encode", "org", sql="SELECT id, CAST(1 AS DOUBLE) AS norm2, 64 AS dim FROM org")
 def _(t):
     coded = S.encode(t.org.select("id", S.search_text().alias("text")), "text", S.hashed_words(64))
     norm = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
