@@ -211,3 +211,41 @@ def test_merge_directories_numbers_new_rows(spark):
 def test_vector_index_of_located_organizations(spark):
     index = catalogue.build_vector_index(_org(spark), S.hashed_words(16), chunk=2)
     assert index.header.first()["num_chunks"] == 3 and index.chunks.agg(F.max("chunk")).first()[0] == 2
+
+
+def test_refine_jobs_replaces_only_found_parents(spark):
+    org, pages = _site(spark, [(1, "https://a.org/participate", FILLER + "<p>Required skills: carpentry and gardening. Mail jane@a.org</p>")])
+    old = H.evolve_schema(spark.createDataFrame([(9, 1, "old", "d"), (10, 2, "kept", "d")], "id bigint, organization_id bigint, title string, description string"),
+                          schemas.VOLUNTEER_OPPORTUNITIES)
+    got = listings.refine_jobs(org, old, pages).collect()
+    assert sorted(r["organization_id"] for r in got) == [1, 2] and {r["title"] for r in got} >= {"kept"}
+    new = next(r for r in got if r["organization_id"] == 1)
+    assert new["skills_needed"] == "carpentry and gardening" and new["application_email"] == "jane@a.org"
+
+
+def test_refine_stays_reads_the_booking_page(spark):
+    org, pages = _site(spark, [(1, "https://a.org/book", "<title>Yurt stay | Farm</title><form></form><p>book now, $45 per night in a yurt</p>")])
+    stays = H.evolve_schema(spark.createDataFrame([(1, 1, "https://a.org/book"), (2, 2, "https://gone.org")], "id bigint, organization_id bigint, booking_url string"),
+                            schemas.STAYS)
+    got = listings.refine_stays(stays, org, pages)
+    rows = {r["id"]: (r["title"], r["price_info"], r["stay_type"], r["booking_type"], r["rescraped"]) for r in got.stays.collect()}
+    assert rows == {1: ("Yurt stay", "$45 per night", "glamping", "direct_form", 1), 2: (None, None, None, None, None)}
+    assert {(r["booking_type"], r["n"]) for r in got.summary.collect()} == {("direct_form", 1), (None, 1)}
+
+
+def test_redescribe_jobs_shares_one_reading(spark):
+    meta = "A calm place in the hills where guests join in the daily garden work and share their meals together."
+    org, pages = _site(spark, [(1, "https://a.org/j", f'<meta name="description" content="{meta}"><title>Garden helper - Farm</title>' + FILLER)])
+    jobs = H.evolve_schema(spark.createDataFrame([(1, 1, "https://a.org/j", "old"), (2, 2, "https://a.org/j", "old"), (3, 1, "https://expireddomains.x", "old")],
+                                                 "id bigint, organization_id bigint, source_url string, title string"), schemas.VOLUNTEER_OPPORTUNITIES)
+    got = {r["id"]: (r["title"], r["description"]) for r in listings.redescribe_jobs(jobs, org, pages).collect()}
+    assert got == {1: ("Garden helper", meta), 2: ("Garden helper", meta), 3: ("old", None)}
+
+
+def test_board_variants(spark):
+    body = "<h2>Garden Helper</h2><p>We have a volunteer place with work exchange in the garden for the whole summer season.</p>" * 3
+    lodging = "<p>Stay with us in the guest room. Book your stay per night, check-in after noon. " + "Quiet place. " * 12 + "</p>"
+    org, pages = _site(spark, [(1, "https://a.org/volunteer", body), (2, "https://b.org/rooms", lodging)])
+    jobs = listings.board_jobs(org, pages).collect()
+    assert {r["organization_id"] for r in jobs} == {1} and {r["title"] for r in jobs} == {"Garden Helper"}
+    assert [(r["organization_id"], r["title"]) for r in listings.board_stays(org, pages).collect()] == [(2, "Stay with us in the guest room")]
