@@ -1,0 +1,72 @@
+"""Cutting texts at spaces where a byte-level tokenizer always starts a new piece.
+
+The split pattern of byte-level BPE vocabularies puts a single space in front of a word
+into the word's piece, so ``a b`` falls into ``a`` and `` b`` whatever stands around. Each
+distinct space-delimited chunk is therefore tokenized once per process and looked up
+afterwards. Texts with a space after white space and before white space or the end, where
+this does not hold, are tokenized whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import regex
+
+_UNSAFE = regex.compile(r"\s (?!\S)")
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
+PART = 1 << 20  # characters that are split at once
+CACHE = 300_000  # chunks remembered by a process before it starts afresh
+
+
+class ChunkCache:
+    """Bytes for every text, put together from those of its chunks.
+
+    ``encode`` maps a list of strings to a list of bytes, each tokenized on its own.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE):
+        self.encode, self.most = encode, most
+        self.spaced: dict[str, bytes] = {}
+
+    def parts(self, text: str):
+        """The text in parts that start at a chunk, so that a long text is never split at once."""
+        a = 0
+        while len(text) - a > PART:
+            cut = _CUT.search(text, a + PART)
+            if not cut:
+                break
+            yield text[a: cut.start()]
+            a = cut.start()
+        yield text[a:] if a else text
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = list(chunks.difference(self.spaced))
+        if len(self.spaced) + len(new) > self.most:
+            self.spaced.clear()
+            new = list(chunks)
+        self.spaced.update(zip(new, self.encode([" " + c for c in new])))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Bytes of each text; pass texts of a few MB in all at once."""
+        split: list[list] = []
+        wanted: set[str] = set()
+        whole: list[str] = []
+        for text in texts:
+            plan = []
+            for part in self.parts(text) if text else ():
+                if _UNSAFE.search(part):
+                    plan.append(len(whole))
+                    whole.append(part)
+                    continue
+                chunks = part.split(" ")
+                if chunks[0]:
+                    plan.append(len(whole))
+                    whole.append(chunks[0])
+                del chunks[0]
+                wanted.update(chunks)
+                plan.append(chunks)
+            split.append(plan)
+        self._learn(wanted)
+        first, get = self.encode(whole), self.spaced.__getitem__
+        return [b"".join(first[x] if isinstance(x, int) else b"".join(map(get, x)) for x in plan) for plan in split]
