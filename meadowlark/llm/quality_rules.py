@@ -29,6 +29,7 @@ SMOOTHING = 10.0  # n-grams of the target added to every bucket of both
 THRESHOLD = -0.12  # nats per n-gram
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+BROADCAST_IDS = 1_000_000  # trusted ids that are sent to every executor; more are joined by a shuffle
 RESULTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long",
            "n_repeat_words": "long", "llr": "double"}
 
@@ -142,6 +143,8 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", k
     """
     bound_batches(docs.sparkSession)
     ids = trusted_ids.toDF("_id").where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True))
+    if ids.count() <= BROADCAST_IDS:  # some ten bytes each; texts then stay where they were read
+        ids = F.broadcast(ids)
     marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(
         ids, F.col("_key") == F.col("_id"), "left")
     ratios = log_ratios(bucket_counts(marked, "_text", "_trusted", buckets), buckets)
