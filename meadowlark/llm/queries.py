@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meadowlark.llm import byte_bpe, quality_rules, token_counts, token_files
+from meadowlark.llm import (
+    byte_bpe, mixing, neighbours, quality_classifier, quality_rules, token_counts, token_files, url_filters,
+)
 from meadowlark.llm.batches import scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.RESULTS, "base_failed", "kept")
 
 
+@query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op3_source_mix"] = mixing.SQL
+
+
 @query
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
@@ -54,6 +64,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Model:
+    """Learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").where(~quality_classifier.held_out(F.col("doc_id")))
+    return quality_classifier.fit(docs, labels.select("doc_id", F.col("quality").cast("double")))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_classifier.score(docs, quality_model(spark, docs, sf_dir))
+    return out.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are loaded under one vocabulary; those not in English are then revised to another."""
@@ -71,3 +94,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_counts.commit(token_counts.revised(old.where(other), new.where(other)), ledger, "revise")
     token_counts.commit(token_counts.signed(old, 1), ledger, "load")  # a retried batch counts once
     return token_counts.totals(spark, ledger)
+
+
+@query
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
