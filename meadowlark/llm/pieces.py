@@ -22,11 +22,12 @@ CACHE = 300_000  # chunks remembered by a process before it starts afresh
 class ChunkCache:
     """Bytes for every text, put together from those of its chunks.
 
-    ``encode`` maps a list of strings to a list of bytes, each tokenized on its own.
+    ``encode`` maps a list of strings to a list of bytes, each tokenized on its own; ``chunks``
+    does so for strings that are chunks with the space before them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], chunks=None, most: int = CACHE):
+        self.encode, self.chunks, self.most = encode, chunks or encode, most
         self.spaced: dict[str, bytes] = {}
 
     def parts(self, text: str):
@@ -45,7 +46,7 @@ class ChunkCache:
         if len(self.spaced) + len(new) > self.most:
             self.spaced.clear()
             new = list(chunks)
-        self.spaced.update(zip(new, self.encode([" " + c for c in new])))
+        self.spaced.update(zip(new, self.chunks([" " + c for c in new])))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Bytes of each text; pass texts of a few MB in all at once."""
