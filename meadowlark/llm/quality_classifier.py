@@ -72,6 +72,11 @@ class Model:
         self.directions = rng.standard_normal((len(centre), FEATURES)) * np.sqrt(2 * GAMMA)
         self.phases = rng.uniform(0, 2 * np.pi, FEATURES)
 
+    @property
+    def state(self) -> tuple:
+        """Plain arrays from which ``Model(*state)`` is made again; this is what is sent to tasks."""
+        return self.centre, self.width, self.weights, self.knots
+
     def features(self, x: np.ndarray) -> np.ndarray:
         """Rounded cosines and a constant, as whole numbers."""
         z = np.clip((x - self.centre) / self.width, -8, 8)
@@ -155,12 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return Model(np.zeros(STATISTICS), np.ones(STATISTICS))
     moments = np.array(aggregated, float).reshape(STATISTICS, 2)
     model = Model(moments[:, 0], np.maximum(moments[:, 1], 1e-3))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.state)
 
     def equations(batches):
-        sums = np.zeros((2, FEATURES + 1, FEATURES + 2))
+        model, sums = Model(*held.value), np.zeros((2, FEATURES + 1, FEATURES + 2))
         for batch in batches:
-            z = held.value.features(_matrix(batch, 0))
+            z = model.features(_matrix(batch, 0))
             y, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for f in (0, 1):
                 mine = z[part == f]
@@ -176,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     crossed = [solve(sums[1]), solve(sums[0])]  # each fold is scored by the other's model
 
     def tally(batches):
-        n, good = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+        model, n, good = Model(*held.value), np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
         for batch in batches:
             x, part = _matrix(batch, 0), batch.column(2).to_numpy()
-            raw = np.where(part == 0, held.value.raw(x, crossed[0]), held.value.raw(x, crossed[1]))
+            raw = np.where(part == 0, model.raw(x, crossed[0]), model.raw(x, crossed[1]))
             bins = np.clip((raw + 1) * BINS / 3, 0, BINS - 1).astype(int)
             n += np.bincount(bins, minlength=BINS)
             np.add.at(good, bins, batch.column(1).to_numpy())
@@ -195,10 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted."""
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.state)
 
     def scores(texts):
-        return [np.concatenate([held.value.scores(statistics(texts[a:b])) for a, b in W.slices(texts)] or [np.zeros(0)])]
+        model = Model(*held.value)
+        return [np.concatenate([model.scores(statistics(texts[a:b])) for a, b in W.slices(texts)] or [np.zeros(0)])]
 
     return append_columns(docs, text, scores, {"score": "double"}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

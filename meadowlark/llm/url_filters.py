@@ -127,15 +127,16 @@ def _threshold(labelled: DataFrame, counts: np.ndarray, buckets: int) -> float:
     models = [Ratio(counts[1 - half], buckets) for half in (0, 1)]
     if not all(m.usable for m in models):
         return 0.0
-    held = labelled.sparkSession.sparkContext.broadcast(models)
+    held = labelled.sparkSession.sparkContext.broadcast(counts)
 
     def score(batches):
         tally = np.zeros((2, BINS), np.int64)
+        models = [Ratio(held.value[1 - half], buckets) for half in (0, 1)]
         for batch in batches:
             blocked, half = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for a, b in W.slices(batch.column(0), W.SEGMENT):
                 urls = batch.column(0)[a:b]
-                both = np.stack([m.scores(urls) for m in held.value])
+                both = np.stack([m.scores(urls) for m in models])
                 bins = np.clip((both[half[a:b], np.arange(b - a)] + REACH) * BINS / (2 * REACH), 0, BINS - 1).astype(int)
                 np.add.at(tally, (blocked[a:b], bins), 1)
         for kind in (0, 1):
@@ -162,10 +163,11 @@ def url_filter(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, st
                             (F.crc32(text.cast("binary")) % 2).alias("half")).where("blocked IS NOT NULL")
     counts = _counts(labelled, buckets)
     threshold = _threshold(labelled, counts, buckets)
-    held = pages.sparkSession.sparkContext.broadcast(Ratio(counts.sum(0), buckets))
+    held = pages.sparkSession.sparkContext.broadcast(counts.sum(0))
 
     def scores(urls):
-        return [np.concatenate([held.value.scores(urls[a:b]) for a, b in W.slices(urls, W.SEGMENT)] or [np.zeros(0)])]
+        ratio = Ratio(held.value, buckets)
+        return [np.concatenate([ratio.scores(urls[a:b]) for a, b in W.slices(urls, W.SEGMENT)] or [np.zeros(0)])]
 
     scored = append_columns(pages, url, scores, {"url_score": "double"})
     judged = F.when(F.col("url_score") >= F.lit(threshold), F.lit("allow")).otherwise(F.lit("block"))
