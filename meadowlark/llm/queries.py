@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.llm import (
-    byte_bpe, mixing, neighbours, quality_classifier, quality_rules, token_counts, token_files, url_filters,
+    byte_bpe, jaccard_join, mixing, neighbours, quality_classifier, quality_rules, token_counts, token_files, url_filters,
 )
 from meadowlark.llm.batches import scratch, written
 
@@ -106,3 +106,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
