@@ -33,6 +33,7 @@ _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
 _WIDTHS = (4, 8, 16, 32, 64, 128)
 LONG = _WIDTHS[-1]
+CELLS = 1 << 19  # of a matrix
 
 
 class PairTable:
@@ -117,8 +118,8 @@ class Bpe:
         for width in _WIDTHS:
             rows = np.flatnonzero((size > low) & (size <= width))
             low = width
-            for a in range(0, len(rows), max(1, (1 << 21) // width)):
-                some = rows[a: a + max(1, (1 << 21) // width)]
+            for a in range(0, len(rows), CELLS // width):
+                some = rows[a: a + CELLS // width]
                 self._merge(some, size[some], pieces, width, out)
         for i in np.flatnonzero(size > low):
             out[i] = self._merge_long(pieces[i])
@@ -179,7 +180,8 @@ class Bpe:
         return np.array([ranks[piece[i: end[i]]] for i in range(n) if alive[i]], np.int32).tobytes()
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(c) for c in chunks]
+        find = self.pattern.findall
+        split = [[c] if c[1:].isalpha() and c[0] == " " else find(c) for c in chunks]
         distinct = list(set().union(*split))
         ids = dict(zip(distinct, self.pieces([p.encode() for p in distinct])))
         return [ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in split]
@@ -244,4 +246,5 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             data.append(got.tobytes())
         return pa.array(data, pa.binary())
 
-    return df.withColumn(out, decoded(F.col(f"`{ids}`")))
+    # coalesce stands between the two functions: chained directly, each use of ids would encode again
+    return df.withColumn(out, decoded(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
