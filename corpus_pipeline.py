@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meadowlark.llm import quality_rules
+from meadowlark.llm import byte_bpe, jaccard_join, mixing, quality_classifier, quality_rules
 from meadowlark.llm.batches import written
-from meadowlark.llm.queries import table, trusted_ids
+from meadowlark.llm.queries import quality_model, table, trusted_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls good; it learns from the labels of this stage's documents."""
+    model = quality_model(spark, docs, sf_dir)
+    return quality_classifier.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(docs, trusted_ids(spark, sf_dir)).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and resemble trusted ones."""
+    return quality_rules.quality_rules(docs.select(*COLUMNS), trusted_ids(spark, sf_dir)).where("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies."""
+    return jaccard_join.one_per_class(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
+    return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, and whether they decode to its text."""
+    vocabulary = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    both = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), *vocabulary), *vocabulary)
+    same = F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES = [("quality rules", apply_quality_rules)]
-ORACLE_SQL = None  # hashed n-grams, kernel scores and merges have no SQL form
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("quality rules", apply_quality_rules),
+    ("near duplicates", drop_near_duplicates),
+    ("source mix", mix_sources),
+    ("byte BPE", encode_tokens),
+]
+ORACLE_SQL = None  # kernel scores, hashed n-grams and merges have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

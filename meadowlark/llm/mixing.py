@@ -31,6 +31,7 @@ SHARE = 1.5
 MOST = 2.0  # copies of a source
 SEED = "mix"
 SALTS = 16
+BROADCAST_ROWS = 500_000  # of the table of copies, some 60 bytes each
 
 
 def words(text: Column) -> Column:
@@ -90,14 +91,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     )
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every document as often as the mix takes it; ids must be unique.
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` with every document as often as the mix takes it.
 
-    The join moves texts by id, and only of documents that are taken.
+    Rows that agree in id, source and size share their copies, those with the lower text hash
+    first. Texts are moved only for such rows, or if the table of copies is too large to send.
     """
-    copies = mix(docs, key=key, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(copies, F.col(f"`{key}`").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_id", "copies", "_copy")
+    by = ("_id", "_source", "_size")
+    rows = written(mix(docs, key=key, text=text, source=source, **options), "mix-copies")
+    copies = rows.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_all")).where("_all > 0")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    size = words(F.col(f"`{text}`").cast("string"))
+    taken = docs.join(copies, F.col(f"`{key}`").eqNullSafe(F.col("_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_source"))
+                      & (size == F.col("_size")))
+    alone = taken.where("_rows = 1").withColumn("_n", F.col("_all"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    extra = (place <= F.col("_all") % F.col("_rows")).cast("long")
+    alike = taken.where("_rows > 1").withColumn("_n", F.floor(F.col("_all") / F.col("_rows")) + extra).where("_n > 0")
+    repeated = alone.unionByName(alike).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return repeated.drop(*by, "_rows", "_all", "_n", "_copy")
 
 
 SQL = r"""

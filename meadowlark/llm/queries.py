@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.llm import (
-    byte_bpe, jaccard_join, mixing, neighbours, quality_classifier, quality_rules, token_counts, token_files, url_filters,
+    byte_bpe, jaccard_join, mixing, neighbours, page_text, quality_classifier, quality_rules, token_counts, token_files, url_filters,
 )
 from meadowlark.llm.batches import scratch, written
 
@@ -38,6 +38,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.RESULTS, "base_failed", "kept")
 
 
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = page_text.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
