@@ -262,12 +262,16 @@ def exact_links(docs: DataFrame, clustered: DataFrame, threshold: float) -> Data
     return dealt.mapInArrow(_link(threshold), "node long, other long, links long")
 
 
+def _key(key: str, text: str):
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_links) of every document: the smallest id of its class, and the number
-    of other documents at the threshold or above."""
+    """(doc_id, class_id, n_links, key) of every document: the smallest id of its class, the number of
+    other documents at the threshold or above, and its id or, without one, a hash of its text."""
     bound_batches(docs.sparkSession)
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    plain = plain.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    plain = plain.withColumn("key", _key("doc_id", "text"))
     facts = written(append_columns(plain, "text", _facts, {"sid": "binary", "n": "long", "sig": "binary"}).drop("text"), "shingle-facts")
     grouped = facts.where("sid IS NOT NULL").groupBy("sid").agg(
         F.min("key").alias("key"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
@@ -286,23 +290,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     ids = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     per_set = named.join(ids, "root").join(links, "node", "left").select(
         "sid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return facts.select("doc_id", "sid").join(per_set, "sid", "left").select(
+    return facts.select("doc_id", "key", "sid").join(per_set, "sid", "left").select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "key")
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The document with the smallest id of every class, once if its row is repeated. Rows without
     id stay if no row of their class has one, once for each text.
 
-    Texts are shuffled for rows with a repeated id or none, not for others.
+    Texts are shuffled for rows with a repeated id only.
     """
     judged = written(near_duplicates(docs, key, text, **options), "near-duplicates")
-    first = judged.where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("_id")).agg((F.count(F.lit(1)) > 1).alias("_many"))
+    first = judged.where("doc_id <=> class_id").groupBy(F.col("key").alias("_key")).agg((F.count(F.lit(1)) > 1).alias("_many"))
     if first.count() <= BROADCAST_NODES:
         first = F.broadcast(first)
-    kept = docs.join(first, F.col(f"`{key}`").eqNullSafe(F.col("_id")))
-    again = F.col("_many") | F.col(f"`{key}`").isNull()
+    kept = docs.join(first, _key(key, text) == F.col("_key"))
     own = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256)
-    once = kept.where(again).withColumn("_own", own).dropDuplicates(["_id", "_own"]).drop("_own")
-    return kept.where(~again).unionByName(once).drop("_id", "_many")
+    once = kept.where("_many").withColumn("_own", own).dropDuplicates(["_key", "_own"]).drop("_own")
+    return kept.where("NOT _many").unionByName(once).drop("_key", "_many")

@@ -176,8 +176,9 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes with equal signatures: the number of node pairs, and the
     pairs of their children, in order and not crossing."""
     m, n = len(a[5]), len(b[5])
-    if [x[0] for x in a[5]] == [x[0] for x in b[5]]:
-        return 1 + m, [(i, i) for i in range(m)]
+    names = [x[0] for x in a[5]]
+    if names == [x[0] for x in b[5]] and len(set(names)) == m:  # the only alignment of all children
+        return 1 + sum(match(x, y)[0] for x, y in zip(a[5], b[5])), [(i, i) for i in range(m)]
     score = [[0] * (n + 1) for _ in range(m + 1)]
     gain = {}
     for i in range(m):

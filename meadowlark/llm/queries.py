@@ -116,4 +116,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")

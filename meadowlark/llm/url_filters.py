@@ -151,7 +151,8 @@ def _threshold(labelled: DataFrame, counts: np.ndarray, buckets: int) -> float:
     allowed, blocked = tally / tally.sum(1, keepdims=True)
     kept = np.concatenate([np.cumsum(allowed[::-1])[::-1], [0.0]])  # allowed URLs at or above each bin's edge
     gone = np.concatenate([[0.0], np.cumsum(blocked)])
-    return float(np.argmax(kept + gone) * 2 * REACH / BINS - REACH)
+    best = np.flatnonzero(kept + gone >= (kept + gone).max() - 1e-12)
+    return float(best[len(best) // 2] * 2 * REACH / BINS - REACH)  # the middle of equally good ones
 
 
 def url_filter(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES, buckets: int = BUCKETS) -> DataFrame:
