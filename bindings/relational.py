@@ -57,11 +57,25 @@ def _(t):
     return C.candidate_urls(sites, PATHS).select("id", "path_pos", "candidate_url")
 
 
-@query("lookup_literals", "place", sql="""
-    SELECT lower(name) AS place, code AS resolved, false AS is_continent, upper(code) AS allowed FROM place
+_CODES = [code for _, code, _ in K.COUNTRIES]
+_CONTINENTS = [continent for continent, _, _ in K.COUNTRIES]
+_VALUES = [(continent, code, name) for continent, code, names in K.COUNTRIES for name in (code.lower(), *names)]
+
+
+def in_the_world(t):
+    """Organizations in a country of the built-in table, by their id."""
+    code = F.element_at(F.array(*[F.lit(c) for c in _CODES]), (F.col("id") % len(_CODES) + 1).cast("int"))
+    return t.org.select("id", code.alias("country"))
+
+
+@query("lookup_literals", "place", sql=f"""
+    WITH v AS (SELECT unnest([{words([v[0] for v in _VALUES])}]) AS continent, unnest([{words([v[1] for v in _VALUES])}]) AS code, unnest([{words([v[2] for v in _VALUES])}]) AS name)
+    SELECT name AS place, code AS resolved, false AS is_continent, code AS allowed FROM v WHERE name <> 'antarctica'
+    UNION SELECT lower(continent), continent, true, upper(name) FROM v UNION SELECT lower(continent), continent, true, upper(continent) FROM v
+    UNION SELECT lower(name) AS place, code AS resolved, false AS is_continent, upper(code) AS allowed FROM place
     UNION SELECT lower(continent), continent, true, upper(name) FROM place""")
 def _(t):
-    return Z.from_countries(t.place).drop("short")
+    return Z.gazetteer(t.spark, t.place).drop("short")
 
 
 # --- filters -----------------------------------------------------------------------------
@@ -208,7 +222,11 @@ def _(t):
     return t.note.select("id", F.array_join(T.keyword_hits("text", K.SUBMISSION_KEYWORDS), ",").alias("hits"))
 
 
-@query("location_filter", "org", sql="""
+@query("location_filter", "org", sql=f"""
+    WITH w AS (SELECT id, [{words(_CODES)}][id % {len(_CODES)} + 1] AS country, [{words(_CONTINENTS)}][id % {len(_CODES)} + 1] AS continent FROM org)
+    SELECT id, country, 'world ' || continent AS kind FROM w WHERE continent IN ('Africa', 'Oceania', 'North America')
+    UNION ALL SELECT id, country, 'senegal' FROM w WHERE country = 'SN'
+    UNION ALL
     SELECT id, country, 'continent' AS kind FROM org WHERE region = 'EUROPE'
     UNION ALL SELECT id, country, 'country' FROM org WHERE country = 'NATION_7'
     UNION ALL SELECT id, country, 'unknown' FROM org WHERE country = 'ATLANTIS'""")
@@ -216,6 +234,9 @@ def _(t):
     g = Z.from_countries(t.place)
     parts = [B.filter_location(t.org, p, g).select("id", "country", F.lit(k).alias("kind"))
              for p, k in (("Europe", "continent"), ("nation_7", "country"), ("Atlantis", "unknown"))]
+    world, built = in_the_world(t), Z.gazetteer(t.spark)
+    parts += [B.filter_location(world, p, built).select("id", "country", F.lit(k).alias("kind")) for p, k in (
+        ("Africa", "world Africa"), ("oceania", "world Oceania"), ("North America", "world North America"), ("Senegal", "senegal"))]
     return G.union_all(*parts)
 
 
@@ -337,7 +358,7 @@ def _(t):
 
 @query("first_matching_page", "spage", sql=f"""
     WITH site AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS website FROM spage),
-    path AS (SELECT unnest([{words(K.JOB_PATHS[:6])}]) AS path, unnest(range(6)) AS path_pos)
+    path AS (SELECT unnest([{words(K.JOB_PATHS)}]) AS path, unnest(range({len(K.JOB_PATHS)})) AS path_pos)
     SELECT s.website, p.page_id, p.url, path_pos FROM site s, path JOIN spage p ON p.url = s.website || '/' || path.path
     WHERE length(p.html) > 500 AND list_bool_or([contains(lower(p.html), w) FOR w IN [{words(K.JOB_PAGE_KEYWORDS)}]])
     QUALIFY row_number() OVER (PARTITION BY s.website ORDER BY path_pos, page_id) = 1""")
@@ -497,7 +518,7 @@ def _(t):
 
 
 @query("first_per_key", "doc", sql="""
-    WITH k AS (SELECT id, text, substr(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 120) AS key FROM doc)
+    WITH k AS (SELECT id, text, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS key FROM doc)
     SELECT id FROM k WHERE key = '' UNION ALL
     SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY key ORDER BY id) AS rn FROM k WHERE key <> '') WHERE rn = 1""")
 def _(t):
@@ -548,9 +569,9 @@ def _(t):
     return E.paginate(t.job, 200, 100).select("id", "title")
 
 
-@query("order_start", "evt", sql="SELECT id, start_date FROM evt ORDER BY start_date NULLS FIRST, id LIMIT 100")
+@query("order_start", "evt", sql="SELECT id, start_date FROM evt ORDER BY start_date NULLS FIRST, id")
 def _(t):
-    return E.order_by_start(t.evt).limit(100).select("id", "start_date")
+    return E.order_by_start(t.evt).select("id", "start_date")
 
 
 @query("top_k", "org", sql="SELECT id, balance FROM org ORDER BY balance DESC, id LIMIT 25")
@@ -559,15 +580,15 @@ def _(t):
 
 
 @query("priority_order", "org", sql="""
-    SELECT id, description FROM org ORDER BY CASE WHEN description IS NULL OR description = '' OR description LIKE '%furniture%' THEN 0 ELSE 1 END, id LIMIT 300""")
+    SELECT id, description FROM org ORDER BY CASE WHEN description IS NULL OR description = '' OR description LIKE '%furniture%' THEN 0 ELSE 1 END, id""")
 def _(t):
     poor = T.is_blank("description") | F.col("description").like("%furniture%")
-    return E.order_by_priority(t.org, poor).limit(300).select("id", "description")
+    return E.order_by_priority(t.org, poor).select("id", "description")
 
 
-@query("order_desc", "evt", sql="SELECT id, start_date FROM evt ORDER BY start_date DESC, id LIMIT 100")
+@query("order_desc", "evt", sql="SELECT id, start_date FROM evt ORDER BY start_date DESC, id")
 def _(t):
-    return E.newest_first(t.evt, "start_date").limit(100).select("id", "start_date")
+    return E.newest_first(t.evt, "start_date").select("id", "start_date")
 
 
 @query("union_all", "org", "host", sql="SELECT id, name, source FROM org UNION ALL SELECT id, name, NULL FROM host")

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meadowlark.scale import spread
-
 # role -> (tables and joins in SQL, [(expression, alias)])
 ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "org": (
@@ -114,7 +112,7 @@ _MARKS = (
     " WHEN 8 THEN '<a href=\"https://tickets.example/register?e=1\">register</a><p>calendly</p>'"
     " WHEN 9 THEN '<p>404 Not Found</p><meta property=\"og:url\" content=\"https://real.example/\">'"
     " WHEN 10 THEN '<p>Find us: twitter.com/farm_one and https://shop.example/a, dormitory beds, price: 30</p>'"
-    " ELSE '<p>Guest house and apartment; check-in after 15.01.2026, check availability.</p>' END"
+    " ELSE '<p>Caf&eacute;&#8217;s &ndash; &#x2014; &bogus; &amp;lt; end. Guest house and apartment; check-in after 15.01.2026, check availability.</p>' END"
 )
 ROLES["rich"] = ("pages", [
     ("page_id", "page_id"), ("url", "url"),
@@ -142,6 +140,12 @@ ROLES["note"] = ("documents", [
 # Tables whose rows are worth a core each; a single small file of them is dealt out first.
 TEXT_TABLES = ("pages", "documents")
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a test table, which is one small file, dealt over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 DIALECT = {"spark": {"ts": "TIMESTAMP_NTZ"}, "duckdb": {"ts": "TIMESTAMP"}}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -30,9 +32,9 @@ Q_SQL = """q AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS
     sc AS (SELECT query_id, id, round(list_dot_product(qv, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS score FROM q, vec)"""
 
 
-@query("vector_cross", "vec", sql=f"WITH {Q_SQL} SELECT query_id, id, round(score, 6) AS score FROM sc")
+@query("vector_cross", "vec", sql=f"WITH {Q_SQL} SELECT query_id, id, round(score, 6) AS score FROM sc WHERE score >= 0.02")
 def _(t):
-    return S.cosine_scores(label_queries(t), t.vec).withColumn("score", F.round("score", 6))
+    return S.cosine_above(label_queries(t), t.vec, 0.02).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_topk", "vec", sql=f"""
@@ -111,14 +113,21 @@ def place_queries(t):
     ))).distinct()
 
 
-@query("query_location", "place", sql="""
-    WITH q AS (SELECT DISTINCT 'organic farm ' || name AS text, 'organic farm' AS cleaned, name AS place FROM place
+# organizations somewhere in the built-in table of countries, by their id
+_NAMED = [(code, names[0]) for _, code, names in K.COUNTRIES if re.fullmatch("[a-z]{3,}( [a-z]{3,})?", names[0]) and names[0] != "antarctica"]
+
+
+@query("query_location", "place", "org", sql=f"""
+    WITH c AS (SELECT unnest([{words([c for c, _ in _NAMED])}]) AS code, unnest([{words([n for _, n in _NAMED])}]) AS name, unnest(range({len(_NAMED)})) AS i),
+    q AS (SELECT DISTINCT 'farm ' || c.name AS text, 'farm' AS cleaned, c.code AS place FROM c JOIN org ON org.id % {len(_NAMED)} = c.i UNION SELECT DISTINCT 'organic farm ' || name AS text, 'organic farm' AS cleaned, name AS place FROM place
         UNION SELECT 'quiet garden in ' || list_aggregate(list_transform(string_split(continent, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' '),
             'quiet garden', continent FROM place
         UNION SELECT 'stay near the ' || lower(name) || ' river', 'stay near the ' || lower(name) || ' river', NULL FROM place)
     SELECT * FROM q""")
 def _(t):
-    return S.query_location(place_queries(t), Z.from_countries(t.place))
+    name = F.element_at(F.array(*[F.lit(n) for _, n in _NAMED]), (F.col("id") % len(_NAMED) + 1).cast("int"))
+    asked = place_queries(t).unionByName(t.org.select(F.concat(F.lit("farm "), name).alias("text")).distinct())
+    return S.query_location(asked, Z.gazetteer(t.spark, t.place))
 
 
 @query("stop_word_place", "place", sql=f"""
@@ -141,8 +150,8 @@ def search_queries(t):
 @query("search", "vec", "org", sql=f"""
     WITH {Q_SQL},
     qq AS (SELECT q.query_id, 'community farm in ' || r_name AS text, r_name AS place FROM q JOIN region ON q.query_id = r_regionkey),
-    near AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM sc QUALIFY rk <= 1000),
-    c AS (SELECT near.query_id, near.rk, near.score, qq.text AS query_text, org.* FROM near JOIN qq ON near.query_id = qq.query_id JOIN org ON near.id = org.id AND org.region = qq.place),
+    c AS (SELECT sc.query_id, sc.score, qq.text AS query_text, org.*, row_number() OVER (PARTITION BY sc.query_id ORDER BY sc.score DESC, sc.id) AS rk
+        FROM sc JOIN qq ON sc.query_id = qq.query_id JOIN org ON sc.id = org.id AND org.region = qq.place QUALIFY rk <= 1000),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rr FROM c QUALIFY rr <= 60),
     w AS (SELECT *, list_filter(string_split_regex(lower(query_text), '\\s+'), lambda x: length(x) > 2) AS ws,
         lower(concat_ws(' ', nullif(name, ''), nullif(organization_type, ''), nullif(description, ''), nullif(country, ''), nullif(city, ''))) AS st FROM r),
@@ -154,40 +163,37 @@ def _(t):
     return hits.select("query_id", "id", "name", "country", "score", F.col("rank").cast("long").alias("rank"), "description")
 
 
-_KW = "building volunteers stay nation_1"
+def keyword_queries(t):
+    """One query per market segment, with a place and a feature word each."""
+    return t.raw("customer").select(F.lower("c_mktsegment").alias("s")).distinct().select(
+        (F.length("s") * 1000 + F.ascii("s")).cast("long").alias("query_id"), F.concat("s", F.lit(" volunteers stay nation_1")).alias("text"))
 
 
-def _kw_sql(q):
-    parts = [f"CASE WHEN contains(n || ' ' || d || ' ' || c, '{q}') THEN 10 ELSE 0 END"]
-    for w in q.split():
-        parts += [f"3 * CAST(contains(n, '{w}') AS INTEGER)", f"CAST(contains(d, '{w}') AS INTEGER)", f"2 * CAST(contains(c, '{w}') AS INTEGER)"]
-    for w, f in (("volunteer", "has_jobs"), ("stay", "has_stays"), ("event", "has_events"), ("job", "has_jobs")):
-        if w in q:
-            parts.append(f"2 * CAST(coalesce({f}, false) AS INTEGER)")
-    return f"""k AS (SELECT id, latitude, longitude, {' + '.join(parts)} AS points FROM (SELECT *, lower(coalesce(name, '')) AS n,
-        lower(coalesce(description, '')) AS d, lower(coalesce(country, '')) AS c FROM org))"""
+_KW_SQL = """kq AS (SELECT DISTINCT CAST(length(c_mktsegment) * 1000 + ascii(lower(c_mktsegment)) AS BIGINT) AS query_id,
+        lower(c_mktsegment) || ' volunteers stay nation_1' AS text FROM customer),
+    ko AS (SELECT *, lower(coalesce(name, '')) AS n, lower(coalesce(description, '')) AS d, lower(coalesce(country, '')) AS c FROM org),
+    kp AS (SELECT query_id, id, latitude, longitude, CASE WHEN contains(n || ' ' || d || ' ' || c, text) THEN 10 ELSE 0 END
+        + list_sum(list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 2),
+            lambda w: 3 * CAST(contains(n, w) AS INTEGER) + CAST(contains(d, w) AS INTEGER) + 2 * CAST(contains(c, w) AS INTEGER)))
+        + CASE WHEN contains(text, 'volunteer') AND has_jobs THEN 2 ELSE 0 END + CASE WHEN contains(text, 'stay') AND has_stays THEN 2 ELSE 0 END
+        + CASE WHEN contains(text, 'event') AND has_events THEN 2 ELSE 0 END + CASE WHEN contains(text, 'job') AND has_jobs THEN 2 ELSE 0 END AS points FROM kq, ko),
+    kr AS (SELECT query_id, id, latitude, longitude, points / 20.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) AS rank FROM kp WHERE points > 0)"""
 
 
-@query("keyword_search", "org", sql=f"""
-    WITH {_kw_sql(_KW)} SELECT id, latitude, longitude, points / 20.0 AS score, row_number() OVER (ORDER BY points DESC, id) AS rank FROM k WHERE points > 0 QUALIFY rank <= 200""")
+@query("keyword_search", "org", sql=f"WITH {_KW_SQL} SELECT * FROM kr WHERE rank <= 200")
 def keyword_search(t):
-    return S.keyword_search(_KW, t.org, 200).withColumn("rank", F.col("rank").cast("long"))
+    return S.keyword_search(keyword_queries(t), t.org, 200).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("search_with_fallback", "vec", "org", sql=f"""
-    WITH {_kw_sql('community farm')},
-    m AS (SELECT list(m ORDER BY i) AS qv FROM (SELECT i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM vec) GROUP BY i)),
-    v AS (SELECT id, round(list_dot_product(qv, list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS score FROM m, vec),
-    vr AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 50)
-    SELECT 'vector' AS way, vr.id, round(vr.score, 6) AS score, rank FROM vr JOIN org ON vr.id = org.id
-    UNION ALL SELECT 'keyword', id, points / 20.0, row_number() OVER (ORDER BY points DESC, id) AS rank FROM k WHERE points > 0 QUALIFY rank <= 50""")
+    WITH {Q_SQL}, {_KW_SQL},
+    vr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 50)
+    SELECT query_id, vr.id, round(vr.score, 6) AS score, rank FROM vr JOIN org ON vr.id = org.id
+    UNION ALL SELECT query_id, id, round(score, 6), rank FROM kr WHERE rank <= 50""")
 def _(t):
-    mean = t.vec.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vector = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("v")).first()["v"]
-    parts = [S.search_any("community farm", t.org, t.vec, q, 50).select(
-        F.lit(way).alias("way"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-        for way, q in (("vector", vector), ("keyword", None))]
-    return parts[0].unionByName(parts[1])
+    asked = label_queries(t).select("query_id", F.lit(None).cast("string").alias("text"), "embedding").unionByName(
+        keyword_queries(t).withColumn("embedding", F.lit(None).cast("array<double>")))
+    return S.search_any(asked, t.org, t.vec, 50).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- matching ---------------------------------------------------------------------------------

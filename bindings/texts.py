@@ -41,7 +41,7 @@ def squeezed(c: str) -> str:
 
 
 UNESCAPE = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&")]
+            ("&middot;", "·"), ("&eacute;", "é"), ("&#8217;", "’"), ("&ndash;", "–"), ("&#x2014;", "—"), ("&amp;", "&")]
 
 
 def unescaped(c: str) -> str:
@@ -234,7 +234,15 @@ def _(t):
     return t.rich.select("page_id", X.text_simple("html").alias("text"))
 
 
-@query("html_text_full")
+def full_text(c: str) -> str:
+    for part in ("<!--.*?-->", "<!DOCTYPE[^>]*>", *(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in K.SKIP_TAGS_FULL)):
+        c = f"regexp_replace({c}, '(?is){part}', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g')"
+    # the references that lost their end in a cut title are decoded too
+    return squeezed(f"regexp_replace({unescaped(c)}, '&amp$|&amp ', '& ', 'g')")
+
+
+@query("html_text_full", "rich", sql=f"SELECT page_id, {full_text('html')} AS text FROM rich")
 def _(t):
     return HT.html_text(t.rich, "full").select("page_id", "text")
 
@@ -578,13 +586,13 @@ def _(t):
 
 
 @query("page_urls", "note", sql=f"""
-    SELECT id, array_to_string(regexp_extract_all(text, '{esc(K.PAGE_URL)}')[1:20], ' ') AS urls FROM note""")
+    SELECT id, array_to_string(regexp_extract_all(text, '{esc(K.PAGE_URL)}'), ' ') AS urls FROM note""")
 def _(t):
     return t.note.select("id", F.array_join(X.page_urls("text"), " ").alias("urls"))
 
 
 @query("social_handles", "note", sql=f"""
-    SELECT id, array_to_string(list_sort(list_distinct(list_concat({', '.join(f"regexp_extract_all(text, '{p}', 1)[1:5]" for p in K.SOCIAL_HANDLES)})[1:20])), ' ') AS handles FROM note""")
+    SELECT id, array_to_string(list_sort(list_distinct(list_concat({', '.join(f"regexp_extract_all(text, '{p}', 1)" for p in K.SOCIAL_HANDLES)}))), ' ') AS handles FROM note""")
 def _(t):
     return t.note.select("id", F.array_join(F.array_sort(X.social_handles("text")), " ").alias("handles"))
 
@@ -616,7 +624,7 @@ def sitemap_docs(t):
     WITH p AS (SELECT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site, page_id // 20 AS part,
             replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS u FROM page),
     e AS (SELECT site || '/s' || part || '.xml' AS url, u FROM p UNION ALL SELECT site || '/i' || part || '.xml', u FROM p)
-    SELECT url, row_number() OVER (PARTITION BY url ORDER BY u) - 1 AS pos, u AS page_url FROM e QUALIFY pos < 4""")
+    SELECT url, row_number() OVER (PARTITION BY url ORDER BY u) - 1 AS pos, u AS page_url FROM e""")
 def _(t):
     return web.sitemap_urls(sitemap_docs(t)).withColumn("pos", F.col("pos").cast("long"))
 

@@ -136,13 +136,17 @@ def listing_email(text) -> Column:
     return F.when(first.isNotNull() & ~first.rlike(words_regex(K.EMAIL_NOISE)), first).otherwise(F.lit(""))
 
 
-def page_urls(c, limit: int = 20) -> Column:
-    return F.slice(extract_all(c, K.PAGE_URL), 1, limit)
+def _first(items, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
 
 
-def social_handles(c, per_network: int = 5, limit: int = 20) -> Column:
-    found = F.concat(*[F.slice(extract_all(c, p, 1), 1, per_network) for p in K.SOCIAL_HANDLES])
-    return F.array_distinct(F.slice(found, 1, limit))
+def page_urls(c, limit: int | None = None) -> Column:
+    return _first(extract_all(c, K.PAGE_URL), limit)
+
+
+def social_handles(c, per_network: int | None = None, limit: int | None = None) -> Column:
+    found = [_first(F.array_distinct(extract_all(c, p, 1)), per_network) for p in K.SOCIAL_HANDLES]
+    return _first(F.array_distinct(F.concat(*found)), limit)
 
 
 # --- cleaning -----------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,13 +140,27 @@ def html_escape(c) -> Column:
     return F.replace(out, F.lit(">"), F.lit("&gt;"))
 
 
+def _character(ref: Column) -> Column:
+    """The character of a numeric reference such as #233 or #xE9."""
+    hexadecimal = F.substring(ref, 2, 1).isin("x", "X")
+    code = F.when(hexadecimal, F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).cast("int")
+    fine = ref.startswith("#") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def html_unescape(c) -> Column:
-    """The common named references, ampersand last."""
-    out = col(c)
-    for name, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                       ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Named and numeric character references, each decoded once; anything else stays as it is."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code) if name != "nbsp" else " ")],
+                         F.lit("apos"), F.lit("'"))
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.coalesce(F.try_element_at(named, ref), _character(ref))
+        return F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+
+    parts = F.split(col(c), "&")
+    whole = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded))
+    return F.when(col(c).contains("&"), F.array_join(whole, "")).otherwise(col(c))
 
 
 def sql_quote(c) -> Column:

@@ -62,6 +62,7 @@ def repair_url(c) -> Column:
     return let(once, lambda u: F.when(u.startswith("http"), u))
 
 
-def clean_md_url(c, max_len: int = 150) -> Column:
+def clean_md_url(c, max_len: int | None = None) -> Column:
+    """A URL without the rest of a Markdown link; anything else, or longer than ``max_len``, becomes NULL."""
     url = F.rtrim(F.replace(col(c), F.lit("]("), F.lit("")), F.lit(")"))
-    return let(url, lambda u: F.when((F.length(u) <= max_len) & u.startswith("http"), u))
+    return let(url, lambda u: F.when(u.startswith("http") & (F.lit(True) if max_len is None else F.length(u) <= max_len), u))

@@ -1,79 +1,88 @@
 """Page markup to text where nesting matters.
 
-One parser with skip profiles serves every extraction job; a page body crosses to
-Python once, in Arrow batches, and everything after that is column expressions.
+A text is visible if none of the elements it lies in is hidden. So the reader keeps the
+stack of open elements with their state; end tags close what they match, void elements
+never open anything, and the next block or list item closes an open paragraph or item.
+Only the markup crosses to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from meadowlark import constants as K
 
-# tags skipped, whether class/id/role mark skipped parts too, separator between text runs
+# hidden tags, whether class, id and role hide elements too, separator between text runs
 PROFILES = {
     "simple": (frozenset(K.SKIP_TAGS_SIMPLE), False, " "),
     "frame": (frozenset(K.SKIP_TAGS_FRAME), False, " "),
     "full": (frozenset(K.SKIP_TAGS_FULL), True, " "),
     "lines": (frozenset(K.SKIP_TAGS_FRAME), False, "\n"),
 }
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# open element -> the start tags that end it
+ENDED_BY = {
+    "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
+    "li": frozenset(["li"]), "option": frozenset(["option"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
+}
+
 
+def marked_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether role, class or id mark an element as no content."""
+    given = {name: (value or "").lower() for name, value in attrs}
+    return (given.get("role") in K.SKIP_ROLES or any(mark in given.get("class", "") for mark in K.SKIP_CLASSES)
+            or any(mark in given.get("id", "") for mark in K.SKIP_IDS))
 
-class _VisibleText(HTMLParser):
-    def __init__(self, skip_tags, by_attribute):
-        super().__init__()
-        self.skip_tags, self.by_attribute = skip_tags, by_attribute
-        self.runs, self.opened, self.depth = [], [], 0
 
-    def _hidden(self, tag, attrs):
-        if tag in self.skip_tags:
-            return True
-        if not self.by_attribute:
-            return False
-        a = {k: (v or "").lower() for k, v in attrs}
-        return (a.get("role", "") in K.SKIP_ROLES
-                or any(c in a.get("class", "") for c in K.SKIP_CLASSES)
-                or any(i in a.get("id", "") for i in K.SKIP_IDS))
+class PageReader(HTMLParser):
+    """Calls ``emit`` with every visible text of a page."""
+
+    def __init__(self, hides: Callable[[str, list], bool], emit: Callable[[str], None]):
+        super().__init__(convert_charrefs=True)
+        self.hides, self.emit = hides, emit
+        self.path: list[tuple[str, bool]] = [("", False)]  # open elements and whether their content is hidden
 
     def handle_starttag(self, tag, attrs):
-        if self._hidden(tag, attrs):
-            self.depth += 1
-            self.opened.append(tag)
+        if tag in ENDED_BY.get(self.path[-1][0], ()):
+            self.path.pop()
+        if tag not in VOID:
+            self.path.append((tag, self.path[-1][1] or self.hides(tag, attrs)))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if self.depth and self.opened and self.opened[-1] == tag:
-            self.opened.pop()
-            self.depth -= 1
-        elif self.depth and tag in self.skip_tags:
-            self.depth -= 1  # a mismatched end still closes one level
+        for depth in range(len(self.path) - 1, 0, -1):
+            if self.path[depth][0] == tag:
+                del self.path[depth:]
+                break
 
     def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.runs.append(data.strip())
+        if not self.path[-1][1]:
+            self.emit(data)
 
 
 def visible_text(html: str | None, profile: str) -> str | None:
     if html is None:
         return None
-    tags, by_attribute, sep = PROFILES[profile]
-    parser = _VisibleText(tags, by_attribute)
-    parser.feed(html)
-    parser.close()
-    if sep == "\n":
-        return "\n".join(re.sub(r"\s+", " ", r) for r in parser.runs)
-    return re.sub(r"\s+", " ", " ".join(parser.runs)).strip()
+    tags, by_marks, separator = PROFILES[profile]
+    runs: list[str] = []
+    reader = PageReader(lambda tag, attrs: tag in tags or (by_marks and marked_hidden(attrs)), runs.append)
+    reader.feed(html)
+    reader.close()
+    return separator.join(run for run in (" ".join(text.split()) for text in runs) if run)
 
 
 def html_text(pages: DataFrame, profile: str = "full", html: str = "html", out: str = "text") -> DataFrame:
-    """Pages with their visible text; the other columns pass through, the markup stays."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(**{out: [visible_text(h, profile) for h in part[html]]})
+    """Pages with their visible text; the other columns stay in the JVM."""
+    @F.arrow_udf("string")
+    def read(bodies: pa.Array) -> pa.Array:
+        return pa.array([visible_text(body, profile) for body in bodies.to_pylist()], pa.string())
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInPandas(run, f"{fields}, `{out}` string")
+    return pages.withColumn(out, read(F.col(html)))

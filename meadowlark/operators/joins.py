@@ -182,8 +182,8 @@ def site_pages(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes:
 
 
 def discover_page(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes: Column, key: str = "id",
-                  max_checks: int | None = 6, site: str = "website") -> DataFrame:
-    """Per site, the page at the first path that passes, among the first ``max_checks`` paths."""
+                  max_checks: int | None = None, site: str = "website") -> DataFrame:
+    """Per site, the page at the first path that passes. ``max_checks`` tries only the first paths."""
     return first_per(site_pages(sites, pages, paths, passes, max_checks, site), [key],
                      [F.col("path_pos"), F.col("page_id")])
 

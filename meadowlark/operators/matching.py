@@ -7,12 +7,12 @@ fuzzy scores are reduced to the best partner inside the task that computes them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +20,9 @@ from meadowlark import constants as K
 from meadowlark.functions import extract as X
 from meadowlark.functions import text as T
 from meadowlark.operators.sets import tokens
-from meadowlark.scale import keys_of
+from meadowlark.scale import keys_of, meet_in_blocks
 from meadowlark.session import durable
 
-BLOCK_BYTES = 4 * 1024 * 1024  # reference names shipped to the tasks at a time
-
 
 def _attach(df: DataFrame, found: DataFrame, name: str, cols) -> DataFrame:
     """Found values (by lower-case key ``_name``) given to every row with that name."""
@@ -195,7 +193,11 @@ def _best_ratio(a: str, own: np.ndarray, block) -> tuple[float, int]:
     return best, at
 
 
-_METRICS: dict[str, Callable] = {"levenshtein": _best_levenshtein, "ratio": _best_ratio}
+# metric -> best partner in a block, and the least quotient of the lengths of two names that can exceed a threshold
+_METRICS: dict[str, tuple[Callable, Callable]] = {
+    "levenshtein": (_best_levenshtein, lambda t: t),
+    "ratio": (_best_ratio, lambda t: t / (2 - t)),
+}
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -203,50 +205,42 @@ def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: s
     """The most similar reference entry above the threshold, the first one on ties. Adds
     ``match_url`` and ``match_score``.
 
-    Exact: every distinct name meets every distinct reference name, but only inside a task.
-    Reference names travel in blocks of a checked size; each task keeps one best partner per
-    name and block, and blocks are reduced by a partial aggregate.
+    Exact. Two names that can score above the threshold have lengths in the same or the next
+    length class, so only blocks of such classes meet. Inside a task, shared letters bound the
+    score, and one best partner per name and block leaves it. Both sides stay in the executors.
     """
-    best_of = _METRICS[metric]
+    best_of, reach = _METRICS[metric]
+    step = math.log(1 / reach(threshold))
+    length_class = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
     mine = df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    refs = (
-        ref.select(F.lower("name").alias("_ref"), "pos", "url").groupBy("_ref")
+    refs = durable(
+        ref.select(F.lower("name").alias("_ref"), "pos", "url").where(F.col("_ref").isNotNull()).groupBy("_ref")
         .agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
     )
-    # read three times: for its size, for its blocks and for the addresses of the winners
-    refs = durable(refs)
-    size = refs.agg(F.sum(F.length("_ref") * 4 + 160).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    parts = []
-    for b in range(blocks):
-        block = refs if blocks == 1 else refs.where(F.pmod(F.xxhash64("_ref"), F.lit(blocks)) == b)
-        rows = block.select("_ref", "pos").collect()
-        if rows:
-            parts.append(mine.mapInPandas(_scorer(rows, best_of), "_name string, score double, pos long"))
-    if not parts:
-        return df.withColumn("match_url", F.lit(None).cast("string")).withColumn("match_score", F.lit(None).cast("double"))
-    scored = reduce(DataFrame.unionByName, parts).where(F.col("score") > threshold)
-    best = scored.groupBy("_name").agg(F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
+    near = F.explode(F.array(*[length_class("_name") + i for i in (-1, 0, 1)])).alias("_class")
+    scored = meet_in_blocks(durable(mine.select("_name", near)), refs.select("_ref", "pos", length_class("_ref").alias("_class")),
+                            "_name", "_ref", _scorer(best_of), "_name string, score double, pos long", on=["_class"])
+    best = scored.where(F.col("score") > threshold).groupBy("_name").agg(
+        F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
     found = best.select("_name", F.col("m.score").alias("match_score"), F.col("m.pos").alias("pos")).join(
         refs.select(F.col("pos"), F.col("url").alias("match_url")), "pos").drop("pos")
     return _attach(df, found, name, ["match_url", "match_score"])
 
 
-def _scorer(rows, best_of):
-    names = [r["_ref"] for r in rows]
-    pos = np.array([r["pos"] for r in rows], np.int64)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths = np.array([len(s) for s in names], np.int32)
-        codes = np.zeros((len(names), max(1, int(lengths.max()))), np.int32)
-        for i, s in enumerate(names):
-            codes[i, :len(s)] = [ord(ch) for ch in s]
-        block = (names, codes, lengths, _letter_counts(names), pos)
-        for part in parts:
-            mine = part["_name"].tolist()
-            own = _letter_counts(mine)
-            hits = [best_of(a, own[i], block) for i, a in enumerate(mine)]
-            yield pd.DataFrame({"_name": mine, "score": [h[0] for h in hits], "pos": [h[1] for h in hits]})
+def _scorer(best_of):
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        asked, names = mine.column("_name").to_pylist(), theirs.column("_ref").to_pylist()
+        hits = []
+        if asked and names:
+            lengths = np.array([len(s) for s in names], np.int32)
+            codes = np.zeros((len(names), max(1, int(lengths.max()))), np.int32)
+            for i, s in enumerate(names):
+                codes[i, :len(s)] = [ord(ch) for ch in s]
+            block = (names, codes, lengths, _letter_counts(names), theirs.column("pos").to_numpy())
+            own = _letter_counts(asked)
+            hits = [(a, *best_of(a, own[i], block)) for i, a in enumerate(asked)]
+        name, score, pos = zip(*hits) if hits else ((), (), ())
+        return pa.table({"_name": pa.array(name, pa.string()), "score": pa.array(score, pa.float64()), "pos": pa.array(pos, pa.int64())})
 
     return run
 

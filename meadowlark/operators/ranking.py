@@ -37,14 +37,17 @@ def rank_percent(df: DataFrame, order: Sequence) -> DataFrame:
     )
 
 
-def dedupe_first(df: DataFrame, key, order: Sequence, partition: Sequence = (), key_len: int = 120) -> DataFrame:
+def dedupe_first(df: DataFrame, key, order: Sequence, partition: Sequence = (),
+                 key_len: int | None = None) -> DataFrame:
     """First row per normalized key (within ``partition``); rows with a blank key all stay.
 
     ``order`` must tell rows apart: a blank key is completed by it, which keeps such rows and
     spreads them instead of gathering them under one key. One scan, cut before the shuffle.
+    ``key_len`` compares the first characters only. Keys travel as digests.
     """
-    k = T.prefix(F.lower(T.strip(F.coalesce(T.col(key), F.lit("")))), key_len)
-    keyed = df.withColumn("_key", k).withColumn("_own", F.when(F.col("_key") == "", F.struct(*order)))
+    k = F.lower(T.strip(F.coalesce(T.col(key), F.lit(""))))
+    k = k if key_len is None else T.prefix(k, key_len)
+    keyed = df.withColumn("_key", F.when(k == "", k).otherwise(F.sha2(k, 256))).withColumn("_own", F.when(F.col("_key") == "", F.struct(*order)))
     return first_per(keyed, [*partition, "_key", "_own"], order).drop("_key", "_own")
 
 

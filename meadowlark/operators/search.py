@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meadowlark import constants as K
 from meadowlark.functions import text as T
-from meadowlark.operators.ranking import tiered_rank, top_k
-from meadowlark.scale import top_per
+from meadowlark.operators.ranking import tiered_rank
+from meadowlark.scale import meet_in_blocks, top_per
 from meadowlark.session import durable
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so ties do not hang on the last bit
-BLOCK_BYTES = 32 * 1024 * 1024  # queries shipped to the tasks at a time
-BLOCK_ROWS = 4096
 QUERIES_AT_ONCE = 256  # bounds the score matrix of one batch
 
 
@@ -73,36 +71,31 @@ def encode(df: DataFrame, text: str, encoder: Callable[[], Callable] | None = No
 # --- retrieval ---------------------------------------------------------------------------
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", corpus_id: str = "id",
-                query_vec: str = "embedding", corpus_vec: str = "embedding") -> DataFrame:
+                query_vec: str = "embedding", corpus_vec: str = "embedding", tag: str | None = None,
+                allowed: str | None = None) -> DataFrame:
     """Exact top k by dot product: (query_id, id, score, rank).
 
-    Query vectors travel to the corpus in blocks of a checked byte size; every task multiplies
-    an Arrow batch by a block and keeps its k best per query, so at most k rows per batch and
-    query leave the task. The final cut is per query and again partial before its shuffle.
+    Blocks of queries meet blocks of the corpus in tasks; the k best per query and block leave
+    a task, and the final cut is per query and partial before its shuffle. With ``tag`` (a
+    corpus column) and ``allowed`` (a query's list of tags, null for any), only vectors with an
+    allowed tag compete.
     """
-    return top_per(cosine_scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, keep=k),
+    return top_per(_scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, k, None, tag, allowed),
                    ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-def cosine_scores(queries: DataFrame, corpus: DataFrame, query_id: str = "query_id", corpus_id: str = "id",
-                  query_vec: str = "embedding", corpus_vec: str = "embedding", keep: int | None = None) -> DataFrame:
-    """Scores of every query against the corpus, thinned to the ``keep`` best per batch and query."""
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("vec"))
-    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).alias("vec"))
-    return reduce(DataFrame.unionByName, [_score_block(side, rows, keep) for rows in _query_blocks(q)])
+def cosine_above(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "query_id", corpus_id: str = "id",
+                 query_vec: str = "embedding", corpus_vec: str = "embedding") -> DataFrame:
+    """All pairs that score at least ``least``: (query_id, id, score)."""
+    return _scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, None, least, None, None)
 
 
-def _query_blocks(q: DataFrame) -> Iterator[list]:
-    """Query rows in blocks within the byte size: all at once if so few, else by hash."""
-    head = q.limit(BLOCK_ROWS + 1).collect()
-    row_bytes = 8 * max([len(r["vec"]) for r in head[:1]] or [1])
-    if len(head) <= BLOCK_ROWS and len(head) * row_bytes <= BLOCK_BYTES:
-        yield head
-        return
-    q = durable(q)
-    blocks = -(-q.count() * row_bytes // BLOCK_BYTES)
-    for b in range(blocks):
-        yield q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
+def _scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, keep, least, tag, allowed) -> DataFrame:
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("vec"),
+                       (F.col(allowed) if allowed else F.lit(None)).cast("array<string>").alias("allowed"))
+    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"),
+                         (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
+    return meet_in_blocks(durable(q), side, "qid", "id", _score_block(keep, least), "query_id long, id long, score double")
 
 
 def _best(line: np.ndarray, own: np.ndarray, keep: int | None) -> np.ndarray:
@@ -114,26 +107,32 @@ def _best(line: np.ndarray, own: np.ndarray, keep: int | None) -> np.ndarray:
     return pick[np.lexsort((own[pick], -line[pick]))][:keep]
 
 
-def _score_block(corpus: DataFrame, rows, keep: int | None) -> DataFrame:
-    ids = np.array([r["qid"] for r in rows], np.int64)
-    matrix = np.array([r["vec"] for r in rows], np.float64)
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0 or len(ids) == 0:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(batch.num_rows, -1).T
+
+def _score_block(keep: int | None, least: float | None):
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        found = []
+        if len(queries) and len(corpus):
+            ids, own, tags = queries.column("qid").to_numpy(), corpus.column("id").to_numpy(), corpus.column("tag")
+            vectors = _matrix(corpus.column("vec")).T
+            asked, allowed = _matrix(queries.column("vec")), queries.column("allowed").to_pylist()
             for start in range(0, len(ids), QUERIES_AT_ONCE):
-                scores = np.round(matrix[start:start + QUERIES_AT_ONCE] @ vectors, SCORE_DIGITS)
-                for qid, line in zip(ids[start:start + QUERIES_AT_ONCE], scores):
-                    pick = _best(line, own, keep)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(pick), qid)), pa.array(own[pick]), pa.array(line[pick])], schema=schema)
+                scores = np.round(asked[start:start + QUERIES_AT_ONCE] @ vectors, SCORE_DIGITS)
+                for i, line in enumerate(scores, start):
+                    at = np.arange(len(line))
+                    if allowed[i] is not None:
+                        at = np.flatnonzero(pc.is_in(tags, value_set=pa.array(allowed[i], pa.string())).to_numpy(zero_copy_only=False))
+                    if least is not None:
+                        at = at[line[at] >= least]
+                    pick = at[_best(line[at], own[at], keep)]
+                    found.append((np.full(len(pick), ids[i]), own[pick], line[pick]))
+        q, c, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": q, "id": c, "score": s})
 
-    return corpus.mapInArrow(run, "query_id long, id long, score double")
+    return run
 
 
 # --- places in queries ------------------------------------------------------------------
@@ -161,20 +160,18 @@ def query_location(queries: DataFrame, gazetteer: DataFrame, text: str = "text")
                  ((F.length(last) <= 2) & (last != F.upper(last))).alias("lone"),
                  F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), " ").alias("cleaned")),
     )
-    places = gazetteer.select(F.col("place").alias("_place"), F.col("resolved").alias("_resolved")).distinct()
-    tagged = queries.withColumn("_row", F.xxhash64(*queries.columns))
-    found = (
-        tagged.select("_row", F.inline(cands)).where((F.col("name") != "") & ~F.col("lone"))
-        .join(places, F.col("name") == F.col("_place"))
-        .groupBy("_row").agg(F.min_by(F.struct("cleaned", "_resolved"), "o").alias("_hit"))
-    )
-    hit = found.select(F.col("_row").alias("_r"), F.col("_hit.cleaned").alias("_cleaned"),
-                       F.col("_hit._resolved").alias("place"))
-    return (
-        tagged.join(hit, F.col("_row") == F.col("_r"), "left")
-        .withColumn("cleaned", F.coalesce(F.col("_cleaned"), F.col(text)))
-        .select(*queries.columns, "cleaned", "place")
-    )
+    # a name that stands for several places counts as the first of them
+    places = gazetteer.groupBy(F.col("place").alias("_place")).agg(F.min("resolved").alias("_resolved"))
+    tagged = queries.select("*", cands.alias("_cands"))
+    named = tagged.select(F.explode(F.transform("_cands", lambda c: F.when((c["name"] != "") & ~c["lone"], c["name"]))).alias("_name"))
+    hits = named.where(F.col("_name").isNotNull()).distinct().join(places, F.col("_name") == F.col("_place")).select("_name", "_resolved")
+    # each of the three candidate names of a query is looked up; the first that is a place counts
+    for i in range(3):
+        one = hits.select(F.col("_name").alias(f"_n{i}"), F.col("_resolved").alias(f"_r{i}"))
+        here = F.get("_cands", F.lit(i))
+        tagged = tagged.join(one, ~here["lone"] & (here["name"] == F.col(f"_n{i}")), "left")
+    first = F.coalesce(*[F.when(F.col(f"_r{i}").isNotNull(), F.get("_cands", F.lit(i))["cleaned"]) for i in range(3)], F.col(text))
+    return tagged.select(*queries.columns, first.alias("cleaned"), F.coalesce("_r0", "_r1", "_r2").alias("place"))
 
 
 def stop_word_place(c) -> Column:
@@ -194,43 +191,34 @@ def word_overlap_score(pairs: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, corpus: DataFrame, org: DataFrame, gazetteer: DataFrame, top_n: int = 20,
            retrieve: int = 300, retrieve_with_place: int = 1000, rerank_cap: int = 30,
-           reranker: Callable[[DataFrame], DataFrame] = word_overlap_score, prefilter: bool = False) -> DataFrame:
+           reranker: Callable[[DataFrame], DataFrame] = word_overlap_score, prefilter: bool = True) -> DataFrame:
     """Place-aware semantic search for a table of queries (query_id, text, embedding, optional place).
 
-    Retrieve by cosine, drop organizations outside a query's place, keep the first 3n, rerank
+    Retrieve by cosine among the organizations at a query's place, keep the first 3n, rerank
     the first ``rerank_cap`` by the sigmoid of the reranker's logit, leave the rest by cosine.
-    The place filter follows the retrieval cut; ``prefilter`` applies it before, so that a
-    place never runs out of candidates. ``reranker`` adds ``logit`` to (query_text, search_text)
-    rows; it sees at most ``rerank_cap`` rows per query.
+    ``prefilter=False`` applies the place after the retrieval cut, so a place may run out of
+    candidates. ``reranker`` adds ``logit`` to (query_text, search_text) rows; it sees at most
+    ``rerank_cap`` rows per query.
     """
     located = queries if "place" in queries.columns else query_location(queries, gazetteer).drop("cleaned")
-    located = durable(located)
     spots = gazetteer.select("resolved", "allowed").distinct()
+    # the country values of one place, a few hundred at most
+    values = spots.groupBy(F.col("resolved").alias("_place")).agg(F.collect_set("allowed").alias("allowed"))
+    located = durable(located.join(values, F.col("place") == F.col("_place"), "left").drop("_place").withColumn(
+        "allowed", F.when(F.col("place").isNotNull(), F.coalesce("allowed", F.array().cast("array<string>")))))
     here = F.upper(F.trim(F.col("country")))
     fields = ["id", "name", "country", "city", "latitude", "longitude", "accepts_volunteers", "accepts_shortterm",
               "accepts_longterm", "accepts_visitors", "has_jobs", "description"]
     full = org.select(*fields, search_text().alias("search_text"))
-    placed = located.where(F.col("place").isNotNull())
+    cut_at = F.when(F.col("place").isNull(), retrieve).otherwise(retrieve_with_place)
+    depth = max(retrieve, retrieve_with_place)
     if prefilter:
-        places = [r["place"] for r in placed.select("place").distinct().collect()]  # one per place name
-        parts = [cosine_topk(located.where(F.col("place").isNull()), corpus, retrieve)]
-        for p in places:
-            inside = full.join(spots.where(F.col("resolved") == p), here == F.col("allowed"), "left_semi")
-            parts.append(cosine_topk(placed.where(F.col("place") == p),
-                                     corpus.join(inside.select("id"), "id", "left_semi"), retrieve_with_place))
-        kept = reduce(DataFrame.unionByName, parts).join(full, "id")
+        tagged = corpus.join(org.select(F.col("id"), here.alias("_here")), "id")
+        near = cosine_topk(located, tagged, depth, tag="_here", allowed="allowed")
     else:
-        depth = max(retrieve, retrieve_with_place)
         near = cosine_topk(located, corpus, depth)
-        q = located.select("query_id", "place")
-        near = near.join(q, "query_id").where(
-            F.col("rank") <= F.when(F.col("place").isNull(), retrieve).otherwise(retrieve_with_place))
-        cands = near.join(full, "id")
-        # a candidate without a place stays; with one it must be at an allowed country
-        open_ = cands.where(F.col("place").isNull()).drop("place")
-        fixed = cands.where(F.col("place").isNotNull()).join(
-            spots, (F.col("place") == F.col("resolved")) & (here == F.col("allowed")), "left_semi").drop("place")
-        kept = open_.unionByName(fixed)
+    near = near.join(located.select("query_id", "place", "allowed"), "query_id").where(F.col("rank") <= cut_at)
+    kept = near.join(full, "id").where(F.col("place").isNull() | F.array_contains("allowed", here)).drop("place", "allowed")
     by_score = Window.partitionBy("query_id").orderBy("rank")
     cut = (
         kept.withColumn("retrieval_rank", F.row_number().over(by_score))
@@ -249,35 +237,52 @@ def search(queries: DataFrame, corpus: DataFrame, org: DataFrame, gazetteer: Dat
         T.prefix(F.coalesce(F.col("description"), F.lit("")), 300).alias("description"))
 
 
-def keyword_score(query: str) -> Column:
-    """Phrase, word and feature points of a query for the current organization."""
-    q = query.lower()
-    name, desc, country = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "description", "country"))
-    score = F.when(F.concat_ws(" ", name, desc, country).contains(q), 10).otherwise(0)
-    for w in [w for w in q.split() if len(w) > 2]:
-        score = score + 3 * name.contains(w).cast("int") + desc.contains(w).cast("int") + 2 * country.contains(w).cast("int")
-    for word, flag in (("volunteer", "has_jobs"), ("stay", "has_stays"), ("event", "has_events"), ("job", "has_jobs")):
-        if word in q:
-            score = score + 2 * T.truthy(flag).cast("int")
-    return score
-
-
-def keyword_search(query: str, org: DataFrame, k: int = 200) -> DataFrame:
-    """Best k by keyword points, score scaled to about 0..1."""
-    scored = org.select("id", "latitude", "longitude", keyword_score(query).alias("points")).where(F.col("points") > 0)
-    w = Window.orderBy(F.col("points").desc(), F.col("id"))
-    return top_k(scored, k, "points").select(
-        "id", "latitude", "longitude", (F.col("points") / 20).alias("score"), F.row_number().over(w).alias("rank"))
-
-
-def search_any(query: str, org: DataFrame, corpus: DataFrame, query_vector=None, k: int = 200) -> DataFrame:
-    """By vector when the query has one, else by keywords."""
-    if query_vector is None:
-        return keyword_search(query, org, k)
-    spark = org.sparkSession
-    q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id long, embedding array<double>")
-    hits = cosine_topk(q, corpus, k)
-    return hits.join(org.select("id", "latitude", "longitude"), "id").select("id", "latitude", "longitude", "score", "rank")
+FEATURE_WORDS = (("volunteer", "has_jobs"), ("stay", "has_stays"), ("event", "has_events"), ("job", "has_jobs"))
+
+
+def keyword_search(queries: DataFrame, org: DataFrame, k: int = 200) -> DataFrame:
+    """The k best organizations of each query (query_id, text) by phrase, word and feature points:
+    (query_id, id, latitude, longitude, score, rank), the score scaled to about 0..1."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    q = durable(queries.select("query_id", F.lower("text").alias("text")).where(F.col("text").isNotNull()))
+    flags = [T.truthy(f).cast("int").alias(f"_flag{i}") for i, (_, f) in enumerate(FEATURE_WORDS)]
+    side = org.select("id", low("name").alias("name"), low("description").alias("description"), low("country").alias("country"), *flags)
+    points = meet_in_blocks(q, side, "query_id", "id", _keyword_points(k), "query_id long, id long, points long")
+    best = top_per(points, ["query_id"], [F.col("points").desc(), F.col("id")], k)
+    return best.join(org.select("id", "latitude", "longitude"), "id").select(
+        "query_id", "id", "latitude", "longitude", (F.col("points") / 20).alias("score"), "rank")
+
+
+def _keyword_points(k: int):
+    def run(queries: pa.Table, org: pa.Table) -> pa.Table:
+        own = org.column("id").to_numpy() if len(org) else np.zeros(0, np.int64)
+        name, text, country = (org.column(c) for c in ("name", "description", "country"))
+        every = pc.binary_join_element_wise(name, text, country, " ")
+        has = lambda column, word: pc.match_substring(column, word).to_numpy().astype(np.int64)
+        found = []
+        for qid, asked in zip(queries.column("query_id").to_pylist(), queries.column("text").to_pylist()):
+            points = 10 * has(every, asked)
+            for word in asked.split():
+                if len(word) > 2:
+                    points += 3 * has(name, word) + has(text, word) + 2 * has(country, word)
+            for i, (word, _) in enumerate(FEATURE_WORDS):
+                if word in asked:
+                    points += 2 * org.column(f"_flag{i}").to_numpy()
+            at = np.flatnonzero(points)
+            pick = at[_best(points[at], own[at], k)]
+            found.append((np.full(len(pick), qid, np.int64), own[pick], points[pick]))
+        q, c, p = (np.concatenate(x) for x in zip(*found)) if found and len(org) else [np.zeros(0, np.int64)] * 3
+        return pa.table({"query_id": q, "id": c, "points": p})
+
+    return run
+
+
+def search_any(queries: DataFrame, org: DataFrame, corpus: DataFrame, k: int = 200) -> DataFrame:
+    """Each query (query_id, text, embedding) by vector if it has one, else by keywords:
+    (query_id, id, latitude, longitude, score, rank)."""
+    by_vector = cosine_topk(queries.where(F.col("embedding").isNotNull()), corpus, k)
+    placed = by_vector.join(org.select("id", "latitude", "longitude"), "id").select("query_id", "id", "latitude", "longitude", "score", "rank")
+    return placed.unionByName(keyword_search(queries.where(F.col("embedding").isNull()), org, k))
 
 
 def index_header(vec: DataFrame, model: str, chunk: int = 3000, col: str = "embedding") -> DataFrame:

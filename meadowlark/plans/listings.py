@@ -64,7 +64,7 @@ def discover_jobs_stays(org: DataFrame, pages: DataFrame, jobs: DataFrame, stays
     at = dates.moment(now)
     texts = _listing_text(job_pages(todo, pages).select("id", "name", "url", "page_id", "html"), "simple")
     new_jobs = durable(
-        texts.select("id", F.inline(X.job_blocks("text", F.col("name"), K.JOB_TERMS[:11], 120)))
+        texts.select("id", F.inline(X.job_blocks("text", F.col("name"), K.JOB_FIRST_TERMS, 120)))
         .select(F.col("id").alias("organization_id"), "title", T.prefix("block", 2500).alias("description"), "role",
                 at.alias("created_at")))
     found = stay_pages(todo, pages).select("id", "name", "url", "page_id", "html")
@@ -83,7 +83,7 @@ def discover_jobs_stays(org: DataFrame, pages: DataFrame, jobs: DataFrame, stays
 def board_jobs(org: DataFrame, pages: DataFrame) -> DataFrame:
     """The older variant: pages that speak of work, split at their headings."""
     fits = X.relevant(X.text_simple("html"), K.JOB_BOARD_TERMS, 2, 200)
-    found = C.discover_page(org, pages, K.JOB_DETAIL_PATHS, fits, max_checks=None)
+    found = C.discover_page(org, pages, K.JOB_DETAIL_PATHS, fits)
     texts = _listing_text(found.select("id", "url", "page_id", "html"), "lines")
     return texts.select(F.col("id").alias("organization_id"), "url", F.inline(X.title_blocks("text")))
 
@@ -91,7 +91,7 @@ def board_jobs(org: DataFrame, pages: DataFrame) -> DataFrame:
 def board_stays(org: DataFrame, pages: DataFrame) -> DataFrame:
     """The older variant: pages that speak of lodging, one stay each."""
     fits = X.relevant(X.text_simple("html"), K.STAY_BOARD_TERMS, 2, 150)
-    found = C.discover_page(org, pages, K.STAY_PATHS, fits, max_checks=None)
+    found = C.discover_page(org, pages, K.STAY_PATHS, fits)
     texts = _listing_text(found.select("id", "url", "page_id", "html"), "simple")
     return texts.select(F.col("id").alias("organization_id"), "url", X.stay_listing("text").alias("s")).select(
         "organization_id", "url", "s.*")
@@ -141,7 +141,7 @@ def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
 def refine_jobs(org: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """Jobs of unprocessed organizations, read again with attributes; parents without new rows keep theirs."""
     todo = B.allowed_urls(C.parents_pending(org, jobs, "jobs_rescraped"), "website").select("id", "name", "website")
-    found = durable(C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS), max_checks=None)
+    found = durable(C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS))
                     .select("id", "name", "url", "page_id", "html"))
     once = HT.html_text(found.select("page_id", "html").dropDuplicates(["page_id"]), "full")
     texts = found.select("id", "name", "url", "page_id").join(once, "page_id")

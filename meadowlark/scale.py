@@ -7,7 +7,7 @@ range partitions, and lists are emitted in pages of bounded length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from meadowlark.session import durable
 
+BLOCK_ROWS = 8192
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -99,8 +100,23 @@ def keys_of(df: DataFrame, col, name: str) -> DataFrame:
     return df.select(value.alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores when the input has fewer partitions than there are cores, as with
-    one small file. Inputs already split that far are left alone, so large scans never shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def meet_in_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fn: Callable, schema: str,
+                   on: Sequence[str] = (), rows: int = BLOCK_ROWS) -> DataFrame:
+    """``fn`` over every pair of a block of ``left`` and a block of ``right``, as Arrow tables.
+
+    For tests of all rows against all that no equi-join expresses. Both sides stay in the
+    executors; a block has about ``rows`` rows, and ``on`` names columns that must agree, which
+    keeps most blocks apart. ``fn`` should return a few rows per left row. ``right`` falls into
+    two blocks a core at least, so that every core has work.
+    """
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    n_left = max(1, -(-left.count() // rows))
+    n_right = max(2 * cores, -(-right.count() // rows))
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy(*on, "_left", "_right")
+
+    mine = dealt(left, left_key, "_left", n_left, "_right", n_right)
+    theirs = dealt(right, right_key, "_right", n_right, "_left", n_left)
+    return mine.cogroup(theirs).applyInArrow(lambda a, b: fn(a, b), schema)

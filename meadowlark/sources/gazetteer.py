@@ -17,17 +17,13 @@ def gazetteer(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     ``allowed`` an upper-case country value. ``extra`` (country name, code, continent) adds
     countries beyond the built-in table.
     """
-    rows = []
-    for continent, table in K.COUNTRIES.items():
-        for line in table.split("\n"):
-            code, _, names = line.strip().partition(" ")
-            if not code:
-                continue
-            known_as = [code.lower(), *names.split("/")]
-            for name in known_as:
+    rows = [(c.lower(), c, True, c.upper(), False) for c in dict.fromkeys(continent for continent, _, _ in K.COUNTRIES)]
+    for continent, code, names in K.COUNTRIES:
+        for name in (code.lower(), *names):
+            if name != continent.lower():
                 rows.append((name, code, False, code, len(name) == 2))
-                rows.append((continent.lower(), continent, True, name.upper(), False))
-    built = spark.createDataFrame(rows, SCHEMA)
+            rows.append((continent.lower(), continent, True, name.upper(), False))
+    built = spark.createDataFrame(list(dict.fromkeys(rows)), SCHEMA)
     if extra is None:
         return built
     return built.unionByName(from_countries(extra)).distinct()

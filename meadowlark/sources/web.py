@@ -9,16 +9,16 @@ from meadowlark import constants as K
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
 from meadowlark.functions.extract import strip_tags
-from meadowlark.scale import top_per
+from meadowlark.scale import rank_within, top_per
 
 _LD_BLOCK = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 
 
-def sitemap_urls(docs: DataFrame, max_urls: int | None = 4) -> DataFrame:
+def sitemap_urls(docs: DataFrame, max_urls: int | None = None) -> DataFrame:
     """(url, pos, page_url): locations of urlset documents, one level through index documents.
 
-    ``docs`` has url and body. ``url`` of the result is the document asked for; the first
-    ``max_urls`` per document are kept, None keeps all.
+    ``docs`` has url and body. ``url`` of the result is the document asked for. Positions count
+    through the documents of an index; ``max_urls`` keeps the first ones only.
     """
     listed = docs.select("url", F.col("body").rlike("<(?:\\w+:)?sitemapindex").alias("is_index"),
                          F.posexplode(T.extract_all("body", r"(?s)<(?:\w+:)?loc>\s*([^<\s]+)\s*</(?:\w+:)?loc>", 1)).alias("i", "loc"))
@@ -26,11 +26,9 @@ def sitemap_urls(docs: DataFrame, max_urls: int | None = 4) -> DataFrame:
     leaf = listed.where(~F.col("is_index")).select(F.col("url").alias("leaf_url"), "i", F.col("loc").alias("page_url"))
     direct = leaf.select(F.col("leaf_url").alias("url"), F.lit(0).alias("child_pos"), "i", "page_url")
     nested = index.join(leaf, F.col("child_url") == F.col("leaf_url")).select("url", "child_pos", "i", "page_url")
-    every = direct.unionByName(nested)
-    if max_urls is None:
-        return every.withColumnRenamed("i", "pos")
-    return top_per(every, ["url"], [F.col("child_pos"), F.col("i"), F.col("page_url")], max_urls, "rank").select(
-        "url", (F.col("rank") - 1).alias("pos"), "page_url")
+    every, order = direct.unionByName(nested), [F.col("child_pos"), F.col("i"), F.col("page_url")]
+    ranked = rank_within(every, ["url"], order) if max_urls is None else top_per(every, ["url"], order, max_urls)
+    return ranked.select("url", (F.col("rank") - 1).alias("pos"), "page_url")
 
 
 def robots_sitemaps(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 from difflib import SequenceMatcher
+from functools import partial
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from meadowlark.operators import ranking as E
 from meadowlark.operators import search as S
 from meadowlark.operators.events import event_blocks
 from meadowlark.operators.html import html_text, visible_text
-from meadowlark.scale import list_pages, number_rows, rank_within
+from meadowlark.scale import list_pages, meet_in_blocks, number_rows, rank_within
 from meadowlark.sources import gazetteer as Z
 from meadowlark.sources import web
 
@@ -302,7 +303,7 @@ def test_fuzzy_threshold_is_strict(spark):
 def test_fuzzy_blocks_agree(names, monkeypatch):
     mine, theirs, df, ref = names
     whole = {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref).collect()}
-    monkeypatch.setattr(M, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(M, "meet_in_blocks", partial(meet_in_blocks, rows=7))
     assert {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref).collect()} == whole
 
 
@@ -328,7 +329,7 @@ def test_cosine_topk_brute_and_blocks(spark, monkeypatch):
     truth = sorted((qi, rank + 1, int(i)) for qi in range(5)
                    for rank, i in enumerate(sorted(range(300), key=lambda i: (-scores[qi][i], i))[:20]))
     assert rows(S.cosine_topk(q, c, 20).select("query_id", "rank", "id")) == truth
-    monkeypatch.setattr(S, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(S, "meet_in_blocks", partial(meet_in_blocks, rows=2))
     assert rows(S.cosine_topk(q, c, 20).select("query_id", "rank", "id")) == truth
 
 
@@ -336,11 +337,13 @@ def test_keyword_search_points(spark):
     org = spark.createDataFrame([(1, "Organic Farm Co", "an organic farm", "US", 0.0, 0.0, False, False, False), (2, "X", "y", "z", 0.0, 0.0, True, True, True)],
                                 "id long, name string, description string, country string, latitude double, longitude double,"
                                 " has_jobs boolean, has_stays boolean, has_events boolean")
-    assert [(r["id"], r["score"]) for r in S.keyword_search("organic farm", org).collect()] == [(1, 0.9)]
-    assert [r["id"] for r in S.keyword_search("job", org).collect()] == [2]
+    asked = spark.createDataFrame([(1, "organic farm"), (2, "job"), (3, None), (4, "")], "query_id long, text string")
+    got = rows(S.keyword_search(asked.where("query_id < 4"), org).select("query_id", "id", "score", "rank"))
+    assert got == [(1, 1, 0.9, 1), (2, 2, 0.1, 1)]
+    assert S.keyword_search(asked.limit(0), org).count() == 0 and S.keyword_search(asked, org.limit(0)).count() == 0
 
 
-def test_search_filters_after_retrieval(spark):
+def test_search_filters_before_retrieval(spark):
     n = 40
     org = spark.createDataFrame([(i, f"Org {i}", "d", "BR" if i % 2 else "FR", "c", 0.0, 0.0, "t", True, True, True, True, True) for i in range(n)],
                                 "id long, name string, description string, country string, city string, latitude double, longitude double,"
@@ -350,14 +353,30 @@ def test_search_filters_after_retrieval(spark):
     q = spark.createDataFrame([(0, "farm in Brazil", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
     got = S.search(q, corpus, org, Z.gazetteer(spark), top_n=2).orderBy("rank").collect()
     assert [r["rank"] for r in got] == [1, 2] and {r["country"] for r in got} == {"BR"}
-    # with a cut of 1 the best row is French, so nothing is left; filtering first finds the Brazilian ones
-    assert S.search(q, corpus, org, Z.gazetteer(spark), top_n=2, retrieve_with_place=1).count() == 0
-    pre = S.search(q, corpus, org, Z.gazetteer(spark), top_n=2, retrieve_with_place=2, prefilter=True)
+    # with a cut of 1 the best row is French, so filtering after the cut leaves nothing
+    assert S.search(q, corpus, org, Z.gazetteer(spark), top_n=2, retrieve_with_place=1, prefilter=False).count() == 0
+    pre = S.search(q, corpus, org, Z.gazetteer(spark), top_n=2, retrieve_with_place=2)
     assert rows(pre.select("id")) == [(1,), (3,)]
 
 
 # --- pages ----------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("html,text", [
+    ('<p>A</p><img class="social-icon"><p>B</p>', "A B"), ('<input id="menu-toggle">A', "A"),
+    ('<div class="sidebar"><div>in</div>still in</div>out', "out"), ("<ul><li class=legal>a<li>b</ul>", "b"),
+    ("<p class=copyright>a<p>b", "b"), ("<nav><p>x</nav>y</nav>z", "y z"), ("a</div>b<br/>c", "a b c"),
+    ("<div role=search><b>q</div>r", "r"), ("&eacute;&#8217;&ndash; &bogus;", "é’– &bogus;"), ("<form>f<p>g</form>h", "h"),
+])
+def test_hidden_parts_end_with_their_element(html, text):
+    assert visible_text(html, "full") == text
+
+
+def test_references_are_decoded_once(one):
+    text = "a &eacute;&#233;&#xE9;&nbsp;&euro;&amp;lt; &bogus; &amp &#0; &#x110000; &#128512;& &apos;"
+    assert one(T.html_unescape("s"), s=text) == "a ééé €&lt; &bogus; &amp &#0; &#x110000; \U0001f600& '"
+    assert one(T.html_unescape("s"), s="plain") == "plain" and one(T.html_unescape("s"), s="") == ""
+
+
 def test_visible_text_profiles(spark):
     html = '<div class="sidebar">no</div><header>head</header><p>yes <b>bold</b> &amp; more</p><script>x</script><footer>foot</footer></nav>'
     assert visible_text(html, "full") == "yes bold & more"
@@ -395,7 +414,8 @@ def test_sitemaps_one_level(spark):
         ("s1", "<urlset><url><loc>a</loc></url><url><loc>b</loc></url><url><loc>c</loc></url></urlset>"),
         ("s2", "<urlset><url><loc>d</loc></url><url><loc>e</loc></url></urlset>")], "url string, body string")
     got = rows(web.sitemap_urls(docs).where("url = 'i'").select("pos", "page_url"))
-    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")]
+    assert rows(web.sitemap_urls(docs, 4).where("url = 'i'").select("pos", "page_url")) == got[:4]
 
 
 def test_nearby_crosses_the_date_line(spark):
