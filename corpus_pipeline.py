@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, and whether they decode to its text."""
     vocabulary = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    both = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), *vocabulary), *vocabulary)
+    both = byte_bpe.encode_and_decode(docs.select(*COLUMNS), *vocabulary)
     same = F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

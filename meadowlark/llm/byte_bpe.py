@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from meadowlark.llm import words as W
-from meadowlark.llm.batches import bound_batches, process_cache
+from meadowlark.llm.batches import bound_batches, free_name, process_cache
 from meadowlark.llm.pieces import ChunkCache
 
 _NONE = np.int32(2**31 - 1)
@@ -211,6 +211,22 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
+def _encoded(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
+    values, counts = [], [0]
+    for a, b in W.slices(texts):
+        for x in bpe.encode([t or "" for t in texts[a:b].to_pylist()]):
+            values.append(x)
+            counts.append(counts[-1] + len(x) // 4)
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
+
+
+def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return pa.array([bpe.decode(flat[a:b])[0].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the list of token ids of ``text``. The rank file is read by the driver."""
     bound_batches(df.sparkSession)
@@ -218,13 +234,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encoded(texts: pa.Array) -> pa.Array:
-        bpe, values, counts = bpe_of(held.value, pattern), [], [0]
-        for a, b in W.slices(texts, W.SEGMENT):
-            for x in bpe.encode([t or "" for t in texts[a:b].to_pylist()]):
-                values.append(x)
-                counts.append(counts[-1] + len(x) // 4)
-        flat = pa.array(np.frombuffer(b"".join(values), np.int32))
-        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat)
+        return _encoded(bpe_of(held.value, pattern), texts)
 
     return df.withColumn(ids, encoded(F.col(f"`{text}`").cast("string")))
 
@@ -236,15 +246,24 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     @F.arrow_udf(BinaryType())
     def decoded(lists: pa.Array) -> pa.Array:
-        bpe, at = bpe_of(held.value, pattern), [0]
-        lists = pa.array(lists, pa.list_(pa.int32())) if not isinstance(lists, pa.ListArray) else lists
-        offsets = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        data = []
-        for i in range(len(lists)):
-            got, _ = bpe.decode(flat[offsets[i]: offsets[i + 1]] if lists[i].is_valid else flat[:0])
-            data.append(got.tobytes())
-        return pa.array(data, pa.binary())
+        return _decoded(bpe_of(held.value, pattern), lists)
 
     # coalesce stands between the two functions: chained directly, each use of ids would encode again
     return df.withColumn(out, decoded(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+                      out: str = "bytes") -> DataFrame:
+    """``decode(encode(df))`` in one Python worker a task instead of two."""
+    bound_batches(df.sparkSession)
+    held = _vocabulary(df, path)
+
+    @F.arrow_udf("ids array<int>, bytes binary")
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = bpe_of(held.value, pattern)
+        lists = _encoded(bpe, texts)
+        return pa.StructArray.from_arrays([lists, _decoded(bpe, lists)], names=["ids", "bytes"])
+
+    name = free_name(df, "_both")
+    got = df.withColumn(name, both(F.col(f"`{text}`").cast("string")))
+    return got.withColumns({ids: F.col(name)["ids"], out: F.col(name)["bytes"]}).drop(name)

@@ -16,7 +16,7 @@ import regex
 _UNSAFE = regex.compile(r"\s (?!\S)")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 PART = 1 << 20  # characters that are split at once
-CACHE = 300_000  # chunks remembered by a process before it starts afresh
+CACHE = 200_000  # chunks remembered by a process before it starts afresh
 
 
 class ChunkCache:

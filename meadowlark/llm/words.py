@@ -56,7 +56,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]: at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, most: int = 4 * SEGMENT):
+def slices(texts: pa.Array, most: int = SEGMENT):
     """Row ranges (from, to) of about ``most`` bytes of text; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0

@@ -75,6 +75,8 @@ def test_bpe_frames(spark, reference):
     assert [r["ids"] for r in out] == [reference.encode_ordinary(t or "") for _, t in rows]
     assert [bytes(r["bytes"]).decode() for r in out] == [t or "" for _, t in rows]
     assert out[0]["we.ird"] == "kept"
+    both = byte_bpe.encode_and_decode(df, RANKS, P.PATTERN)
+    assert both.columns == [*df.columns, "bytes"] and [tuple(r) for r in both.collect()] == [tuple(r) for r in out]
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.encode(nothing, RANKS, P.PATTERN).count() == 0
     nulls = spark.createDataFrame([(None,)], "ids array<int>")
