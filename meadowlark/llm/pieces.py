@@ -15,8 +15,9 @@ import regex
 
 _UNSAFE = regex.compile(r"\s (?!\S)")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
+_CLOSING = ".,;:!?"
 PART = 1 << 20  # characters that are split at once
-CACHE = 200_000  # chunks remembered by a process before it starts afresh
+CACHE = 200_000  # chunks a process remembers, about 160 bytes each
 
 
 class ChunkCache:
@@ -29,6 +30,8 @@ class ChunkCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], chunks=None, most: int = CACHE):
         self.encode, self.chunks, self.most = encode, chunks or encode, most
         self.spaced: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the half of the chunks that gives way next, unless met again
+        self.tails: dict[str, bytes] = {}
 
     def parts(self, text: str):
         """The text in parts that start at a chunk, so that a long text is never split at once."""
@@ -41,18 +44,39 @@ class ChunkCache:
             a = cut.start()
         yield text[a:] if a else text
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = list(chunks.difference(self.spaced))
-        if len(self.spaced) + len(new) > self.most:
-            self.spaced.clear()
-            new = list(chunks)
+    def _promote(self, chunks: set[str]) -> None:
+        """Takes those of ``chunks`` that are remembered from before out of the set."""
+        again = [c for c in chunks if c in self.older]
+        self.spaced.update(zip(again, map(self.older.__getitem__, again)))
+        chunks.difference_update(again)
+
+    def _learn(self, missing: set[str]) -> None:
+        """A chunk that is a word of letters and closing marks is put together from the two, which
+        are pieces of their own, so a word is tokenized once whatever follows it."""
+        self._promote(missing)
+        cut, wanted, tails = {}, set(), set()
+        for chunk in missing:
+            word = chunk.rstrip(_CLOSING)
+            if len(word) < len(chunk) and word.isalpha() and word[-1] < "\u2000":
+                cut[chunk] = word
+                tails.add(chunk[len(word):])
+                wanted.add(word)
+            else:
+                wanted.add(chunk)
+        wanted = {c for c in wanted if c not in self.spaced}
+        self._promote(wanted)
+        new = list(wanted)
         self.spaced.update(zip(new, self.chunks([" " + c for c in new])))
+        new = list(tails.difference(self.tails))
+        self.tails.update(zip(new, self.encode(new)))
+        self.spaced.update((c, self.spaced[w] + self.tails[c[len(w):]]) for c, w in cut.items())
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Bytes of each text; pass texts of a few MB in all at once."""
         split: list[list] = []
         wanted: set[str] = set()
         whole: list[str] = []
+        known = self.spaced
         for text in texts:
             plan = []
             for part in self.parts(text) if text else ():
@@ -65,9 +89,12 @@ class ChunkCache:
                     plan.append(len(whole))
                     whole.append(chunks[0])
                 del chunks[0]
-                wanted.update(chunks)
+                wanted.update([c for c in chunks if c not in known])
                 plan.append(chunks)
             split.append(plan)
         self._learn(wanted)
-        first, get = self.encode(whole), self.spaced.__getitem__
-        return [b"".join(first[x] if isinstance(x, int) else b"".join(map(get, x)) for x in plan) for plan in split]
+        first, get = self.encode(whole), known.__getitem__
+        out = [b"".join(first[x] if isinstance(x, int) else b"".join(map(get, x)) for x in plan) for plan in split]
+        if 2 * len(known) > self.most:
+            self.older, self.spaced, self.tails = known, {}, {}
+        return out

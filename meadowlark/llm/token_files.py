@@ -34,6 +34,7 @@ from meadowlark.llm.pieces import ChunkCache
 
 SHARD_IDS = 1 << 22  # a shard is closed with the document that reaches this
 SAMPLE = 256
+CACHE = 400_000  # chunks a process remembers, about 160 bytes each
 _HEAD = "<4sHHqqqq"
 _PART = "<qqqqq"
 
@@ -150,37 +151,31 @@ def _encoder(model: bytes) -> ChunkCache:
             got = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-        def chunks(texts: list[str]) -> list[bytes]:
-            return _apart(texts, whole)
+        lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            lengths[i] = len(token)  # byte-level tokens have a character for each byte
 
-        made[key] = ChunkCache(whole, chunks)
+        made[key] = ChunkCache(whole, lambda texts: _apart(texts, whole, lengths), CACHE)
     return made[key]
 
 
-_MARK = "\0"
-
-
-def _apart(texts: list[str], whole) -> list[bytes]:
-    """Each of many chunks, all of which begin with a space, through one call of the library: a
-    mark between them is a chunk of its own, so it changes none of them."""
-    mark = np.frombuffer(whole([" " + _MARK])[0], "<u4")
-    if len(mark) != 2 or not texts:  # a vocabulary without a plain token for the mark
-        return whole(texts)
-    out: list[bytes] = [b""] * len(texts)
-    plain = [i for i, t in enumerate(texts) if _MARK not in t]
-    for a in range(0, len(plain), 20_000):
-        some = plain[a: a + 20_000]
-        ids = np.frombuffer(whole(["".join(texts[i] + " " + _MARK for i in some)])[0], "<u4")
-        ends = np.flatnonzero(ids == mark[1])
-        if len(ends) != len(some):
-            raise ValueError("the tokenizer joined chunks")
-        data, begin = ids.tobytes(), 0
-        for i, end in zip(some, ends.tolist()):
-            out[i] = data[4 * begin: 4 * (end - 1)]
-            begin = end + 1
-    marked = [i for i, t in enumerate(texts) if _MARK in t]
-    for i, x in zip(marked, whole([texts[i] for i in marked])):
-        out[i] = x
+def _apart(texts: list[str], whole, lengths: np.ndarray) -> list[bytes]:
+    """Each of many chunks through one call of the library. A chunk begins with its only space,
+    and ids stand for as many bytes as their tokens have, so the ids fall back into chunks."""
+    out: list[bytes] = []
+    for a in range(0, len(texts), 20_000):
+        text = "".join(texts[a: a + 20_000])
+        data, raw = text.encode(), whole([text])[0]
+        ends = np.cumsum(lengths[np.frombuffer(raw, "<u4")])
+        begins = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        cuts = np.searchsorted(ends, np.append(begins[1:], len(data)))
+        if len(cuts) != len(texts[a: a + 20_000]) or not len(ends) or ends[-1] != len(data) or (ends[cuts] != np.append(begins[1:], len(data))).any():
+            out += whole(texts[a: a + 20_000])  # a tokenizer that does not keep all bytes
+            continue
+        begin = 0
+        for end in (4 * (cuts + 1)).tolist():
+            out.append(raw[begin:end])
+            begin = end
     return out
 
 
