@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bindings.registry import query
 from bindings.relational import NOW
-from bindings.searching import BASE, POPUP_SQL, ref, ref_sql
+from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
 from bindings.texts import simple_text
 from meadowlark import schemas
 from meadowlark.functions import urls
 from meadowlark.operators import mutations as H
 from meadowlark.operators import search as S
 from meadowlark.operators import privacy
+from meadowlark.operators.aggregates import vector_range
 from meadowlark.plans import catalogue, listings
-from meadowlark.scale import top_per
+from meadowlark.session import ensure_checkpoint_dir
 from meadowlark.sinks import files
 from meadowlark.sources import tables
 from meadowlark.streaming import ingest
@@ -39,16 +42,8 @@ def site_children(t, schema):
 
 
 def _scratch(t):
-    import tempfile
-
-    from meadowlark.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(t.spark)
-    if base.startswith(("file:/", "/")):
-        import os
-        os.makedirs(base.removeprefix("file:"), exist_ok=True)
-        return tempfile.mkdtemp(prefix="stream-", dir=base.removeprefix("file:"))
-    import uuid
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("map_features", "org", sql=f"""
@@ -143,8 +138,7 @@ def _(t):
 @query("enrich_descriptions")
 def _(t):
     org = site_org(t).withColumn("description", F.concat("name", F.lit(" is an intentional community")))
-    # a sitemap lists the first fifty addresses of its site
-    listed = top_per(t.spage.select(urls.origin("url").alias("o"), "url").distinct(), ["o"], [F.col("url")], 50)
+    listed = t.spage.select(urls.origin("url").alias("o"), "url").distinct()
     per_site = listed.groupBy("o").agg(F.array_sort(F.collect_list("url")).alias("l"))
     locs = F.array_join(F.transform("l", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "")
     docs = per_site.select(F.concat("o", F.lit("/map.xml")).alias("url"), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body")).unionByName(
@@ -201,18 +195,23 @@ def _(t):
 @query("read_json_array", "product", sql="SELECT id, name, size FROM product")
 def _(t):
     base = _scratch(t)
-    # each line is a JSON array of up to a hundred records
+    # JSON arrays of up to a hundred records: half of them a line of a file, half a whole file each
     arrays = t.product.groupBy(F.expr("id div 100").alias("b")).agg(F.to_json(F.collect_list(F.struct("id", "name", "size"))).alias("value"))
-    arrays.select("value").write.text(f"{base}/arrays")
+    arrays.where("b % 2 = 0").select("value").write.text(f"{base}/lines")
+    arrays.where("b % 2 = 1").repartition("b").write.partitionBy("b").text(f"{base}/files")
     record = StructType.fromDDL("id bigint, name string, size int")
-    return tables.read_json(t.spark, f"{base}/arrays", record, one_per_line=True)
+    lines = tables.read_json(t.spark, f"{base}/lines", record, one_per_line=True)
+    return lines.unionByName(tables.read_json(t.spark, f"{base}/files", record).select("id", "name", "size"))
 
 
 @query("read_geojson", "org", sql="SELECT id, name, coalesce(country, '') AS country, latitude, longitude, has_jobs AS \"hasJobs\" FROM org WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
 def _(t):
     base = _scratch(t)
-    files.write_geojson(t.org, BASE, f"{base}/map")
-    return tables.read_geojson_lines(t.spark, f"{base}/map").select("id", "name", "country", "latitude", "longitude", "hasJobs")
+    # even ids as FeatureCollections, odd ones as a feature per line
+    files.write_feature_collections(t.org.where("id % 2 = 0"), BASE, f"{base}/map", 100)
+    files.write_geojson(t.org.where("id % 2 = 1"), BASE, f"{base}/lines")
+    columns = ["id", "name", "country", "latitude", "longitude", "hasJobs"]
+    return tables.read_geojson(t.spark, f"{base}/map").select(*columns).unionByName(tables.read_geojson_lines(t.spark, f"{base}/lines").select(*columns))
 
 
 @query("read_vector_chunks", "vec", sql="""
@@ -220,8 +219,12 @@ def _(t):
 def _(t):
     base = _scratch(t)
     vec = t.vec.select("id", "embedding", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon"))
-    files.write_vector_chunks(vec, base, "given", 64)
-    back = tables.read_vector_lines(t.spark, f"{base}/data").select("id", "pos", F.col("embedding").alias("restored"), "lo", "hi")
+    # even ids through chunk documents, odd ones through chunk folders with a record per line
+    files.write_chunk_files(vec, f"{base}/chunks", 64)
+    files.write_vector_chunks(vec, f"{base}/lines", "given", 64)
+    documents = tables.read_vector_chunks(t.spark, f"{base}/chunks").where("id % 2 = 0").select("id", "pos", F.col("embedding").alias("restored"))
+    lines = tables.read_vector_lines(t.spark, f"{base}/lines/data").where("id % 2 = 1").select("id", "pos", F.col("embedding").alias("restored"))
+    back = documents.unionByName(lines).crossJoin(F.broadcast(vector_range(vec)))  # one row
     far = F.array_max(F.zip_with(F.col("embedding").cast("array<double>"), F.col("restored"), lambda a, b: F.abs(a - b)))
     return back.join(t.vec, "id").select("id", "pos", F.size("restored").alias("dim"), (far <= (F.col("hi") - F.col("lo")) / 255).alias("close"))
 
@@ -253,9 +256,35 @@ def _(t):
 
 # --- streams -----------------------------------------------------------------------------------
 
-@query("calendar_stream", "evt", sql="SELECT date_trunc('day', start_date) AS window_start, event_type, count(*) AS n FROM evt GROUP BY 1, 2")
+@query("calendar_stream", "evt", sql="""
+    SELECT date_trunc('day', start_date) AS window_start, event_type, count(*) AS n FROM evt GROUP BY 1, 2
+    HAVING date_trunc('day', start_date) + INTERVAL 1 DAY <= (SELECT max(start_date) FROM evt) - INTERVAL 1 DAY""")
+def _(t):
+    """The days that the watermark, a day behind the last event, has closed."""
+    base = _scratch(t)
+    t.evt.select("start_date", "event_type").write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema("start_date timestamp_ntz, event_type string").parquet(f"{base}/in")
+    ingest.land_event_counts(stream, f"{base}/out", f"{base}/ckpt", "1 day", "1 day").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out")
+
+
+@query("write_icalendar", "evt", "org", sql=f"""
+    WITH v AS ({ICALENDAR_SQL}), l AS (SELECT unnest(string_split(vevent, chr(13) || chr(10))) AS line FROM v
+        UNION ALL SELECT unnest(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//Farms//Events//EN', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', 'X-WR-CALNAME:Farms', 'X-WR-TIMEZONE:UTC', 'END:VCALENDAR']))
+    SELECT line, count(*) AS n FROM l GROUP BY line""")
 def _(t):
-    return ingest.event_counts(t.evt, "1 day")
+    base = _scratch(t)
+    files.write_icalendar(calendar_entries(t), f"{base}/feed", "Farms")
+    return t.spark.read.option("lineSep", "\r\n").text(f"{base}/feed").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("write_sql", "org", sql="""
+    SELECT 'DELETE FROM organizations;' AS statement UNION ALL
+    SELECT 'INSERT INTO organizations (id, name, has_jobs) VALUES (' || id || ', ''' || replace(name, '''', '''''') || ''', ' || CAST(CAST(has_jobs AS INTEGER) AS VARCHAR) || ');' FROM org""")
+def _(t):
+    base = _scratch(t)
+    files.write_sql(t.org.select("id", "name", "has_jobs"), "organizations", f"{base}/dump", "refresh")
+    return t.spark.read.text(f"{base}/dump").select(F.col("value").alias("statement"))
 
 
 @query("ingest_submissions", "org", sql="""

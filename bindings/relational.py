@@ -470,12 +470,16 @@ def _(t):
 
 @query("merge_by_location", "org", sql="""
     WITH m AS (SELECT id, name, round(CAST(id % 300 AS DOUBLE) / 7, 4) AS lat, round(CAST(id % 100 AS DOUBLE) / 3, 4) AS lng, source,
-        CASE WHEN name LIKE '%5' THEN 1 ELSE 0 END AS g FROM org)
+        directory_url, city, CASE WHEN name LIKE '%5' THEN 1 ELSE 0 END AS g FROM org)
     SELECT arg_min(id, g * 1000000000 + id) AS id, arg_min(name, g * 1000000000 + id) AS name, lat, lng,
-        coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources, count(DISTINCT id) AS n_merged FROM m GROUP BY lat, lng""")
+        coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources,
+        coalesce(string_agg(DISTINCT directory_url, ',' ORDER BY directory_url), '') AS source_urls, coalesce(string_agg(DISTINCT city, ',' ORDER BY city), '') AS tags,
+        count(DISTINCT id) AS n_merged FROM m GROUP BY lat, lng""")
 def _(t):
-    m = t.org.selectExpr("id", "name", "CAST(id % 300 AS DOUBLE) / 7 AS lat", "CAST(id % 100 AS DOUBLE) / 3 AS lng", "array_compact(array(source)) AS sources")
-    return A.merge_by_location(m, F.col("name").endswith("5")).withColumn("sources", F.array_join("sources", ","))
+    m = t.org.selectExpr("id", "name", "CAST(id % 300 AS DOUBLE) / 7 AS lat", "CAST(id % 100 AS DOUBLE) / 3 AS lng", "array_compact(array(source)) AS sources",
+                         "array_compact(array(directory_url)) AS source_urls", "array_compact(array(city)) AS tags")
+    merged = A.merge_by_location(m, F.col("name").endswith("5"))
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("sources", "source_urls", "tags")})
 
 
 @query("distribution", "org", sql="SELECT country, count(*) AS n FROM org GROUP BY country ORDER BY n DESC, country LIMIT 20")
@@ -733,6 +737,6 @@ def _(t):
     return L.erased_any(t.evt, "organization_id", t.ledger.select(F.col("id").alias("organization_id")))
 
 
-@query("erase_all", "evt", sql="SELECT id, title FROM evt WHERE false")
+@query("erase_all", "evt", sql="SELECT count(*) AS erased FROM evt")
 def _(t):
-    return L.truncate(t.evt).select("id", "title")
+    return L.erase_all(t.evt).report

@@ -82,10 +82,16 @@ def _(t):
     return t.vec.select("id", F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("pack_f32", "vec", sql="SELECT id, CAST(ceil(len(embedding) * 4 / 3.0) * 4 AS INTEGER) AS n, CAST(len(embedding) AS INTEGER) AS dim FROM vec")
+@query("pack_f32", "vec", sql="""
+    SELECT id, CAST(ceil(len(embedding) * 4 / 3.0) * 4 AS INTEGER) AS n, array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)), ',') AS millionths,
+        floor(log2(abs(CAST(embedding[1] AS DOUBLE)))) AS exponent FROM vec""")
 def _(t):
-    return t.vec.select("id", V.pack_f32("embedding").alias("packed")).select("id", F.length("packed").alias("n"), V.unpack_f32("packed").alias("v")).select(
-        "id", "n", F.size("v").alias("dim"))
+    packed = t.vec.select("id", V.pack_f32("embedding").alias("packed"))
+    back = packed.select("id", F.length("packed").alias("n"), F.unbase64("packed").alias("raw"), V.unpack_f32("packed").cast("array<double>").alias("v"))
+    # the exponent bits of the first value, read from its third and fourth byte
+    byte = lambda i: F.conv(F.hex(F.substring("raw", i, 1)), 16, 10).cast("int")
+    exponent = (byte(4) % 128 * 2 + F.floor(byte(3) / 128) - 127).cast("double")
+    return back.select("id", "n", F.array_join(F.transform("v", lambda x: F.round(x * 1e6).cast("long").cast("string")), ",").alias("millionths"), exponent.alias("exponent"))
 
 
 @query("index_header", "vec", sql="""
@@ -97,11 +103,13 @@ def _(t):
 
 
 @query("write_vector_chunks", "vec", sql="""
-    WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, len(embedding) AS d FROM vec)
-    SELECT id, pos, pos // 64 AS chunk, pos // 64 * 64 AS "offset", CAST(ceil(d / 3.0) * 4 AS INTEGER) AS n FROM r""")
+    WITH s AS (SELECT CAST(min(list_min(embedding)) AS DOUBLE) AS lo, CAST(max(list_max(embedding)) AS DOUBLE) AS hi FROM vec),
+    r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, embedding AS v FROM vec)
+    SELECT id, pos, pos // 64 AS chunk, pos // 64 * 64 AS "offset", array_to_string(list_transform(v, lambda x: CAST(round((CAST(x AS DOUBLE) - lo) / (hi - lo) * 255) AS INTEGER)), ',') AS codes FROM r, s""")
 def _(t):
     vec = t.vec.select("id", "embedding", (F.col("id") / 10).alias("lat"), (F.col("id") / 5).alias("lon"))
-    return files.vector_chunks(vec, 64).select("pos", "chunk", "offset", "id", F.length("e").alias("n"))
+    chunks = files.vector_chunks(vec, 64)
+    return chunks.select("pos", "chunk", "offset", "id", F.array_join(V.unpack_codes("e").cast("array<string>"), ",").alias("codes"))
 
 
 def place_queries(t):
@@ -361,14 +369,20 @@ _ICS_LINES = ["'BEGIN:VEVENT'", "'UID:event-' || id || '@catalogue.example'", "'
               f"'LOCATION:' || coalesce(nullif({_ics_esc('place')}, ''), 'TBD')", _ics_when("DTSTART", "start_date"), _ics_when("DTEND", "end_date"), "'END:VEVENT'"]
 
 
-@query("to_icalendar", "evt", "org", sql=f"""
-    WITH e AS (SELECT evt.id, evt.title, evt.description || ' ' || evt.description || ' ' || repeat('long text, ', evt.organization_id % 12) AS description, evt.event_url, evt.registration_url, o.website,
+ICALENDAR_SQL = f"""SELECT id, concat_ws(chr(13) || chr(10), {', '.join(_fold(x) for x in _ICS_LINES)}) AS vevent FROM (
+        SELECT evt.id, evt.title, evt.description || ' ' || evt.description || ' ' || repeat('long text, ', evt.organization_id % 12) AS description, evt.event_url, evt.registration_url, o.website,
         concat_ws(', ', nullif(evt.location, ''), nullif(o.city, ''), nullif(o.country, '')) AS place, start_date, end_date, strftime(start_date, '%H%M%S') <> '000000' AS timed
-        FROM evt JOIN org o ON evt.organization_id = o.id)
-    SELECT id, concat_ws(chr(13) || chr(10), {', '.join(_fold(x) for x in _ICS_LINES)}) AS vevent FROM e""")
-def _(t):
+        FROM evt JOIN org o ON evt.organization_id = o.id)"""
+
+
+def calendar_entries(t):
     ev = t.evt.withColumn("description", F.expr("concat(description, ' ', description, ' ', repeat('long text, ', cast(organization_id % 12 as int)))"))
-    return render.icalendar_events(ev, t.org, NOW, "catalogue.example").select("id", "vevent")
+    return render.icalendar_events(ev, t.org, NOW, "catalogue.example")
+
+
+@query("to_icalendar", "evt", "org", sql=ICALENDAR_SQL)
+def _(t):
+    return calendar_entries(t).select("id", "vevent")
 
 
 @query("to_sql_upserts", "org", sql="""

@@ -511,6 +511,19 @@ def _(t):
                     X.booking_class(F.col("f")).alias("booking_type"))
 
 
+@query("booking_class_fine", "rich", sql=f"""
+    WITH p AS (SELECT page_id, lower(html) AS h, lower({simple_text('html')}) AS t FROM rich),
+    f AS (SELECT page_id, regexp_matches(h, '<form\\b') AS form, regexp_matches(h, '<iframe\\b') AS frame, regexp_matches(t, '{K.EMAIL}') AS mail,
+        regexp_matches(t, '{esc(K.PHONE)}') AS phone, {any_word('t', K.BOOKING_CALENDARS_FINE)} AS cal, {count_words('t', K.BOOKING_KEYWORDS_FINE)} AS kw,
+        CAST(len(list_filter(regexp_extract_all(h, '<a\\b[^>]*href=["'']([^"'']+)["'']', 1), lambda x: regexp_matches(x, '{'|'.join(w.replace('.', chr(92) + '.') for w in K.BOOKING_HOSTS_FINE)}'))) AS BIGINT) AS ext FROM p)
+    SELECT page_id, kw AS keywords, ext AS external, CASE WHEN form AND kw >= 2 THEN 'direct_form' WHEN frame OR ext > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
+        WHEN (mail OR phone) AND kw >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM f""")
+def _(t):
+    f = t.rich.withColumn("text", X.text_simple("html")).select("page_id", X.booking_features_fine("html", "text", "url").alias("f"))
+    return f.select("page_id", F.col("f.booking_keywords").cast("long").alias("keywords"), F.size("f.external_links").cast("long").alias("external"),
+                    X.booking_class(F.col("f")).alias("booking_type"))
+
+
 @query("stay_listing", "doc", sql="SELECT id, substr(split_part(text, '. ', 1), 1, 200) AS title, substr(text, 1, 2000) AS description FROM doc")
 def _(t):
     return t.doc.select("id", X.stay_listing("text").alias("s")).select("id", "s.title", "s.description")

@@ -432,6 +432,23 @@ def booking_features(html, text, url=None) -> Column:
     )
 
 
+def booking_features_fine(html, text, url=None) -> Column:
+    """The second pass: more keywords and hosts; contacts and calendars must stand in the visible
+    text, links in anchors."""
+    low, page = F.lower(col(text)), F.lower(col(html))
+    linked = F.transform(anchors(html), lambda a: F.lower(a["href"]))
+    return F.struct(
+        (F.lit(None).cast("string") if url is None else col(url)).alias("url"),
+        page.rlike(r"<form\b").alias("has_form"),
+        page.rlike(r"<iframe\b").alias("has_iframe"),
+        low.rlike(K.EMAIL).alias("has_email"),
+        low.rlike(K.PHONE).alias("has_phone"),
+        low.rlike(words_regex(K.BOOKING_CALENDARS_FINE)).alias("has_calendar"),
+        F.filter(linked, lambda h: h.rlike(words_regex(K.BOOKING_HOSTS_FINE))).alias("external_links"),
+        score_terms(text, K.BOOKING_KEYWORDS_FINE).alias("booking_keywords"),
+    )
+
+
 def booking_class(f: Column) -> Column:
     return (
         F.when(f["has_form"] & (f["booking_keywords"] >= 2), "direct_form")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType
 
 from meadowlark.functions.text import col
 
@@ -34,23 +33,64 @@ def dequantize(codes, lo: float = -1.0, hi: float = 1.0) -> Column:
     return F.transform(col(codes), lambda b: b * (F.lit(float(hi)) - F.lit(float(lo))) / 255 + F.lit(float(lo)))
 
 
-@F.pandas_udf(StringType())
-def pack_codes(codes: pd.Series) -> pd.Series:
+def _bytes_of(lists: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The values of each list as raw little-endian bytes: the value buffer, cut at other offsets."""
+    lists = lists.cast(pa.large_list(kind))
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    cuts = pa.array(offsets * values.itemsize).buffers()[1]
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, cuts, pa.py_buffer(np.ascontiguousarray(values))])
+    return pc.if_else(lists.is_valid(), whole, None).cast(pa.binary())
+
+
+def _lists_of(packed: pa.Array, kind: pa.DataType, out: pa.DataType) -> pa.Array:
+    whole = packed.cast(pa.large_binary())
+    kept = np.dtype(kind.to_pandas_dtype())
+    _, cuts, data = whole.buffers()
+    offsets = np.frombuffer(cuts, np.int64)[whole.offset: whole.offset + len(whole) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]] if data is not None and len(whole) else np.zeros(0, np.uint8)
+    flat = np.frombuffer(raw.tobytes(), kept)
+    cut = pa.array(((offsets - offsets[0]) // kept.itemsize).astype(np.int32))
+    return pc.if_else(whole.is_valid(), pa.ListArray.from_arrays(cut, pa.array(flat).cast(out)), None)
+
+
+@F.arrow_udf(BinaryType())
+def _code_bytes(codes: pa.Array) -> pa.Array:
+    return _bytes_of(codes, pa.uint8())
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _byte_codes(packed: pa.Array) -> pa.Array:
+    return _lists_of(packed, pa.uint8(), pa.int32())
+
+
+@F.arrow_udf(BinaryType())
+def _float_bytes(vectors: pa.Array) -> pa.Array:
+    return _bytes_of(vectors, pa.float32())
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def _byte_floats(packed: pa.Array) -> pa.Array:
+    return _lists_of(packed, pa.float32(), pa.float32())
+
+
+def _one_line(c: Column) -> Column:
+    """Without the line ends that Spark puts into long base64 texts."""
+    return F.translate(c, "\r\n", "")
+
+
+def pack_codes(codes) -> Column:
     """Codes as base64 bytes."""
-    return codes.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, np.uint8).tobytes()).decode())
+    return _one_line(F.base64(_code_bytes(col(codes))))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def unpack_codes(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda s: None if s is None else np.frombuffer(base64.b64decode(s), np.uint8).astype(np.int32))
+def unpack_codes(packed) -> Column:
+    return _byte_codes(F.unbase64(col(packed)))
 
 
-@F.pandas_udf(StringType())
-def pack_f32(vec: pd.Series) -> pd.Series:
-    """Little-endian float32 as base64, one value per row."""
-    return vec.map(lambda v: None if v is None else base64.b64encode(np.asarray(v, "<f4").tobytes()).decode())
+def pack_f32(vector) -> Column:
+    """Little-endian float32 values as base64."""
+    return _one_line(F.base64(_float_bytes(col(vector))))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def unpack_f32(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda s: None if s is None else np.frombuffer(base64.b64decode(s), "<f4"))
+def unpack_f32(packed) -> Column:
+    return _byte_floats(F.unbase64(col(packed)))

@@ -111,17 +111,20 @@ def progress(org: DataFrame, jobs: DataFrame, stays: DataFrame) -> DataFrame:
 
 def merge_by_location(df: DataFrame, generic: Column, digits: int = 4) -> DataFrame:
     """Rows at one rounded position become one: real names before generic ones, then the lowest
-    id; sources are united. Source sets are reduced per position first, so a crowded position
-    stays one small set."""
-    place = [F.round("lat", digits).alias("lat"), F.round("lng", digits).alias("lng")]
-    best = F.min_by(F.struct("id", "name"), F.struct(generic.cast("int").alias("g"), F.col("id").alias("i")))
-    members = df.select("*", F.explode_outer("sources").alias("_source"))
-    return (
-        members.groupBy(*place)
-        .agg(best.alias("_best"), F.array_sort(F.collect_set("_source")).alias("sources"),
-             F.count_distinct("id").alias("n_merged"))
-        .select(F.col("_best.id").alias("id"), F.col("_best.name").alias("name"), "lat", "lng", "sources", "n_merged")
-    )
+    id; sources, source_urls and tags are united, those that the rows have. A value counts once at
+    a position, and is reduced to that before it is shuffled."""
+    lists = [c for c in ("sources", "source_urls", "tags") if c in df.columns]
+    placed = df.select("id", "name", *lists, F.round("lat", digits).alias("_lat"), F.round("lng", digits).alias("_lng"),
+                       generic.cast("int").alias("_generic"))
+    best = F.min_by(F.struct("id", "name"), F.struct(F.col("_generic").alias("g"), F.col("id").alias("i")))
+    out = placed.groupBy("_lat", "_lng").agg(best.alias("_best"), F.count_distinct("id").alias("n_merged"))
+    for c in lists:
+        values = placed.select(F.col("_lat").alias("_a"), F.col("_lng").alias("_b"), F.explode(c).alias("_value")).distinct()
+        sets = values.groupBy("_a", "_b").agg(F.array_sort(F.collect_list("_value")).alias(c))
+        out = out.join(sets, F.col("_lat").eqNullSafe(F.col("_a")) & F.col("_lng").eqNullSafe(F.col("_b")), "left").drop("_a", "_b")
+    united = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists]
+    return out.select(F.col("_best.id").alias("id"), F.col("_best.name").alias("name"), F.col("_lat").alias("lat"),
+                      F.col("_lng").alias("lng"), *united, "n_merged")
 
 
 def distribution(df: DataFrame, col: str, n: int = 20) -> DataFrame:

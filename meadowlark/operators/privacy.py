@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,14 @@ def erased_any(df: DataFrame, key: str, subjects: DataFrame) -> DataFrame:
         key, F.col("_k").isNotNull().alias("erased"))
 
 
-def truncate(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+class Erased(NamedTuple):
+    rows: DataFrame
+    report: DataFrame
+
+
+def erase_all(df: DataFrame) -> Erased:
+    """The emptied table, and one row with the number of rows that were in it."""
+    return Erased(df.limit(0), df.agg(F.count(F.lit(1)).alias("erased")))
 
 
 def export_csv(df: DataFrame, path: str, col: str = "enriched_at") -> None:

@@ -164,7 +164,7 @@ def refine_stays(stays: DataFrame, org: DataFrame, pages: DataFrame) -> RefinedS
     work = C.stay_work(stays, org).select("id", "booking_url", "org_name")
     wanted = pages.join(keys_of(work, "booking_url", "url"), "url", "left_semi")
     text = HT.html_text(wanted, "full").withColumn("text", X.clean_text("text"))
-    read = text.select("url", X.booking_features("html", "text", "url").alias("booking_analysis"), X.price_info("text").alias("price_info"),
+    read = text.select("url", X.booking_features_fine("html", "text", "url").alias("booking_analysis"), X.price_info("text").alias("price_info"),
                        X.stay_types("text").alias("stay_type"), X.stay_title("html", F.lit("")).alias("page_title"),
                        T.prefix("text", 2000).alias("description"), "page_id")
     one = durable(first_per(read, ["url"], [F.col("page_id")]))

@@ -30,6 +30,19 @@ def write_geojson(org: DataFrame, base_url: str, path: str) -> None:
     render.to_geojson(org, base_url).select("feature").write.mode("overwrite").text(path)
 
 
+def write_feature_collections(org: DataFrame, base_url: str, path: str, n: int = 3000) -> None:
+    """FeatureCollection documents of at most ``n`` features by id, one file in a folder each."""
+    numbered = assign_chunks(render.to_geojson(org, base_url), n)
+    listed = numbered.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "feature"))).alias("f"))
+    document = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}"))
+    _one_file_each(listed.select("chunk", document.alias("value")), path)
+
+
+def _one_file_each(documents: DataFrame, path: str) -> None:
+    """One text file in a folder of its own for every (chunk, value)."""
+    documents.repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
+
+
 def write_icalendar(vevents: DataFrame, path: str, name: str) -> None:
     """Entries by start, in files that read in order; head and foot are the first and last rows."""
     head = "\r\n".join(render.CALENDAR_HEAD).format(name, name)
@@ -62,6 +75,17 @@ def vector_chunks(vec: DataFrame, n: int = 3000, order=("id",)) -> DataFrame:
     return ranged.select("pos", "chunk", "offset", "id", "lat", "lon", "lo", "hi", V.pack_codes(codes).alias("e"))
 
 
+def write_chunk_files(vec: DataFrame, path: str, n: int = 3000) -> None:
+    """One JSON document per chunk of at most ``n`` vectors: dim, count, offset, range, data."""
+    rows = vector_chunks(vec, n)
+    listed = rows.groupBy("chunk", "offset", "lo", "hi").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "id", "lat", "lon", "e"))).alias("d"))
+    data = F.transform("d", lambda x: F.struct(x["id"].alias("id"), x["lat"].alias("lat"), x["lon"].alias("lon"), x["e"].alias("e")))
+    dim = F.length(F.unbase64(F.get("d", F.lit(0))["e"])).alias("dim")
+    document = F.to_json(F.struct(dim, F.col("n").alias("count"), "offset", F.array("lo", "hi").alias("range"), data.alias("data")))
+    _one_file_each(listed.select("chunk", document.alias("value")), path)
+
+
 def write_vector_chunks(vec: DataFrame, path: str, model: str, n: int = 3000) -> None:
     """Chunk folders with one record per line under ``path``/data, the header under ``path``/index."""
     rows = vector_chunks(vec, n).drop("offset")

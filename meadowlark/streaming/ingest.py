@@ -92,3 +92,11 @@ def event_counts(events: DataFrame, every: str = "1 day", delay: str = "1 day",
         timed = timed.withWatermark("_ts", delay)
     return timed.groupBy(F.window("_ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+def land_event_counts(stream: DataFrame, out: str, checkpoint: str, every: str = "1 day", delay: str = "1 day",
+                      col: str = "start_date", once: bool = True) -> StreamingQuery:
+    """Counts of the windows that the watermark has closed, each written once; later rows are dropped."""
+    writer = event_counts(stream, every, delay, col).writeStream.outputMode("append").format("parquet")
+    writer = writer.option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
