@@ -54,7 +54,8 @@ def append_columns(df: DataFrame, source: str, fn: Callable[[pa.Array], list], r
 
     name = free_name(df, "_facts")
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in results}]
-    got = df.withColumn(name, facts(F.col(f"`{source}`").cast("string")))
+    # not called deterministic, so that a filter on a result is not pushed below and evaluates it again
+    got = df.withColumn(name, facts.asNondeterministic()(F.col(f"`{source}`").cast("string")))
     return got.select(*kept, *[F.col(name)[k].alias(k) for k in results])
 
 

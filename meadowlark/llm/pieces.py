@@ -17,7 +17,7 @@ _UNSAFE = regex.compile(r"\s (?!\S)")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 _CLOSING = ".,;:!?"
 PART = 1 << 20  # characters that are split at once
-CACHE = 200_000  # chunks a process remembers, about 160 bytes each
+CACHE = 60_000  # chunks a process remembers, about 160 bytes each
 
 
 class ChunkCache:
