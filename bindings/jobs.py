@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from bindings.registry import query
 from bindings.relational import NOW
 from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
-from bindings.texts import simple_text
+from bindings.texts import _clean_sql, booking_fine_sql, full_text, price_sql, simple_text, stay_types_sql, trimmed
 from meadowlark import schemas
 from meadowlark.functions import urls
 from meadowlark.operators import mutations as H
@@ -83,7 +83,15 @@ def _(t):
         "organization_id", "title", "role", "skills_needed", "commitment", "start_date", "application_email")
 
 
-@query("refine_stays")
+@query("refine_stays", "spage", sql=rf"""
+    WITH o AS (SELECT min(page_id) AS oid, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
+    s AS (SELECT page_id AS id, url, (SELECT name FROM o WHERE site = split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) AS name FROM spage),
+    q AS (SELECT url, min(page_id) AS page_id FROM spage GROUP BY url),
+    x AS (SELECT p.page_id, p.html, {full_text('p.html')} AS text FROM q JOIN spage p ON q.page_id = p.page_id),
+    p AS (SELECT page_id, html, {_clean_sql('text')} AS t FROM x), {booking_fine_sql('p')},
+    c AS (SELECT page_id, t, {trimmed("regexp_replace(" + trimmed("nullif(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), '')") + r", '\s*[|–—-]\s*.*$', '')")} AS cut FROM p)
+    SELECT s.id, CASE WHEN length(cut) > 5 AND length(cut) < 100 THEN cut ELSE 'Stay at ' || s.name END AS title, {stay_types_sql('t')} AS stay_type, {price_sql('t')} AS price_info,
+        booking_type, 1 AS rescraped FROM s JOIN q ON s.url = q.url JOIN c ON q.page_id = c.page_id JOIN booked ON booked.page_id = c.page_id""")
 def _(t):
     return listings.refine_stays(site_children(t, schemas.STAYS), site_org(t), t.spage).stays.select(
         "id", "title", "stay_type", "price_info", "booking_type", "rescraped")

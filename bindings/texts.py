@@ -410,12 +410,6 @@ def _(t):
     return t.rich.select("page_id", X.job_title(X.page_h1("html"), X.page_title("html"), F.lit("Farm")).alias("title"))
 
 
-@query("job_description")
-def _(t):
-    pages = HT.html_text(t.rich, "full")
-    return pages.select("page_id", X.job_description("text", X.page_title("html"), F.lit("Farm"), X.meta_description("html")).alias("description"))
-
-
 _BREAK = r"string_split(regexp_replace({c}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
@@ -443,6 +437,44 @@ def _(t):
     return t.doc.select("id", X.best_sentences(T.squeeze("text")).alias("best"))
 
 
+# page_id, text, title and meta of pages -> their job description; an organization is called ``name``
+def described_sql(pages, name):
+    lead = "ltrim(substr({c}, length({l}) + 1), ' —|-–·')"
+    drop = lambda c, l: f"CASE WHEN starts_with({c}, {l}) THEN {lead.format(c=c, l=l)} ELSE {c} END"
+    cut = r"CASE WHEN length(regexp_extract(substr({c}, 1, 500), '(?s)^(.*\.) ', 1)) > 101 THEN regexp_extract(substr({c}, 1, 500), '(?s)^(.*\.) ', 1) ELSE {e} END"
+    return rf"""
+    d1 AS (SELECT *, {drop('text', "coalesce(title, '')")} AS x FROM {pages}),
+    d2 AS (SELECT *, {drop('x', name)} AS y FROM d1),
+    d3 AS (SELECT *, {trimmed(r"regexp_replace(y, '^[—–\-|·\s]+', '')")} AS body FROM d2),
+    d4 AS (SELECT *, {_list_of('body')} AS every FROM d3),
+    d5 AS (SELECT page_id, list_filter(every, lambda s: {_prose_sql('s', K.SENTENCE_SKIP + K.SENTENCE_SKIP_EXTRA)}
+        AND NOT regexp_matches(s, '^(Transition Group|Community Growing|Other food|Nature Community)')) AS l FROM d4),
+    d6 AS (SELECT page_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM d5),
+    d7 AS (SELECT *, 3 * {count_words('s', K.SENTENCE_HIGH)} + 2 * {count_words('s', K.SENTENCE_MEDIUM)} + {count_words('s', K.SENTENCE_LOW)} AS base FROM d6),
+    d8 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS k FROM d7 WHERE i < 5 OR base > 0 QUALIFY k < 15),
+    d9 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM d8 QUALIFY o <= 4),
+    dg AS (SELECT page_id, string_agg(s, ' ' ORDER BY o) AS best FROM d9 GROUP BY page_id),
+    dj AS (SELECT d4.*, coalesce(dg.best, '') AS best, list_filter(every, lambda s: length(s) > 40 AND {any_word('s', K.SENTENCE_HIGH + K.SENTENCE_MEDIUM)})[1] AS topical
+        FROM d4 LEFT JOIN dg ON d4.page_id = dg.page_id),
+    described AS (SELECT page_id, CASE WHEN length(meta) > 80 AND NOT {any_word('meta', K.META_JUNK)} THEN CASE WHEN length(meta) > 450 THEN {cut.format(c='meta', e='substr(meta, 1, 500)')} ELSE meta END
+        WHEN coalesce(text, '') = '' THEN CASE WHEN length(meta) > 50 THEN meta END
+        WHEN length(best) > 500 THEN {cut.format(c='best', e="substr(best, 1, 500) || '...'")}
+        WHEN length(best) > 50 THEN best
+        ELSE coalesce(substr(topical, 1, 500), CASE WHEN length(meta) > 50 THEN substr(meta, 1, 500) END) END AS description FROM dj)"""
+
+
+TITLE_SQL = f"""nullif({squeezed(unescaped("nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')"))}, '')"""
+
+
+@query("job_description", "rich", sql=f"""
+    WITH p AS (SELECT page_id, {full_text('html')} AS text, {TITLE_SQL} AS title, {squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")} AS m FROM rich),
+    q AS (SELECT page_id, text, title, CASE WHEN length(m) > 30 THEN m END AS meta FROM p), {described_sql('q', "'Farm'")}
+    SELECT page_id, description FROM described""")
+def _(t):
+    pages = HT.html_text(t.rich, "full")
+    return pages.select("page_id", X.job_description("text", X.page_title("html"), F.lit("Farm"), X.meta_description("html")).alias("description"))
+
+
 @query("lead_sentences", "doc", sql=rf"""
     WITH b AS (SELECT id, {trimmed("regexp_replace(" + _clean_sql("text") + r", '^[—–\-|·\s]+', '')")} AS body FROM doc),
     e AS (SELECT id, body, {_list_of('body')} AS l FROM b),
@@ -485,16 +517,22 @@ def _(t):
     return t.doc.select("id", X.markdown_block(md).alias("block"))
 
 
-@query("price_info", "note", sql=f"""
-    SELECT id, coalesce({', '.join(f"CASE WHEN length(regexp_extract(text, '{esc(p)}', 0)) < 200 THEN nullif({trimmed(f'''regexp_extract(text, '{esc(p)}', 0)''')}, '') END" for p in K.PRICE_PATTERNS)},
-        nullif(array_to_string(regexp_extract_all(text, '{esc(K.AMOUNT)}', 1)[1:5], ', '), '')) AS price FROM note""")
+def price_sql(c):
+    phrases = ", ".join(f"CASE WHEN length(regexp_extract({c}, '{esc(p)}', 0)) < 200 THEN nullif({trimmed(f"regexp_extract({c}, '{esc(p)}', 0)")}, '') END" for p in K.PRICE_PATTERNS)
+    return f"coalesce({phrases}, nullif(array_to_string(regexp_extract_all({c}, '{esc(K.AMOUNT)}', 1)[1:5], ', '), ''))"
+
+
+def stay_types_sql(c):
+    named = ", ".join(f"CASE WHEN {any_word(c, ws)} THEN '{n}' END" for n, ws in K.STAY_TYPE_WORDS)
+    return f"coalesce(nullif(concat_ws(', ', {named}), ''), 'accommodation')"
+
+
+@query("price_info", "note", sql=f"SELECT id, {price_sql('text')} AS price FROM note")
 def _(t):
     return t.note.select("id", X.price_info("text").alias("price"))
 
 
-@query("stay_types", "note", sql=f"""
-    WITH s AS (SELECT id, concat_ws(', ', {', '.join(f"CASE WHEN {any_word('text', ws)} THEN '{n}' END" for n, ws in K.STAY_TYPE_WORDS)}) AS types FROM note)
-    SELECT id, CASE WHEN types = '' THEN 'accommodation' ELSE types END AS types FROM s""")
+@query("stay_types", "note", sql=f"SELECT id, {stay_types_sql('text')} AS types FROM note")
 def _(t):
     return t.note.select("id", X.stay_types("text").alias("types"))
 
@@ -511,13 +549,19 @@ def _(t):
                     X.booking_class(F.col("f")).alias("booking_type"))
 
 
-@query("booking_class_fine", "rich", sql=f"""
-    WITH p AS (SELECT page_id, lower(html) AS h, lower({simple_text('html')}) AS t FROM rich),
-    f AS (SELECT page_id, regexp_matches(h, '<form\\b') AS form, regexp_matches(h, '<iframe\\b') AS frame, regexp_matches(t, '{K.EMAIL}') AS mail,
-        regexp_matches(t, '{esc(K.PHONE)}') AS phone, {any_word('t', K.BOOKING_CALENDARS_FINE)} AS cal, {count_words('t', K.BOOKING_KEYWORDS_FINE)} AS kw,
-        CAST(len(list_filter(regexp_extract_all(h, '<a\\b[^>]*href=["'']([^"'']+)["'']', 1), lambda x: regexp_matches(x, '{'|'.join(w.replace('.', chr(92) + '.') for w in K.BOOKING_HOSTS_FINE)}'))) AS BIGINT) AS ext FROM p)
-    SELECT page_id, kw AS keywords, ext AS external, CASE WHEN form AND kw >= 2 THEN 'direct_form' WHEN frame OR ext > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
-        WHEN (mail OR phone) AND kw >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM f""")
+# page_id, html, t (text) of pages -> booking features and class of the second pass
+def booking_fine_sql(pages):
+    hosts = "|".join(w.replace(".", chr(92) + ".") for w in K.BOOKING_HOSTS_FINE)
+    return f"""
+    f0 AS (SELECT page_id, lower(html) AS h, lower(t) AS t FROM {pages}),
+    f1 AS (SELECT page_id, regexp_matches(h, '<form\\b') AS form, regexp_matches(h, '<iframe\\b') AS frame, regexp_matches(t, '{K.EMAIL}') AS mail,
+        regexp_matches(t, '{esc(K.PHONE)}') AS phone, {any_word('t', K.BOOKING_CALENDARS_FINE)} AS cal, {count_words('t', K.BOOKING_KEYWORDS_FINE)} AS keywords,
+        CAST(len(list_filter(regexp_extract_all(h, '<a\\b[^>]*href=["'']([^"'']+)["'']', 1), lambda x: regexp_matches(x, '{hosts}'))) AS BIGINT) AS external FROM f0),
+    booked AS (SELECT page_id, keywords, external, CASE WHEN form AND keywords >= 2 THEN 'direct_form' WHEN frame OR external > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
+        WHEN (mail OR phone) AND keywords >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM f1)"""
+
+
+@query("booking_class_fine", "rich", sql=f"WITH p AS (SELECT page_id, html, {simple_text('html')} AS t FROM rich), {booking_fine_sql('p')} SELECT * FROM booked")
 def _(t):
     f = t.rich.withColumn("text", X.text_simple("html")).select("page_id", X.booking_features_fine("html", "text", "url").alias("f"))
     return f.select("page_id", F.col("f.booking_keywords").cast("long").alias("keywords"), F.size("f.external_links").cast("long").alias("external"),
