@@ -10,7 +10,10 @@ from pyspark.sql.types import StructType
 from bindings.registry import query
 from bindings.relational import NOW
 from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
-from bindings.texts import _clean_sql, booking_fine_sql, full_text, price_sql, simple_text, stay_types_sql, trimmed
+from bindings.texts import (
+    H1_SQL, META_SQL, TITLE_SQL, _clean_sql, booking_fine_sql, described_sql, event_dates_sql, full_text, job_title_sql, price_sql, simple_text,
+    stay_types_sql, trimmed,
+)
 from meadowlark import schemas
 from meadowlark.functions import urls
 from meadowlark.operators import mutations as H
@@ -97,14 +100,25 @@ def _(t):
         "id", "title", "stay_type", "price_info", "booking_type", "rescraped")
 
 
-@query("refine_events")
+@query("refine_events", "spage", sql=f"""
+    WITH q AS (SELECT url, min(page_id) AS page_id FROM spage GROUP BY url), x AS (SELECT p.page_id, html FROM q JOIN spage p ON q.page_id = p.page_id), {event_dates_sql('x')}
+    SELECT s.page_id AS id, s.url AS event_url, CASE WHEN s.page_id % 3 = 0 THEN TIMESTAMP '2021-07-11' ELSE r.start_date END AS start_date, r.end_date, online AS is_online, person AS is_in_person,
+        video AS registration_url FROM spage s JOIN q ON s.url = q.url JOIN resolved r ON q.page_id = r.page_id""")
 def _(t):
     events = site_children(t, schemas.EVENTS).withColumn("start_raw", F.when(F.col("id") % 3 == 0, "July 11, 2021")).withColumn(
         "end_raw", F.lit(None).cast("string"))
     return listings.refine_events(events, t.spage).select("id", "event_url", "start_date", "end_date", "is_online", "is_in_person", "registration_url")
 
 
-@query("redescribe_jobs")
+@query("redescribe_jobs", "spage", sql=rf"""
+    WITH o AS (SELECT min(page_id) AS oid, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
+    s AS (SELECT page_id AS id, url, (SELECT name FROM o WHERE site = split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) AS name FROM spage),
+    q AS (SELECT spage.url, min(page_id) AS page_id, any_value(name) AS name FROM spage JOIN s ON s.id = spage.page_id WHERE length(html) >= 200 GROUP BY 1),
+    p AS (SELECT p.page_id, q.url, q.name, {full_text('html')} AS text, {TITLE_SQL} AS title, {H1_SQL} AS h1, {META_SQL} AS m FROM q JOIN spage p ON q.page_id = p.page_id),
+    r AS (SELECT page_id, url, name, text, title, h1, CASE WHEN length(m) > 30 THEN m END AS meta FROM p), {described_sql('r', 'name')},
+    t AS (SELECT page_id, url, coalesce({job_title_sql('h1', 'title', 'name')}, 'Volunteer at ' || name) AS title FROM r WHERE length(text) >= 50 OR meta IS NOT NULL)
+    SELECT s.id, CASE WHEN length(t.title) > 5 THEN t.title ELSE 'Old ' || s.id END AS title, CASE WHEN length(d.description) > 50 THEN d.description ELSE 'old text' END AS description
+    FROM s LEFT JOIN t ON s.url = t.url LEFT JOIN described d ON t.page_id = d.page_id""")
 def _(t):
     return listings.redescribe_jobs(site_children(t, schemas.VOLUNTEER_OPPORTUNITIES), site_org(t), t.spage).select("id", "title", "description")
 

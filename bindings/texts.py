@@ -398,6 +398,18 @@ def _(t):
     return lined.select("id", F.inline(X.title_blocks("text")))
 
 
+def job_title_sql(h1, title, name):
+    """The first usable of heading and page title of an organization called ``name``."""
+    words_ = r"string_split_regex(t, '\s+')"
+    return rf"""list_filter([{trimmed("regexp_replace(" + squeezed(h1) + r", '\s*[|–—-]\s*.*$', '')")},
+        regexp_replace({trimmed("regexp_replace(" + squeezed(title) + r", '\s*[|–—-]\s*.*$', '')")}, '(?i)^Home\s*[-|]\s*', '')],
+        lambda t: length(t) > 5 AND length(t) < 80 AND NOT {any_word('t', K.TITLE_JUNK)} AND lower(t) <> lower({name})
+        AND NOT (len({words_}) > 8 AND len(list_filter({words_}, lambda w: regexp_matches(w, '^\p{{Lu}}'))) > len({words_}) * 0.7))[1]"""
+
+
+H1_SQL = unescaped("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]+>', '', 'g')")
+
+
 @query("job_title", "rich", sql=rf"""
     WITH c AS (SELECT page_id, list_filter([{trimmed("regexp_replace(" + squeezed('h1') + r", '\s*[|–—-]\s*.*$', '')")},
         regexp_replace({trimmed("regexp_replace(" + squeezed('title') + r", '\s*[|–—-]\s*.*$', '')")}, '(?i)^Home\s*[-|]\s*', '')],
@@ -466,8 +478,11 @@ def described_sql(pages, name):
 TITLE_SQL = f"""nullif({squeezed(unescaped("nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')"))}, '')"""
 
 
+META_SQL = squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")
+
+
 @query("job_description", "rich", sql=f"""
-    WITH p AS (SELECT page_id, {full_text('html')} AS text, {TITLE_SQL} AS title, {squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")} AS m FROM rich),
+    WITH p AS (SELECT page_id, {full_text('html')} AS text, {TITLE_SQL} AS title, {META_SQL} AS m FROM rich),
     q AS (SELECT page_id, text, title, CASE WHEN length(m) > 30 THEN m END AS meta FROM p), {described_sql('q', "'Farm'")}
     SELECT page_id, description FROM described""")
 def _(t):
@@ -612,7 +627,36 @@ def _(t):
     return web.jsonld_events(web.jsonld_items(t.rich)).select("page_id", "title", "start_date", "is_online", "is_in_person", "url")
 
 
-@query("event_start_resolution")
+_PLATFORM = "(?i)" + "|".join(K.VIDEO_PATTERNS)
+
+
+def event_dates_sql(pages):
+    """``resolved``: page_id, start_date, end_date, online, person, video of pages (page_id, html)."""
+    date = "coalesce(try_strptime({x}, '%Y-%m-%dT%H:%M'), try_strptime({x}, ['%Y-%m-%d %H:%M', '%Y-%m-%d', '%B %d, %Y', '%B %d %Y', '%b %d, %Y', '%b %d %Y', '%d %B %Y', '%d %b %Y']))"
+    meta = lambda *names: "coalesce(" + ", ".join(date.format(x=f"""nullif(regexp_extract(html, '(?i)<meta\\s+(?:property|name)=["'']{n}["'']\\s+content=["'']([^"'']+)["'']', 1), '')""") for n in names) + ")"
+    found = ", ".join(date.format(x=f"nullif(regexp_extract(t, '{esc(p)}', 1), '')") for p in K.PAGE_DATE_PATTERNS)
+    half = "upper(regexp_extract(c, '(?i)([ap]m)$', 1))"
+    hour = "CAST(regexp_extract(c, '^(\\d{1,2})', 1) AS INTEGER)"
+    minute = "coalesce(TRY_CAST(nullif(regexp_extract(c, ':(\\d{2})', 1), '') AS INTEGER), 0)"
+    return f"""
+    e0 AS (SELECT page_id, html, {simple_text('html')} AS t FROM {pages}),
+    e1 AS (SELECT page_id, html, t, regexp_extract(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS raw FROM e0),
+    e2 AS (SELECT page_id, html, t, CASE WHEN raw <> '' AND contains(lower(raw ->> '$."@type"'), 'event') THEN raw END AS j FROM e1),
+    e3 AS (SELECT page_id, t, j IS NOT NULL AS known, try_strptime(j ->> '$.startDate', '%Y-%m-%dT%H:%M') AS s1, lower(coalesce(j ->> '$.location', '')) AS place,
+        coalesce({meta('og:start_date', 'article:published_time', 'event:start_time')}, list_filter([{found}], lambda d: year(d) >= 2024)[1]) AS s2,
+        {meta('og:end_date', 'event:end_time')} AS end_date,
+        coalesce(nullif(regexp_extract(t, '\\b(\\d{{1,2}}:\\d{{2}})\\s*(AM|PM|am|pm)\\b', 0), ''), nullif(regexp_extract(t, '\\b(\\d{{1,2}})\\s*(AM|PM|am|pm)\\b', 0), ''), nullif(regexp_extract(t, '\\b(\\d{{1,2}}:\\d{{2}})\\b', 0), '')) AS c,
+        list_filter(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1), lambda h: regexp_matches(h, '{esc(_PLATFORM)}'))[1] AS h,
+        {first_sql('t', ['(?i)' + p for p in K.VIDEO_PATTERNS])} AS w FROM e2),
+    e4 AS (SELECT *, coalesce(s1, s2) AS s, CASE WHEN {minute} < 60 AND (CASE WHEN {half} <> '' THEN {hour} BETWEEN 1 AND 12 ELSE {hour} < 24 END)
+        THEN (CASE {half} WHEN 'PM' THEN {hour} % 12 + 12 WHEN 'AM' THEN {hour} % 12 ELSE {hour} END) * 60 + {minute} END AS clock FROM e3),
+    resolved AS (SELECT page_id, CASE WHEN strftime(s, '%H%M%S') <> '000000' OR clock IS NULL THEN s ELSE s + to_minutes(clock) END AS start_date, end_date,
+        CASE WHEN known THEN regexp_matches(place, 'virtual|online') ELSE {any_word('t', K.ONLINE_WORDS)} END AS online,
+        CASE WHEN known THEN NOT regexp_matches(place, 'virtual|online') ELSE {any_word('t', K.IN_PERSON_WORDS)} END AS person,
+        coalesce(CASE WHEN h LIKE 'http%' THEN h ELSE 'https://' || h END, CASE WHEN w LIKE 'http%' THEN w ELSE 'https://' || w END) AS video FROM e4)"""
+
+
+@query("event_start_resolution", "rich", sql=f"WITH {event_dates_sql('rich')} SELECT page_id, start_date, end_date FROM resolved")
 def _(t):
     from meadowlark.operators.events import resolve_event_dates
     return resolve_event_dates(t.rich).select("page_id", "start_date", "end_date")
@@ -623,9 +667,6 @@ def _(t):
     return t.note.select("id", X.is_online("text").alias("is_online"), X.is_in_person("text").alias("is_in_person"))
 
 
-_PLATFORM = "(?i)" + "|".join(K.VIDEO_PATTERNS)
-
-
 @query("video_link", "rich", sql=f"""
     WITH v AS (SELECT page_id, list_filter(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1), lambda h: regexp_matches(h, '{esc(_PLATFORM)}'))[1] AS h,
         {first_sql(simple_text('html'), ['(?i)' + p for p in K.VIDEO_PATTERNS])} AS w FROM rich)
