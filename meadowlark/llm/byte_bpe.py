@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, free_name, process_cache
-from meadowlark.llm.pieces import ChunkCache
+from meadowlark.llm.spans import SpanCache
 
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -108,7 +108,7 @@ class Bpe:
         self.token_len = np.array([len(x) for x in tokens], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.cache = ChunkCache(self._chunks)
+        self.cache = SpanCache(self._whole)
 
     def pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
@@ -179,14 +179,17 @@ class Bpe:
                 heapq.heappush(heap, (r, prev[i], stop))
         return np.array([ranks[piece[i: end[i]]] for i in range(n) if alive[i]], np.int32).tobytes()
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, cut by the pattern."""
         find = self.pattern.findall
-        split = [[c] if c[1:].isalpha() and c[0] == " " else find(c) for c in chunks]
+        split = [[t] if t[0] == " " and t[1:].isalpha() else find(t) for t in texts]
         distinct = list(set().union(*split))
         ids = dict(zip(distinct, self.pieces([p.encode() for p in distinct])))
-        return [ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in split]
+        joined = (ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in split)
+        return [np.frombuffer(x, np.uint32) for x in joined]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts one after the other, and the offsets of the texts."""
         return self.cache.texts(texts)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,12 +215,14 @@ def _vocabulary(df: DataFrame, path: str):
 
 
 def _encoded(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
-    values, counts = [], [0]
+    values, offsets, total = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
     for a, b in W.slices(texts):
-        for x in bpe.encode([t or "" for t in texts[a:b].to_pylist()]):
-            values.append(x)
-            counts.append(counts[-1] + len(x) // 4)
-    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
+        ids, at = bpe.encode(texts[a:b])
+        values.append(ids)
+        offsets.append(at[1:] + total)
+        total += len(ids)
+    flat = np.concatenate(values).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(flat))
 
 
 def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:

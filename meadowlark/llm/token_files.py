@@ -30,11 +30,10 @@ from pyspark.sql.window import Window
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, process_cache
-from meadowlark.llm.pieces import ChunkCache
+from meadowlark.llm.spans import SpanCache
 
 SHARD_IDS = 1 << 22  # a shard is closed with the document that reaches this
 SAMPLE = 256
-CACHE = 400_000  # chunks a process remembers, about 160 bytes each
 _HEAD = "<4sHHqqqq"
 _PART = "<qqqqq"
 
@@ -137,8 +136,8 @@ class Shard:
         return [None] * self.nulls + [int(x) + self.base for x in self.keys.values()]
 
 
-def _encoder(model: bytes) -> ChunkCache:
-    """The tokenizer of this process. Each distinct chunk goes through the library once."""
+def _encoder(model: bytes) -> SpanCache:
+    """The tokenizer of this process. Each distinct span goes through the library once."""
     made, key = process_cache(), ("tokenizer", zlib.crc32(model))
     if key not in made:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -146,36 +145,37 @@ def _encoder(model: bytes) -> ChunkCache:
 
         tokenizer = Tokenizer.from_str(model.decode())
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-        def whole(texts: list[str]) -> list[bytes]:
-            got = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in got]
-
         lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, i in tokenizer.get_vocab().items():
             lengths[i] = len(token)  # byte-level tokens have a character for each byte
 
-        made[key] = ChunkCache(whole, lambda texts: _apart(texts, whole, lengths), CACHE)
+        def whole(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        made[key] = SpanCache(lambda texts: _apart(texts, whole, lengths))
     return made[key]
 
 
-def _apart(texts: list[str], whole, lengths: np.ndarray) -> list[bytes]:
-    """Each of many chunks through one call of the library. A chunk begins with its only space,
-    and ids stand for as many bytes as their tokens have, so the ids fall back into chunks."""
-    out: list[bytes] = []
-    for a in range(0, len(texts), 20_000):
-        text = "".join(texts[a: a + 20_000])
-        data, raw = text.encode(), whole([text])[0]
-        ends = np.cumsum(lengths[np.frombuffer(raw, "<u4")])
-        begins = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        cuts = np.searchsorted(ends, np.append(begins[1:], len(data)))
-        if len(cuts) != len(texts[a: a + 20_000]) or not len(ends) or ends[-1] != len(data) or (ends[cuts] != np.append(begins[1:], len(data))).any():
-            out += whole(texts[a: a + 20_000])  # a tokenizer that does not keep all bytes
-            continue
-        begin = 0
-        for end in (4 * (cuts + 1)).tolist():
-            out.append(raw[begin:end])
-            begin = end
+def _apart(texts: list[str], whole, lengths: np.ndarray) -> list[np.ndarray]:
+    """Each of many spans through few calls of the library. Those that begin with their only space
+    and end in a letter or mark are joined: a space cuts them, and ids stand for as many bytes as
+    their tokens have, so the ids fall back into spans."""
+    out: list[np.ndarray | None] = [None] * len(texts)
+    joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and " " not in t[1:]]
+    for a in range(0, len(joined), 20_000):
+        some = joined[a: a + 20_000]
+        data = "".join(texts[i] for i in some).encode()
+        ids = whole([data.decode()])[0]
+        ends = np.cumsum(lengths[ids])
+        stops = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
+        cuts = np.searchsorted(ends, stops)
+        if len(stops) != len(some) or ends[-1] != len(data) or (ends[cuts] != stops).any():
+            continue  # a tokenizer that does not keep all bytes
+        for i, x in zip(some, np.split(ids, cuts[:-1] + 1)):
+            out[i] = x
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(rest, whole([texts[i] for i in rest]) if rest else ()):
+        out[i] = x
     return out
 
 
@@ -195,7 +195,7 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int | None
     def write(batches):
         encoder, part, shard, start = _encoder(held.value), TaskContext.get().partitionId(), 0, 0
         doc_ids, ids, total = [], [], 0
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def row():
             image = pack_shard(doc_ids, ids)
@@ -204,11 +204,11 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int | None
 
         for batch in batches:
             texts = batch.column(1)
-            for a, b in W.slices(texts, W.SEGMENT):
-                encoded = encoder.texts([t or "" for t in texts[a:b].to_pylist()])
-                for doc_id, x in zip(batch.column(0)[a:b].to_pylist(), encoded):
+            for a, b in W.slices(texts):
+                flat, at = encoder.texts(texts[a:b])
+                for i, doc_id in enumerate(batch.column(0)[a:b].to_pylist()):
                     doc_ids.append(doc_id)
-                    ids.append(np.frombuffer(x + tail, "<u4"))
+                    ids.append(np.append(flat[at[i]: at[i + 1]], tail))
                     total += len(ids[-1])
                     if total >= shard_ids:
                         yield row()

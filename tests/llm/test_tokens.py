@@ -7,13 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from meadowlark.llm import byte_bpe, token_counts, token_files
+from meadowlark.llm import byte_bpe, spans, token_counts, token_files
 from meadowlark.llm.batches import scratch
-from meadowlark.llm.pieces import ChunkCache
+from meadowlark.llm.spans import SpanCache
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ALPHABET = ["a", "b", "th", "er", " ", "  ", "   ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "'s", "'ll", "'", "1", "23", "é",
@@ -39,19 +40,35 @@ def library():
     return tokenizer
 
 
+def split(ids, at):
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
 def test_bpe_equals_library_and_round_trips(reference):
     bpe = byte_bpe.bpe_of(open(RANKS, "rb").read(), P.PATTERN)
-    for text, got in zip(texts(), bpe.encode(texts())):
-        ids = np.frombuffer(got, np.int32)
-        assert ids.tolist() == reference.encode_ordinary(text)
-        assert bpe.decode(ids)[0].tobytes() == text.encode()
+    for text, ids in zip(texts(), split(*bpe.encode(pa.array(texts())))):
+        assert ids == reference.encode_ordinary(text)
+        assert bpe.decode(np.array(ids, np.int32))[0].tobytes() == text.encode()
+
+
+def test_shards_tokenizer_equals_library(library):
+    encoder = token_files._encoder(open(P.path("byte_bpe_50k.json"), "rb").read())
+    for text, ids in zip(texts(), split(*encoder.texts(pa.array(texts())))):
+        assert ids == library.encode(text, add_special_tokens=False).ids
 
 
-def test_bpe_forgets_chunks_without_changing_ids(reference):
+def test_bpe_forgets_spans_without_changing_ids(reference):
     bpe = byte_bpe.Bpe(open(RANKS, "rb").read(), P.PATTERN)
-    bpe.cache.most = 5
+    bpe.cache = SpanCache(bpe._whole, 5)
     for text in texts(200):
-        assert np.frombuffer(bpe.encode([text])[0], np.int32).tolist() == reference.encode_ordinary(text)
+        assert split(*bpe.encode(pa.array([text, None, text]))) == [reference.encode_ordinary(text), [], reference.encode_ordinary(text)]
+
+
+def test_equal_hashes_do_not_mix_spans(monkeypatch, reference):
+    bpe = byte_bpe.Bpe(open(RANKS, "rb").read(), P.PATTERN)
+    monkeypatch.setattr(spans.W, "span_hashes", lambda data, begin, end: np.full(len(begin), 7, np.uint64))
+    text = "some words, and others that collide with them"
+    assert split(*bpe.encode(pa.array([text]))) == [reference.encode_ordinary(text)]
 
 
 def test_unknown_id_is_an_error():
@@ -60,12 +77,14 @@ def test_unknown_id_is_an_error():
         bpe.decode(np.array([10**6]))
 
 
-def test_long_text_is_cut_only_at_chunks():
+def test_long_text_is_tokenized_in_spans(monkeypatch):
     seen = []
-    cache = ChunkCache(lambda xs: [seen.extend(xs) or x.encode() for x in xs])
-    text = "word " * 500_000 + "end"
-    assert cache.texts([text])[0].decode() == text
-    assert max(map(len, seen)) < 10
+    cache = SpanCache(lambda xs: [seen.extend(xs) or np.frombuffer(x.encode(), np.uint8).astype(np.uint32) for x in xs])
+    monkeypatch.setattr(spans, "AT_ONCE", 1000)
+    text = "word, " * 50_000 + "end"
+    ids, at = cache.texts(pa.array([text]))
+    assert bytes(ids.astype(np.uint8)).decode() == text and at.tolist() == [0, len(text)]
+    assert sorted(set(seen)) == [" end", " word", ",", "word"]
 
 
 def test_bpe_frames(spark, reference):
