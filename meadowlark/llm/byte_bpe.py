@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, free_name, process_cache
-from meadowlark.llm.spans import SpanCache
+from meadowlark.llm.spans import PART, SpanCache
 
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -216,7 +216,7 @@ def _vocabulary(df: DataFrame, path: str):
 
 def _encoded(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
     values, offsets, total = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
-    for a, b in W.slices(texts):
+    for a, b in W.slices(texts, PART):
         ids, at = bpe.encode(texts[a:b])
         values.append(ids)
         offsets.append(at[1:] + total)

@@ -20,8 +20,9 @@ import pyarrow as pa
 
 from meadowlark.llm import words as W
 
-MOST = 400_000  # spans a process remembers before it starts afresh, some 100 bytes each
-AT_ONCE = 1 << 18  # spans looked up at a time
+MOST = 300_000  # spans a process remembers before it starts afresh, some 100 bytes each
+AT_ONCE = 1 << 16  # spans looked up at a time
+PART = 1 << 18  # bytes of text to hand over at once
 _LETTER, _DIGIT, _MARK = 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
@@ -93,7 +94,7 @@ class SpanCache:
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], most: int = MOST):
         self.encode, self.most = encode, most
-        self.bits = int(2 * most).bit_length()
+        self.bits = (most + most // 2).bit_length()
         self._clear()
 
     def _clear(self) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, process_cache
-from meadowlark.llm.spans import SpanCache
+from meadowlark.llm.spans import PART, SpanCache
 
 SHARD_IDS = 1 << 22  # a shard is closed with the document that reaches this
 SAMPLE = 256
@@ -204,7 +204,7 @@ def write_token_files(docs: DataFrame, path: str, model: str, end_id: int | None
 
         for batch in batches:
             texts = batch.column(1)
-            for a, b in W.slices(texts):
+            for a, b in W.slices(texts, PART):
                 flat, at = encoder.texts(texts[a:b])
                 for i, doc_id in enumerate(batch.column(0)[a:b].to_pylist()):
                     doc_ids.append(doc_id)

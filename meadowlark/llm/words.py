@@ -15,7 +15,8 @@ from meadowlark.llm.batches import process_cache
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
-SEGMENT = 1 << 20  # bytes whose powers are held at once
+SEGMENT = 1 << 20  # bytes of text in one numpy pass
+HASHED = 1 << 18  # bytes whose powers are held at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -26,12 +27,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     tables = held.get("powers")
     if tables is None or len(tables[0]) < n:
         def powers(base):
-            out = np.full(max(n, SEGMENT + 1), base, np.uint64)
+            out = np.full(max(n, HASHED + 1), base, np.uint64)
             out[0] = 1
             return np.multiply.accumulate(out)
         with np.errstate(over="ignore"):
             tables = powers(_P), powers(_P_INV)
-        if n <= 4 * SEGMENT:
+        if n <= 4 * HASHED:
             held["powers"] = tables
     return tables
 
@@ -77,7 +78,7 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     with np.errstate(over="ignore"):
         while i < len(begin):
             base = begin[i]
-            j = max(i + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
+            j = max(i + 1, int(np.searchsorted(end, base + HASHED, "right")))
             n = int(end[j - 1] - base)
             power, inverse = _tables(n + 1)
             total = np.zeros(n + 1, np.uint64)
