@@ -267,13 +267,19 @@ def _(t):
     return t.spark.read.options(**files.CLOCKS).csv(f"{base}/csv", header=True, schema="id bigint, title string, start_date timestamp_ntz")
 
 
-@query("write_json", "product", sql="SELECT 'json' AS fmt, id, name FROM product UNION ALL SELECT 'csv', id, name FROM product")
+@query("write_json", "evt", sql="SELECT id, title, start_date, description FROM evt")
 def _(t):
     base = _scratch(t)
-    for fmt in ("json", "csv"):
-        files.write_table(t.product.select("id", "name"), fmt, f"{base}/{fmt}")
-    back = t.spark.read.json(f"{base}/json", schema="id bigint, name string").select(F.lit("json").alias("fmt"), "id", "name")
-    return back.unionByName(t.spark.read.csv(f"{base}/csv", header=True, schema="id bigint, name string").select(F.lit("csv").alias("fmt"), "id", "name"))
+    files.write_table(t.evt.select("id", "title", "start_date", "description"), "json", f"{base}/json")
+    return t.spark.read.options(**files.CLOCKS).json(f"{base}/json", schema="id bigint, title string, start_date timestamp_ntz, description string")
+
+
+@query("write_csv", "evt", sql="SELECT id, title, start_date, description FROM evt")
+def _(t):
+    base = _scratch(t)
+    files.write_table(t.evt.select("id", "title", "start_date", "description"), "csv", f"{base}/csv")
+    return t.spark.read.options(**files.CLOCKS).option("escape", "\\").csv(
+        f"{base}/csv", header=True, schema="id bigint, title string, start_date timestamp_ntz, description string")
 
 
 # --- streams -----------------------------------------------------------------------------------

@@ -175,19 +175,27 @@ def pages_at(pages: DataFrame, paths: Sequence[str], max_checks: int | None = No
 
 def site_pages(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes: Column,
                max_checks: int | None = None, site: str = "website") -> DataFrame:
-    """Every site with its pages at the paths, where the page passes. Pages are tested before
-    the join, so only passing ones are shuffled."""
-    found = pages_at(pages.where(passes), paths, max_checks)
+    """Every site with (page_id, url, path_pos) of its pages at the paths, where the page passes.
+    Pages are tested before the join, so only addresses of passing ones are shuffled."""
+    found = pages_at(pages.where(passes).select("page_id", "url"), paths, max_checks)
     return sites.withColumn("_base", urls.base_url(site)).join(found, F.col("_base") == F.col("base")).drop("_base", "base")
 
 
 def discover_page(sites: DataFrame, pages: DataFrame, paths: Sequence[str], passes: Column, key: str = "id",
                   max_checks: int | None = None, site: str = "website") -> DataFrame:
-    """Per site, the page at the first path that passes. ``max_checks`` tries only the first paths."""
+    """Per site, (page_id, url, path_pos) of the page at the first path that passes. ``max_checks``
+    tries only the first paths. Bodies are attached later, by ``wanted_pages``."""
     return first_per(site_pages(sites, pages, paths, passes, max_checks, site), [key],
                      [F.col("path_pos"), F.col("page_id")])
 
 
+def wanted_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that are named by ``page_id`` in ``found``, once each. The ids are the side that
+    is built into a hash table, so bodies are neither sorted nor multiplied."""
+    ids = keys_of(found, "page_id", "page_id").hint("shuffle_hash")
+    return pages.join(ids, "page_id", "left_semi")
+
+
 def page_passes(html, words: Sequence[str], min_len: int = 500) -> Column:
     return (F.length(T.col(html)) > min_len) & T.mentions(html, words)
 

@@ -21,7 +21,7 @@ from meadowlark.operators import mutations as H
 from meadowlark.operators import ranking as E
 from meadowlark.operators import search as S
 from meadowlark.operators import sets as G
-from meadowlark.scale import keys_of
+from meadowlark.scale import first_per, keys_of
 from meadowlark.session import durable
 from meadowlark.sinks import files, render
 from meadowlark.sources import web
@@ -98,8 +98,9 @@ def site_url(directories=(), placeholder: str = "") -> Column:
 
 
 def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledger: DataFrame, placeholder: str,
-                        max_pages: int = 4, directories=()) -> DataFrame:
-    """Richer descriptions from up to four sitemap pages of each site, else its home page.
+                        max_pages: int | None = 4, directories=()) -> DataFrame:
+    """Richer descriptions from the first ``max_pages`` sitemap pages of each site (None: all of
+    them), else its home page.
 
     ``docs`` (url, body) holds robots files and sitemaps; organizations in the ledger are left.
     Texts are taken once per page; at most ``max_pages`` texts meet in one organization.
@@ -110,24 +111,26 @@ def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledge
     sites = todo.select("origin").distinct()
     robots = web.robots_sitemaps(docs.where(F.col("url").endswith("/robots.txt"))).select(
         urls.origin("url").alias("origin"), F.col("pos").alias("try"), "sitemap_url")
-    usual = sites.select("origin", F.lit(1000).alias("try"), F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap_url"))
+    usual = sites.select("origin", F.lit(None).cast("int").alias("try"), F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap_url"))
     known = docs.select(F.col("url").alias("sitemap_url"))
     # the first sitemap that exists, as the robots file orders them, then the usual address
     chosen = robots.unionByName(usual).join(known, "sitemap_url", "left_semi").groupBy("origin").agg(
-        F.min_by("sitemap_url", "try").alias("sitemap_url"))
+        F.min_by("sitemap_url", F.struct(F.col("try").isNull().alias("usual"), F.col("try").alias("at"))).alias("sitemap_url"))
     listed = web.sitemap_urls(docs, max_pages).join(chosen, F.col("url") == F.col("sitemap_url")).select(
         "origin", "pos", F.col("page_url"))
-    from_map = todo.select("id", "origin").join(listed, "origin").select("id", "pos", "page_url")
-    home = todo.select("id", F.lit(1000).alias("pos"), F.rtrim("site", F.lit("/")).alias("page_url"))
+    from_map = todo.select("id", "origin").join(listed, "origin").select("id", "pos", "page_url", F.lit(False).alias("is_home"))
+    home = todo.select("id", F.lit(0).alias("pos"), F.rtrim("site", F.lit("/")).alias("page_url"), F.lit(True).alias("is_home"))
     asked = durable(from_map.unionByName(home))
     keyed = pages.withColumn("_key", F.rtrim("url", F.lit("/")))
-    wanted = keyed.join(keys_of(asked, F.rtrim("page_url", F.lit("/")), "_key"), "_key", "left_semi")
-    texts = HT.html_text(wanted.dropDuplicates(["_key"]), "frame").select("_key", "text").where(
+    wanted = keyed.join(keys_of(asked, F.rtrim("page_url", F.lit("/")), "_key").hint("shuffle_hash"), "_key", "left_semi")
+    # of pages that differ in a closing slash only, the first is read
+    one = durable(first_per(wanted.select("_key", "page_id"), ["_key"], [F.col("page_id")]))
+    texts = HT.html_text(C.wanted_pages(one, keyed), "frame").select("_key", "text").where(
         (F.length("text") > 80) & ~X.low_quality("text"))
     texts = durable(texts)
-    read = asked.withColumn("_key", F.rtrim("page_url", F.lit("/"))).join(texts, "_key").select("id", "pos", "text")
-    mapped = read.where(F.col("pos") < 1000)
-    only_home = read.where(F.col("pos") == 1000).join(keys_of(mapped, "id", "id"), "id", "left_anti")
+    read = asked.withColumn("_key", F.rtrim("page_url", F.lit("/"))).join(texts, "_key").select("id", "pos", "text", "is_home")
+    mapped = read.where("NOT is_home")
+    only_home = read.where("is_home").join(keys_of(mapped, "id", "id"), "id", "left_anti")
     joined = mapped.unionByName(only_home).groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("_all"))
     cleaned = todo.join(joined, "id").withColumn("new", X.drop_urls("_all", 2000))

@@ -32,11 +32,14 @@ class Discovered(NamedTuple):
     organizations: DataFrame
 
 
-def _listing_text(found: DataFrame, profile: str) -> DataFrame:
-    """Text of discovered pages, taken once per page and given to every site that has the page."""
+def _listing_text(found: DataFrame, pages: DataFrame, profile: str, **facts) -> DataFrame:
+    """``found`` (with page_id) and the text of its pages, taken once per page and given to every
+    site that has the page. ``facts`` are further columns of the page, made from html, text and url;
+    bodies stay behind."""
     found = durable(found)
-    once = HT.html_text(found.select("page_id", "html").dropDuplicates(["page_id"]), profile)
-    return found.drop("html").join(once, "page_id")
+    read = HT.html_text(C.wanted_pages(found, pages).select("page_id", "html", F.col("url").alias("page_url")), profile)
+    once = read.select("page_id", "text", *[c.alias(n) for n, c in facts.items()])
+    return found.join(once, "page_id")
 
 
 def _flagged(org: DataFrame, done: DataFrame, **found: DataFrame) -> DataFrame:
@@ -62,13 +65,13 @@ def discover_jobs_stays(org: DataFrame, pages: DataFrame, jobs: DataFrame, stays
     todo = durable(B.allowed_urls(B.pending(org, "last_scrape_attempt", "being_processed_since"), "website",
                                   paths=K.BLOCKED_PATH_PREFIXES).select("id", "name", "website"))
     at = dates.moment(now)
-    texts = _listing_text(job_pages(todo, pages).select("id", "name", "url", "page_id", "html"), "simple")
+    texts = _listing_text(job_pages(todo, pages).select("id", "name", "url", "page_id"), pages, "simple")
     new_jobs = durable(
         texts.select("id", F.inline(X.job_blocks("text", F.col("name"), K.JOB_FIRST_TERMS, 120)))
         .select(F.col("id").alias("organization_id"), "title", T.prefix("block", 2500).alias("description"), "role",
                 at.alias("created_at")))
-    found = stay_pages(todo, pages).select("id", "name", "url", "page_id", "html")
-    plain = HT.html_text(found, "simple").withColumn("features", X.booking_features("html", "text", "url"))
+    plain = _listing_text(stay_pages(todo, pages).select("id", "name", "url", "page_id"), pages, "simple",
+                          features=X.booking_features("html", "text", "page_url"))
     new_stays = durable(plain.select(
         F.col("id").alias("organization_id"), F.concat(F.lit("Stay at "), "name").alias("title"),
         T.prefix("text", 2000).alias("description"), F.lit("accommodation").alias("stay_type"),
@@ -84,7 +87,7 @@ def board_jobs(org: DataFrame, pages: DataFrame) -> DataFrame:
     """The older variant: pages that speak of work, split at their headings."""
     fits = X.relevant(X.text_simple("html"), K.JOB_BOARD_TERMS, 2, 200)
     found = C.discover_page(org, pages, K.JOB_DETAIL_PATHS, fits)
-    texts = _listing_text(found.select("id", "url", "page_id", "html"), "lines")
+    texts = _listing_text(found.select("id", "url", "page_id"), pages, "lines")
     return texts.select(F.col("id").alias("organization_id"), "url", F.inline(X.title_blocks("text")))
 
 
@@ -92,7 +95,7 @@ def board_stays(org: DataFrame, pages: DataFrame) -> DataFrame:
     """The older variant: pages that speak of lodging, one stay each."""
     fits = X.relevant(X.text_simple("html"), K.STAY_BOARD_TERMS, 2, 150)
     found = C.discover_page(org, pages, K.STAY_PATHS, fits)
-    texts = _listing_text(found.select("id", "url", "page_id", "html"), "simple")
+    texts = _listing_text(found.select("id", "url", "page_id"), pages, "simple")
     return texts.select(F.col("id").alias("organization_id"), "url", X.stay_listing("text").alias("s")).select(
         "organization_id", "url", "s.*")
 
@@ -103,7 +106,7 @@ def _event_url_ok(url) -> Column:
 
 def _events_of(owners: DataFrame, pages: DataFrame) -> DataFrame:
     """Events of the pages owners point to (id, page_id, order), unique by title per owner."""
-    wanted = pages.join(keys_of(owners, "page_id", "page_id"), "page_id", "left_semi")
+    wanted = C.wanted_pages(owners, pages)
     blocks = E.event_blocks(wanted)
     mine = owners.join(blocks, "page_id").withColumn("_order", F.struct("order", "page_id", "pos"))
     return dedupe_first(mine, "title", [F.col("_order")], ["id"]).select(
@@ -125,9 +128,9 @@ def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
     direct = C.site_pages(sites, ok, K.EVENT_PATHS, F.lit(True)).select("id", "page_id", F.col("path_pos").alias("order"))
     first = durable(_events_of(durable(direct), ok))
     quiet = sites.join(keys_of(first, "organization_id", "id"), "id", "left_anti").withColumn("_base", urls.base_url("website"))
-    homes = ok.withColumn("_home", F.rtrim("url", F.lit("/")))
-    home = durable(quiet.join(homes, F.col("_base") == F.col("_home")).select("id", "page_id", "url", "html"))
-    named = C.links(home.select("page_id", "url", "html").dropDuplicates(["page_id"])).where(
+    homes = ok.select("page_id", F.rtrim("url", F.lit("/")).alias("_home"))
+    home = durable(quiet.join(homes, F.col("_base") == F.col("_home")).select("id", "page_id"))
+    named = C.links(C.wanted_pages(home, ok).select("page_id", "url", "html")).where(
         F.lower("href").rlike(T.words_regex(K.EVENT_LINK_WORDS)) & _event_url_ok("href"))
     target = ok.select(F.col("page_id").alias("_target"), F.col("url").alias("_to"))
     followed = home.select("id", "page_id").join(named.select("page_id", "pos", "href"), "page_id").join(
@@ -141,11 +144,9 @@ def discover_events(org: DataFrame, pages: DataFrame, now) -> DiscoveredEvents:
 def refine_jobs(org: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:
     """Jobs of unprocessed organizations, read again with attributes; parents without new rows keep theirs."""
     todo = B.allowed_urls(C.parents_pending(org, jobs, "jobs_rescraped"), "website").select("id", "name", "website")
-    found = durable(C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS))
-                    .select("id", "name", "url", "page_id", "html"))
-    once = HT.html_text(found.select("page_id", "html").dropDuplicates(["page_id"]), "full")
-    texts = found.select("id", "name", "url", "page_id").join(once, "page_id")
-    blocks = texts.select("id", "url", X.contact_email("html").alias("page_email"), F.inline(X.job_blocks("text", F.col("name"))))
+    found = C.discover_page(todo, pages, K.JOB_DETAIL_PATHS, C.page_passes("html", K.JOB_PAGE_KEYWORDS))
+    texts = _listing_text(found.select("id", "name", "url", "page_id"), pages, "full", page_email=X.contact_email("html"))
+    blocks = texts.select("id", "url", "page_email", F.inline(X.job_blocks("text", F.col("name"))))
     new = blocks.select("id", "url", "page_email", "title", "role", X.lead_sentences("block").alias("description"),
                         X.job_attributes("block").alias("a")).select(
         F.col("id").alias("organization_id"), "title", "description", "role", "a.skills_needed", "a.commitment",
@@ -162,7 +163,7 @@ class RefinedStays(NamedTuple):
 def refine_stays(stays: DataFrame, org: DataFrame, pages: DataFrame) -> RefinedStays:
     """Price, types, booking class and title of each open stay from its booking page."""
     work = C.stay_work(stays, org).select("id", "booking_url", "org_name")
-    wanted = pages.join(keys_of(work, "booking_url", "url"), "url", "left_semi")
+    wanted = pages.join(keys_of(work, "booking_url", "url").hint("shuffle_hash"), "url", "left_semi")
     text = HT.html_text(wanted, "full").withColumn("text", X.clean_text("text"))
     read = text.select("url", X.booking_features_fine("html", "text", "url").alias("booking_analysis"), X.price_info("text").alias("price_info"),
                        X.stay_types("text").alias("stay_type"), X.stay_title("html", F.lit("")).alias("page_title"),
@@ -183,7 +184,7 @@ def refine_events(events: DataFrame, pages: DataFrame) -> DataFrame:
     typed = events.withColumn("start_date", F.coalesce("start_date", dates.parse_date("start_raw"))).withColumn(
         "end_date", F.coalesce("end_date", dates.parse_date("end_raw")))
     asked = A.representatives(typed, "event_url", ("id",)).where(B.is_allowed_url("event_url", ("facebook.com", "fb.com", "instagram.com", "twitter.com", "x.com")))
-    wanted = pages.join(asked.select(F.col("event_url").alias("url")), "url", "left_semi")
+    wanted = pages.join(asked.select(F.col("event_url").alias("url")).hint("shuffle_hash"), "url", "left_semi")
     read = E.resolve_event_dates(wanted).join(wanted.select("page_id", "url"), "page_id")
     one = first_per(read, ["url"], [F.col("page_id")]).select(
         F.col("url").alias("event_url"), F.col("start_date").alias("_start"), F.col("end_date").alias("_end"),
@@ -200,9 +201,10 @@ def redescribe_jobs(jobs: DataFrame, org: DataFrame, pages: DataFrame) -> DataFr
     open_ = B.not_like(jobs.where(~T.is_blank("source_url")), "source_url", "%expireddomains%")
     named = C.with_parent(open_, org, ("name",))
     first = first_per(named, ["source_url"], [F.col("id")]).select("source_url", "org_name")
-    fit = pages.where((F.length("html") >= 200) & B.is_allowed_url("url"))
-    met = first_per(first.join(fit, F.col("source_url") == F.col("url")), ["source_url"], [F.col("page_id")])
-    text = HT.html_text(met.select("source_url", "org_name", "html"), "full")
+    fit = pages.where((F.length("html") >= 200) & B.is_allowed_url("url")).select("page_id", "url")
+    met = durable(first_per(first.join(fit, F.col("source_url") == F.col("url")), ["source_url"], [F.col("page_id")]).drop("url"))
+    bodies = pages.select("page_id", "html").join(met.hint("shuffle_hash"), "page_id")
+    text = HT.html_text(bodies.select("source_url", "org_name", "html"), "full")
     parts = text.select("source_url", "org_name", "text", X.page_title("html").alias("page_title"), X.page_h1("html").alias("h1"),
                         X.meta_description("html").alias("meta"))
     made = parts.where((F.length("text") >= 50) | F.col("meta").isNotNull()).select(
