@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bindings.registry import query
-from bindings.relational import NOW
+from bindings.relational import NOW, words
 from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
 from bindings.texts import (
-    H1_SQL, META_SQL, TITLE_SQL, _clean_sql, booking_fine_sql, described_sql, event_dates_sql, full_text, job_title_sql, price_sql, simple_text,
+    H1_SQL, META_SQL, TITLE_SQL, _clean_sql, _commit_sql, _skills_sql, any_word, booking_fine_sql, described_sql, event_dates_sql, esc, full_text, job_blocks_sql, job_title_sql, price_sql, simple_text,
     stay_types_sql, trimmed,
 )
+from meadowlark import constants as K
 from meadowlark import schemas
 from meadowlark.functions import urls
 from meadowlark.operators import mutations as H
@@ -80,7 +81,18 @@ def _(t):
     return got.events.select("organization_id", "title", "start_date", "is_online", "event_url")
 
 
-@query("refine_jobs")
+@query("refine_jobs", "spage", sql=f"""
+    WITH o AS (SELECT min(page_id) AS oid, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
+    path AS (SELECT unnest([{words(K.JOB_DETAIL_PATHS)}]) AS path, unnest(range({len(K.JOB_DETAIL_PATHS)})) AS path_pos),
+    f AS (SELECT oid, name, p.page_id, html FROM o, path JOIN spage p ON p.url = o.site || '/' || path.path
+        WHERE length(html) > 500 AND {any_word('html', K.JOB_PAGE_KEYWORDS)} QUALIFY row_number() OVER (PARTITION BY oid ORDER BY path_pos, p.page_id) = 1),
+    p AS (SELECT page_id, name, {full_text('html')} AS text FROM f), {job_blocks_sql('p', 'name', K.JOB_TERMS)},
+    n AS (SELECT oid AS organization_id, title, role, {_skills_sql('block')} AS skills_needed, {_commit_sql('block')} AS commitment,
+        try_strptime(nullif(regexp_extract(block, '{esc(K.START_DATE)}', 1), ''), '%m/%d/%Y') AS start_date,
+        coalesce(list_filter(regexp_extract_all(html, '{K.EMAIL}'), lambda e: NOT regexp_matches(lower(e), '^(info@|contact@|admin@|support@|office@|hello@|webmaster@)'))[1],
+            regexp_extract_all(html, '{K.EMAIL}')[1]) AS application_email FROM blocks JOIN f ON blocks.page_id = f.page_id)
+    SELECT * FROM n UNION ALL SELECT oid, 'Old ' || page_id, NULL, NULL, NULL, NULL, NULL FROM spage JOIN o ON site = split_part(url, '/', 1) || '//' || split_part(url, '/', 3)
+        WHERE oid NOT IN (SELECT organization_id FROM n)""")
 def _(t):
     return listings.refine_jobs(site_org(t), site_children(t, schemas.VOLUNTEER_OPPORTUNITIES), t.spage).select(
         "organization_id", "title", "role", "skills_needed", "commitment", "start_date", "application_email")

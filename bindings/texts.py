@@ -377,10 +377,29 @@ def _(t):
     return a.select("id", "a.skills_needed", "a.commitment", "a.start_date", "a.remote_options")
 
 
-@query("job_blocks")
+def job_blocks_sql(pages, name, terms, min_len=100):
+    """``blocks``: page_id, title, block, role of pages (page_id, text, name). A block starts at each
+    word from which capitals run on; the pattern's look-ahead is tested at every position."""
+    caps = r"^[A-Z][A-Z\s&\-/,]{5,80}[A-Z](?:[^\p{L}\p{N}_]|$)"
+    first = _clean_sql(r"substr(string_split_regex(block, '[.!?]\s+')[1], 1, 150)")
+    return rf"""
+    j0 AS (SELECT page_id, {name} AS name, CASE WHEN length(text) >= 200 THEN {_clean_sql('text')} ELSE '' END AS t FROM {pages}),
+    j1 AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: i = 1 OR (NOT regexp_matches(substr(t, i - 1, 1), '[\p{{L}}\p{{N}}_]') AND regexp_matches(substr(t, i, 84), '{caps}'))) AS starts FROM j0),
+    j2 AS (SELECT page_id, name, t, list_filter(list_transform(range(1, len(starts) + 1), lambda k: {trimmed('substr(t, starts[k], coalesce(starts[k + 1], length(t) + 1) - starts[k])')}),
+        lambda b: length(b) >= {min_len} AND {count_words('b', terms)} >= 2) AS hits FROM j1),
+    j3 AS (SELECT page_id, name, unnest(hits) AS block, false AS whole FROM j2 UNION ALL
+        SELECT page_id, name, t, true FROM j2 WHERE len(hits) = 0 AND length(t) > 300 AND {count_words('t', terms)} >= 3),
+    j4 AS (SELECT *, {first} AS lead FROM j3),
+    blocks AS (SELECT page_id, CASE WHEN length(lead) < 5 THEN 'Opportunity at ' || name ELSE lead END AS title, block, CASE WHEN whole THEN 'volunteer' WHEN contains(lower(block), 'intern') THEN 'internship'
+        WHEN contains(lower(block), 'apprentice') THEN 'apprenticeship' WHEN {any_word('block', K.PAID_WORDS)} THEN 'paid_job' ELSE 'volunteer' END AS role FROM j4)"""
+
+
+@query("job_blocks", "rich", sql=f"""
+    WITH p AS (SELECT page_id, url, {full_text('html')} AS text FROM rich), {job_blocks_sql('p', 'url', K.JOB_TERMS)}
+    SELECT page_id, title, role, length(block) AS n FROM blocks""")
 def _(t):
     pages = HT.html_text(t.rich, "full")
-    return pages.select("page_id", F.inline(X.job_blocks("text", F.col("url"), min_len=100))).select("page_id", "title", "role", F.length("block").alias("n"))
+    return pages.select("page_id", F.inline(X.job_blocks("text", F.col("url"), min_len=100))).select("page_id", "title", "role", F.length("block").cast("long").alias("n"))
 
 
 @query("title_blocks", "doc", sql=rf"""

@@ -1,6 +1,7 @@
 """The contract of the entry module, oracle agreement on small data, and plan shapes."""
 
 import os
+import re
 import sys
 
 import duckdb
@@ -65,3 +66,20 @@ def test_ranks_are_cut_before_the_shuffle(spark, name):
 def test_no_cross_joins(spark, name):
     p = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+@pytest.mark.parametrize("name", ["discover_jobs_stays", "discover_events", "refine_jobs", "refine_stays", "refine_events", "redescribe_jobs", "first_matching_page"])
+def test_page_bodies_are_not_sorted(spark, name, monkeypatch):
+    """No sort or window of a page job carries html."""
+    from meadowlark import session
+    plans = []
+    checkpointed = session.DataFrame.checkpoint
+    monkeypatch.setattr(session.DataFrame, "checkpoint", lambda df, eager=True: plans.append(plan(df)) or checkpointed(df, eager))
+    plans.append(plan(QUERIES[name](spark, SF)))
+    assert len(plans) > 0
+    for text in plans:
+        lines = text.splitlines()
+        for i, line in enumerate(lines):
+            if re.search(r"[-\s]Sort \[|Window \[", line):
+                below = next((x for x in lines[i + 1:] if re.search(r"Project \[|FileScan|Exchange|Join", x)), "")
+                assert "html#" not in line and not ("Project [" in below and re.search(r"[\[ ]html#", below)), (name, line, below)
