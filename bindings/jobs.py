@@ -11,7 +11,7 @@ from bindings.registry import query
 from bindings.relational import NOW, words
 from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
 from bindings.texts import (
-    H1_SQL, META_SQL, TITLE_SQL, _clean_sql, _commit_sql, _skills_sql, any_word, booking_fine_sql, described_sql, event_dates_sql, esc, full_text, job_blocks_sql, job_title_sql, price_sql, simple_text,
+    DESCRIBED_SQL, GEO_SQL, H1_SQL, META_SQL, OWN_SITE_SQL, TITLE_SQL, _clean_sql, _commit_sql, _skills_sql, any_word, booking_fine_sql, count_words, described_sql, event_dates_sql, esc, full_text, job_blocks_sql, job_title_sql, price_sql, simple_text, squeezed,
     stay_types_sql, trimmed,
 )
 from meadowlark import constants as K
@@ -58,7 +58,26 @@ def _(t):
     return f.select("id", F.get_json_object("feature", "$.properties.name").alias("name"), F.get_json_object("feature", "$.properties.popup").alias("popup"))
 
 
-@query("discover_jobs_stays")
+@query("discover_jobs_stays", "spage", sql=f"""
+    WITH o AS (SELECT min(page_id) AS oid, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
+    owned AS (SELECT page_id, oid FROM spage JOIN o ON site = split_part(url, '/', 1) || '//' || split_part(url, '/', 3)),
+    jp AS (SELECT unnest([{words(K.JOB_PATHS)}]) AS path, unnest(range({len(K.JOB_PATHS)})) AS path_pos),
+    sp AS (SELECT unnest([{words(K.STAY_PATHS)}]) AS path, unnest(range({len(K.STAY_PATHS)})) AS path_pos),
+    jf AS (SELECT oid, name, p.page_id, html FROM o, jp JOIN spage p ON p.url = o.site || '/' || jp.path
+        WHERE length(html) > 500 AND {any_word('html', K.JOB_PAGE_KEYWORDS)} QUALIFY row_number() OVER (PARTITION BY oid ORDER BY path_pos, p.page_id) = 1),
+    p AS (SELECT page_id, name, {full_text('html', K.SKIP_TAGS_SIMPLE)} AS text FROM jf), {job_blocks_sql('p', 'name', K.JOB_FIRST_TERMS, 120)},
+    nj AS (SELECT oid, title, role FROM blocks JOIN jf ON blocks.page_id = jf.page_id),
+    sf AS (SELECT oid, name, p.page_id, html, {full_text('html', K.SKIP_TAGS_SIMPLE)} AS text FROM o, sp JOIN spage p ON p.url = o.site || '/' || sp.path
+        WHERE length(html) > 500 AND {any_word('html', K.STAY_PAGE_KEYWORDS)} QUALIFY row_number() OVER (PARTITION BY oid ORDER BY path_pos, p.page_id) = 1),
+    sb AS (SELECT oid, name, regexp_matches(lower(html), '<form\\b') AS form, regexp_matches(lower(html), '<iframe\\b') AS frame, regexp_matches(html, '{K.EMAIL}') AS mail,
+        regexp_matches(html, '{esc(K.PHONE)}') AS phone, {any_word('html', K.BOOKING_CALENDARS)} AS cal, {count_words('text', K.BOOKING_KEYWORDS)} AS kw,
+        len(list_filter(regexp_extract_all(lower(html), 'href=["'']([^"'']+)["'']', 1), lambda h: regexp_matches(h, '{'|'.join(w.replace('.', chr(92) + '.') for w in K.BOOKING_HOSTS)}'))) AS ext FROM sf),
+    ns AS (SELECT oid, 'Stay at ' || name AS title, CASE WHEN form AND kw >= 2 THEN 'direct_form' WHEN frame OR ext > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
+        WHEN (mail OR phone) AND kw >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM sb)
+    SELECT 'job' AS kind, oid AS organization_id, title, role AS detail FROM nj
+    UNION ALL SELECT 'job', oid, 'Old ' || page_id, NULL FROM owned WHERE oid NOT IN (SELECT oid FROM nj)
+    UNION ALL SELECT 'stay', oid, title, booking_type FROM ns UNION ALL SELECT 'stay', oid, 'Old ' || page_id, NULL FROM owned
+    UNION ALL SELECT 'org', oid, name, CAST(oid IN (SELECT oid FROM nj) AS VARCHAR) || ',' || CAST(oid IN (SELECT oid FROM ns) AS VARCHAR) FROM o""")
 def _(t):
     got = listings.discover_jobs_stays(site_org(t), t.spage, site_children(t, schemas.VOLUNTEER_OPPORTUNITIES), site_children(t, schemas.STAYS), NOW)
     jobs = got.jobs.select(F.lit("job").alias("kind"), "organization_id", "title", F.col("role").alias("detail"))
@@ -135,7 +154,16 @@ def _(t):
     return listings.redescribe_jobs(site_children(t, schemas.VOLUNTEER_OPPORTUNITIES), site_org(t), t.spage).select("id", "title", "description")
 
 
-@query("merge_directories")
+@query("merge_directories", "rich", "org", sql=f"""
+    WITH w AS ({OWN_SITE_SQL}), d AS ({DESCRIBED_SQL}), g AS ({GEO_SQL}),
+    e AS (SELECT w.page_id AS record_id, 'Farm ' || w.page_id AS name, website, 'directory' AS source, latitude FROM w JOIN d ON w.page_id = d.page_id JOIN g ON w.page_id = g.page_id
+        WHERE latitude IS NOT NULL OR website <> '' OR length(described) > 30
+        UNION ALL SELECT id, name, coalesce(website, ''), 'api', CASE WHEN id % 2 = 0 AND latitude <> 0 THEN latitude ELSE 12.5 END FROM org),
+    base AS (SELECT * FROM org WHERE has_jobs),
+    f AS (SELECT * FROM e WHERE lower(trim(name)) NOT IN (SELECT lower(trim(name)) FROM base)
+        AND rtrim(lower(trim(website)), '/') NOT IN (SELECT rtrim(lower(trim(website)), '/') FROM base WHERE website <> '')
+        QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY record_id, source) = 1)
+    SELECT (SELECT max(id) FROM base) + row_number() OVER (ORDER BY record_id, lower(name)) AS id, name, website, source, latitude FROM f""")
 def _(t):
     from bindings.texts import api_payloads
     # every page's first off-site link leads to the page of that address
@@ -169,7 +197,19 @@ def _(t):
     return catalogue.fill_websites(org, ref(t, "long", "close"), "Brand#1").select("id", "website")
 
 
-@query("enrich_descriptions")
+@query("enrich_descriptions", "spage", "ledger", sql=f"""
+    WITH o AS (SELECT min(page_id) AS id, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
+    t AS (SELECT *, name || ' is an intentional community' AS old FROM o WHERE id NOT IN (SELECT id FROM ledger)),
+    u AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, url FROM spage),
+    l AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS pos FROM u QUALIFY pos <= 4),
+    k AS (SELECT rtrim(url, '/') AS key, min(page_id) AS page_id FROM spage GROUP BY 1),
+    y AS (SELECT key, {full_text('html', K.SKIP_TAGS_FRAME)} AS text FROM k JOIN spage ON k.page_id = spage.page_id),
+    x AS (SELECT * FROM y WHERE length(text) > 80 AND NOT {any_word('text', K.LOW_QUALITY_PHRASES)}),
+    m AS (SELECT t.id, pos, text FROM t JOIN l ON t.site = l.site JOIN x ON rtrim(l.url, '/') = x.key),
+    b AS (SELECT * FROM m UNION ALL SELECT t.id, 0, text FROM t JOIN x ON rtrim(t.site, '/') = x.key WHERE t.id NOT IN (SELECT id FROM m)),
+    a AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY pos, text) AS whole FROM b GROUP BY id),
+    n AS (SELECT t.id, t.name, old, substr({squeezed("regexp_replace(" + squeezed('whole') + ", 'https?://" + chr(92) + "S+', '', 'g')")}, 1, 2000) AS new FROM t JOIN a ON t.id = a.id)
+    SELECT id, CASE WHEN NOT starts_with(lower(new), lower(name)) THEN name || '. ' || new ELSE new END AS description FROM n WHERE length(new) >= 120""")
 def _(t):
     org = site_org(t).withColumn("description", F.concat("name", F.lit(" is an intentional community")))
     listed = t.spage.select(urls.origin("url").alias("o"), "url").distinct()

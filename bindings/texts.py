@@ -234,8 +234,8 @@ def _(t):
     return t.rich.select("page_id", X.text_simple("html").alias("text"))
 
 
-def full_text(c: str) -> str:
-    for part in ("<!--.*?-->", "<!DOCTYPE[^>]*>", *(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in K.SKIP_TAGS_FULL)):
+def full_text(c: str, tags=tuple(K.SKIP_TAGS_FULL)) -> str:
+    for part in ("<!--.*?-->", "<!DOCTYPE[^>]*>", *(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in tags)):
         c = f"regexp_replace({c}, '(?is){part}', ' ', 'g')"
     c = f"regexp_replace({c}, '(?s)<[^>]+>', ' ', 'g')"
     # the references that lost their end in a cut title are decoded too
@@ -259,11 +259,13 @@ _PARAS = f"list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?
     '"placeholder"', "regexp_replace(p, '(?s)<[^>]+>', '', 'g')")
 
 
-@query("meta_description", "rich", sql=f"""
-    WITH m AS (SELECT page_id, {squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")} AS meta, {_PARAS} AS paras,
+DESCRIBED_SQL = f"""WITH m AS (SELECT page_id, {squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")} AS meta, {_PARAS} AS paras,
         {trimmed("nullif(regexp_extract(html, 'name=" + chr(34) + "description" + chr(34) + "[^>]*content=" + chr(34) + "([^" + chr(34) + "]+)" + chr(34) + "', 1), '')")} AS tag FROM rich)
     SELECT page_id, CASE WHEN length(meta) > 30 THEN meta END AS meta,
-        coalesce(CASE WHEN length(tag) > 30 THEN substr(tag, 1, 1000) END, substr(paras[1], 1, 1000), '') AS described FROM m""")
+        coalesce(CASE WHEN length(tag) > 30 THEN substr(tag, 1, 1000) END, substr(paras[1], 1, 1000), '') AS described FROM m"""
+
+
+@query("meta_description", "rich", sql=DESCRIBED_SQL)
 def _(t):
     return t.rich.select("page_id", X.meta_description("html").alias("meta"), X.listing_description("html").alias("described"))
 
@@ -304,19 +306,24 @@ def _(t):
     return t.note.select("id", F.array_join(F.array_sort(X.emails("text")), ",").alias("emails"), X.contact_email("text").alias("contact"))
 
 
-@query("geo_from_html", "rich", sql="SELECT page_id, " + ", ".join(
+GEO_SQL = ("SELECT page_id, " + ", ".join(
     "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract(html, '{esc(p)}', {g}), '') AS DOUBLE)" for p in K.GEO_PATTERNS) + f") AS {n}"
     for g, n in ((1, "latitude"), (2, "longitude"))) + " FROM rich")
+
+
+@query("geo_from_html", "rich", sql=GEO_SQL)
 def _(t):
     return t.rich.select("page_id", X.geo_point("html").alias("p")).select("page_id", "p.latitude", "p.longitude")
 
 
-@query("own_website", "rich", sql=f"""
-    WITH a AS (SELECT page_id, nullif(regexp_extract(html, 'og:url"[^>]*content="([^"]+)"', 1), '') AS og, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host,
+OWN_SITE_SQL = f"""WITH a AS (SELECT page_id, nullif(regexp_extract(html, 'og:url"[^>]*content="([^"]+)"', 1), '') AS og, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host,
         list_filter(list_transform(regexp_extract_all(html, {_ANCHOR}, 1), lambda x: {{'text': regexp_replace(regexp_extract(x, '(?is)^<a\\s[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', '', 'g'),
             'href': {unescaped("regexp_extract(x, '(?is)href=[" + chr(34) + "'']([^" + chr(34) + "'']+)[" + chr(34) + "'']', 1)")}}}), lambda p: trim(p.text) <> '') AS l FROM rich)
     SELECT page_id, coalesce(og, list_filter(l, lambda p: p.href LIKE 'http%' AND NOT contains(p.href, host)
-        AND NOT regexp_matches(p.href, '{'|'.join(K.SOCIAL_WORDS)}'))[1].href, '') AS website FROM a""")
+        AND NOT regexp_matches(p.href, '{'|'.join(K.SOCIAL_WORDS)}'))[1].href, '') AS website FROM a"""
+
+
+@query("own_website", "rich", sql=OWN_SITE_SQL)
 def _(t):
     return t.rich.select("page_id", X.own_website("html", "url").alias("website"))
 
