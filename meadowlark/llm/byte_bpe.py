@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, free_name, process_cache
-from meadowlark.llm.spans import PART, SpanCache
+from meadowlark.llm.spans import PART, Coded, SpanCache
 
 _NONE = np.int32(2**31 - 1)
 _EMPTY = np.uint64(2**64 - 1)
@@ -179,14 +179,15 @@ class Bpe:
                 heapq.heappush(heap, (r, prev[i], stop))
         return np.array([ranks[piece[i: end[i]]] for i in range(n) if alive[i]], np.int32).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, texts: list[str]) -> Coded:
         """Ids of each text, cut by the pattern."""
         find = self.pattern.findall
         split = [[t] if t[0] == " " and t[1:].isalpha() else find(t) for t in texts]
         distinct = list(set().union(*split))
         ids = dict(zip(distinct, self.pieces([p.encode() for p in distinct])))
-        joined = (ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in split)
-        return [np.frombuffer(x, np.uint32) for x in joined]
+        joined = [ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x)) for x in split]
+        count = np.fromiter(map(len, joined), np.int64, len(joined)) // 4
+        return np.frombuffer(b"".join(joined), np.uint32), np.cumsum(count) - count, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts one after the other, and the offsets of the texts."""

@@ -89,10 +89,19 @@ def _ends(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return head, tail
 
 
+Coded = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, and where each string's ids start and how many they are
+
+
+def coded(ids: list[np.ndarray]) -> Coded:
+    """The ids of some strings, one after the other."""
+    count = np.array([len(x) for x in ids], np.int64)
+    return np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32), np.cumsum(count) - count, count
+
+
 class SpanCache:
-    """``encode`` maps strings, each tokenized on its own, to arrays of ids."""
+    """``encode`` gives the ids of strings, each tokenized on its own."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], most: int = MOST):
+    def __init__(self, encode: Callable[[list[str]], Coded], most: int = MOST):
         self.encode, self.most = encode, most
         self.bits = (most + most // 2).bit_length()
         self._clear()
@@ -116,13 +125,12 @@ class SpanCache:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _insert(self, h, head, tail, size, ids: list[np.ndarray]) -> None:
-        count = np.array([len(x) for x in ids], np.int32)
-        total = int(count.sum())
+    def _insert(self, h, head, tail, size, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, 2 * len(self.ids)), np.uint32)])
-        self.ids[self.used: self.used + total] = np.concatenate(ids)
-        start = self.used + np.cumsum(count) - count
+        self.ids[self.used: self.used + total] = ids
+        start = self.used + start
         self.used, self.held = self.used + total, self.held + len(h)
         slot, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):  # of the keys that want a free slot one gets it
@@ -150,15 +158,14 @@ class SpanCache:
             at = np.flatnonzero(slot < 0)[one]
             raw = data.tobytes() if len(at) > 1000 else None
             texts = [(raw[a:b] if raw is not None else data[a:b].tobytes()).decode() for a, b in zip(begin[at].tolist(), end[at].tolist())]
-            self._insert(h[at], head[at], tail[at], size[at], self.encode(texts))
+            self._insert(h[at], head[at], tail[at], size[at], *self.encode(texts))
             slot = self._find(h)
         count, start, ids = self.count[slot].astype(np.int64), self.start[slot].astype(np.int64), self.ids
         other = np.flatnonzero((self.head[slot] != head) | (self.tail[slot] != tail) | (self.size[slot] != size))
         if len(other):  # spans of equal hash, tokenized on their own
-            own = self.encode([data[begin[i]: end[i]].tobytes().decode() for i in other])
-            count[other] = [len(x) for x in own]
-            start[other] = self.used + np.cumsum(count[other]) - count[other]
-            ids = np.concatenate([self.ids[: self.used], *own])
+            own, at, count[other] = self.encode([data[begin[i]: end[i]].tobytes().decode() for i in other])
+            start[other] = self.used + at
+            ids = np.concatenate([self.ids[: self.used], own])
         stop = np.cumsum(count)
         total = int(stop[-1]) if len(stop) else 0
         return ids[np.repeat(start - (stop - count), count) + np.arange(total)], count
@@ -183,11 +190,12 @@ class SpanCache:
         if not alone.any():
             return self._spans(data, begin, end)
         got, some = self._spans(data, begin[~alone], end[~alone])
-        rows = self.encode([data[a:b].tobytes().decode() for a, b in zip(begin[alone], end[alone])])
+        rows, start, own = self.encode([data[a:b].tobytes().decode() for a, b in zip(begin[alone], end[alone])])
         count = np.zeros(len(begin), np.int64)
-        count[~alone], count[alone] = some, [len(x) for x in rows]
-        out, stop = np.empty(int(count.sum()), np.uint32), np.cumsum(count)
+        count[~alone], count[alone] = some, own
+        out = np.empty(int(count.sum()), np.uint32)
         mine = np.repeat(alone, count)
         out[~mine] = got
-        out[mine] = np.concatenate(rows)
+        stop = np.cumsum(own)
+        out[mine] = rows[np.repeat(start - (stop - own), own) + np.arange(int(own.sum()))]
         return out, count

@@ -30,10 +30,11 @@ from pyspark.sql.window import Window
 
 from meadowlark.llm import words as W
 from meadowlark.llm.batches import bound_batches, process_cache
-from meadowlark.llm.spans import PART, SpanCache
+from meadowlark.llm.spans import PART, Coded, SpanCache, coded
 
 SHARD_IDS = 1 << 22  # a shard is closed with the document that reaches this
 SAMPLE = 256
+SPANS = 600_000  # that a process remembers
 _HEAD = "<4sHHqqqq"
 _PART = "<qqqqq"
 
@@ -152,15 +153,16 @@ def _encoder(model: bytes) -> SpanCache:
         def whole(texts: list[str]) -> list[np.ndarray]:
             return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        made[key] = SpanCache(lambda texts: _apart(texts, whole, lengths))
+        made[key] = SpanCache(lambda texts: _apart(texts, whole, lengths), SPANS)
     return made[key]
 
 
-def _apart(texts: list[str], whole, lengths: np.ndarray) -> list[np.ndarray]:
+def _apart(texts: list[str], whole, lengths: np.ndarray) -> Coded:
     """Each of many spans through few calls of the library. Those that begin with their only space
     and end in a letter or mark are joined: a space cuts them, and ids stand for as many bytes as
     their tokens have, so the ids fall back into spans."""
-    out: list[np.ndarray | None] = [None] * len(texts)
+    flat, used = [], 0
+    start, count = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
     joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and " " not in t[1:]]
     for a in range(0, len(joined), 20_000):
         some = joined[a: a + 20_000]
@@ -171,12 +173,14 @@ def _apart(texts: list[str], whole, lengths: np.ndarray) -> list[np.ndarray]:
         cuts = np.searchsorted(ends, stops)
         if len(stops) != len(some) or ends[-1] != len(data) or (ends[cuts] != stops).any():
             continue  # a tokenizer that does not keep all bytes
-        for i, x in zip(some, np.split(ids, cuts[:-1] + 1)):
-            out[i] = x
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, x in zip(rest, whole([texts[i] for i in rest]) if rest else ()):
-        out[i] = x
-    return out
+        start[some] = used + np.append(0, cuts[:-1] + 1)
+        count[some] = np.diff(cuts, prepend=-1)
+        flat.append(ids)
+        used += len(ids)
+    rest = np.flatnonzero(count < 0)
+    ids, at, count[rest] = coded(whole([texts[i] for i in rest]) if len(rest) else [])
+    start[rest] = used + at
+    return np.concatenate([*flat, ids]), start, count
 
 
 def write_token_files(docs: DataFrame, path: str, model: str, end_id: int | None = None, key: str = "doc_id",

@@ -79,7 +79,7 @@ def test_unknown_id_is_an_error():
 
 def test_long_text_is_tokenized_in_spans(monkeypatch):
     seen = []
-    cache = SpanCache(lambda xs: [seen.extend(xs) or np.frombuffer(x.encode(), np.uint8).astype(np.uint32) for x in xs])
+    cache = SpanCache(lambda xs: spans.coded([seen.append(x) or np.frombuffer(x.encode(), np.uint8) for x in xs]))
     monkeypatch.setattr(spans, "AT_ONCE", 1000)
     text = "word, " * 50_000 + "end"
     ids, at = cache.texts(pa.array([text]))
