@@ -245,7 +245,7 @@ def _(t):
     return M.match_contains(t.product, ref(t, "long", "short")).select("id", "match_url")
 
 
-@query("passage_containment", "doc", "passage", sql="SELECT d.id AS doc_id, p.id AS passage_id FROM doc d JOIN passage p ON contains(d.text, p.text) WHERE length(p.text) >= 12")
+@query("passage_containment", "doc", "passage", sql="SELECT d.id AS doc_id, p.id AS passage_id FROM doc d JOIN passage p ON contains(d.text, p.text) WHERE length(p.text) > 0")
 def _(t):
     docs = t.doc.select(F.col("id").alias("doc_id"), F.col("text").alias("doc_text"))
     passages = t.passage.select(F.col("id").alias("passage_id"), F.col("text").alias("passage_text"))

@@ -86,9 +86,17 @@ def match_contains(df: DataFrame, ref: DataFrame, name: str = "name", longer_tha
 
 def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, passage_id: str,
                 passage_text: str, n: int = 12) -> DataFrame:
-    """(doc_id, passage_id) for passages of at least n characters that occur inside documents."""
-    usable = passages.where(F.length(passage_text) >= n)
-    pairs = contained_pairs(usable, docs, n, passage_text, doc_id, doc_text)
+    """(doc_id, passage_id) for all passages, blank ones aside, that occur inside documents.
+
+    Pieces have n characters; passages shorter than that are looked up by pieces of their own
+    length, one length at a time.
+    """
+    usable = passages.where(F.length(passage_text) > 0)
+    shorter = usable.where(F.length(passage_text) < n).select(F.length(passage_text).alias("k")).distinct()
+    pairs = contained_pairs(usable.where(F.length(passage_text) >= n), docs, n, passage_text, doc_id, doc_text)
+    for k in sorted(r["k"] for r in shorter.collect()):  # fewer than n lengths
+        some = usable.where(F.length(passage_text) == k)
+        pairs = pairs.unionByName(contained_pairs(some, docs, k, passage_text, doc_id, doc_text))
     return pairs.join(usable.select(passage_id, passage_text), passage_text).select(doc_id, passage_id)
 
 

@@ -310,7 +310,7 @@ def test_fuzzy_blocks_agree(names, monkeypatch):
 def test_passages_brute(spark):
     rng = random.Random(5)
     docs = ["".join(rng.choice("abc d\né") for _ in range(400)) for _ in range(30)]
-    passages = [d[i:i + 40] for i, d in enumerate(docs[:10])] + ["zzzzzzzzzzzzzzzzzzz"]
+    passages = [d[i:i + 40] for i, d in enumerate(docs[:10])] + ["zzzzzzzzzzzzzzzzzzz", "ab c", "zq", docs[3][5:14], docs[3][7:16]]
     got = M.passages_in(spark.createDataFrame(list(enumerate(docs)), "d long, dt string"),
                         spark.createDataFrame(list(enumerate(passages)), "p long, pt string"), "d", "dt", "p", "pt")
     assert rows(got) == sorted((i, j) for i, d in enumerate(docs) for j, p in enumerate(passages) if p in d)
