@@ -6,12 +6,14 @@ added. Runs of equal siblings, as paragraphs or list items, are one repeated nod
 wrapper stays as small as the host's layout. Each partition folds its own pages, then the
 wrappers of a host are folded in two steps, a sixteenth of them first; all pages count.
 
-A wrapper node whose own text is the same on nearly all pages is template, as are nodes
-whose element, role, class or id says so: menus, headers, footers, sidebars, notices,
-adverts, forms, comments. What varies is content if it lies in an article or main element
-or, in a layout without one, in the node that holds most of the varying text outside
-links. A page is aligned with its host's wrapper again and the text of content nodes is
-read in page order.
+A wrapper node whose own text is the same on nearly all pages is template. An element,
+role, class or id that speaks of menus, headers, footers, sidebars, notices, adverts, forms
+or comments is a vote only: such a node is template if it holds a small share of the text
+that varies outside links on the pages that have it, and is kept otherwise. What varies is
+content if it lies in an article or main element or, in a layout without one, in the node
+that holds most of the varying text outside links. A page is aligned with its host's
+wrapper again and the text of content nodes is read in page order. A page that has content
+nodes below nodes voted out only, or no content node at all, is judged by its own shares.
 
 Defined results: a null or empty page, and one without content, has an empty text; pages
 with a null or malformed url share the host ''; a page that does not fit its wrapper is
@@ -26,6 +28,7 @@ import html
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,6 +42,8 @@ CONSTANT = 0.9  # share of a host's pages on which a template text is the same
 LEAST_PAGES = 5  # pages from which constancy is believed
 TEXTS = 4  # candidates for a node's constant text
 MAIN_SHARE = 0.7  # of the varying text, for a child to be entered in search of the content node
+SMALL_SHARE = 0.25  # of the varying text, below which a node's name may speak against it
+OWN_SHARE = 0.7  # of the text of a page without content nodes, from which a name does not count
 BROADCAST_BYTES = 32 << 20  # of wrappers sent to every executor; more are joined by a shuffle
 SALTS = 16
 
@@ -52,13 +57,14 @@ _ENDS_SELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr"
               "thead": "tr td th", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th"}
 _SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select",
           "thead": "table", "tbody": "table", "tfoot": "table"}
-_NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select textarea menu dialog head title "
-                        "canvas object audio video".split())
+_NEVER_TAGS = frozenset("script style noscript template iframe svg button select textarea head title canvas object audio video".split())
+_NOISE_TAGS = frozenset("nav footer aside menu dialog".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
                          "breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices popup modal overlay "
                          "newsletter subscribe subscription comment comments disqus reply replies share sharing social related "
                          "recommended widget login signup pagination pager banner".split())
+_COMMENT_WORDS = frozenset("comment comments reply".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -70,36 +76,38 @@ class Node:
 
     __slots__ = ("tag", "sig", "noise", "children", "up")
 
-    def __init__(self, tag: str, sig: str, noise: str, up):
-        self.tag, self.sig, self.noise, self.children, self.up = tag, sig, noise, [], up
+    def __init__(self, tag: str, sig: str, up):
+        self.tag, self.sig, self.noise, self.children, self.up = tag, sig, _vote(sig), [], up
 
 
-_heads: dict[tuple[str, str], tuple[str, str]] = {}
-
-
-def _head(tag: str, raw: str) -> tuple[str, str]:
-    """Signature of an element, and why its text is none of the article's ('' if it may be)."""
+def _signature(tag: str, raw: str) -> str:
+    """Element, words of class and id, and marks of its role and of being hidden."""
     if not raw.strip(" /\n\t"):
-        return tag, "tag" if tag in _NOISE_TAGS else "header" if tag == "header" else ""
+        return tag
     given = {m[1].lower() if m[1] else m[5].lower(): next((x for x in (m[2], m[3], m[4]) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
     names = sorted({x for k in ("class", "id") for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get(k, "")).lower()) if x})
-    role = given.get("role", "").lower()
-    sig = ".".join([tag, *names, *([role] if role else [])])
-    noise = ""
-    if tag in _NOISE_TAGS or role in _NOISE_ROLES or "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-        noise = "tag"
-    elif tag not in ("html", "body", "article", "main") and not _NOISE_WORDS.isdisjoint(names):
-        noise = "name"
-    elif tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(names):
-        noise = "name"
-    elif tag == "header" or not _HEADER_WORDS.isdisjoint(names):
-        noise = "header"
-    return sig, noise
+    role = given.get("role", "").strip().lower().replace(".", " ")
+    hidden = "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
+    return ".".join([tag, *names, *(["~" + role] if role else []), *(["~~hidden"] if hidden else [])])
+
+
+@lru_cache(1 << 16)
+def _vote(sig: str) -> str:
+    """What a signature says against an element: 'never' text of an article, 'tag', 'name', 'header', or ''."""
+    tag, *names = sig.split(".")
+    if tag in _NEVER_TAGS:
+        return "never"
+    if tag in _NOISE_TAGS or "~~hidden" in names or any(x[1:] in _NOISE_ROLES for x in names if x.startswith("~")):
+        return "tag"
+    if tag == "form" or tag not in ("html", "body", "article", "main") and not _NOISE_WORDS.isdisjoint(names) \
+            or tag == "article" and not _COMMENT_WORDS.isdisjoint(names):
+        return "name"
+    return "header" if tag == "header" or tag not in ("html", "body", "article", "main") and not _HEADER_WORDS.isdisjoint(names) else ""
 
 
 def parse(page: str) -> Node:
     """The element tree of a page, with the usual implied end tags."""
-    root = here = Node("", "", "", None)
+    root = here = Node("", "", None)
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -133,8 +141,7 @@ def parse(page: str) -> Node:
                 x = x.up
             if closed is not None:
                 here = closed.up
-        sig, noise = _head(tag, m[3])
-        node = Node(tag, sig, noise, here)
+        node = Node(tag, _signature(tag, m[3]), here)
         here.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]|</{tag}\Z", re.I).search(page, at)
@@ -227,7 +234,7 @@ def _fold_all(wrappers: list[list]) -> list:
 
 def rules(wrapper: list) -> list:
     """The wrapper as nodes [signature, label, constant text hash or None, children]; the label is
-    'main' for a content node, else ''."""
+    'main' for a content node, 'noise' for one that is voted out, else ''."""
     pages = wrapper[1]
 
     def constant(x):
@@ -236,23 +243,35 @@ def rules(wrapper: list) -> list:
         text, n = max(x[4].items(), key=lambda t: (t[1], -t[0]))
         return int(text) if n >= CONSTANT * x[1] and x[1] >= LEAST_PAGES else None
 
+    varying, holds = {}, {}  # of every node: varying characters outside links, and whether an article or main is in it
+
+    def weigh(x):
+        for c in x[5]:
+            weigh(c)
+        never = _vote(x[0]) == "never"
+        own = x[2] - x[3] - sum(c[2] - c[3] for c in x[5])
+        varying[id(x)] = 0 if never else sum(varying[id(c)] for c in x[5]) + (own if constant(x) is None else 0)
+        holds[id(x)] = not never and (_is_article(x[0]) or any(holds[id(c)] for c in x[5]))
+
+    weigh(wrapper)
+
+    def small(x):  # share of the varying text of an average page, on the pages that have the node
+        return not varying[id(x)] or varying[id(x)] * pages < SMALL_SHARE * varying[id(wrapper)] * x[1]
+
     def noisy(x):
-        tag, *names = x[0].split(".")
-        return tag in _NOISE_TAGS or tag == "header" or not _NOISE_WORDS.isdisjoint(names) or not _HEADER_WORDS.isdisjoint(names) \
-            or not _NOISE_ROLES.isdisjoint(names)
+        vote = _vote(x[0])
+        return vote == "never" or vote != "" and (small(x) or vote == "tag" and pages < LEAST_PAGES and not holds[id(x)])
 
     def free(x):  # varying characters outside links and template
         if noisy(x):
             return 0
-        below = sum(free(c) for c in x[5])
-        own = x[2] - sum(c[2] for c in x[5])
-        return below + (0 if constant(x) is not None or x[0].split(".")[0] == "a" else own)
+        return varying[id(x)] - sum(varying[id(c)] - free(c) for c in x[5])
 
-    found = []
+    found = set()
 
     def semantic(x):
-        if x[0].split(".")[0] in ("article", "main") and not {"comment", "comments", "reply"} & set(x[0].split(".")[1:]):
-            found.append(id(x))
+        if x[0].split(".")[0] in ("article", "main") and not noisy(x):
+            found.add(id(x))
         elif not noisy(x):
             for c in x[5]:
                 semantic(c)
@@ -265,14 +284,18 @@ def rules(wrapper: list) -> list:
             if free(top) < MAIN_SHARE * free(node) or top[0].split(".")[0] in _INLINE | {"p", "li", "td"}:
                 break
             node = top
-        found.append(id(node))
+        found.add(id(node))
 
     def labelled(x):
-        return [x[0], "main" if id(x) in found else "", constant(x), [labelled(c) for c in x[5]]]
+        return [x[0], "main" if id(x) in found else "noise" if noisy(x) else "", constant(x), [labelled(c) for c in x[5]]]
 
     return labelled(wrapper)
 
 
+def _is_article(sig: str) -> bool:
+    return sig.split(".", 1)[0] in ("article", "main") and _vote(sig) == ""
+
+
 def _aligned(node: Node, rule: list, labels: dict) -> None:
     """Labels of the page's nodes from the wrapper nodes they align with."""
     labels[id(node)] = rule
@@ -314,23 +337,72 @@ def read(page: str, wrapper: list | None) -> str:
     return text or _content(root, labels, False)
 
 
+def _weights(node: Node, out: dict, in_link: bool = False) -> tuple[int, bool]:
+    """(characters outside links, whether an article or main is in it) of every node of a page."""
+    in_link = in_link or node.tag == "a"
+    chars, holds = 0, _is_article(node.sig)
+    for c in node.children:
+        if isinstance(c, str):
+            chars += 0 if in_link else len(c.strip())
+        elif c.noise != "never":
+            n, held = _weights(c, out, in_link)
+            chars, holds = chars + n, holds or held
+    out[id(node)] = chars, holds
+    return chars, holds
+
+
+def _reaches(root: Node, cut, wanted) -> bool:
+    """Whether a wanted node can be reached from the root without entering one that is cut."""
+    stack = [(root, False)]
+    while stack:
+        x, article = stack.pop()
+        if cut(x, article):
+            continue
+        if wanted(x):
+            return True
+        article = article or x.tag in ("article", "main")
+        stack += [(c, article) for c in x.children if not isinstance(c, str)]
+    return False
+
+
 def _content(root: Node, labels: dict, drop_constants: bool) -> str:
-    has_main = any(r[1] == "main" for r in labels.values())
-    own = not has_main  # the page does not fit: its article or main element, else all that is not noise
-    if own:
-        stack, marked = [root], False
-        while stack and not marked:
-            x = stack.pop()
-            marked = x.tag in ("article", "main") and not x.noise
-            stack += [c for c in x.children if not isinstance(c, str) and c.noise in ("", "header")]
+    weights: dict[int, tuple[int, bool]] = {}
+
+    def own_cut(node, article):  # the page's own judgement
+        if not node.noise or node.noise == "header" and article:
+            return False
+        rule = labels.get(id(node))
+        if node.noise == "never":
+            return True
+        if rule is not None and rule[1] != "noise" or weights[id(node)][1]:
+            return False
+        return node.noise == "tag" or weights[id(node)][0] < OWN_SHARE * weights[id(root)][0] or not weights[id(node)][0]
+
+    def wrapper_cut(node, article):
+        if not node.noise or node.noise == "header" and article:
+            return False
+        rule = labels.get(id(node))
+        return node.noise == "never" or (rule[1] == "noise" if rule is not None else own_cut(node, article))
+
+    def is_main(node):
+        rule = labels.get(id(node))
+        return rule is not None and rule[1] == "main"
+
+    def is_article(node):
+        return _is_article(node.sig) and weights[id(node)][0] >= SMALL_SHARE * weights[id(root)][0]
+
+    _weights(root, weights)
+    own = not _reaches(root, wrapper_cut, is_main)  # the page does not fit: its article or main element, else all that is not noise
+    cut = own_cut if own else wrapper_cut
+    marked = own and _reaches(root, cut, is_article)
     out: list[str] = []
 
     def walk(node, inside, article):
         rule = labels.get(id(node))
-        if node.noise and not (node.noise == "header" and article):
+        if cut(node, article):
             return
         article = article or node.tag in ("article", "main")
-        inside = inside or (rule is not None and rule[1] == "main") or (own and (article or not marked))
+        inside = inside or (not own and is_main(node)) or (own and (not marked or is_article(node)))
         block = node.tag not in _INLINE
         if block:
             out.append(" ")

@@ -40,6 +40,30 @@ def test_wrapper_finds_content_without_an_article_element(spark):
     assert got == {i: " ".join(f"story {i} begins and {'goes on ' * i}".split()) for i in range(12)}
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in page_text.main_text(df).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content has-sidebar"><article>{}</article></div>', '<div id="sticky-footer-wrap"><article>{}</article></div>',
+    '<div class="public-notice">{}</div>', '<form id=aspnet><div>{}</div></form>', '<form><article>{}</article></form>',
+    '<div class="page-header-wrap"><main>{}</main></div>', '<article class="post comments-open">{}</article>',
+    '<div id="sticky-footer-wrap">{}</div><div class=sidebar>tip @</div>', '<aside><article>{}</article></aside><div class=related>old @</div>'])
+@pytest.mark.parametrize("n", [2, 12])
+def test_names_do_not_overrule_the_wrapper(spark, around, n):
+    body = [" ".join(f"word{i * j}" for j in range(1, 30)) for i in range(1, n + 1)]
+    pages = [f"<body><nav><a href=/>m{i}</a></nav>{around.format(f'<p>{b}</p>').replace('@', str(i))}<div class=footer>All rights</div></body>"
+             for i, b in enumerate(body)]
+    assert texts_of(spark, pages) == body
+
+
+def test_short_pages_of_another_layout_keep_their_text(spark):
+    pages = [f"<body><article><p>{f'long story {i} ' * 200}</p></article></body>" for i in range(20)]
+    pages += [f'<body><div class="public-notice"><{t}>short {i}</{t}></div></body>' for i, t in enumerate(["article", "div", "p"])]
+    assert texts_of(spark, pages)[20:] == ["short 0", "short 1", "short 2"]
+
+
 def test_constant_text_is_template_and_copies_are_not(spark):
     share = "<p class=s>Printed from our site</p>"
     varied = [(i, "https://A.com/p", layout(f"<p>text {i}</p>{share}", f"m{i}")) for i in range(20)]
