@@ -10,8 +10,9 @@ A wrapper node whose own text is the same on nearly all pages is template. An el
 role, class or id that speaks of menus, headers, footers, sidebars, notices, adverts, forms
 or comments is a vote only: such a node is template if it holds a small share of the text
 that varies outside links on the pages that have it, and is kept otherwise. What varies is
-content if it lies in an article or main element or, in a layout without one, in the node
-that holds most of the varying text outside links. A page is aligned with its host's
+content if it lies in an article or main element or, in a layout without one, below the
+lowest node that holds all varying text outside links; there, what is links only is left out
+unless it is a heading or lies in the node that holds most of that text. A page is aligned with its host's
 wrapper again and the text of content nodes is read in page order. A page that has content
 nodes below nodes voted out only, or no content node at all, is judged by its own shares.
 
@@ -40,8 +41,9 @@ from meadowlark.llm.url_filters import host_of
 
 CONSTANT = 0.9  # share of a host's pages on which a template text is the same
 LEAST_PAGES = 5  # pages from which constancy is believed
-TEXTS = 4  # candidates for a node's constant text
-MAIN_SHARE = 0.7  # of the varying text, for a child to be entered in search of the content node
+TEXTS = 8  # candidates for a node's constant text
+LOST = -1  # the key, no checksum, of what their counts may be too low by
+MAIN_SHARE = 0.7  # of the varying text, for a child to be entered in search of the node whose links are content too
 SMALL_SHARE = 0.25  # of the varying text, below which a node's name may speak against it
 OWN_SHARE = 0.7  # of the text of a page without content nodes, from which a name does not count
 BROADCAST_BYTES = 32 << 20  # of wrappers sent to every executor; more are joined by a shuffle
@@ -64,10 +66,12 @@ _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponso
                          "breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices popup modal overlay "
                          "newsletter subscribe subscription comment comments disqus reply replies share sharing social related "
                          "recommended widget login signup pagination pager banner".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMENT_WORDS = frozenset("comment comments reply".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\s*\Z")  # a value that ends in a slash, which closes nothing
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 
 
@@ -150,7 +154,7 @@ def parse(page: str) -> Node:
                 node.children.append(page[at:stop])
             close = page.find(">", stop)
             at = size if not end or close < 0 else close + 1
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID and (not m[3].rstrip().endswith("/") or _UNQUOTED.search(m[3])):
             here = node
     return root
 
@@ -220,8 +224,10 @@ def fold(a: list, b: list, same_page: bool = False) -> list:
         texts = dict(a[4])
         for k, v in b[4].items():
             texts[k] = texts.get(k, 0) + v
-        if len(texts) > TEXTS:  # the rarest give way; a text of nearly all pages never does
-            texts = dict(sorted(texts.items(), key=lambda t: (-t[1], t[0]))[:TEXTS])
+        counts = sorted((v for k, v in texts.items() if k != LOST), reverse=True)
+        if len(counts) > TEXTS:  # Misra-Gries: all counts fall by that of the next text, at most pages / (TEXTS + 1) in sum
+            lost = counts[TEXTS]
+            texts = {LOST: texts.get(LOST, 0) + lost, **{k: v - lost for k, v in texts.items() if k != LOST and v > lost}}
     return [a[0], max(a[1], b[1]) if same_page else a[1] + b[1], a[2] + b[2], a[3] + b[3], texts, children]
 
 
@@ -234,14 +240,14 @@ def _fold_all(wrappers: list[list]) -> list:
 
 def rules(wrapper: list) -> list:
     """The wrapper as nodes [signature, label, constant text hash or None, children]; the label is
-    'main' for a content node, 'noise' for one that is voted out, else ''."""
+    'main' for a content node, 'noise' for one that is voted out, 'links' for one of links only that is none, else ''."""
     pages = wrapper[1]
 
     def constant(x):
         if not x[4] or pages < LEAST_PAGES:
             return None
-        text, n = max(x[4].items(), key=lambda t: (t[1], -t[0]))
-        return int(text) if n >= CONSTANT * x[1] and x[1] >= LEAST_PAGES else None
+        text, n = max(((k, v) for k, v in x[4].items() if k != LOST), key=lambda t: (t[1], -t[0]), default=(None, 0))
+        return text if text is not None and n + x[4].get(LOST, 0) >= CONSTANT * x[1] and x[1] >= LEAST_PAGES else None
 
     varying, holds = {}, {}  # of every node: varying characters outside links, and whether an article or main is in it
 
@@ -276,18 +282,33 @@ def rules(wrapper: list) -> list:
             for c in x[5]:
                 semantic(c)
 
+    def enter(x, share):  # down to the node none of whose children holds that share
+        while x[5] and free(x):
+            top = max(x[5], key=free)
+            if free(top) < share * free(x) or top[0].split(".")[0] in _INLINE | {"p", "li", "td"}:
+                break
+            x = top
+        return x
+
+    def mark_links(x):
+        tag, own = x[0].split(".")[0], varying[id(x)] - sum(varying[id(c)] for c in x[5])
+        for c in x[5]:
+            if not free(c) and c[3] and (not own or c[0].split(".")[0] not in _INLINE) and c[0].split(".")[0] not in _HEADINGS:
+                links.add(id(c))
+            elif c is not inner and c[0].split(".")[0] not in _HEADINGS:
+                mark_links(c)
+
     semantic(wrapper)
+    links = set()
     if not found:
-        node = wrapper
-        while node[5]:
-            top = max(node[5], key=free)
-            if free(top) < MAIN_SHARE * free(node) or top[0].split(".")[0] in _INLINE | {"p", "li", "td"}:
-                break
-            node = top
+        node = enter(wrapper, 1)
         found.add(id(node))
+        inner = enter(node, MAIN_SHARE)
+        if inner is not node:
+            mark_links(node)
 
     def labelled(x):
-        return [x[0], "main" if id(x) in found else "noise" if noisy(x) else "", constant(x), [labelled(c) for c in x[5]]]
+        return [x[0], "main" if id(x) in found else "noise" if noisy(x) else "links" if id(x) in links else "", constant(x), [labelled(c) for c in x[5]]]
 
     return labelled(wrapper)
 
@@ -379,9 +400,11 @@ def _content(root: Node, labels: dict, drop_constants: bool) -> str:
         return node.noise == "tag" or weights[id(node)][0] < OWN_SHARE * weights[id(root)][0] or not weights[id(node)][0]
 
     def wrapper_cut(node, article):
+        rule = labels.get(id(node))
+        if rule is not None and rule[1] == "links":
+            return True
         if not node.noise or node.noise == "header" and article:
             return False
-        rule = labels.get(id(node))
         return node.noise == "never" or (rule[1] == "noise" if rule is not None else own_cut(node, article))
 
     def is_main(node):

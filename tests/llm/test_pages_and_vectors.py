@@ -3,6 +3,7 @@
 import html as H
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,26 @@ def test_short_pages_of_another_layout_keep_their_text(spark):
     assert texts_of(spark, pages)[20:] == ["short 0", "short 1", "short 2"]
 
 
+def test_all_varying_slots_are_content_without_an_article_element(spark):
+    menu = "<div class=top>Site</div><div class=links><a href=/>one {i}</a><a href=/>two {i}</a></div>"
+    post = "<div class=post><h1>title {i}</h1><p class=lead>lead {i}</p>" + menu + "<div class=body><p>" + "story {i} " * 30 + "</p></div></div>"
+    parts = ["a {i} " * 10, "b {i} " * 75, "c {i} " * 15]
+    split = menu + "".join(f"<section class=s{k}><p>{x}</p></section>" for k, x in zip("xyz", parts)) + "<div class=legal>All rights</div>"
+    for page, text in ((post, "title {i} lead {i} " + "story {i} " * 30), (split, "".join(parts))):
+        got = texts_of(spark, [f"<body>{page.format(i=i)}</body>" for i in range(12)])
+        assert got == [text.format(i=i).strip() for i in range(12)]
+
+
+@pytest.mark.parametrize("text", ["Printed daily", "By the editors", "Read on", "All the news", "Since 1901", "Our paper"])
+def test_a_constant_text_is_counted_after_any_others(text):
+    odd = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    pages = [f"<div><p>{x}</p><b>{i}</b></div>" for i, x in enumerate(odd + [text] * 92)]
+    for order in (pages, pages[::-1], pages[4:] + pages[:4]):
+        rule = page_text.rules(page_text._fold_all([page_text.skeleton(page_text.parse(x)) for x in order]))
+        p = rule[3][0][3][0]
+        assert (p[0], p[2]) == ("p", zlib.crc32(text.encode()))
+
+
 def test_constant_text_is_template_and_copies_are_not(spark):
     share = "<p class=s>Printed from our site</p>"
     varied = [(i, "https://A.com/p", layout(f"<p>text {i}</p>{share}", f"m{i}")) for i in range(20)]
