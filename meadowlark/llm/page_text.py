@@ -19,7 +19,8 @@ nodes below nodes voted out only, or no content node at all, is judged by its ow
 Defined results: a null or empty page, and one without content, has an empty text; pages
 with a null or malformed url share the host ''; a page that does not fit its wrapper is
 judged by its own elements; repeated pages of a partition count once for the wrapper and
-get their text each; extra columns pass through, one named as the result is replaced; an
+get their text each; an element below DEPTH others leaves its text, in order, to the one it
+lies in, unless it is an article, main or voted one less than twice as deep; extra columns pass through, one named as the result is replaced; an
 empty table stays empty.
 """
 
@@ -46,6 +47,7 @@ LOST = -1  # the key, no checksum, of what their counts may be too low by
 MAIN_SHARE = 0.7  # of the varying text, for a child to be entered in search of the node whose links are content too
 SMALL_SHARE = 0.25  # of the varying text, below which a node's name may speak against it
 OWN_SHARE = 0.7  # of the text of a page without content nodes, from which a name does not count
+DEPTH = 64  # elements from which plain ones dissolve into their parents; twice as many, and all do
 BROADCAST_BYTES = 32 << 20  # of wrappers sent to every executor; more are joined by a shuffle
 SALTS = 16
 
@@ -78,21 +80,23 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 class Node:
     """An element: its children are nodes and texts in page order."""
 
-    __slots__ = ("tag", "sig", "noise", "children", "up")
+    __slots__ = ("tag", "sig", "noise", "children", "up", "depth")
 
     def __init__(self, tag: str, sig: str, up):
         self.tag, self.sig, self.noise, self.children, self.up = tag, sig, _vote(sig), [], up
+        self.depth = up.depth + 1 if up is not None else 0
 
 
 def _signature(tag: str, raw: str) -> str:
-    """Element, words of class and id, and marks of its role and of being hidden."""
+    """Element, words of class and id, and marks of its role, of being hidden and of being no link."""
     if not raw.strip(" /\n\t"):
-        return tag
+        return "a.~anchor" if tag == "a" else tag
     given = {m[1].lower() if m[1] else m[5].lower(): next((x for x in (m[2], m[3], m[4]) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
     names = sorted({x for k in ("class", "id") for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get(k, "")).lower()) if x})
     role = given.get("role", "").strip().lower().replace(".", " ")
     hidden = "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
-    return ".".join([tag, *names, *(["~" + role] if role else []), *(["~~hidden"] if hidden else [])])
+    return ".".join([tag, *names, *(["~" + role] if role else []), *(["~~hidden"] if hidden else []),
+                     *(["~anchor"] if tag == "a" and "href" not in given else [])])
 
 
 @lru_cache(1 << 16)
@@ -146,7 +150,12 @@ def parse(page: str) -> Node:
             if closed is not None:
                 here = closed.up
         node = Node(tag, _signature(tag, m[3]), here)
-        here.children.append(node)
+        if node.depth > DEPTH and node.noise != "never" and (node.depth > 2 * DEPTH or not node.noise and tag not in ("article", "main")):
+            node.depth, node.children = here.depth, here.children  # dissolved: what it holds is its parent's
+            if tag not in _INLINE:
+                here.children.append(" ")
+        else:
+            here.children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]|</{tag}\Z", re.I).search(page, at)
             stop = end.start() if end else size
@@ -165,7 +174,7 @@ def parse(page: str) -> Node:
 def skeleton(node: Node, in_link: bool = False) -> list:
     """A page's tree as a wrapper of one page."""
     own, chars, linked, children = [], 0, 0, []
-    in_link = in_link or node.tag == "a"
+    in_link = in_link or node.tag == "a" and not node.sig.endswith(".~anchor")
     for x in node.children:
         if isinstance(x, str):
             if text := x.strip():
@@ -360,7 +369,7 @@ def read(page: str, wrapper: list | None) -> str:
 
 def _weights(node: Node, out: dict, in_link: bool = False) -> tuple[int, bool]:
     """(characters outside links, whether an article or main is in it) of every node of a page."""
-    in_link = in_link or node.tag == "a"
+    in_link = in_link or node.tag == "a" and not node.sig.endswith(".~anchor")
     chars, holds = 0, _is_article(node.sig)
     for c in node.children:
         if isinstance(c, str):

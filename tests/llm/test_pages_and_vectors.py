@@ -1,6 +1,7 @@
 """Page text, URL filters and nearest neighbours."""
 
 import html as H
+import json
 import math
 import re
 import zlib
@@ -85,6 +86,27 @@ def test_a_constant_text_is_counted_after_any_others(text):
         assert (p[0], p[2]) == ("p", zlib.crc32(text.encode()))
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "font", "a name=x", "form", "section class=s", "main"])
+def test_pages_nested_5000_deep_are_read(tag):
+    name = tag.split()[0]
+    pages = [f"<body><nav>n</nav><article>start {i} {f'<{tag}>x{i} ' * 5000}end<script>no</script>{f'</{name}>' * n}</article></body>"
+             for i, n in enumerate([0, 5000])]
+    rule = json.loads(json.dumps(page_text.rules(page_text._fold_all([page_text.skeleton(page_text.parse(p)) for p in pages]))))
+    for i, p in enumerate(pages):
+        assert page_text.read(p, rule) == f"start {i} {f'x{i} ' * 5000}end"
+
+
+def test_unclosed_anchors_are_no_links(spark):
+    pages = [f"<body><div class=links><a href=/x>l{i}</a></div><div class=t>{f'<a name=x>part {i} ' * 600}</div><div class=u>{i}</div></body>" for i in range(6)]
+    assert texts_of(spark, pages) == [f"part {i} " * 600 + str(i) for i in range(6)]
+
+
+def test_deep_pages_keep_their_article_and_drop_their_template(spark):
+    deep = "<div>" * 400
+    pages = [f"<body>{deep}<nav>menu {i}</nav><article><p>text {i}</p> more {i}</article><footer><p>foot</p></footer></body>" for i in range(6)]
+    assert texts_of(spark, [*pages, "<body><article>flat</article></body>"]) == [*[f"text {i} more {i}" for i in range(6)], "flat"]
+
+
 def test_constant_text_is_template_and_copies_are_not(spark):
     share = "<p class=s>Printed from our site</p>"
     varied = [(i, "https://A.com/p", layout(f"<p>text {i}</p>{share}", f"m{i}")) for i in range(20)]
