@@ -120,7 +120,7 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 
 
 class Shard:
-    """An opened image: ``doc(i)`` reads one document, ``ends`` and ``doc_ids`` all boundaries."""
+    """An opened image: ``doc(i)`` and ``doc_id(i)`` select one document, ``doc_ids`` expands all ids."""
 
     def __init__(self, image: bytes):
         magic, version, width, self.n, self.n_ids, self.nulls, self.base = struct.unpack_from(_HEAD, image, 0)
@@ -133,6 +133,9 @@ class Shard:
     def doc(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0: self.ends.select(i)]
 
+    def doc_id(self, i: int) -> int | None:
+        return self.keys.select(i - self.nulls) + self.base if i >= self.nulls else None
+
     def doc_ids(self) -> list[int | None]:
         return [None] * self.nulls + [int(x) + self.base for x in self.keys.values()]
 
@@ -228,6 +231,22 @@ _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.i
                      ("n_ids", pa.int64()), ("image", pa.binary())])
 
 
+def _documents(batches):
+    """The documents of (start, image) rows, each found by select."""
+    for batch in batches:
+        for start, image in zip(batch.column(0).to_pylist(), batch.column(1)):
+            shard = Shard(image.as_buffer())
+            for a in range(0, shard.n, 256):
+                some = range(a, min(a + 256, shard.n))
+                docs = [shard.doc(i) for i in some]
+                sizes = np.array([len(x) for x in docs], np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard.doc_id(i) for i in some], pa.int64()), pa.array(start + np.cumsum(sizes) - sizes), pa.array(sizes),
+                    pa.array([x.astype("<u4").tobytes() for x in docs], pa.binary()),
+                ], ["doc_id", "start", "n_tokens", "ids"])
+                start += int(sizes.sum())
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the shards in ``path``: doc_id, start (ids before it in the whole
     array), n_tokens and its ids as little-endian 32-bit integers.
@@ -241,18 +260,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ranges = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = shards.join(F.broadcast(ranges), "part").select((F.col("before") + F.col("start")).alias("start"), "image")
 
-    def read(batches):
-        for batch in batches:
-            for start, image in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = Shard(image.as_buffer())
-                ends = shard.ends.values().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                keys = shard.doc_ids()
-                for a in range(0, shard.n, 256):
-                    b = min(a + 256, shard.n)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys[a:b], pa.int64()), pa.array(start + begins[a:b]), pa.array(ends[a:b] - begins[a:b]),
-                        pa.array([shard.ids[i:j].astype("<u4").tobytes() for i, j in zip(begins[a:b], ends[a:b])], pa.binary()),
-                    ], ["doc_id", "start", "n_tokens", "ids"])
-
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")

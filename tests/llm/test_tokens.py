@@ -129,6 +129,17 @@ def test_shard_opens_single_documents():
     assert shard.doc_ids() == [None, -5, 0, 9]
 
 
+def test_documents_of_a_shard_are_selected(monkeypatch):
+    monkeypatch.setattr(token_files.EliasFano, "values", None)  # expands all boundaries
+    ids = [np.arange(i % 5, dtype=np.uint32) for i in range(700)]
+    image = token_files.pack_shard([None, None, *range(-7, 691)], ids)
+    batch = pa.RecordBatch.from_pydict({"start": [40], "image": [image]})
+    got = [r for b in token_files._documents([batch]) for r in b.to_pylist()]
+    starts = 40 + np.cumsum([0, *map(len, ids)])
+    assert [r["doc_id"] for r in got] == [None, None, *range(-7, 691)]
+    assert [(r["start"], r["n_tokens"], r["ids"]) for r in got] == [(s, len(x), x.astype("<u4").tobytes()) for s, x in zip(starts, ids)]
+
+
 @pytest.mark.parametrize("shard_ids", [7, 1 << 22])
 def test_token_files(spark, library, shard_ids):
     rows = [(i, t) for i, t in enumerate(texts(120))] + [(3, "again"), (3, "again"), (None, "no id"), (-2, None), (10**12, "far")]
