@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.llm import (
-    byte_bpe, jaccard_join, mixing, neighbours, page_text, quality_classifier, quality_rules, token_counts, token_files, url_filters,
+    byte_bpe, divergence, jaccard_join, mixing, neighbours, page_text, quality_classifier, quality_rules, token_counts, token_files, url_filters,
 )
 from meadowlark.llm.batches import scratch, written
 
@@ -117,3 +117,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+ORACLE["op13_source_divergence"] = divergence.SQL
