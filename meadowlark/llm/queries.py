@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.llm import (
-    byte_bpe, divergence, jaccard_join, mixing, neighbours, page_text, quality_classifier, quality_rules, token_counts, token_files, url_filters,
+    byte_bpe, decontamination, divergence, jaccard_join, mixing, neighbours, page_text, quality_classifier, quality_rules, spelling, token_counts, token_files, url_filters,
 )
 from meadowlark.llm.batches import scratch, written
 
@@ -119,6 +119,26 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op11_spelling_variants"] = spelling.SQL
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      "contaminated")
+
+
+ORACLE["op12_decontamination"] = decontamination.SQL
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))

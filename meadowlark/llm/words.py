@@ -89,9 +89,10 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(out)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the n + 1 word offsets of the rows."""
-    word = ~_SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the n + 1 word offsets of the rows. ``word`` tells
+    for every byte whether it belongs to a word, if words are other runs than the usual."""
+    word = ~_SPACE[data] if word is None else word
     if not len(word):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
