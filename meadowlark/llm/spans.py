@@ -5,10 +5,12 @@ space after it, nor letters, digits and marks with each other, apostrophes aside
 texts at such places and tokenizing each span on its own therefore gives the same ids. Spans
 are found, hashed and looked up for a whole batch in numpy; only spans that a process has
 not met before go through the tokenizer. A hash match also compares length and the first and
-last eight bytes, so spans of up to sixteen bytes are compared in full.
+last eight bytes, that is all of the up to sixteen bytes of such a span. Longer spans are looked
+up by their bytes. So ids never hang on hashes.
 
 A space between other white space, or white space beyond ASCII, would need more context;
-texts with either are tokenized whole.
+texts with either are tokenized whole, and so are texts that hold one of the tokenizer's
+special strings.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from meadowlark.llm import words as W
 
 MOST = 300_000  # spans a process remembers before it starts afresh, some 100 bytes each
+SHORT = 16  # bytes of the spans that are found by hash
+MOST_LONG, LONGEST = 50_000, 256  # longer spans a process remembers, and the bytes of such a one
 AT_ONCE = 1 << 16  # spans looked up at a time
 PART = 1 << 18  # bytes of text to hand over at once
 _LETTER, _DIGIT, _MARK = 1, 2, 3
@@ -51,12 +56,12 @@ def _wide_spaces(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where spans begin, and which rows must stay whole (these have their start only)."""
-    n, whole = len(data), np.zeros(len(at) - 1, bool)
+def cut(data: np.ndarray, at: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Where spans begin. Rows that must stay whole, and those that ``kept`` marks, have their start only."""
+    n, whole = len(data), kept.copy()
     rows = at[:-1][at[1:] > at[:-1]]
     if not n:
-        return rows, whole
+        return rows
     space, blank, kind = data == 0x20, _SPACE[data], _CLASS[data]
     first = np.zeros(n + 1, bool)
     first[at] = True
@@ -73,7 +78,7 @@ def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for r in np.flatnonzero(whole):
             start[at[r]: at[r + 1]] = False
     start[rows] = True
-    return np.flatnonzero(start), whole
+    return np.flatnonzero(start)
 
 
 def _ends(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +104,12 @@ def coded(ids: list[np.ndarray]) -> Coded:
 
 
 class SpanCache:
-    """``encode`` gives the ids of strings, each tokenized on its own."""
+    """``encode`` gives the ids of strings, each tokenized on its own. Texts that hold a string of
+    ``special`` are not cut."""
 
-    def __init__(self, encode: Callable[[list[str]], Coded], most: int = MOST):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], Coded], most: int = MOST, special: tuple[str, ...] = ()):
+        self.encode, self.most, self.special = encode, most, special
+        self.long: dict[bytes, bytes] = {}
         self.bits = (most + most // 2).bit_length()
         self._clear()
 
@@ -144,7 +151,7 @@ class SpanCache:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _spans(self, data, begin, end) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of some spans, and how many each has."""
+        """Ids of some spans of at most SHORT bytes, and how many each has."""
         h = np.maximum(W.span_hashes(data, begin, end), np.uint64(1))
         head, tail = _ends(data, begin, end)
         size = (end - begin).astype(np.int32)
@@ -170,32 +177,48 @@ class SpanCache:
         total = int(stop[-1]) if len(stop) else 0
         return ids[np.repeat(start - (stop - count), count) + np.arange(total)], count
 
+    def _named(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of longer strings, found by their bytes, and how many each has."""
+        if len(self.long) > MOST_LONG:
+            self.long = {}
+        known = {r: self.long[r] for r in raws if r in self.long}
+        new = [r for r in dict.fromkeys(raws) if r not in known]
+        if new:
+            ids, start, count = self.encode([r.decode() for r in new])
+            for r, a, n in zip(new, start.tolist(), count.tolist()):
+                known[r] = ids[a: a + n].astype(np.uint32).tobytes()
+                if len(r) <= LONGEST:
+                    self.long[r] = known[r]
+        found = [known[r] for r in raws]
+        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other, and the n + 1 offsets of the rows; null counts as empty."""
         data, at = W.utf8(texts)
-        begin, whole = cut(data, at)
+        kept = np.zeros(len(texts), bool)
+        for s in self.special:
+            kept |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        begin = cut(data, at, kept)
         end = np.append(begin[1:], len(data))
         ids, counts = [], []
-        alone = np.isin(begin, at[:-1][whole]) if whole.any() else np.zeros(len(begin), bool)
         for a in range(0, len(begin), AT_ONCE):
-            b = min(a + AT_ONCE, len(begin))
-            got, count = self._mixed(data, begin[a:b], end[a:b], alone[a:b])
+            got, count = self._mixed(data, begin[a: a + AT_ONCE], end[a: a + AT_ONCE])
             ids.append(got)
             counts.append(count)
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), total[np.searchsorted(begin, at)]
 
-    def _mixed(self, data, begin, end, alone):
-        if not alone.any():
+    def _mixed(self, data, begin, end):
+        long = end - begin > SHORT
+        if not long.any():
             return self._spans(data, begin, end)
-        got, some = self._spans(data, begin[~alone], end[~alone])
-        rows, start, own = self.encode([data[a:b].tobytes().decode() for a, b in zip(begin[alone], end[alone])])
+        got, some = self._spans(data, begin[~long], end[~long])
+        raw, base = data[begin[0]: end[-1]].tobytes(), int(begin[0])
+        rows, own = self._named([raw[a:b] for a, b in zip((begin[long] - base).tolist(), (end[long] - base).tolist())])
         count = np.zeros(len(begin), np.int64)
-        count[~alone], count[alone] = some, own
+        count[~long], count[long] = some, own
         out = np.empty(int(count.sum()), np.uint32)
-        mine = np.repeat(alone, count)
-        out[~mine] = got
-        stop = np.cumsum(own)
-        out[mine] = rows[np.repeat(start - (stop - own), own) + np.arange(int(own.sum()))]
+        mine = np.repeat(long, count)
+        out[~mine], out[mine] = got, rows
         return out, count

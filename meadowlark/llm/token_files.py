@@ -148,7 +148,7 @@ def _encoder(model: bytes) -> SpanCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model.decode())
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        special = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
         lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, i in tokenizer.get_vocab().items():
             lengths[i] = len(token)  # byte-level tokens have a character for each byte
@@ -156,17 +156,18 @@ def _encoder(model: bytes) -> SpanCache:
         def whole(texts: list[str]) -> list[np.ndarray]:
             return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        made[key] = SpanCache(lambda texts: _apart(texts, whole, lengths), SPANS)
+        made[key] = SpanCache(lambda texts: _apart(texts, whole, lengths, special), SPANS, special)
     return made[key]
 
 
-def _apart(texts: list[str], whole, lengths: np.ndarray) -> Coded:
+def _apart(texts: list[str], whole, lengths: np.ndarray, special: tuple[str, ...] = ()) -> Coded:
     """Each of many spans through few calls of the library. Those that begin with their only space
     and end in a letter or mark are joined: a space cuts them, and ids stand for as many bytes as
     their tokens have, so the ids fall back into spans."""
     flat, used = [], 0
     start, count = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
-    joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and " " not in t[1:]]
+    joined = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace() and " " not in t[1:]
+              and not any(x in t for x in special)]
     for a in range(0, len(joined), 20_000):
         some = joined[a: a + 20_000]
         data = "".join(texts[i] for i in some).encode()

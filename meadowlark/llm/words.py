@@ -1,8 +1,9 @@
 """Word and line hashes of many texts at once, as numpy passes over their UTF-8 bytes.
 
 Words are the runs ``[^\\x20\\x09-\\x0D]+``. All separators are ASCII, so bytes can be
-split without decoding. Hashes are 64-bit polynomials modulo 2**64, mixed; they are the
-same in every process, which Python's own string hashes are not.
+split without decoding. A hash is the sum, mixed, of one pseudo-random 64-bit number for every
+byte and its place in the word (tabulation hashing); hashes are the same in every process, which
+Python's own string hashes are not.
 """
 
 from __future__ import annotations
@@ -13,30 +14,13 @@ import pyarrow.compute as pc
 
 from meadowlark.llm.batches import process_cache
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 SEGMENT = 1 << 20  # bytes of text in one numpy pass
-HASHED = 1 << 18  # bytes whose powers are held at once
+HASHED = 1 << 18  # bytes hashed at once
+NEAR = 64  # places in a word whose values are tabled
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n. Tables of usual size stay with the process."""
-    held = process_cache()
-    tables = held.get("powers")
-    if tables is None or len(tables[0]) < n:
-        def powers(base):
-            out = np.full(max(n, HASHED + 1), base, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-        with np.errstate(over="ignore"):
-            tables = powers(_P), powers(_P_INV)
-        if n <= 4 * HASHED:
-            held["powers"] = tables
-    return tables
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer of splitmix."""
     with np.errstate(over="ignore"):
@@ -70,21 +54,44 @@ def slices(texts: pa.Array, most: int = SEGMENT):
         yield begin, len(size)
 
 
+def _value(place_and_byte: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(place_and_byte.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
+
+
+def _near() -> np.ndarray:
+    held = process_cache()
+    if "near" not in held:
+        held["near"] = _value(np.arange(NEAR * 256))
+    return held["near"]
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every byte span; spans are disjoint and ascending. Only bytes from one span
-    start to the next segment are raised to powers at a time; a longer span takes what it needs."""
+    """Hash of every byte span; spans are disjoint and ascending. A pass takes spans of up to
+    HASHED bytes together; a longer span takes what it needs."""
     out = np.empty(len(begin), np.uint64)
+    table = _near()
     i = 0
     with np.errstate(over="ignore"):
         while i < len(begin):
             base = begin[i]
             j = max(i + 1, int(np.searchsorted(end, base + HASHED, "right")))
             n = int(end[j - 1] - base)
-            power, inverse = _tables(n + 1)
+            a, b = (begin[i:j] - base).astype(np.int32), (end[i:j] - base).astype(np.int32)
+            place = np.arange(n, dtype=np.int32)
+            place -= np.repeat(a, np.diff(a, append=np.int32(n)))
+            far = np.flatnonzero(place >= NEAR)
+            if len(far):
+                late = _value(place[far].astype(np.int64) * 256 + data[base: base + n][far])
+                place[far] = 0
+            place *= 256
+            place += data[base: base + n]
             total = np.zeros(n + 1, np.uint64)
-            np.cumsum((data[base: base + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-            a, b = begin[i:j] - base, end[i:j] - base
-            out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            values = table[place]
+            if len(far):
+                values[far] = late
+            np.cumsum(values, out=total[1:])
+            out[i:j] = total[b] - total[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             i = j
     return mix(out)
 

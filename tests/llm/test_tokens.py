@@ -36,7 +36,6 @@ def reference():
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
@@ -71,6 +70,38 @@ def test_equal_hashes_do_not_mix_spans(monkeypatch, reference):
     assert split(*bpe.encode(pa.array([text]))) == [reference.encode_ordinary(text)]
 
 
+def thue_morse():
+    """Two texts that polynomial hashes modulo 2**64 cannot tell apart."""
+    letters = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    return [f"xxxxxxxx{t}xxxxxxxx" for t in (letters, letters.translate(str.maketrans("ab", "ba")))]
+
+
+def test_texts_that_defeat_polynomial_hashes(reference, library):
+    pair = thue_morse()
+    data, at = spans.W.utf8(pa.array(pair))
+    assert len(set(spans.W.word_hashes(data, at)[0].tolist())) == 1 + (pair[0] != pair[1])
+    bpe = byte_bpe.bpe_of(open(RANKS, "rb").read(), P.PATTERN)
+    ids = split(*bpe.encode(pa.array(pair)))
+    assert [bpe.decode(np.array(x, np.int32))[0].tobytes().decode() for x in ids] == pair
+    encoder = token_files._encoder(open(P.path("byte_bpe_50k.json"), "rb").read())
+    assert split(*encoder.texts(pa.array(pair))) == [library.encode(t, add_special_tokens=False).ids for t in pair]
+
+
+def test_long_spans_never_hang_on_hashes(monkeypatch, reference):
+    bpe = byte_bpe.Bpe(open(RANKS, "rb").read(), P.PATTERN)
+    monkeypatch.setattr(spans.W, "span_hashes", lambda data, begin, end: np.full(len(begin), 7, np.uint64))
+    monkeypatch.setattr(spans, "MOST_LONG", 2)
+    for text in ("abcdefgh" + "q" * 40 + "ijklmnop", "abcdefgh" + "z" * 40 + "ijklmnop", "abcdefgh" + "z" * 4000 + "ijklmnop") * 2:
+        assert split(*bpe.encode(pa.array([text + " x", text]))) == [reference.encode_ordinary(text + " x"), reference.encode_ordinary(text)]
+
+
+def test_special_strings_are_what_the_library_makes_of_them(library):
+    encoder = token_files._encoder(open(P.path("byte_bpe_50k.json"), "rb").read())
+    some = ["a <|endoftext|> b", "<|endoftext|>", " x<|endoftext|>", "no <|endoftext| here", None, "<|endoftext|>" * 3 + " q " * 30]
+    assert split(*encoder.texts(pa.array(some))) == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert 50256 in library.encode(some[0], add_special_tokens=False).ids
+
+
 def test_unknown_id_is_an_error():
     bpe = byte_bpe.bpe_of(open(RANKS, "rb").read(), P.PATTERN)
     with pytest.raises(ValueError):
