@@ -3,6 +3,7 @@
 import html as H
 import json
 import math
+import random
 import re
 import zlib
 
@@ -159,33 +160,58 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filters.url_filter(alone).collect()} == {"allow"}
 
 
-def test_character_model_is_the_interpolated_one():
-    counts = np.zeros((2, 1 << 16))
-    train = [["abab", "ab"], ["zz"]]
-    for kind, urls in enumerate(train):
-        joint, context, _ = url_filters._contexts(pa.array(urls), 1 << 16)
-        for x in (*joint, *context):
-            np.add.at(counts[kind], x, 1)
-
-    def log_p(urls, text):
-        seen = {}
-        for u in urls:
-            t = "^" * url_filters.ORDER + u + "$"
-            for i in range(url_filters.ORDER, len(t)):
-                for k in range(url_filters.ORDER + 1):
-                    for key in ((t[i - k: i], t[i]), (t[i - k: i], None)):
-                        seen[key] = seen.get(key, 0) + 1
-        t, total = "^" * url_filters.ORDER + text + "$", 0.0
+def log_p(urls, text):
+    """The interpolated model, counted anew."""
+    seen = {}
+    for u, n in urls:
+        t = [-1] * url_filters.ORDER + list(u.encode()) + [-2]
         for i in range(url_filters.ORDER, len(t)):
-            p = 1 / 256
             for k in range(url_filters.ORDER + 1):
-                p = (seen.get((t[i - k: i], t[i]), 0) + url_filters.PRIOR * p) / (seen.get((t[i - k: i], None), 0) + url_filters.PRIOR)
-            total += math.log(p)
-        return total / (len(text) + 1)
-
-    texts = ["ab", "zza", "", "abba"]
-    got = url_filters.Ratio(counts, 1 << 16).scores(pa.array(texts))
-    assert got == pytest.approx([log_p(train[0], t) - log_p(train[1], t) for t in texts])
+                for key in ((tuple(t[i - k: i]), t[i]), (tuple(t[i - k: i]), None)):
+                    seen[key] = seen.get(key, 0) + n
+    t, total = [-1] * url_filters.ORDER + list(text.encode()) + [-2], 0.0
+    for i in range(url_filters.ORDER, len(t)):
+        p = 1 / 256
+        for k in range(url_filters.ORDER + 1):
+            past = tuple(t[i - k: i])
+            p = (seen.get((past, t[i]), 0) + url_filters.PRIOR * p) / (seen.get((past, None), 0) + url_filters.PRIOR)
+        total += math.log(p)
+    return total / (len(t) - url_filters.ORDER)
+
+
+@pytest.mark.parametrize("hot", [50_000, 40, 1])
+def test_scores_and_threshold_equal_the_interpolated_model(spark, hot):
+    rnd = random.Random(6)
+    ruled = [("".join(rnd.choice("abé/" if i % 2 else "bcz/") for _ in range(rnd.randint(0, 12))) + str(i), rnd.randint(1, 3), i % 2, i // 2 % 2)
+             for i in range(40)]
+    rows = ruled + [(t, 1, None, i % 2) for i, t in enumerate(["ab", "zza", "", "abba", "日本", "ab" * 3000])]
+    urls = spark.createDataFrame(rows, "url string, n long, blocked long, half long").repartition(3)
+    scored, threshold = url_filters.scores(urls, hot)
+    got = {r["url"]: r["url_score"] for r in scored.collect()}
+
+    def ratio(text, of=(0, 1)):
+        return log_p([(u, n) for u, n, b, h in ruled if not b and h in of], text) - log_p([(u, n) for u, n, b, h in ruled if b and h in of], text)
+    for text, *_ in rows:
+        assert got[text] == pytest.approx(ratio(text), abs=1e-8)
+    cross = [(ratio(u, (1 - h,)), n, b) for u, n, b, h in ruled]
+
+    def parted(x):
+        return (sum(n for s, n, b in cross if not b and s >= x) / sum(n for _, n, b in cross if not b)
+                + sum(n for s, n, b in cross if b and s < x) / sum(n for _, n, b in cross if b))
+    step = 2 * url_filters.REACH / url_filters.BINS
+    assert parted(threshold) == pytest.approx(max(parted(i * step - url_filters.REACH) for i in range(url_filters.BINS + 1)))
+
+
+def test_verdicts_stay_when_many_ruled_urls_are_added(spark):
+    def rows(n, first=0):
+        return [(first + i, f"http://{'good' if i % 2 else 'spam'}-site{i}.{'org/fr' if i % 2 else 'net/de'}/{'quiet' if i % 2 else 'noise'}/{i * 7919 % 10**6:x}")
+                for i in range(n)]
+    asked = [(-1 - i, f"http://{'good' if i % 2 else 'spam'}-place{i}.com/{'quiet' if i % 2 else 'noise'}/{i}") for i in range(60)]
+    few, many = (url_filters.url_filter(spark.createDataFrame(rows(n) + asked, "page_id long, url string")).where("page_id < 0")
+                 for n in (300, 20_000))
+    want = {-1 - i: "allow" if i % 2 else "block" for i in range(60)}
+    assert {r["page_id"]: r["verdict"] for r in few.collect()} == want
+    assert {r["page_id"]: r["verdict"] for r in many.collect()} == want
 
 
 def test_models_part_urls(spark):
