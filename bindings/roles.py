@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # role -> (tables and joins in SQL, [(expression, alias)])
+# Parts have a few dozen names; the number, spelled in letters, makes every name its own.
+PRODUCT_NAME = "concat(p_name, ' ', translate(CAST(p_partkey AS VARCHAR(20)), '0123456789', 'kelomatrin'))"
 ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "org": (
         "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
@@ -94,7 +96,7 @@ ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "ledger": ("labels", [("doc_id", "id"), ("quality", "quality"), ("toxic", "toxic")]),
     "passage": ("benchmark", [("item_id", "id"), ("text", "text")]),
     "place": ("nation JOIN region ON n_regionkey = r_regionkey", [("n_name", "name"), ("n_name", "code"), ("r_name", "continent")]),
-    "product": ("part", [("p_partkey", "id"), ("p_name", "name"), ("p_brand", "brand"), ("p_size", "size")]),
+    "product": ("part", [("p_partkey", "id"), (PRODUCT_NAME, "name"), ("p_brand", "brand"), ("p_size", "size")]),
 }
 
 # Markup added to every page by its own id and text, so that forms, prices, dates, mail

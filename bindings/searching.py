@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bindings.registry import query
 from bindings.relational import NOW, words
+from bindings.roles import PRODUCT_NAME
 from meadowlark import constants as K
 from meadowlark.functions import text as T
 from meadowlark.functions import vectors as V
@@ -207,11 +208,11 @@ def _(t):
 # --- matching ---------------------------------------------------------------------------------
 
 REF = {
-    "exact": ("upper(p_name)", "p_partkey"),
-    "long": ("concat(p_name, ' ', lower(p_type), ' ', p_size)", "p_partkey * 2"),
+    "exact": (f"upper({PRODUCT_NAME})", "p_partkey"),
+    "long": (f"concat({PRODUCT_NAME}, ' ', lower(p_type), ' ', p_size)", "p_partkey * 2"),
     "short": ("split_part(p_name, ' ', 2)", "p_partkey * 2 + 1"),
-    "close": ("concat(substr(p_name, 2), p_size % 7, 's')", "p_partkey"),
-    "token": ("concat(p_brand, ' ', split_part(p_name, ' ', 2), ' ', lower(p_type))", "p_partkey"),
+    "close": (f"concat(substr({PRODUCT_NAME}, 2), p_size % 7, 's')", "p_partkey"),
+    "token": (f"concat(p_brand, ' ', split_part({PRODUCT_NAME}, ' ', 3), ' ', lower(p_type))", "p_partkey"),
 }
 
 
@@ -237,8 +238,8 @@ def _(t):
 
 
 @query("match_contains", "product", sql=f"""
-    WITH {ref_sql('long', 'short')}, n AS (SELECT DISTINCT lower(name) AS name FROM product WHERE length(name) > 5),
-    u AS (SELECT k, min(pos) AS pos, arg_min(url, pos) AS url FROM ref WHERE length(k) > 5 GROUP BY k),
+    WITH {ref_sql('long', 'short')}, n AS (SELECT DISTINCT lower(name) AS name FROM product),
+    u AS (SELECT k, min(pos) AS pos, arg_min(url, pos) AS url FROM ref GROUP BY k),
     m AS (SELECT n.name, arg_min(u.url, u.pos) AS match_url FROM n JOIN u ON contains(u.k, n.name) OR contains(n.name, u.k) GROUP BY n.name)
     SELECT p.id, m.match_url FROM product p LEFT JOIN m ON lower(p.name) = m.name""")
 def _(t):

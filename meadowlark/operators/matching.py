@@ -1,8 +1,8 @@
 """Name matching across sources.
 
 Names are collapsed to distinct keys first, so a group of copies is matched once.
-Nothing here crosses two tables: containment and token rules become equi-joins, and
-fuzzy scores are reduced to the best partner inside the task that computes them.
+Nothing here crosses two tables: containment, token rules and edit distances become
+equi-joins on fingerprints, words and segments.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from meadowlark import constants as K
 from meadowlark.functions import extract as X
+from meadowlark.functions import fingerprints as P
 from meadowlark.functions import text as T
 from meadowlark.operators.sets import tokens
 from meadowlark.scale import keys_of, meet_in_blocks
@@ -37,45 +38,43 @@ def match_exact(df: DataFrame, ref: DataFrame, name: str = "name") -> DataFrame:
 
 # --- containment -------------------------------------------------------------------------
 
-def grams(c, n: int) -> Column:
-    """Distinct overlapping n-character pieces."""
-    return F.array_distinct(T.extract_all(c, rf"(?s)(?=(.{{{n}}}))", 1))
+def contained_pairs(short: DataFrame, long: DataFrame, short_text: str, long_id: str, long_text: str) -> DataFrame:
+    """(long_id, short_text) for every text of ``short``, blank ones aside, that occurs inside a long one.
 
-
-def contained_pairs(short: DataFrame, long: DataFrame, n: int, short_text: str, long_id: str, long_text: str) -> DataFrame:
-    """(long_id, short_text) for every short text that occurs inside a long one. Exact for
-    short texts of at least n characters.
-
-    A contained text brings all its n-character pieces along, so one piece per short text is
-    enough to find it; the piece that is rarest among the long texts is chosen, which keeps
-    common pieces out of the join. A short text with a piece no long text has is dropped.
+    Long texts are read once for their winnowed fingerprints, of which only those that a short
+    text has too leave the scan's stage. Of a short text's fingerprints the one that is rarest
+    among the long texts is joined; one that no long text has rules the text out. Every
+    candidate is compared as text.
     """
-    wanted = short.select(short_text).distinct().select(short_text, F.explode(grams(short_text, n)).alias("g"))
-    pieces = long.select(long_id, F.explode(grams(long_text, n)).alias("g"))
-    counts = pieces.join(keys_of(wanted, "g", "g"), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    usable = durable(short.select(short_text).distinct().withColumn("_kind", P.text_class(short_text)).where(F.col("_kind").isNotNull()))
+    kinds = sorted(r[0] for r in usable.select("_kind").distinct().collect())  # at most P.PIECE + 3 classes
+    wanted = usable.select(short_text, F.explode(P.own_fingerprints(short_text, "_kind")).alias("g"))
+    wanted = durable(wanted)
+    prints = long.select(long_id, F.explode(P.fingerprints(long_text, kinds)).alias("g"))
+    met = durable(prints.join(keys_of(wanted, "g", "_g"), F.col("g") == F.col("_g"), "left_semi"))
+    counts = met.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("n"))
     rare = (
-        wanted.join(counts, "g", "left").groupBy(short_text)
-        .agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-        .where(F.col("n") > 0).drop("n")
+        wanted.join(counts, F.col("g") == F.col("_g"), "left").groupBy(short_text)
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("p"))
+        .where("p.n > 0").select(short_text, F.col("p.g").alias("_g"))
     )
-    cands = pieces.join(rare, "g").select(long_id, short_text)
-    return cands.join(long.select(long_id, long_text), long_id).where(
+    cands = met.join(rare, F.col("g") == F.col("_g")).select(F.col(long_id).alias("_id"), short_text)
+    return long.select(long_id, long_text).join(cands, F.col(long_id) == F.col("_id")).where(
         F.col(long_text).contains(F.col(short_text))).select(long_id, short_text)
 
 
-def match_contains(df: DataFrame, ref: DataFrame, name: str = "name", longer_than: int = 5) -> DataFrame:
+def match_contains(df: DataFrame, ref: DataFrame, name: str = "name", longer_than: int = 0) -> DataFrame:
     """First reference entry (by ``pos``) whose name contains, or is contained in, the row's name;
-    both longer than five characters. Adds ``match_url``."""
-    n = longer_than + 1
-    mine = df.select(F.lower(F.col(name)).alias("_name")).where(F.length("_name") >= n).distinct()
+    both longer than ``longer_than`` characters. Adds ``match_url``."""
+    mine = df.select(F.lower(F.col(name)).alias("_name")).where(F.length("_name") > longer_than).distinct()
     theirs = (
-        ref.select(F.lower("name").alias("_ref"), "pos", "url").where(F.length("_ref") >= n)
+        ref.select(F.lower("name").alias("_ref"), "pos", "url").where(F.length("_ref") > longer_than)
         .groupBy("_ref").agg(F.min_by(F.struct("pos", "url"), "pos").alias("_hit"))
     )
     mine_as_text = mine.withColumn("_text", F.col("_name"))
     refs_as_text = theirs.select("_ref", F.col("_ref").alias("_rtext"))
-    inside = contained_pairs(theirs.select("_ref"), mine_as_text, n, "_ref", "_name", "_text")
-    around = contained_pairs(mine, refs_as_text, n, "_name", "_ref", "_rtext").select("_name", "_ref")
+    inside = contained_pairs(theirs.select("_ref"), mine_as_text, "_ref", "_name", "_text")
+    around = contained_pairs(mine.select("_name"), refs_as_text, "_name", "_ref", "_rtext").select("_name", "_ref")
     best = (
         inside.select("_name", "_ref").unionByName(around).join(theirs, "_ref")
         .groupBy("_name").agg(F.min_by("_hit", "_hit.pos").alias("_hit"))
@@ -85,55 +84,48 @@ def match_contains(df: DataFrame, ref: DataFrame, name: str = "name", longer_tha
 
 
 def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, passage_id: str,
-                passage_text: str, n: int = 12) -> DataFrame:
-    """(doc_id, passage_id) for all passages, blank ones aside, that occur inside documents.
-
-    Pieces have n characters; passages shorter than that are looked up by pieces of their own
-    length, one length at a time.
-    """
-    usable = passages.where(F.length(passage_text) > 0)
-    shorter = usable.where(F.length(passage_text) < n).select(F.length(passage_text).alias("k")).distinct()
-    pairs = contained_pairs(usable.where(F.length(passage_text) >= n), docs, n, passage_text, doc_id, doc_text)
-    for k in sorted(r["k"] for r in shorter.collect()):  # fewer than n lengths
-        some = usable.where(F.length(passage_text) == k)
-        pairs = pairs.unionByName(contained_pairs(some, docs, k, passage_text, doc_id, doc_text))
-    return pairs.join(usable.select(passage_id, passage_text), passage_text).select(doc_id, passage_id)
+                passage_text: str) -> DataFrame:
+    """(doc_id, passage_id) for all passages, blank ones aside, that occur inside documents."""
+    pairs = contained_pairs(passages, docs, passage_text, doc_id, doc_text)
+    return pairs.join(passages.select(passage_id, passage_text), passage_text).select(doc_id, passage_id)
 
 
 # --- tokens --------------------------------------------------------------------------------
 
-def _pairs(words: Column) -> Column:
-    """All unordered pairs of the words of one name."""
-    s = F.array_sort(words)
-    return F.flatten(F.transform(s, lambda a, i: F.transform(
-        F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))), lambda b: F.concat_ws(" ", a, b))))
-
-
 def match_tokens(df: DataFrame, ref: DataFrame, name: str = "name", long_word: int = 4) -> DataFrame:
     """First reference entry sharing min(2, n) words with the row's name, or containing one of its
     words of over four letters. Adds ``match_url``.
 
-    Only the first entry matters, so the reference is reduced to its lowest position per word,
-    per word pair and per long word before it meets the names: each name looks its keys up.
+    Two shared words include one that is not the commonest of the name, so names are joined to
+    references by all their words but the commonest; the second word is then looked for in the
+    reference's own. A single word and a long word are looked up by themselves, in a reference
+    that is reduced to its lowest position per word first.
     """
-    refs = ref.select("pos", F.lower("name").alias("_ref"), tokens("name").alias("_words"))
+    refs = durable(ref.select(F.lower("name").alias("_ref"), "pos").where(F.col("_ref").isNotNull())
+                   .groupBy("_ref").agg(F.min("pos").alias("pos")).withColumn("_words", tokens("_ref")))
     mine = df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    keyed = mine.withColumn("_words", tokens("_name"))
-
-    def lowest(keys: Column) -> DataFrame:
-        return refs.select(F.explode(keys).alias("_key"), "pos").groupBy("_key").agg(F.min("pos").alias("pos"))
-
-    def look_up(rows: DataFrame, keys: Column, lowest_pos: DataFrame) -> DataFrame:
-        return rows.select("_name", F.explode(keys).alias("_key")).join(lowest_pos, "_key").select("_name", "pos")
-
-    single = look_up(keyed.where(F.size("_words") == 1), F.col("_words"), lowest(F.col("_words")))
-    double = look_up(keyed.where(F.size("_words") > 1), _pairs(F.col("_words")), lowest(_pairs(F.col("_words"))))
-    long_words = F.filter(F.split("_name", r"\s+"), lambda w: F.length(w) > long_word)
-    words = mine.select(F.explode(F.array_distinct(long_words)).alias("_word")).distinct()
-    titles = refs.groupBy("_ref").agg(F.min("pos").alias("pos")).withColumn("_title", F.col("_ref"))
-    holding = contained_pairs(words, titles, long_word + 1, "_word", "_ref", "_title")
-    held = holding.join(titles.select("_ref", "pos"), "_ref").groupBy(F.col("_word").alias("_key")).agg(F.min("pos").alias("pos"))
-    third = look_up(keyed.where(F.size("_words") > 0), F.array_distinct(long_words), held)
+    keyed = durable(mine.withColumn("_words", tokens("_name")))
+    words = refs.select(F.explode("_words").alias("_key"), "pos", F.col("_words").alias("_theirs"))
+
+    lowest = words.groupBy("_key").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_n"))
+    single = keyed.where(F.size("_words") == 1).join(lowest, F.get("_words", F.lit(0)) == F.col("_key")).select("_name", "pos")
+
+    # names of two words and more: the words that references have, the commonest left away
+    asked = keyed.where(F.size("_words") > 1).select("_name", "_words", F.explode("_words").alias("_word"))
+    known = asked.join(lowest.select("_key", "_n"), F.col("_word") == F.col("_key"))
+    common = F.max(F.struct("_n", "_word"))
+    least = known.groupBy("_name").agg(common.alias("_most"))
+    probes = (known.join(least.withColumnRenamed("_name", "_of"), F.col("_name") == F.col("_of"))
+              .where(F.col("_word") != F.col("_most._word")).select("_name", "_words", "_word"))
+    double = probes.join(words, F.col("_word") == F.col("_key")).where(
+        F.size(F.array_intersect("_words", "_theirs")) > 1).groupBy("_name").agg(F.min("pos").alias("pos"))
+
+    long_words = F.array_distinct(F.filter(F.split("_name", r"\s+"), lambda w: F.length(w) > long_word))
+    third = keyed.where(F.size("_words") > 0).select("_name", F.explode(long_words).alias("_long"))
+    titles = refs.select("_ref", F.col("_ref").alias("_title"))
+    holding = contained_pairs(third.select("_long").distinct(), titles, "_long", "_ref", "_title")
+    held = holding.join(refs.select("_ref", "pos"), "_ref").groupBy(F.col("_long").alias("_key")).agg(F.min("pos").alias("pos"))
+    third = third.join(held, F.col("_long") == F.col("_key")).select("_name", "pos")
     first = single.unionByName(double).unionByName(third).groupBy("_name").agg(F.min("pos").alias("pos"))
     found = first.join(ref.select("pos", F.col("url").alias("match_url")), "pos").select("_name", "match_url")
     return _attach(df, found, name, ["match_url"])
@@ -151,44 +143,8 @@ def _letter_counts(names: list[str]) -> np.ndarray:
     return out
 
 
-def _levenshtein_many(a: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Edit distances of one name to many, row by row over all of them at once."""
-    width = codes.shape[1]
-    prev = np.tile(np.arange(width + 1, dtype=np.int32), (len(codes), 1))
-    for i, ch in enumerate(a, 1):
-        step = np.minimum(prev[:, :-1] + (codes != ord(ch)), prev[:, 1:] + 1)
-        row = np.empty_like(prev)
-        row[:, 0] = i
-        for j in range(width):
-            np.minimum(step[:, j], row[:, j] + 1, out=row[:, j + 1])
-        prev = row
-    return prev[np.arange(len(codes)), lengths]
-
-
-def _best_levenshtein(a: str, own: np.ndarray, block) -> tuple[float, int]:
-    names, codes, lengths, letters, pos = block
-    longest = np.maximum(lengths, len(a))
-    shared = np.minimum(letters, own).sum(axis=1)
-    bound = 1.0 - (longest - np.minimum(shared, np.minimum(lengths, len(a)))) / np.maximum(longest, 1)
-    # the first distance pass covers the most promising names; the rest only if their bound allows
-    best, at = -1.0, -1
-    order = np.argsort(-bound, kind="stable")
-    for start in range(0, len(order), 256):
-        some = order[start:start + 256]
-        some = some[bound[some] >= best]
-        if not len(some):
-            break
-        width = max(1, int(lengths[some].max()))
-        score = 1.0 - _levenshtein_many(a, codes[some, :width], lengths[some]) / np.maximum(longest[some], 1)
-        top = float(score.max())
-        first = int(pos[some][score == top].min())
-        if top > best or (top == best and first < at):
-            best, at = top, first
-    return best, at
-
-
 def _best_ratio(a: str, own: np.ndarray, block) -> tuple[float, int]:
-    names, _, lengths, letters, pos = block
+    names, lengths, letters, pos = block
     total = np.maximum(lengths + len(a), 1)
     bound = 2.0 * np.minimum(letters, own).sum(axis=1) / total
     best, at = -1.0, -1
@@ -201,11 +157,65 @@ def _best_ratio(a: str, own: np.ndarray, block) -> tuple[float, int]:
     return best, at
 
 
-# metric -> best partner in a block, and the least quotient of the lengths of two names that can exceed a threshold
-_METRICS: dict[str, tuple[Callable, Callable]] = {
-    "levenshtein": (_best_levenshtein, lambda t: t),
-    "ratio": (_best_ratio, lambda t: t / (2 - t)),
-}
+def most_edits(length: Column, threshold: float) -> Column:
+    """The most edits at which names, the longer of ``length``, are still more alike than the threshold."""
+    longest = F.greatest(length, F.lit(1))
+    guess = F.ceil((1 - threshold) * longest).cast("int")
+    return F.coalesce(*[F.when(1.0 - (guess - i) / longest > threshold, guess - i) for i in range(2)], guess - 2)
+
+
+def _segments(df: DataFrame, text: str, threshold: float) -> DataFrame:
+    """(long, size, edits, nth, place, piece): each name cut into one segment more than its most edits."""
+    size = F.char_length(text)
+    cut = df.select(F.col(text).alias("long"), size.alias("size"), most_edits(size, threshold).alias("edits"))
+    nth = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("nth"))
+    begin = F.floor(F.col("nth") * F.col("size") / (F.col("edits") + 1)).cast("int")
+    end = F.floor((F.col("nth") + 1) * F.col("size") / (F.col("edits") + 1)).cast("int")
+    return nth.select("long", "size", "edits", "nth", begin.alias("place"), F.substring(F.col("long"), begin + 1, end - begin).alias("piece"))
+
+
+def _pieces_for(df: DataFrame, text: str, threshold: float, longer: int) -> DataFrame:
+    """(short, own, size, at, piece): the pieces of a name that may be a segment of a name of ``size``
+    characters, ``longer`` or more characters longer, in the two lengths that such segments have."""
+    own = F.char_length(text)
+    most = F.ceil(own / threshold).cast("int")
+    sizes = df.select(F.col(text).alias("short"), own.alias("own"),
+                      F.explode(F.when(most >= own + longer, F.sequence(own + longer, most))).alias("size"))
+    edits = most_edits(F.col("size"), threshold)
+    usable = sizes.where(F.col("size") - F.col("own") <= edits)
+    least = F.floor(F.col("size") / (edits + 1)).cast("int")
+    lengths = F.array_distinct(F.array(least, F.ceil(F.col("size") / (edits + 1)).cast("int")))
+    each = usable.select("short", "own", "size", F.explode(lengths).alias("n")).where(F.col("n") <= F.col("own"))
+    at = each.select("*", F.explode(F.sequence(F.lit(0), F.col("own") - F.col("n"))).alias("at"))
+    return at.select("short", "own", "size", "at", F.substring(F.col("short"), F.col("at") + 1, F.col("n")).alias("piece"))
+
+
+def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str = "_name", ref: str = "_ref") -> DataFrame:
+    """(name, ref, edits): every two names whose edits are less than ``1 - threshold`` of the longer's length.
+
+    With at most d edits one of d + 1 segments of the longer name stands in the shorter one
+    unchanged, shifted by no more than the edits before or after it, so the two meet in a join
+    on length and segment. Each of the two tables gives the longer name once. Cost grows with
+    the square of a name's length, as names are short.
+    """
+    def met(long_df, long, short_df, short, longer):
+        cut, probe = _segments(long_df, long, threshold), _pieces_for(short_df, short, threshold, longer)
+        left, gap = F.col("edits") - F.col("nth"), F.col("own") - F.col("_size")
+        near = (F.abs(F.col("at") - F.col("place")) <= F.col("nth")) & (F.abs(F.col("at") - F.col("place") - gap) <= left)
+        both = probe.join(cut.withColumnsRenamed({"size": "_size", "piece": "_piece"}),
+                          (F.col("size") == F.col("_size")) & (F.col("piece") == F.col("_piece")) & near)
+        pairs = both.select("short", "long", F.col("edits").alias("most")).distinct()
+        edits = F.expr("levenshtein(short, long, most)")
+        return pairs.select(F.col(short_or(short, long, name)).alias(name), F.col(short_or(short, long, ref)).alias(ref),
+                            edits.alias("edits")).where("edits >= 0")
+
+    def short_or(short, long, wanted):
+        return "short" if short == wanted else "long"
+
+    return met(refs, ref, names, name, 0).unionByName(met(names, name, refs, ref, 1))
+
+
+SURE = 0.85  # names with a partner above this are not looked up again below it
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -213,38 +223,59 @@ def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: s
     """The most similar reference entry above the threshold, the first one on ties. Adds
     ``match_url`` and ``match_score``.
 
-    Exact. Two names that can score above the threshold have lengths in the same or the next
-    length class, so only blocks of such classes meet. Inside a task, shared letters bound the
-    score, and one best partner per name and block leaves it. Both sides stay in the executors.
+    Exact. By edit distance, names meet through segments (``similar_pairs``), first those that
+    are very alike; only names without such a partner go on to the threshold itself. Other
+    metrics compare blocks of names of like length.
     """
-    best_of, reach = _METRICS[metric]
-    step = math.log(1 / reach(threshold))
-    length_class = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
-    mine = df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    mine = durable(df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct())
     refs = durable(
         ref.select(F.lower("name").alias("_ref"), "pos", "url").where(F.col("_ref").isNotNull()).groupBy("_ref")
         .agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
     )
-    near = F.explode(F.array(*[length_class("_name") + i for i in (-1, 0, 1)])).alias("_class")
-    scored = meet_in_blocks(durable(mine.select("_name", near)), refs.select("_ref", "pos", length_class("_ref").alias("_class")),
-                            "_name", "_ref", _scorer(best_of), "_name string, score double, pos long", on=["_class"])
-    best = scored.where(F.col("score") > threshold).groupBy("_name").agg(
-        F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
+    best = _best_by_edits(mine, refs, threshold) if metric == "levenshtein" else _best_in_blocks(mine, refs, threshold, metric)
     found = best.select("_name", F.col("m.score").alias("match_score"), F.col("m.pos").alias("pos")).join(
         refs.select(F.col("pos"), F.col("url").alias("match_url")), "pos").drop("pos")
     return _attach(df, found, name, ["match_url", "match_score"])
 
 
+def _best(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("_name").agg(F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
+
+
+def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
+    found = None
+    longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
+    for least in (*([SURE] if SURE > threshold else []), threshold):
+        pairs = similar_pairs(mine, refs.select("_ref"), least).withColumn("score", 1.0 - F.col("edits") / longest)
+        best = durable(_best(pairs.join(refs.select("_ref", "pos"), "_ref")))
+        found = best if found is None else found.unionByName(best)
+        mine = mine.join(best.select("_name"), "_name", "left_anti")
+    return found
+
+
+# metric -> best partner in a block, and the least quotient of the lengths of two names that can exceed a threshold
+_METRICS: dict[str, tuple[Callable, Callable]] = {"ratio": (_best_ratio, lambda t: t / (2 - t))}
+
+
+def _best_in_blocks(mine: DataFrame, refs: DataFrame, threshold: float, metric: str) -> DataFrame:
+    """Names that can score above the threshold lie in the same or the next class of length, so only
+    blocks of such classes meet. Shared letters bound the score; one best partner per name leaves a block."""
+    best_of, reach = _METRICS[metric]
+    step = math.log(1 / reach(threshold))
+    length_class = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
+    near = F.explode(F.array(*[length_class("_name") + i for i in (-1, 0, 1)])).alias("_class")
+    scored = meet_in_blocks(durable(mine.select("_name", near)), refs.select("_ref", "pos", length_class("_ref").alias("_class")),
+                            "_name", "_ref", _scorer(best_of), "_name string, score double, pos long", on=["_class"])
+    return _best(scored.where(F.col("score") > threshold))
+
+
 def _scorer(best_of):
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         asked, names = mine.column("_name").to_pylist(), theirs.column("_ref").to_pylist()
         hits = []
         if asked and names:
             lengths = np.array([len(s) for s in names], np.int32)
-            codes = np.zeros((len(names), max(1, int(lengths.max()))), np.int32)
-            for i, s in enumerate(names):
-                codes[i, :len(s)] = [ord(ch) for ch in s]
-            block = (names, codes, lengths, _letter_counts(names), theirs.column("pos").to_numpy())
+            block = (names, lengths, _letter_counts(names), theirs.column("pos").to_numpy())
             own = _letter_counts(asked)
             hits = [(a, *best_of(a, own[i], block)) for i, a in enumerate(asked)]
         name, score, pos = zip(*hits) if hits else ((), (), ())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql.window import Window
 
 from meadowlark import constants as K
 from meadowlark.functions import text as T
+from meadowlark.operators.matching import contained_pairs
 from meadowlark.operators.ranking import tiered_rank
-from meadowlark.scale import meet_in_blocks, top_per
+from meadowlark.scale import top_per
 from meadowlark.session import durable
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so ties do not hang on the last bit
@@ -70,32 +72,113 @@ def encode(df: DataFrame, text: str, encoder: Callable[[], Callable] | None = No
 
 # --- retrieval ---------------------------------------------------------------------------
 
+CELLS = 512  # most centres; they and one row per cell are all that the driver sees
+CELL_ROWS = 8192  # most vectors of a cell that meet queries in one task, about
+SLACK = 1e-6  # bounds are widened by this, far above rounding
+
+
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", corpus_id: str = "id",
                 query_vec: str = "embedding", corpus_vec: str = "embedding", tag: str | None = None,
                 allowed: str | None = None) -> DataFrame:
     """Exact top k by dot product: (query_id, id, score, rank).
 
-    Blocks of queries meet blocks of the corpus in tasks; the k best per query and block leave
-    a task, and the final cut is per query and partial before its shuffle. With ``tag`` (a
-    corpus column) and ``allowed`` (a query's list of tags, null for any), only vectors with an
-    allowed tag compete.
+    Vectors lie in cells around centres. No vector of a cell scores more than the query's product
+    with the centre plus the query's length times the cell's radius. A query first visits the cells
+    of the highest bounds that hold k vectors; its k-th score then closes all cells whose bound
+    is below it, and it visits the others. Every vector is shuffled once a visit round, queries once
+    a cell they visit; the k best of a cell leave a task. With ``tag`` (a corpus column) and
+    ``allowed`` (a query's list of tags, null for any), only vectors with an allowed tag compete.
     """
-    return top_per(_scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, k, None, tag, allowed),
-                   ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    found = _Cells(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, tag, allowed)
+    first = durable(found.visit(found.bounds(k), k, None))
+    last = top_per(first, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    kth = last.where(F.col("rank") == k).select(F.col("query_id").alias("qid"), "score")
+    second = found.visit(found.bounds(k, kth), k, None)
+    return top_per(first.unionByName(second), ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
 def cosine_above(queries: DataFrame, corpus: DataFrame, least: float, query_id: str = "query_id", corpus_id: str = "id",
                  query_vec: str = "embedding", corpus_vec: str = "embedding") -> DataFrame:
-    """All pairs that score at least ``least``: (query_id, id, score)."""
-    return _scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, None, least, None, None)
-
-
-def _scores(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, keep, least, tag, allowed) -> DataFrame:
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("vec"),
-                       (F.col(allowed) if allowed else F.lit(None)).cast("array<string>").alias("allowed"))
-    side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"),
-                         (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
-    return meet_in_blocks(durable(q), side, "qid", "id", _score_block(keep, least), "query_id long, id long, score double")
+    """All pairs that score at least ``least``: (query_id, id, score). Cells whose bound is below it are not visited."""
+    found = _Cells(queries, corpus, query_id, corpus_id, query_vec, corpus_vec, None, None)
+    return found.visit(found.bounds(least=least), None, least)
+
+
+class _Cells:
+    """Vectors in cells around centres, and the queries that visit them."""
+
+    def __init__(self, queries, corpus, query_id, corpus_id, query_vec, corpus_vec, tag, allowed):
+        spark = corpus.sparkSession
+        self.queries = durable(queries.select(
+            F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("vec"),
+            (F.col(allowed) if allowed else F.lit(None)).cast("array<string>").alias("allowed")).where("vec IS NOT NULL"))
+        side = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"),
+                             (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag")).where("vec IS NOT NULL")
+        n = side.count()
+        most = max(1, min(CELLS, math.isqrt(n)))
+        picked = side.select("vec", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(most).toArrow()
+        centres = _matrix(picked["vec"]) if n else np.zeros((0, 1))
+        held = spark.sparkContext.broadcast(centres)
+        cell = _nearest(held)(F.col("vec"))
+        self.side = durable(side.withColumn("_at", cell).select("id", "vec", "tag", F.col("_at.cell").alias("cell"), F.col("_at.far").alias("far")))
+        rows = self.side.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).orderBy("cell").collect()
+        cells = np.array([r["cell"] for r in rows], np.int64)
+        self.known = spark.sparkContext.broadcast((centres[cells] if len(cells) else centres, cells,
+                                                   np.array([r["n"] for r in rows], np.int64), np.array([r["radius"] for r in rows])))
+        parts = spark.createDataFrame([(int(r["cell"]), -(-r["n"] // CELL_ROWS)) for r in rows], "cell int, parts long")
+        self.parts = F.broadcast(parts)  # one row a cell
+
+    def bounds(self, k: int | None = None, kth: DataFrame | None = None, least: float | None = None) -> DataFrame:
+        """(qid, vec, allowed, cell) for the cells that a query visits: until k vectors are reached; or after
+        that, those that may beat its k-th score (all if it has none); or those that may reach ``least``."""
+        asked = self.queries
+        asked = asked.join(kth, "qid", "left") if kth is not None else asked.withColumn("score", F.lit(least).cast("double"))
+        return asked.select("qid", "vec", "allowed", F.explode(_open_cells(self.known, k, kth is not None)("vec", "score")).alias("cell"))
+
+    def visit(self, visits: DataFrame, keep: int | None, least: float | None) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        mine = self.side.join(self.parts, "cell").select("id", "vec", "tag", "cell", part.cast("int").alias("part"))
+        theirs = visits.join(self.parts, "cell").select("qid", "vec", "allowed", "cell", F.explode(
+            F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+        return (theirs.groupBy("cell", "part").cogroup(mine.groupBy("cell", "part"))
+                .applyInArrow(_score_block(keep, least), "query_id long, id long, score double"))
+
+
+def _nearest(held):
+    @F.arrow_udf("cell int, far double")
+    def nearest(vectors: pa.Array) -> pa.Array:
+        centres, v = held.value, _matrix(vectors)
+        cell, far = np.zeros(len(v), np.int32), np.zeros(len(v))
+        for a in range(0, len(v), QUERIES_AT_ONCE):
+            some = v[a: a + QUERIES_AT_ONCE]
+            cell[a: a + len(some)] = np.argmin((centres ** 2).sum(1) - 2 * (some @ centres.T), 1)
+        far[:] = np.sqrt(((v - centres[cell]) ** 2).sum(1))
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(far)], names=["cell", "far"])
+
+    return nearest
+
+
+def _open_cells(known, k: int | None, again: bool):
+    @F.arrow_udf("array<int>")
+    def cells(vectors: pa.Array, scores: pa.Array) -> pa.Array:
+        centres, names, sizes, radius = known.value
+        asked, floor = _matrix(vectors), scores.to_numpy(zero_copy_only=False)
+        out = []
+        for q, least in zip(asked, floor):
+            bound = centres @ q + radius * np.linalg.norm(q) + SLACK if len(names) else np.zeros(0)
+            order = np.argsort(-bound, kind="stable")
+            # the cells of the first round are the same in the second, which leaves them out
+            early = np.cumsum(sizes[order]) - sizes[order] < (k or 0)
+            if again:
+                order = order[~early & (np.isnan(least) | (bound[order] >= least))]
+            elif k is not None:
+                order = order[early]
+            else:
+                order = order[bound[order] >= least]
+            out.append(names[order].astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return cells
 
 
 def _best(line: np.ndarray, own: np.ndarray, keep: int | None) -> np.ndarray:
@@ -107,9 +190,9 @@ def _best(line: np.ndarray, own: np.ndarray, keep: int | None) -> np.ndarray:
     return pick[np.lexsort((own[pick], -line[pick]))][:keep]
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
 
 
 def _score_block(keep: int | None, least: float | None):
@@ -240,41 +323,94 @@ def search(queries: DataFrame, corpus: DataFrame, org: DataFrame, gazetteer: Dat
 FEATURE_WORDS = (("volunteer", "has_jobs"), ("stay", "has_stays"), ("event", "has_events"), ("job", "has_jobs"))
 
 
-def keyword_search(queries: DataFrame, org: DataFrame, k: int = 200) -> DataFrame:
-    """The k best organizations of each query (query_id, text) by phrase, word and feature points:
-    (query_id, id, latitude, longitude, score, rank), the score scaled to about 0..1."""
-    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    q = durable(queries.select("query_id", F.lower("text").alias("text")).where(F.col("text").isNotNull()))
-    flags = [T.truthy(f).cast("int").alias(f"_flag{i}") for i, (_, f) in enumerate(FEATURE_WORDS)]
-    side = org.select("id", low("name").alias("name"), low("description").alias("description"), low("country").alias("country"), *flags)
-    points = meet_in_blocks(q, side, "query_id", "id", _keyword_points(k), "query_id long, id long, points long")
-    best = top_per(points, ["query_id"], [F.col("points").desc(), F.col("id")], k)
-    return best.join(org.select("id", "latitude", "longitude"), "id").select(
-        "query_id", "id", "latitude", "longitude", (F.col("points") / 20).alias("score"), "rank")
+FIELDS = (("n", "name", 3), ("d", "description", 1), ("c", "country", 2))  # points of a query word in each
+OFTEN = 2000  # organizations; a feature with more is common
 
 
-def _keyword_points(k: int):
-    def run(queries: pa.Table, org: pa.Table) -> pa.Table:
-        own = org.column("id").to_numpy() if len(org) else np.zeros(0, np.int64)
-        name, text, country = (org.column(c) for c in ("name", "description", "country"))
-        every = pc.binary_join_element_wise(name, text, country, " ")
-        has = lambda column, word: pc.match_substring(column, word).to_numpy().astype(np.int64)
-        found = []
-        for qid, asked in zip(queries.column("query_id").to_pylist(), queries.column("text").to_pylist()):
-            points = 10 * has(every, asked)
-            for word in asked.split():
-                if len(word) > 2:
-                    points += 3 * has(name, word) + has(text, word) + 2 * has(country, word)
-            for i, (word, _) in enumerate(FEATURE_WORDS):
-                if word in asked:
-                    points += 2 * org.column(f"_flag{i}").to_numpy()
-            at = np.flatnonzero(points)
-            pick = at[_best(points[at], own[at], k)]
-            found.append((np.full(len(pick), qid, np.int64), own[pick], points[pick]))
-        q, c, p = (np.concatenate(x) for x in zip(*found)) if found and len(org) else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": q, "id": c, "points": p})
+def _low(c: str) -> Column:
+    return F.lower(F.coalesce(F.col(c), F.lit("")))
 
-    return run
+
+def keyword_postings(asked: DataFrame, org: DataFrame) -> DataFrame:
+    """(feature, id): which organizations have what the texts of ``asked`` ask for.
+
+    A word of a query lies within one word of a field, so query words meet the dictionary of
+    the fields' words, not the fields; whole texts meet whole organizations.
+    """
+    words = asked.select(F.explode("words").alias("word")).distinct()
+    held = None
+    for mark, field, _ in FIELDS:
+        one = org.select("id", F.lit(mark).alias("field"), F.explode(F.array_distinct(F.split(_low(field), r"\s+"))).alias("token"))
+        held = one if held is None else held.unionByName(one)
+    held = durable(held.where("token <> ''"))
+    dictionary = held.select("token").distinct().select("token", F.col("token").alias("_text"))
+    meant = contained_pairs(words, dictionary, "word", "token", "_text")
+    by_word = held.join(meant, "token").select(F.concat("field", F.lit(":"), "word").alias("feature"), "id")
+    whole = org.select("id", F.concat_ws(" ", *[_low(f) for _, f, _ in FIELDS]).alias("_all"))
+    by_text = contained_pairs(asked.select("text"), whole, "text", "id", "_all").select(F.concat(F.lit("t:"), "text").alias("feature"), "id")
+    flags = F.array(*[F.when(T.truthy(f), F.lit(f"f:{i}")) for i, (_, f) in enumerate(FEATURE_WORDS)])
+    by_flag = org.select(F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("feature"), "id")
+    return by_word.unionByName(by_text).unionByName(by_flag).distinct()
+
+
+def _asked_features(asked: DataFrame) -> DataFrame:
+    """(text, feature, weight) of every text; a word that occurs twice weighs twice."""
+    one = asked.select("text", F.explode("words").alias("word"))
+    by_word = one.select("text", F.explode(F.array(*[
+        F.struct(F.concat(F.lit(f"{m}:"), "word").alias("feature"), F.lit(w).alias("weight")) for m, _, w in FIELDS])).alias("x"))
+    by_text = asked.select("text", F.explode(F.array(
+        F.struct(F.concat(F.lit("t:"), "text").alias("feature"), F.lit(10).alias("weight")),
+        *[F.struct(F.lit(f"f:{i}").alias("feature"), F.when(F.col("text").contains(w), 2).otherwise(0).alias("weight"))
+          for i, (w, _) in enumerate(FEATURE_WORDS)])).alias("x"))
+    return (by_word.unionByName(by_text).select("text", "x.*").where("weight > 0")
+            .groupBy("text", "feature").agg(F.sum("weight").cast("long").alias("weight")))
+
+
+def keyword_search(queries: DataFrame, org: DataFrame, k: int = 200, often: int = OFTEN) -> DataFrame:
+    """The k best organizations of each query (query_id, text) by phrase, word and feature points:
+    (query_id, id, latitude, longitude, score, rank), the score scaled to about 0..1.
+
+    An inverted index gives the organizations of every feature. Rare features are followed
+    through their postings. Common ones (more than ``often`` organizations) are not: of the
+    organizations without a rare feature only those that come first by common features alone can
+    be among the k best, and these are the same for all that share a set of common features. So
+    sets of common features are scored instead of organizations, best first until k are
+    reached, and each set keeps its k lowest ids. An empty query finds nothing.
+    """
+    asked = queries.select(F.lower("text").alias("text")).where("text <> ''").distinct()
+    asked = durable(asked.withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 2)))
+    postings = durable(keyword_postings(asked, org))
+    wanted = durable(_asked_features(asked))
+    common = durable(postings.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).select("feature"))
+    rare = wanted.join(common, "feature", "left_anti").join(postings, "feature").groupBy("text", "id").agg(F.sum("weight").alias("points"))
+
+    # sets of common features: of organizations, and of queries
+    org_set = durable(postings.join(common, "feature", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("feature")).alias("features")))
+    asked_set = durable(wanted.join(common, "feature", "left_semi").groupBy("text").agg(
+        F.array_sort(F.collect_list(F.struct("feature", "weight"))).alias("weights")))
+    weight_of = F.map_from_entries("weights")
+    more = F.aggregate(F.coalesce("features", F.array().cast("array<string>")), F.lit(0).cast("long"),
+                       lambda acc, f: acc + F.coalesce(F.try_element_at("_weight", f), F.lit(0).cast("long")))
+    full = (rare.join(asked_set.select("text", weight_of.alias("_weight")), "text", "left").join(org_set, "id", "left")
+            .select("text", "id", (F.col("points") + F.when(F.col("_weight").isNull(), 0).otherwise(more)).alias("points")))
+
+    sets = org_set.groupBy("features").agg(F.count(F.lit(1)).alias("n"))
+    lowest = top_per(org_set.select("features", "id"), ["features"], [F.col("id")], k)
+    alike = asked_set.select("weights").distinct()
+    meet = alike.select("weights", F.explode("weights").alias("w")).select("weights", "w.*").join(
+        sets.select("features", "n", F.explode("features").alias("feature")), "feature")
+    scored = meet.groupBy("weights", "features").agg(F.sum("weight").alias("points"), F.first("n").alias("n"))
+    better = F.sum("n").over(Window.partitionBy("weights").orderBy(-F.col("points")).rangeBetween(Window.unboundedPreceding, -1))
+    opened = scored.withColumn("_better", F.coalesce(better, F.lit(0))).where(F.col("_better") < k)
+    by_set = top_per(opened.join(lowest.select("features", "id"), "features").select("weights", "id", "points"),
+                     ["weights"], [F.col("points").desc(), F.col("id")], k).drop("rank")
+    plain = asked_set.join(by_set, "weights").select("text", "id", "points")
+
+    points = full.unionByName(plain).groupBy("text", "id").agg(F.max("points").alias("points"))
+    best = top_per(points, ["text"], [F.col("points").desc(), F.col("id")], k)
+    placed = best.join(org.select("id", "latitude", "longitude"), "id")
+    return queries.select("query_id", F.lower("text").alias("_asked")).join(placed, F.col("_asked") == F.col("text")).select(
+        "query_id", "id", "latitude", "longitude", (F.col("points") / 20).alias("score"), "rank")
 
 
 def search_any(queries: DataFrame, org: DataFrame, corpus: DataFrame, k: int = 200) -> DataFrame:

@@ -65,7 +65,7 @@ def merge_directories(listed: DataFrame, payloads: DataFrame, org: DataFrame, so
 
 MATCHERS = {
     "exact": lambda df, ref, threshold, metric: M.match_exact(df, ref),
-    "contains": lambda df, ref, threshold, metric: M.match_contains(df, ref),
+    "contains": lambda df, ref, threshold, metric: M.match_contains(df, ref, longer_than=5),
     "tokens": lambda df, ref, threshold, metric: M.match_tokens(df, ref),
     "fuzzy": lambda df, ref, threshold, metric: M.match_fuzzy(df, ref, threshold, metric).drop("match_score"),
 }

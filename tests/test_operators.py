@@ -246,11 +246,12 @@ def names(spark):
     return mine, theirs, df, ref
 
 
-def test_match_contains_brute(names):
+@pytest.mark.parametrize("longer_than", [0, 5])
+def test_match_contains_brute(names, longer_than):
     mine, theirs, df, ref = names
-    got = {r["id"]: r["match_url"] for r in M.match_contains(df, ref).collect()}
+    got = {r["id"]: r["match_url"] for r in M.match_contains(df, ref, longer_than=longer_than).collect()}
     for i, n in enumerate(mine):
-        hit = next((f"u{p}" for p, k in enumerate(theirs) if len(n) > 5 and len(k) > 5 and (n in k or k in n)), None)
+        hit = next((f"u{p}" for p, k in enumerate(theirs) if len(n) > longer_than and len(k) > longer_than and (n in k or k in n)), None)
         assert got[i] == hit, (n, got[i], hit)
 
 
@@ -302,9 +303,46 @@ def test_fuzzy_threshold_is_strict(spark):
 
 def test_fuzzy_blocks_agree(names, monkeypatch):
     mine, theirs, df, ref = names
-    whole = {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref).collect()}
+    whole = {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref, metric="ratio").collect()}
     monkeypatch.setattr(M, "meet_in_blocks", partial(meet_in_blocks, rows=7))
-    assert {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref).collect()} == whole
+    assert {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref, metric="ratio").collect()} == whole
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, cb in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (ca != cb))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85, 0.3])
+def test_similar_pairs_lose_none(spark, threshold):
+    rng = random.Random(int(threshold * 100))
+    some = [["".join(rng.choice("abé") for _ in range(rng.randint(0, 14))) for _ in range(90)] for _ in range(2)]
+    names, refs = ({*x, "", "a", "farm at the river bend", "the farm by the river bends"} for x in some)
+    got = M.similar_pairs(spark.createDataFrame([(n,) for n in names], "_name string"),
+                          spark.createDataFrame([(n,) for n in refs], "_ref string"), threshold)
+    want = {(a, b, e) for a in names for b in refs if 1.0 - (e := _edits(a, b)) / max(len(a), len(b), 1) > threshold}
+    assert sorted(tuple(r) for r in got.select("_name", "_ref", "edits").collect()) == sorted(want)
+
+
+def test_segments_keep_most_pairs_apart(spark):
+    rng = random.Random(8)
+    names = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(20)),) for _ in range(400)], "_name string")
+    refs = names.withColumnRenamed("_name", "_ref")
+    assert M.similar_pairs(names, refs, 0.85).count() == 400
+    cut = M._segments(refs, "_ref", 0.6).groupBy("_ref" if False else "long").count()
+    assert cut.agg({"count": "max"}).first()[0] == 8  # seven edits at most
+
+
+def test_two_common_words_are_not_paired_with_each_other(spark):
+    """A name of many words looks up each word but its commonest once, not every pair of them."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "wab zzz"), (3, "the wab"), (4, None), (5, "")], "id long, name string")
+    ref = spark.createDataFrame([("zzz", 0, "u0"), ("the waa", 1, "u1"), ("wac the wab", 2, "u2"), (None, 3, "u3")], "name string, pos long, url string")
+    assert rows(M.match_tokens(df, ref, long_word=9).select("id", "match_url")) == [(1, "u2"), (2, None), (3, "u2"), (4, None), (5, None)]
 
 
 def test_passages_brute(spark):
@@ -316,6 +354,17 @@ def test_passages_brute(spark):
     assert rows(got) == sorted((i, j) for i, d in enumerate(docs) for j, p in enumerate(passages) if p in d)
 
 
+def test_contained_texts_of_every_length(spark):
+    rng = random.Random(6)
+    docs = ["".join(rng.choice("ab é\n") for _ in range(rng.choice([0, 1, 5, 60, 900]))) for _ in range(60)] + ["x" * 3000, "日本" * 500]
+    short = {d[a: a + n] for d in docs for n in (1, 2, 5, 7, 8, 9, 11, 12, 23, 24, 60, 71, 72, 200) for a in [rng.randint(0, 60)]} | {"", "zz", "日本日" * 40}
+    got = M.contained_pairs(spark.createDataFrame([(s,) for s in short] + [(None,)], "s string"),
+                            spark.createDataFrame([*enumerate(docs), (999, None)], "d long, dt string").repartition(4), "s", "d", "dt")
+    assert rows(got.select("d", "s")) == sorted((i, s) for i, d in enumerate(docs) for s in short if s and s in d)
+    none = M.contained_pairs(spark.createDataFrame([("",)], "s string"), spark.createDataFrame([(1, "a")], "d long, dt string"), "s", "d", "dt")
+    assert none.collect() == []
+
+
 # --- search ---------------------------------------------------------------------------------------
 
 def test_cosine_topk_brute_and_blocks(spark, monkeypatch):
@@ -329,8 +378,29 @@ def test_cosine_topk_brute_and_blocks(spark, monkeypatch):
     truth = sorted((qi, rank + 1, int(i)) for qi in range(5)
                    for rank, i in enumerate(sorted(range(300), key=lambda i: (-scores[qi][i], i))[:20]))
     assert rows(S.cosine_topk(q, c, 20).select("query_id", "rank", "id")) == truth
-    monkeypatch.setattr(S, "meet_in_blocks", partial(meet_in_blocks, rows=2))
+    monkeypatch.setattr(S, "CELL_ROWS", 7)
     assert rows(S.cosine_topk(q, c, 20).select("query_id", "rank", "id")) == truth
+    monkeypatch.setattr(S, "CELLS", 1)
+    assert rows(S.cosine_topk(q, c, 20).select("query_id", "rank", "id")) == truth
+    above = rows(S.cosine_above(q, c, 4.0).select("query_id", "id"))
+    assert above == sorted((qi, i) for qi in range(5) for i in range(300) if scores[qi][i] >= 4.0)
+
+
+def test_far_cells_are_not_visited(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(20, 8)) * 30
+    corpus = np.concatenate([m + rng.normal(size=(50, 8)) for m in middles])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)] + [(5000, None)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(middles)], "query_id long, embedding array<double>")
+    got = S.cosine_topk(q, c, 10)
+    scores = np.round(middles @ corpus.T, 9)
+    assert rows(got.select("query_id", "id")) == sorted(
+        (qi, int(i)) for qi in range(20) for i in sorted(range(1000), key=lambda i: (-scores[qi][i], i))[:10])
+    cells = S._Cells(q, c, "query_id", "id", "embedding", "embedding", None, None)
+    kth = spark.createDataFrame([(qi, float(np.sort(scores[qi])[-10])) for qi in range(20)], "qid long, score double")
+    visited = cells.bounds(10).count() + cells.bounds(10, kth).count()
+    assert visited < 0.5 * 20 * cells.side.select("cell").distinct().count()
+    assert S.cosine_topk(q, c.limit(0), 3).count() == 0 and S.cosine_topk(q.limit(0), c, 3).count() == 0
 
 
 def test_keyword_search_points(spark):
@@ -343,6 +413,33 @@ def test_keyword_search_points(spark):
     assert S.keyword_search(asked.limit(0), org).count() == 0 and S.keyword_search(asked, org.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("often", [0, 4, 1000])
+def test_keyword_search_brute(spark, often):
+    rng = random.Random(4)
+    words = ["farm", "farms", "eco", "ecofarm", "river", "bend", "job", "stay", "é"]
+
+    def some(n):
+        return rng.choice([None, "", *([" ".join(rng.choice(words) for _ in range(rng.randint(1, n)))] * 6)])
+    org = [(i, some(3), some(6), some(1), float(i), 0.0, rng.random() < .5, rng.random() < .3, rng.choice([True, False, None])) for i in range(60)]
+    asked = [(i, some(4)) for i in range(25)] + [(90, "Farm farm FARM"), (91, "events"), (92, "farm"), (93, "farm")]
+    df = spark.createDataFrame(org, "id long, name string, description string, country string, latitude double, longitude double,"
+                               " has_jobs boolean, has_stays boolean, has_events boolean").repartition(3)
+    for k in (3, 100):
+        want = []
+        for qid, text in asked:
+            text = (text or "").lower()
+            found = []
+            for i, name, about, country, *_, jobs, stays, events in org:
+                name, about, country = ((x or "").lower() for x in (name, about, country))
+                p = 10 * bool(text and text in " ".join([name, about, country]))
+                p += sum(3 * (w in name) + (w in about) + 2 * (w in country) for w in text.split() if len(w) > 2)
+                p += sum(2 for w, flag in (("volunteer", jobs), ("stay", stays), ("event", events), ("job", jobs)) if w in text and flag)
+                found += [(-p, i)] if p and text else []
+            want += [(qid, i, -p / 20, r + 1) for r, (p, i) in enumerate(sorted(found)[:k])]
+        got = S.keyword_search(spark.createDataFrame(asked, "query_id long, text string"), df, k, often)
+        assert rows(got.select("query_id", "id", "score", "rank")) == sorted(want)
+
+
 def test_search_filters_before_retrieval(spark):
     n = 40
     org = spark.createDataFrame([(i, f"Org {i}", "d", "BR" if i % 2 else "FR", "c", 0.0, 0.0, "t", True, True, True, True, True) for i in range(n)],
