@@ -22,6 +22,7 @@ from meadowlark.operators import search as S
 from meadowlark.operators import privacy
 from meadowlark.operators.aggregates import vector_range
 from meadowlark.plans import catalogue, listings
+from meadowlark.scale import list_pages
 from meadowlark.session import ensure_checkpoint_dir
 from meadowlark.sinks import files
 from meadowlark.sources import tables
@@ -201,23 +202,31 @@ def _(t):
     WITH o AS (SELECT min(page_id) AS id, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, 'Site ' || split_part(split_part(url, '/', 3), ':', 1) AS name FROM spage GROUP BY 2, 3),
     t AS (SELECT *, name || ' is an intentional community' AS old FROM o WHERE id NOT IN (SELECT id FROM ledger)),
     u AS (SELECT DISTINCT split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, url FROM spage),
-    l AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS pos FROM u QUALIFY pos <= 4),
+    l AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) AS pos FROM u),
     k AS (SELECT rtrim(url, '/') AS key, min(page_id) AS page_id FROM spage GROUP BY 1),
     y AS (SELECT key, {full_text('html', K.SKIP_TAGS_FRAME)} AS text FROM k JOIN spage ON k.page_id = spage.page_id),
-    x AS (SELECT * FROM y WHERE length(text) > 80 AND NOT {any_word('text', K.LOW_QUALITY_PHRASES)}),
-    m AS (SELECT t.id, pos, text FROM t JOIN l ON t.site = l.site JOIN x ON rtrim(l.url, '/') = x.key),
-    b AS (SELECT * FROM m UNION ALL SELECT t.id, 0, text FROM t JOIN x ON rtrim(t.site, '/') = x.key WHERE t.id NOT IN (SELECT id FROM m)),
-    a AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY pos, text) AS whole FROM b GROUP BY id),
-    n AS (SELECT t.id, t.name, old, substr({squeezed("regexp_replace(" + squeezed('whole') + ", 'https?://" + chr(92) + "S+', '', 'g')")}, 1, 2000) AS new FROM t JOIN a ON t.id = a.id)
-    SELECT id, CASE WHEN NOT starts_with(lower(new), lower(name)) THEN name || '. ' || new ELSE new END AS description FROM n WHERE length(new) >= 120""")
+    x AS (SELECT key, {squeezed("regexp_replace(" + squeezed('text') + ", 'https?://" + chr(92) + "S+', '', 'g')")} AS text
+        FROM y WHERE length(text) > 80 AND NOT {any_word('text', K.LOW_QUALITY_PHRASES)}),
+    m AS (SELECT t.id, pos, text FROM t JOIN l ON t.site = l.site JOIN x ON rtrim(l.url, '/') = x.key WHERE text <> ''),
+    b AS (SELECT * FROM m UNION ALL SELECT t.id, 0, text FROM t JOIN x ON rtrim(t.site, '/') = x.key WHERE text <> '' AND t.id NOT IN (SELECT id FROM m)),
+    r AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY pos, text) - 1 AS rn FROM b),
+    f AS (SELECT id, arg_min(text, rn) AS first, sum(length(text) + 1) - 1 AS n, count(*) AS texts FROM r GROUP BY id),
+    p AS (SELECT id, rn // 3 AS part, string_agg(text, ' ' ORDER BY rn) AS whole FROM r GROUP BY 1, 2)
+    SELECT p.id, part, (texts + 2) // 3 AS n_parts, CASE WHEN part = 0 AND NOT starts_with(lower(first), lower(name)) THEN name || '. ' || whole ELSE whole END AS description
+    FROM p JOIN f ON p.id = f.id JOIN t ON t.id = p.id WHERE n >= 120""")
 def _(t):
     org = site_org(t).withColumn("description", F.concat("name", F.lit(" is an intentional community")))
     listed = t.spage.select(urls.origin("url").alias("o"), "url").distinct()
-    per_site = listed.groupBy("o").agg(F.array_sort(F.collect_list("url")).alias("l"))
-    locs = F.array_join(F.transform("l", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "")
-    docs = per_site.select(F.concat("o", F.lit("/map.xml")).alias("url"), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body")).unionByName(
-        per_site.select(F.concat("o", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("Sitemap: "), "o", F.lit("/map.xml")).alias("body")))
-    return catalogue.enrich_descriptions(org, t.spage, docs, t.ledger, "is an intentional community")
+    # of every site an index and sitemaps of twenty pages each
+    leaf = list_pages(listed, ["o"], [F.col("url")], F.col("url"), 20).withColumn("at", F.concat("o", F.lit("/map"), F.col("page").cast("string"), F.lit(".xml")))
+    locs = F.array_join(F.transform("items", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))), "")
+    index = leaf.groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "at"))), lambda x: F.concat(
+        F.lit("<sitemap><loc>"), x["at"], F.lit("</loc></sitemap>"))), "").alias("l"))
+    docs = leaf.select(F.col("at").alias("url"), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")).alias("body")).unionByName(
+        index.select(F.concat("o", F.lit("/map.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), "l", F.lit("</sitemapindex>")).alias("body"))).unionByName(
+        index.select(F.concat("o", F.lit("/robots.txt")).alias("url"), F.concat(F.lit("Sitemap: "), "o", F.lit("/map.xml")).alias("body")))
+    made = catalogue.enrich_descriptions(org, t.spage, docs, t.ledger, "is an intentional community", part_pages=3)
+    return made.select("id", F.col("part").cast("long").alias("part"), F.col("n_parts").cast("long").alias("n_parts"), "description")
 
 
 @query("clean_catalogue", "org", sql="""

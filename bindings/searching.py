@@ -44,7 +44,7 @@ def cosine_topk(t):
     return S.cosine_topk(label_queries(t), t.vec, 200).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("embed_text", "org", sql="SELECT id, name || '. ' || substr(coalesce(description, ''), 1, 500) AS text FROM org")
+@query("embed_text", "org", sql="SELECT id, name || '. ' || coalesce(description, '') AS text FROM org")
 def _(t):
     return t.org.select("id", S.embed_text().alias("text"))
 
@@ -166,7 +166,7 @@ def search_queries(t):
         lower(concat_ws(' ', nullif(name, ''), nullif(organization_type, ''), nullif(description, ''), nullif(country, ''), nullif(city, ''))) AS st FROM r),
     s AS (SELECT *, CASE WHEN rr <= 30 THEN round(1 / (1 + exp(-(4.0 * len(list_filter(ws, lambda x: contains(st, x))) / len(ws) - 2.0))), 9) ELSE score END AS final FROM w)
     SELECT query_id, id, name, country, round(final, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY (rr > 30), final DESC, rr) AS rank,
-        substr(coalesce(description, ''), 1, 300) AS description FROM s QUALIFY rank <= 20""")
+        coalesce(description, '') AS description FROM s QUALIFY rank <= 20""")
 def _(t):
     hits = S.search(search_queries(t), t.vec, t.org, Z.from_countries(t.place), top_n=20)
     return hits.select("query_id", "id", "name", "country", "score", F.col("rank").cast("long").alias("rank"), "description")
@@ -308,7 +308,7 @@ def _badge_sql(cond, *style):
 
 POPUP_SQL = f"""
     SELECT id, coalesce(nullif(popup_html, ''), concat_ws(' ', '<strong>' || name || '</strong><br>', CASE WHEN length(description) > 10 THEN {_fill_sql(K.POPUP_DESCRIPTION, 'description')} END,
-        nullif(badges, '') || '<br>', {_fill_sql(K.POPUP_ADDRESS, "substr(nullif(address, ''), 1, 150)")}, {_fill_sql(K.POPUP_PLACE, "nullif(place, '')")}, {_fill_sql(K.POPUP_LINKS, "nullif(reach, '')")})) AS popup
+        nullif(badges, '') || '<br>', {_fill_sql(K.POPUP_ADDRESS, "nullif(address, '')")}, {_fill_sql(K.POPUP_PLACE, "nullif(place, '')")}, {_fill_sql(K.POPUP_LINKS, "nullif(reach, '')")})) AS popup
     FROM (SELECT *, concat_ws(' ', {_badge_sql('accepts_volunteers', '#ffc107', 'black', 'Volunteer')}, {_badge_sql('accepts_visitors AND accepts_shortterm', '#17a2b8', 'white', 'Short-term')},
         {_badge_sql('accepts_visitors AND accepts_longterm', '#17a2b8', 'white', 'Long-term')}, {_badge_sql('has_jobs', '#dc3545', 'white', 'Jobs')}) AS badges,
         concat_ws(', ', nullif(city, ''), nullif(region, ''), nullif(country, '')) AS place,
@@ -321,7 +321,7 @@ def _(t):
 
 
 @query("short_popup", "org", sql=f"""
-    SELECT id, '<strong>' || name || '</strong><p>' || CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END || '</p>'
+    SELECT id, '<strong>' || name || '</strong><p>' || t || '</p>'
         || coalesce('<div>' || nullif(badges, '') || '</div>', '')
         || concat_ws('', '<a href="' || nullif(website, '') || '" target="_blank">🌐 Website</a>', '<a href="mailto:' || nullif(email, '') || '">Email</a>') AS popup
     FROM (SELECT *, repeat(name || ' ', 12) AS t, concat_ws(' ', {_badge_sql('accepts_volunteers', '#ffc107', 'black', 'Volunteer')},

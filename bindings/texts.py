@@ -262,7 +262,7 @@ _PARAS = f"list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?
 DESCRIBED_SQL = f"""WITH m AS (SELECT page_id, {squeezed(f"nullif(regexp_extract(html, {_META}, 1), '')")} AS meta, {_PARAS} AS paras,
         {trimmed("nullif(regexp_extract(html, 'name=" + chr(34) + "description" + chr(34) + "[^>]*content=" + chr(34) + "([^" + chr(34) + "]+)" + chr(34) + "', 1), '')")} AS tag FROM rich)
     SELECT page_id, CASE WHEN length(meta) > 30 THEN meta END AS meta,
-        coalesce(CASE WHEN length(tag) > 30 THEN substr(tag, 1, 1000) END, substr(paras[1], 1, 1000), '') AS described FROM m"""
+        coalesce(CASE WHEN length(tag) > 30 THEN tag END, paras[1], '') AS described FROM m"""
 
 
 @query("meta_description", "rich", sql=DESCRIBED_SQL)
@@ -356,7 +356,7 @@ def _skills_sql(c):
     tries = []
     for p in K.SKILLS_PATTERNS:
         f = f"rtrim({trimmed(f'''nullif(regexp_extract({c}, '{esc(p)}', 1), '')''')}, ',.;:')"
-        tries.append(f"CASE WHEN length({f}) > 10 AND length({f}) < 300 THEN substr({f}, 1, 200) END")
+        tries.append(f"CASE WHEN length({f}) > 10 AND length({f}) < 300 THEN {f} END")
     return "coalesce(" + ", ".join(tries) + ")"
 
 
@@ -364,7 +364,7 @@ def _commit_sql(c):
     tries = []
     for p in K.COMMITMENT_PATTERNS:
         f = trimmed(f"nullif(regexp_extract({c}, '{esc(p)}', 0), '')")
-        tries.append(f"CASE WHEN length({f}) > 3 AND length({f}) < 200 THEN substr({f}, 1, 100) END")
+        tries.append(f"CASE WHEN length({f}) > 3 AND length({f}) < 200 THEN {f} END")
     return "coalesce(" + ", ".join(tries) + ")"
 
 
@@ -388,7 +388,7 @@ def job_blocks_sql(pages, name, terms, min_len=100):
     """``blocks``: page_id, title, block, role of pages (page_id, text, name). A block starts at each
     word from which capitals run on; the pattern's look-ahead is tested at every position."""
     caps = r"^[A-Z][A-Z\s&\-/,]{5,80}[A-Z](?:[^\p{L}\p{N}_]|$)"
-    first = _clean_sql(r"substr(string_split_regex(block, '[.!?]\s+')[1], 1, 150)")
+    first = _clean_sql(r"string_split_regex(block, '[.!?]\s+')[1]")
     return rf"""
     j0 AS (SELECT page_id, {name} AS name, CASE WHEN length(text) >= 200 THEN {_clean_sql('text')} ELSE '' END AS t FROM {pages}),
     j1 AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: i = 1 OR (NOT regexp_matches(substr(t, i - 1, 1), '[\p{{L}}\p{{N}}_]') AND regexp_matches(substr(t, i, 84), '{caps}'))) AS starts FROM j0),
@@ -415,9 +415,9 @@ def _(t):
     m AS (SELECT id, text, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN length(x) < 100 AND ((regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))
         OR (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '(^|[^\p{{L}}])\p{{Ll}}') AND NOT regexp_matches(x, '\p{{L}}\p{{Lu}}')) OR ends_with(x, ':'))
         THEN chr(1) || x ELSE x END), chr(10)), chr(1))[2:] AS pieces FROM l),
-    k AS (SELECT id, text, list_filter(list_transform(pieces, lambda p: {{'title': substr(split_part(p, chr(10), 1), 1, 200),
-        'description': substr({trimmed("replace(regexp_replace(p, '^[^' || chr(10) || ']*' || chr(10) || '?', ''), chr(10), ' ')")}, 1, 1000)}}), lambda x: length(x.description) > 50) AS kept FROM m),
-    a AS (SELECT id, unnest(CASE WHEN len(kept) = 0 AND length(text) > 200 THEN [{{'title': substr(split_part(text, '. ', 1), 1, 200), 'description': substr(text, 1, 2000)}}] ELSE kept END) AS b FROM k)
+    k AS (SELECT id, text, list_filter(list_transform(pieces, lambda p: {{'title': split_part(p, chr(10), 1),
+        'description': {trimmed("replace(regexp_replace(p, '^[^' || chr(10) || ']*' || chr(10) || '?', ''), chr(10), ' ')")}}}), lambda x: length(x.description) > 50) AS kept FROM m),
+    a AS (SELECT id, unnest(CASE WHEN len(kept) = 0 AND length(text) > 200 THEN [{{'title': split_part(text, '. ', 1), 'description': text}}] ELSE kept END) AS b FROM k)
     SELECT id, b.title AS title, b.description AS description FROM a""")
 def _(t):
     lined = t.doc.select("id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
@@ -467,8 +467,8 @@ def _prose_sql(s, skip):
         AND NOT regexp_matches(s, '^(Transition Group|Community Growing|Other food|Nature Community)')) AS l FROM doc),
     r AS (SELECT id, unnest(l) AS s, unnest(range(len(l))) AS i FROM p),
     b AS (SELECT *, 3 * {count_words('s', K.SENTENCE_HIGH)} + 2 * {count_words('s', K.SENTENCE_MEDIUM)} + {count_words('s', K.SENTENCE_LOW)} AS base FROM r),
-    a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k FROM b WHERE i < 5 OR base > 0 QUALIFY k < 15),
-    t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM a QUALIFY o <= 4),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k FROM b WHERE i < 5 OR base > 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM a),
     g AS (SELECT id, string_agg(s, ' ' ORDER BY o) AS best FROM t GROUP BY id)
     SELECT d.id, coalesce(g.best, '') AS best FROM doc d LEFT JOIN g ON d.id = g.id""")
 def _(t):
@@ -479,7 +479,6 @@ def _(t):
 def described_sql(pages, name):
     lead = "ltrim(substr({c}, length({l}) + 1), ' —|-–·')"
     drop = lambda c, l: f"CASE WHEN starts_with({c}, {l}) THEN {lead.format(c=c, l=l)} ELSE {c} END"
-    cut = r"CASE WHEN length(regexp_extract(substr({c}, 1, 500), '(?s)^(.*\.) ', 1)) > 101 THEN regexp_extract(substr({c}, 1, 500), '(?s)^(.*\.) ', 1) ELSE {e} END"
     return rf"""
     d1 AS (SELECT *, {drop('text', "coalesce(title, '')")} AS x FROM {pages}),
     d2 AS (SELECT *, {drop('x', name)} AS y FROM d1),
@@ -489,16 +488,15 @@ def described_sql(pages, name):
         AND NOT regexp_matches(s, '^(Transition Group|Community Growing|Other food|Nature Community)')) AS l FROM d4),
     d6 AS (SELECT page_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM d5),
     d7 AS (SELECT *, 3 * {count_words('s', K.SENTENCE_HIGH)} + 2 * {count_words('s', K.SENTENCE_MEDIUM)} + {count_words('s', K.SENTENCE_LOW)} AS base FROM d6),
-    d8 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS k FROM d7 WHERE i < 5 OR base > 0 QUALIFY k < 15),
-    d9 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM d8 QUALIFY o <= 4),
+    d8 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS k FROM d7 WHERE i < 5 OR base > 0),
+    d9 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY base + greatest(0, 5 - k) DESC, k) AS o FROM d8),
     dg AS (SELECT page_id, string_agg(s, ' ' ORDER BY o) AS best FROM d9 GROUP BY page_id),
     dj AS (SELECT d4.*, coalesce(dg.best, '') AS best, list_filter(every, lambda s: length(s) > 40 AND {any_word('s', K.SENTENCE_HIGH + K.SENTENCE_MEDIUM)})[1] AS topical
         FROM d4 LEFT JOIN dg ON d4.page_id = dg.page_id),
-    described AS (SELECT page_id, CASE WHEN length(meta) > 80 AND NOT {any_word('meta', K.META_JUNK)} THEN CASE WHEN length(meta) > 450 THEN {cut.format(c='meta', e='substr(meta, 1, 500)')} ELSE meta END
+    described AS (SELECT page_id, CASE WHEN length(meta) > 80 AND NOT {any_word('meta', K.META_JUNK)} THEN meta
         WHEN coalesce(text, '') = '' THEN CASE WHEN length(meta) > 50 THEN meta END
-        WHEN length(best) > 500 THEN {cut.format(c='best', e="substr(best, 1, 500) || '...'")}
         WHEN length(best) > 50 THEN best
-        ELSE coalesce(substr(topical, 1, 500), CASE WHEN length(meta) > 50 THEN substr(meta, 1, 500) END) END AS description FROM dj)"""
+        ELSE coalesce(topical, CASE WHEN length(meta) > 50 THEN meta END) END AS description FROM dj)"""
 
 
 TITLE_SQL = f"""nullif({squeezed(unescaped("nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')"))}, '')"""
@@ -519,10 +517,10 @@ def _(t):
 @query("lead_sentences", "doc", sql=rf"""
     WITH b AS (SELECT id, {trimmed("regexp_replace(" + _clean_sql("text") + r", '^[—–\-|·\s]+', '')")} AS body FROM doc),
     e AS (SELECT id, body, {_list_of('body')} AS l FROM b),
-    c AS (SELECT id, body, array_to_string(list_filter(l, lambda s: {_prose_sql('s', K.SENTENCE_SKIP)})[1:3], ' ') AS lead,
+    c AS (SELECT id, body, array_to_string(list_filter(l, lambda s: {_prose_sql('s', K.SENTENCE_SKIP)}), ' ') AS lead,
         list_filter(l, lambda s: length(s) > 40 AND {any_word('s', K.SENTENCE_FALLBACK)})[1] AS topical FROM e),
     x AS (SELECT id, body, CASE WHEN length(lead) >= 50 THEN lead ELSE coalesce(topical, lead) END AS chosen FROM c)
-    SELECT id, substr(CASE WHEN length(chosen) >= 50 THEN chosen ELSE substr(body, 1, 300) END, 1, 500) AS lead FROM x""")
+    SELECT id, CASE WHEN length(chosen) >= 50 THEN chosen ELSE body END AS lead FROM x""")
 def _(t):
     return t.doc.select("id", X.lead_sentences("text").alias("lead"))
 
@@ -552,7 +550,7 @@ def _plain_md(c):
     WITH m AS (SELECT id, {trimmed("replace(text, chr(10), chr(10) || '## ')")} AS body FROM doc),
     b AS (SELECT id, {_plain_md('body')} AS whole, list_filter(list_transform(string_split_regex(body, '\n#{{1,3}}\s+'), lambda x: {_plain_md('x')}),
         lambda x: {any_word('x', K.COMMUNITY_WORDS)})[1] AS topical FROM m)
-    SELECT id, substr(coalesce(topical, CASE WHEN length(whole) > 60 THEN whole END), 1, 2000) AS block FROM b""")
+    SELECT id, coalesce(topical, CASE WHEN length(whole) > 60 THEN whole END) AS block FROM b""")
 def _(t):
     md = F.concat(F.lit("Title: x\nMarkdown Content:\n"), F.regexp_replace("text", "\n", "\n## "))
     return t.doc.select("id", X.markdown_block(md).alias("block"))
@@ -560,7 +558,7 @@ def _(t):
 
 def price_sql(c):
     phrases = ", ".join(f"CASE WHEN length(regexp_extract({c}, '{esc(p)}', 0)) < 200 THEN nullif({trimmed(f"regexp_extract({c}, '{esc(p)}', 0)")}, '') END" for p in K.PRICE_PATTERNS)
-    return f"coalesce({phrases}, nullif(array_to_string(regexp_extract_all({c}, '{esc(K.AMOUNT)}', 1)[1:5], ', '), ''))"
+    return f"coalesce({phrases}, nullif(array_to_string(regexp_extract_all({c}, '{esc(K.AMOUNT)}', 1), ', '), ''))"
 
 
 def stay_types_sql(c):
@@ -581,7 +579,7 @@ def _(t):
 @query("booking_class", "rich", sql=f"""
     WITH f AS (SELECT page_id, regexp_matches(lower(html), '<form\\b') AS form, regexp_matches(lower(html), '<iframe\\b') AS frame, regexp_matches(html, '{K.EMAIL}') AS mail,
         regexp_matches(html, '{esc(K.PHONE)}') AS phone, {any_word('html', K.BOOKING_CALENDARS)} AS cal, {count_words(simple_text('html'), K.BOOKING_KEYWORDS)} AS kw,
-        CAST(least(len(list_filter(regexp_extract_all(lower(html), 'href=["'']([^"'']+)["'']', 1), lambda h: regexp_matches(h, '{'|'.join(w.replace('.', '\\.') for w in K.BOOKING_HOSTS)}'))), 5) AS BIGINT) AS ext FROM rich)
+        CAST(len(list_filter(regexp_extract_all(lower(html), 'href=["'']([^"'']+)["'']', 1), lambda h: regexp_matches(h, '{'|'.join(w.replace('.', '\\.') for w in K.BOOKING_HOSTS)}'))) AS BIGINT) AS ext FROM rich)
     SELECT page_id, kw AS keywords, ext AS external, CASE WHEN form AND kw >= 2 THEN 'direct_form' WHEN frame OR ext > 0 THEN 'external_widget' WHEN cal THEN 'calendar_tool'
         WHEN (mail OR phone) AND kw >= 1 THEN 'email_phone' ELSE 'unknown' END AS booking_type FROM f""")
 def _(t):
@@ -609,7 +607,7 @@ def _(t):
                     X.booking_class(F.col("f")).alias("booking_type"))
 
 
-@query("stay_listing", "doc", sql="SELECT id, substr(split_part(text, '. ', 1), 1, 200) AS title, substr(text, 1, 2000) AS description FROM doc")
+@query("stay_listing", "doc", sql="SELECT id, split_part(text, '. ', 1) AS title, text AS description FROM doc")
 def _(t):
     return t.doc.select("id", X.stay_listing("text").alias("s")).select("id", "s.title", "s.description")
 
@@ -633,9 +631,10 @@ def _(t):
 @query("event_dates", "note", sql=f"""
     WITH d AS (SELECT id, list_filter(list_transform(list_concat({', '.join(f"regexp_extract_all(text, '{esc(p)}', 1)" for p in K.EVENT_DATE_PATTERNS)}), lambda x: {trimmed('x')}), lambda x: length(x) > 5) AS l FROM note),
     u AS (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM d)
-    SELECT id, l[1] AS first_date, l[2] AS second_date FROM u""")
+    SELECT id, l[1] AS first_date, l[2] AS second_date, array_to_string(l, '|') AS dates FROM u""")
 def _(t):
-    return t.note.select("id", X.event_dates("text").alias("d")).select("id", F.get("d", F.lit(0)).alias("first_date"), F.get("d", F.lit(1)).alias("second_date"))
+    return t.note.select("id", X.event_dates("text").alias("d")).select("id", F.get("d", F.lit(0)).alias("first_date"), F.get("d", F.lit(1)).alias("second_date"),
+                                                                         F.array_join("d", "|").alias("dates"))
 
 
 @query("jsonld_blocks", "rich", sql=r"""

@@ -48,16 +48,16 @@ def meta_description(html) -> Column:
     return F.coalesce(F.when(F.length(named) > 30, named), F.when(F.length(graph) > 30, graph))
 
 
-def long_paragraph(html, min_len: int = 50, max_len: int = 1000) -> Column:
+def long_paragraph(html, min_len: int = 50, max_len: int | None = None) -> Column:
     paragraphs = F.transform(extract_all(html, r"(?s)<p[^>]*>(.*?)</p>", 1), lambda p: strip(strip_tags(p)))
     return prefix(F.get(F.filter(paragraphs, lambda p: F.length(p) > min_len), F.lit(0)), max_len)
 
 
-def listing_description(html) -> Column:
+def listing_description(html, max_len: int | None = None) -> Column:
     """Description of a directory entry: either meta tag, else its first long paragraph, else ''."""
     tags = [strip(extract(html, p)) for p in
             (r'og:description"[^>]*content="([^"]+)"', r'name="description"[^>]*content="([^"]+)"')]
-    return F.coalesce(*[F.when(F.length(t) > 30, prefix(t, 1000)) for t in tags], long_paragraph(html), F.lit(""))
+    return F.coalesce(*[F.when(F.length(t) > 30, prefix(t, max_len)) for t in tags], long_paragraph(html, max_len=max_len), F.lit(""))
 
 
 def hrefs(html) -> Column:
@@ -172,7 +172,7 @@ def strip_markdown(c) -> Column:
     return squeeze(F.regexp_replace(out, r"(?m)^[\*\-]\s+", ""))
 
 
-def markdown_block(c, max_len: int = 2000) -> Column:
+def markdown_block(c, max_len: int | None = None) -> Column:
     """First block between headings that speaks of a community, else the whole text if over 60 characters."""
     def best(body):
         blocks = F.transform(F.split(body, r"\n#{1,3}\s+"), strip_markdown)
@@ -204,14 +204,14 @@ def job_role(c) -> Column:
     )
 
 
-def skills(c) -> Column:
+def skills(c, max_len: int | None = None) -> Column:
     found = first_fitting(c, K.SKILLS_PATTERNS, 1, lambda x: (F.length(x) > 10) & (F.length(x) < 300),
                           lambda x: F.rtrim(strip(x), F.lit(",.;:")))
-    return prefix(found, 200)
+    return prefix(found, max_len)
 
 
-def commitment(c) -> Column:
-    return prefix(first_fitting(c, K.COMMITMENT_PATTERNS, 0, lambda x: (F.length(x) > 3) & (F.length(x) < 200), strip), 100)
+def commitment(c, max_len: int | None = None) -> Column:
+    return prefix(first_fitting(c, K.COMMITMENT_PATTERNS, 0, lambda x: (F.length(x) > 3) & (F.length(x) < 200), strip), max_len)
 
 
 def remote(c) -> Column:
@@ -249,28 +249,29 @@ def job_title(h1, title, org_name) -> Column:
     return F.coalesce(F.get(F.filter(titles, good), F.lit(0)), F.concat(F.lit("Volunteer at "), col(org_name)))
 
 
-def _first_sentence(c, fallback=None) -> Column:
-    first = prefix(F.get(F.split(col(c), r"[.!?]\s+", 2), F.lit(0)), 150)
+def _first_sentence(c, fallback=None, max_len: int | None = None) -> Column:
+    first = prefix(F.get(F.split(col(c), r"[.!?]\s+", 2), F.lit(0)), max_len)
     cleaned = clean_text(first)
     return cleaned if fallback is None else F.when(F.length(cleaned) < 5, fallback).otherwise(cleaned)
 
 
-def _listing(block, org_name, role) -> Column:
+def _listing(block, org_name, role, title_chars: int | None) -> Column:
     return F.struct(
-        _first_sentence(block, F.concat(F.lit("Opportunity at "), col(org_name))).alias("title"),
+        _first_sentence(block, F.concat(F.lit("Opportunity at "), col(org_name)), title_chars).alias("title"),
         block.alias("block"), role.alias("role"),
     )
 
 
-def job_blocks(text, org_name, terms: Sequence[str] = tuple(K.JOB_TERMS), min_len: int = 100) -> Column:
+def job_blocks(text, org_name, terms: Sequence[str] = tuple(K.JOB_TERMS), min_len: int = 100,
+               title_chars: int | None = None) -> Column:
     """array<struct<title, block, role>>: text parts before capitals headings that speak of
     jobs; without any, the whole page if it does."""
     def blocks(body):
         parts = F.transform(F.split(body, K.CAPS_HEADING_SPLIT), strip)
         hits = F.filter(parts, lambda b: (F.length(b) >= min_len) & (score_terms(b, terms) >= 2))
-        whole = F.array(_listing(body, org_name, F.lit("volunteer")))
+        whole = F.array(_listing(body, org_name, F.lit("volunteer"), title_chars))
         fits = (F.length(body) > 300) & (score_terms(body, terms) >= 3)
-        return let(F.transform(hits, lambda b: _listing(b, org_name, job_role(b))),
+        return let(F.transform(hits, lambda b: _listing(b, org_name, job_role(b), title_chars)),
                    lambda found: F.when((F.size(found) == 0) & fits, whole).otherwise(found))
 
     # a page under 200 characters has no listing
@@ -283,7 +284,7 @@ def _is_title_line(line: Column) -> Column:
     return (F.length(line) < 100) & (upper | title | line.endswith(":"))
 
 
-def title_blocks(text) -> Column:
+def title_blocks(text, title_chars: int | None = None, max_len: int | None = None) -> Column:
     """array<struct<title, description>>: a short heading line starts a listing. Needs text
     with its line breaks; without any listing, the whole text is one."""
     lines = F.filter(F.transform(F.split(col(text), r"\n"), strip), lambda x: x != "")
@@ -292,13 +293,13 @@ def title_blocks(text) -> Column:
         # the piece before the first heading belongs to no listing
         headed = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
         return F.filter(F.transform(headed, lambda p: F.struct(
-            prefix(F.get(F.split(p, r"\n", 2), F.lit(0)), 200).alias("title"),
-            prefix(strip(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n", " ")), 1000).alias("description"),
+            prefix(F.get(F.split(p, r"\n", 2), F.lit(0)), title_chars).alias("title"),
+            prefix(strip(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n", " ")), max_len).alias("description"),
         )), lambda x: F.length(x["description"]) > 50)
 
     whole = F.array(F.struct(
-        prefix(F.get(F.split(col(text), r"\. ", 2), F.lit(0)), 200).alias("title"),
-        prefix(col(text), 2000).alias("description"),
+        prefix(F.get(F.split(col(text), r"\. ", 2), F.lit(0)), title_chars).alias("title"),
+        prefix(col(text), max_len).alias("description"),
     ))
     return let(listings(F.split(F.array_join(marked, "\n"), "\u0001")), lambda kept: F.when(
         (F.size(kept) == 0) & (F.length(col(text)) > 200), whole).otherwise(kept))
@@ -323,14 +324,15 @@ def _is_prose(s: Column, skip: Sequence[str]) -> Column:
     )
 
 
-def lead_sentences(c, max_len: int = 500) -> Column:
-    """Up to three prose sentences; else one with a topic word; else the start of the text."""
+def lead_sentences(c, keep: int | None = None, max_len: int | None = None, start: int | None = None) -> Column:
+    """The first ``keep`` prose sentences (None: all); else one with a topic word; else the text, or its
+    first ``start`` characters. ``max_len`` cuts the result."""
     def choose(body):
         every = sentences(body)
-        lead = F.array_join(F.slice(F.filter(every, lambda s: _is_prose(s, K.SENTENCE_SKIP)), 1, 3), " ")
+        lead = F.array_join(_first(F.filter(every, lambda s: _is_prose(s, K.SENTENCE_SKIP)), keep), " ")
         topical = F.get(F.filter(every, lambda s: (F.length(s) > 40) & mentions(s, K.SENTENCE_FALLBACK)), F.lit(0))
         chosen = let(lead, lambda x: F.when(F.length(x) >= 50, x).otherwise(F.coalesce(topical, x)))
-        return let(chosen, lambda x: prefix(F.when(F.length(x) >= 50, x).otherwise(prefix(body, 300)), max_len))
+        return let(chosen, lambda x: prefix(F.when(F.length(x) >= 50, x).otherwise(prefix(body, start)), max_len))
 
     return let(strip(F.regexp_replace(clean_text(c), r"^[—–\-|·\s]+", "")), choose)
 
@@ -340,30 +342,35 @@ def _sentence_score(s: Column) -> Column:
             + score_terms(s, K.SENTENCE_LOW))
 
 
-def best_sentences(c, scan: int = 15, keep: int = 4) -> Column:
+def best_sentences(c, scan: int | None = None, keep: int | None = None) -> Column:
     """The best sentences by keyword class and earliness, best first.
 
     The bonus for the k-th accepted sentence is max(0, 5-k), so the first five prose
     sentences always score and later ones only through keywords; acceptance stops at
-    ``scan``. That needs no running state: filter by position, then rank.
+    ``scan``, and the ``keep`` best stay (None: no end to either). That needs no running
+    state: filter by position, then rank.
     """
     prose = F.filter(sentences(c), lambda s: _is_prose(s, K.SENTENCE_SKIP + K.SENTENCE_SKIP_EXTRA)
                      & ~s.rlike("^(Transition Group|Community Growing|Other food|Nature Community)"))
     scored = F.transform(prose, lambda s, i: F.struct(_sentence_score(s).alias("base"), i.alias("i"), s.alias("s")))
-    accepted = F.slice(F.filter(scored, lambda x: (x["i"] < 5) | (x["base"] > 0)), 1, scan)
+    accepted = _first(F.filter(scored, lambda x: (x["i"] < 5) | (x["base"] > 0)), scan)
     ranked = F.array_sort(F.transform(accepted, lambda x, k: F.struct(
         (-(x["base"] + F.greatest(F.lit(0), 5 - k))).alias("order"), k.alias("k"), x["s"].alias("s"))))
-    return F.array_join(F.transform(F.slice(ranked, 1, keep), lambda x: x["s"]), " ")
+    return F.array_join(F.transform(_first(ranked, keep), lambda x: x["s"]), " ")
 
 
-def _cut_at_sentence(c, limit: int, ellipsis: bool) -> Column:
-    """Cut to a length, back to the last full sentence if that keeps over 100 characters."""
+def _cut_at_sentence(c, limit: int | None, ellipsis: bool, near: int = 0) -> Column:
+    """Cut to a length, back to the last full sentence if that keeps over 100 characters. Texts more than
+    ``near`` below the limit stay whole, and all do without a limit."""
+    if limit is None:
+        return col(c)
+
     def cut(text):
         rest = F.concat(text, F.lit("...")) if ellipsis else text
         return let(F.regexp_extract(text, r"(?s)^(.*\.) ", 1),
                    lambda whole: F.when(F.length(whole) > 101, whole).otherwise(rest))
 
-    return let(prefix(c, limit), cut)
+    return F.when(F.length(col(c)) > limit - near, let(prefix(c, limit), cut)).otherwise(col(c))
 
 
 def _drop_lead(c: Column, lead: Column) -> Column:
@@ -372,16 +379,16 @@ def _drop_lead(c: Column, lead: Column) -> Column:
         b.startswith(lead), F.ltrim(F.substr(b, F.length(lead) + 1), F.lit(" —|-–·"))).otherwise(b))
 
 
-def job_description(text, title, org_name, meta) -> Column:
-    """A good meta description, else the best sentences, else any topical sentence."""
+def job_description(text, title, org_name, meta, limit: int | None = None, scan: int | None = None,
+                    keep: int | None = None) -> Column:
+    """A good meta description, else the best sentences, else any topical sentence; of ``limit`` characters at most."""
     def from_text(m):
         def from_best(body):
             topical = F.get(F.filter(sentences(body), lambda s: (F.length(s) > 40)
                                      & mentions(s, K.SENTENCE_HIGH + K.SENTENCE_MEDIUM)), F.lit(0))
-            return let(best_sentences(body), lambda best: (
-                F.when(F.length(best) > 500, _cut_at_sentence(best, 500, True))
-                .when(F.length(best) > 50, best)
-                .otherwise(F.coalesce(prefix(topical, 500), F.when(F.length(m) > 50, prefix(m, 500))))))
+            return let(best_sentences(body, scan, keep), lambda best: (
+                F.when(F.length(best) > 50, _cut_at_sentence(best, limit, True))
+                .otherwise(F.coalesce(prefix(topical, limit), F.when(F.length(m) > 50, prefix(m, limit))))))
 
         body = squeeze(text)
         for lead in (F.coalesce(squeeze(title), F.lit("")), col(org_name)):
@@ -390,9 +397,8 @@ def job_description(text, title, org_name, meta) -> Column:
 
     def choose(m):
         clean_meta = F.coalesce((F.length(m) > 80) & ~mentions(m, K.META_JUNK), F.lit(False))
-        from_meta = F.when(F.length(m) > 450, _cut_at_sentence(m, 500, False)).otherwise(m)
         return (
-            F.when(clean_meta, from_meta)
+            F.when(clean_meta, _cut_at_sentence(m, limit, False, 50))
             .when(F.coalesce(col(text), F.lit("")) == "", F.when(F.length(m) > 50, m))
             .otherwise(from_text(m))
         )
@@ -402,11 +408,11 @@ def job_description(text, title, org_name, meta) -> Column:
 
 # --- stays ----------------------------------------------------------------------------
 
-def price_info(c) -> Column:
-    """First price phrase, else up to five amounts."""
+def price_info(c, amounts: int | None = None) -> Column:
+    """First price phrase, else the first ``amounts`` amounts (None: all)."""
     phrase = first_fitting(c, K.PRICE_PATTERNS, 0, lambda x: F.length(x) < 200, strip)
-    amounts = blank_to_null(F.array_join(F.slice(extract_all(c, K.AMOUNT, 1), 1, 5), ", "))
-    return F.coalesce(phrase, amounts)
+    listed = blank_to_null(F.array_join(_first(extract_all(c, K.AMOUNT, 1), amounts), ", "))
+    return F.coalesce(phrase, listed)
 
 
 def stay_types(c) -> Column:
@@ -417,7 +423,7 @@ def stay_types(c) -> Column:
     return F.coalesce(blank_to_null(joined), F.lit("accommodation"))
 
 
-def booking_features(html, text, url=None) -> Column:
+def booking_features(html, text, url=None, links: int | None = None) -> Column:
     low = F.lower(col(html))
     outside = F.filter(F.transform(hrefs(html), F.lower), lambda h: h.rlike(words_regex(K.BOOKING_HOSTS)))
     return F.struct(
@@ -427,7 +433,7 @@ def booking_features(html, text, url=None) -> Column:
         col(html).rlike(K.EMAIL).alias("has_email"),
         col(html).rlike(K.PHONE).alias("has_phone"),
         low.rlike(words_regex(K.BOOKING_CALENDARS)).alias("has_calendar"),
-        F.slice(outside, 1, 5).alias("external_links"),
+        _first(outside, links).alias("external_links"),
         score_terms(text, K.BOOKING_KEYWORDS).alias("booking_keywords"),
     )
 
@@ -459,10 +465,10 @@ def booking_class(f: Column) -> Column:
     )
 
 
-def stay_listing(text) -> Column:
+def stay_listing(text, title_chars: int | None = None, max_len: int | None = None) -> Column:
     return F.struct(
-        prefix(F.get(F.split(col(text), r"\. ", 2), F.lit(0)), 200).alias("title"),
-        prefix(col(text), 2000).alias("description"), F.lit("accommodation").alias("stay_type"),
+        prefix(F.get(F.split(col(text), r"\. ", 2), F.lit(0)), title_chars).alias("title"),
+        prefix(col(text), max_len).alias("description"), F.lit("accommodation").alias("stay_type"),
     )
 
 
@@ -486,11 +492,11 @@ def is_junk_event(title, description, start) -> Column:
     )
 
 
-def event_dates(c) -> Column:
-    """The first two distinct dates, by pattern order then position."""
+def event_dates(c, keep: int | None = None) -> Column:
+    """The distinct dates, by pattern order then position; the first is the start, the second the end."""
     found = F.concat(*[extract_all(c, p, 1) for p in K.EVENT_DATE_PATTERNS])
     kept = F.filter(F.transform(found, strip), lambda d: F.length(d) > 5)
-    return F.slice(F.array_distinct(kept), 1, 2)
+    return _first(F.array_distinct(kept), keep)
 
 
 def calendar_feed(html, url) -> Column:

@@ -62,8 +62,9 @@ def strip_punctuation(c) -> Column:
     return F.rtrim(col(c), F.lit(",.!?;"))
 
 
-def prefix(c, n: int) -> Column:
-    return F.substring(col(c), 1, n)
+def prefix(c, n: int | None) -> Column:
+    """The first n characters; all of them if n is None."""
+    return col(c) if n is None else F.substring(col(c), 1, n)
 
 
 def is_blank(c) -> Column:
@@ -154,9 +155,11 @@ def html_unescape(c) -> Column:
                          F.lit("apos"), F.lit("'"))
 
     def decoded(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        char = F.coalesce(F.try_element_at(named, ref), _character(ref))
-        return F.coalesce(F.concat(char, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+        def char(ref: Column) -> Column:
+            known = F.when(ref.startswith("#"), _character(ref)).when(ref != "", F.try_element_at(named, ref))
+            return F.coalesce(F.concat(known, F.substr(part, F.length(ref) + 2)), F.concat(F.lit("&"), part))
+
+        return let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1), char)
 
     parts = F.split(col(c), "&")
     whole = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded))

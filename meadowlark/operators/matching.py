@@ -215,7 +215,7 @@ def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str
     return met(refs, ref, names, name, 0).unionByName(met(names, name, refs, ref, 1))
 
 
-SURE = 0.85  # names with a partner above this are not looked up again below it
+SURE = (0.9, 0.75)  # names with a partner above one of these are not looked up again below it
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -245,7 +245,7 @@ def _best(scored: DataFrame) -> DataFrame:
 def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
     found = None
     longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
-    for least in (*([SURE] if SURE > threshold else []), threshold):
+    for least in (*[s for s in SURE if s > threshold], threshold):
         pairs = similar_pairs(mine, refs.select("_ref"), least).withColumn("score", 1.0 - F.col("edits") / longest)
         best = durable(_best(pairs.join(refs.select("_ref", "pos"), "_ref")))
         found = best if found is None else found.unionByName(best)

@@ -19,9 +19,20 @@ def evolve_schema(df: DataFrame, target) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields if f.name not in have])
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
-    """Delta rows replace or extend the base; all other base rows stay."""
-    return base.join(keys_of(delta, key, key), key, "left_anti").unionByName(delta)
+def last_per_key(delta: DataFrame, key: str, order: Sequence = ()) -> DataFrame:
+    """One row of every key: the last by ``order``; of equal ones the one whose values sort last. Rows
+    without a key all stay. One aggregation, so a hot key is reduced before it is shuffled."""
+    rest = [c for c in delta.columns if c != key]
+    keyed = delta.where(F.col(key).isNotNull())
+    best = F.max_by(F.struct(*rest), F.struct(*order, *[F.col(c).cast("string") for c in rest]))
+    one = keyed.groupBy(key).agg(best.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(key) for c in delta.columns])
+    return one.unionByName(delta.where(F.col(key).isNull()))
+
+
+def upsert(base: DataFrame, delta: DataFrame, key: str = "id", order: Sequence = ()) -> DataFrame:
+    """Delta rows replace or extend the base, one row per key: of several the last by ``order``.
+    All other base rows stay."""
+    return base.join(keys_of(delta, key, key), key, "left_anti").unionByName(last_per_key(delta, key, order))
 
 
 def refresh(df: DataFrame, path: str, fmt: str = "parquet") -> None:

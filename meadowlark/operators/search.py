@@ -26,7 +26,7 @@ QUERIES_AT_ONCE = 256  # bounds the score matrix of one batch
 
 # --- texts and vectors -----------------------------------------------------------------
 
-def embed_text(max_chars: int = 500) -> Column:
+def embed_text(max_chars: int | None = None) -> Column:
     return F.concat(F.col("name"), F.lit(". "), T.prefix(F.coalesce(F.col("description"), F.lit("")), max_chars))
 
 
@@ -274,7 +274,8 @@ def word_overlap_score(pairs: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, corpus: DataFrame, org: DataFrame, gazetteer: DataFrame, top_n: int = 20,
            retrieve: int = 300, retrieve_with_place: int = 1000, rerank_cap: int = 30,
-           reranker: Callable[[DataFrame], DataFrame] = word_overlap_score, prefilter: bool = True) -> DataFrame:
+           reranker: Callable[[DataFrame], DataFrame] = word_overlap_score, prefilter: bool = True,
+           description_chars: int | None = None) -> DataFrame:
     """Place-aware semantic search for a table of queries (query_id, text, embedding, optional place).
 
     Retrieve by cosine among the organizations at a query's place, keep the first 3n, rerank
@@ -317,7 +318,7 @@ def search(queries: DataFrame, corpus: DataFrame, org: DataFrame, gazetteer: Dat
         F.round("score", 4).alias("score"),
         *[T.truthy(c).alias(c) for c in ("accepts_volunteers", "accepts_shortterm", "accepts_longterm",
                                          "accepts_visitors", "has_jobs")],
-        T.prefix(F.coalesce(F.col("description"), F.lit("")), 300).alias("description"))
+        T.prefix(F.coalesce(F.col("description"), F.lit("")), description_chars).alias("description"))
 
 
 FEATURE_WORDS = (("volunteer", "has_jobs"), ("stay", "has_stays"), ("event", "has_events"), ("job", "has_jobs"))

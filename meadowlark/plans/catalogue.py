@@ -21,7 +21,7 @@ from meadowlark.operators import mutations as H
 from meadowlark.operators import ranking as E
 from meadowlark.operators import search as S
 from meadowlark.operators import sets as G
-from meadowlark.scale import first_per, keys_of
+from meadowlark.scale import first_per, keys_of, list_pages
 from meadowlark.session import durable
 from meadowlark.sinks import files, render
 from meadowlark.sources import web
@@ -38,11 +38,12 @@ class Merged(NamedTuple):
     by_source: DataFrame
 
 
-def listing_records(listing: DataFrame, pages: DataFrame, pattern: str, source: str, kind: str) -> DataFrame:
+def listing_records(listing: DataFrame, pages: DataFrame, pattern: str, source: str, kind: str,
+                    name_chars: int | None = None) -> DataFrame:
     """Organizations behind the links of directory pages."""
     found = C.follow_links(listing, pages, pattern)
     read = found.select(
-        T.prefix("text", 200).alias("name"), "target_id", X.listing_description("target_html").alias("description"),
+        T.prefix("text", name_chars).alias("name"), "target_id", X.listing_description("target_html").alias("description"),
         X.own_website("target_html", "target_url").alias("website"), X.geo_point("target_html").alias("p"),
         X.listing_email(X.text_simple("target_html")).alias("email"))
     return read.where(F.col("p.latitude").isNotNull() | (F.col("website") != "") | (F.length("description") > 30)).select(
@@ -97,16 +98,22 @@ def site_url(directories=(), placeholder: str = "") -> Column:
     return T.let(any_site, lambda s: F.when(~s.rlike(listed), s).when(~good, T.let(own, lambda o: F.when(~o.rlike(listed), o))))
 
 
+PART_PAGES = 20  # page texts of a site in one part of its description
+
+
 def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledger: DataFrame, placeholder: str,
-                        max_pages: int | None = 4, directories=()) -> DataFrame:
-    """Richer descriptions from the first ``max_pages`` sitemap pages of each site (None: all of
-    them), else its home page.
+                        max_pages: int | None = None, directories=(), part_pages: int = PART_PAGES, min_len: int = 120) -> DataFrame:
+    """Richer descriptions from the sitemap pages of each site, else its home page.
 
     ``docs`` (url, body) holds robots files and sitemaps; organizations in the ledger are left.
-    Texts are taken once per page; at most ``max_pages`` texts meet in one organization.
+    A description comes in parts (id, part, n_parts, description) of the texts of ``part_pages``
+    pages each, in the sitemap's order, so that no row or task holds a whole site; joined by spaces
+    they are the description. ``max_pages`` reads only the first pages of a sitemap. As one text, a
+    description must have ``min_len`` characters and be as long as the old one, or replace a
+    placeholder; then it is led by the name unless it starts with it.
     """
     todo = C.remaining(org, ledger).withColumn("site", site_url(directories, placeholder)).where(F.col("site").isNotNull())
-    # read five times below, so the open organizations are fixed once as narrow rows
+    # read several times below, so the open organizations are fixed once as narrow rows
     todo = durable(todo.select("id", "name", F.col("description").alias("old"), "site", urls.origin("site").alias("origin")))
     sites = todo.select("origin").distinct()
     robots = web.robots_sitemaps(docs.where(F.col("url").endswith("/robots.txt"))).select(
@@ -128,14 +135,25 @@ def enrich_descriptions(org: DataFrame, pages: DataFrame, docs: DataFrame, ledge
     texts = HT.html_text(C.wanted_pages(one, keyed), "frame").select("_key", "text").where(
         (F.length("text") > 80) & ~X.low_quality("text"))
     texts = durable(texts)
+    texts = texts.withColumn("text", X.drop_urls("text")).where("text <> ''")
     read = asked.withColumn("_key", F.rtrim("page_url", F.lit("/"))).join(texts, "_key").select("id", "pos", "text", "is_home")
     mapped = read.where("NOT is_home")
     only_home = read.where("is_home").join(keys_of(mapped, "id", "id"), "id", "left_anti")
-    joined = mapped.unionByName(only_home).groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("_all"))
-    cleaned = todo.join(joined, "id").withColumn("new", X.drop_urls("_all", 2000))
-    better = H.better_description("old", "new", "name", placeholder)
-    return cleaned.withColumn("description", better).where(~F.col("description").eqNullSafe(F.col("old"))).select("id", "description")
+    used = durable(mapped.unionByName(only_home))
+    # what the whole text decides: its length and its start
+    facts = used.groupBy("id").agg(F.sum(F.length("text") + 1).alias("_n"), F.min_by(
+        F.struct("text"), F.struct("pos", "text")).alias("_first"))
+    old, name = F.col("old"), F.col("name")
+    was = F.coalesce(old.contains(placeholder), F.lit(False))
+    better = (F.col("_n") > min_len) & (was | (F.coalesce(F.length(old), F.lit(0)) < F.col("_n")))
+    led = was & ~F.lower("_first.text").startswith(F.lower(name))
+    chosen = todo.join(facts, "id").where(better).select("id", "old", F.when(led, F.concat(name, F.lit(". "))).otherwise("").alias("_lead"))
+    parts = list_pages(used.join(chosen.select("id"), "id", "left_semi"), ["id"], [F.col("pos"), F.col("text")], F.col("text"), part_pages)
+    whole = F.array_join("items", " ")
+    made = parts.join(chosen, "id").select(
+        "id", "old", F.col("page").alias("part"), F.ceil(F.col("n_items") / part_pages).alias("n_parts"),
+        F.when(F.col("page") == 0, F.concat("_lead", whole)).otherwise(whole).alias("description"))
+    return made.where((F.col("n_parts") > 1) | ~F.col("description").eqNullSafe(F.col("old"))).drop("old")
 
 
 class Cleaned(NamedTuple):

@@ -68,13 +68,13 @@ def discover_jobs_stays(org: DataFrame, pages: DataFrame, jobs: DataFrame, stays
     texts = _listing_text(job_pages(todo, pages).select("id", "name", "url", "page_id"), pages, "simple")
     new_jobs = durable(
         texts.select("id", F.inline(X.job_blocks("text", F.col("name"), K.JOB_FIRST_TERMS, 120)))
-        .select(F.col("id").alias("organization_id"), "title", T.prefix("block", 2500).alias("description"), "role",
+        .select(F.col("id").alias("organization_id"), "title", F.col("block").alias("description"), "role",
                 at.alias("created_at")))
     plain = _listing_text(stay_pages(todo, pages).select("id", "name", "url", "page_id"), pages, "simple",
                           features=X.booking_features("html", "text", "page_url"))
     new_stays = durable(plain.select(
         F.col("id").alias("organization_id"), F.concat(F.lit("Stay at "), "name").alias("title"),
-        T.prefix("text", 2000).alias("description"), F.lit("accommodation").alias("stay_type"),
+        F.col("text").alias("description"), F.lit("accommodation").alias("stay_type"),
         X.booking_class(F.col("features")).alias("booking_type"), F.col("features").alias("booking_analysis"),
         F.col("url").alias("booking_url"), at.alias("created_at")))
     flagged = _flagged(org, todo, has_jobs=new_jobs, has_stays=new_stays)
@@ -167,7 +167,7 @@ def refine_stays(stays: DataFrame, org: DataFrame, pages: DataFrame) -> RefinedS
     text = HT.html_text(wanted, "full").withColumn("text", X.clean_text("text"))
     read = text.select("url", X.booking_features_fine("html", "text", "url").alias("booking_analysis"), X.price_info("text").alias("price_info"),
                        X.stay_types("text").alias("stay_type"), X.stay_title("html", F.lit("")).alias("page_title"),
-                       T.prefix("text", 2000).alias("description"), "page_id")
+                       F.col("text").alias("description"), "page_id")
     one = durable(first_per(read, ["url"], [F.col("page_id")]))
     delta = work.join(one, F.col("booking_url") == F.col("url")).select(
         "id", F.when(F.col("page_title") == "Stay at ", F.concat("page_title", "org_name")).otherwise(F.col("page_title")).alias("title"),

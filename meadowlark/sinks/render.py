@@ -25,7 +25,7 @@ def _badge(back: str, fore: str, text: str) -> Column:
     return F.lit(K.POPUP_BADGE.format(back, fore, text))
 
 
-def popup_html() -> Column:
+def popup_html(address_chars: int | None = None) -> Column:
     """The pop-up of an organization: stored markup if any, else built from its fields."""
     visitors = T.truthy("accepts_visitors")
     badges = F.concat_ws(
@@ -43,16 +43,17 @@ def popup_html() -> Column:
         F.concat(F.lit("<strong>"), F.col("name"), F.lit("</strong><br>")),
         F.when(F.length("description") > 10, _fill(K.POPUP_DESCRIPTION, F.col("description"))),
         F.when(badges != "", F.concat(badges, F.lit("<br>"))),
-        _fill(K.POPUP_ADDRESS, T.prefix(T.blank_to_null("address"), 150)),
+        _fill(K.POPUP_ADDRESS, T.prefix(T.blank_to_null("address"), address_chars)),
         F.when(place != "", _fill(K.POPUP_PLACE, place)),
         F.when(reach != "", _fill(K.POPUP_LINKS, reach)),
     )
     return F.coalesce(T.blank_to_null("popup_html"), built)
 
 
-def short_popup(description: Column) -> Column:
-    """The compact pop-up written after a description was refreshed."""
-    text = F.when(F.length(description) > 200, F.concat(T.prefix(description, 200), F.lit("..."))).otherwise(description)
+def short_popup(description: Column, max_len: int | None = None) -> Column:
+    """The compact pop-up written after a description was refreshed; a longer text than ``max_len`` ends in dots."""
+    text = description if max_len is None else F.when(
+        F.length(description) > max_len, F.concat(T.prefix(description, max_len), F.lit("..."))).otherwise(description)
     badges = F.concat_ws(" ", F.when(T.truthy("accepts_volunteers"), _badge("#ffc107", "black", "Volunteer")),
                          F.when(T.truthy("accepts_visitors"), _badge("#17a2b8", "white", "Visitors")),
                          F.when(T.truthy("has_jobs"), _badge("#dc3545", "white", "Jobs")))

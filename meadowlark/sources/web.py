@@ -83,7 +83,7 @@ def jsonld_events(items: DataFrame) -> DataFrame:
                        dates.parse_date("e.end_raw").alias("end_date"))
 
 
-def api_items(payloads: DataFrame, body: str = "body") -> DataFrame:
+def api_items(payloads: DataFrame, body: str = "body", name_chars: int | None = None, max_len: int | None = None) -> DataFrame:
     """Organizations from REST payload arrays: rendered texts without tags, coordinates from
     meta or else acf, zero as missing."""
     kept = [c for c in payloads.columns if c != body]
@@ -99,8 +99,8 @@ def api_items(payloads: DataFrame, body: str = "body") -> DataFrame:
     # a title is an object with a rendered text, or the text itself
     title = F.coalesce(get("$.title.rendered"), F.when(~get("$.title").startswith("{"), get("$.title")))
     return rows.select(
-        *kept, T.prefix(T.strip(strip_tags(title)), 200).alias("name"),
-        T.prefix(T.strip(strip_tags(F.coalesce(get("$.content.rendered"), F.lit("")))), 1000).alias("description"),
+        *kept, T.prefix(T.strip(strip_tags(title)), name_chars).alias("name"),
+        T.prefix(T.strip(strip_tags(F.coalesce(get("$.content.rendered"), F.lit("")))), max_len).alias("description"),
         F.coalesce(get("$.link"), F.lit("")).alias("website"),
         F.coalesce(number("$.meta.latitude"), number("$.acf.latitude")).alias("latitude"),
         F.coalesce(number("$.meta.longitude"), number("$.acf.longitude")).alias("longitude"),
