@@ -11,8 +11,9 @@ from bindings.registry import query
 from bindings.relational import NOW, words
 from bindings.searching import BASE, ICALENDAR_SQL, POPUP_SQL, calendar_entries, ref, ref_sql
 from bindings.texts import (
-    DESCRIBED_SQL, GEO_SQL, H1_SQL, META_SQL, OWN_SITE_SQL, TITLE_SQL, _clean_sql, _commit_sql, _skills_sql, any_word, booking_fine_sql, count_words, described_sql, event_dates_sql, esc, full_text, job_blocks_sql, job_title_sql, price_sql, simple_text, squeezed,
-    stay_types_sql, trimmed,
+    DESCRIBED_SQL, GEO_SQL, H1_SQL, META_SQL, OWN_SITE_SQL, TITLE_SQL, _clean_sql, _commit_sql, _skills_sql, any_word, booking_fine_sql, count_words, described_sql,
+    event_blocks_sql, event_dates_sql, esc, found_links_sql, full_text, job_blocks_sql, job_title_sql, lines_text, price_sql, simple_text, squeezed,
+    stay_types_sql, title_blocks_sql, trimmed,
 )
 from meadowlark import constants as K
 from meadowlark import schemas
@@ -88,17 +89,53 @@ def _(t):
     return jobs.unionByName(stays).unionByName(orgs)
 
 
-@query("board_listings")
+_SITES_SQL = """o AS (SELECT min(page_id) AS oid, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site FROM spage GROUP BY 2)"""
+
+
+def _first_page_sql(paths, terms, least, longer_than):
+    """Of every site the page at the first path whose text speaks of the terms."""
+    return f"""SELECT oid, p.page_id, url, html FROM o, (SELECT unnest([{words(paths)}]) AS path, unnest(range({len(paths)})) AS path_pos) x JOIN spage p ON p.url = o.site || '/' || x.path
+        WHERE {count_words(simple_text('html'), terms)} >= {least} AND length({simple_text('html')}) > {longer_than}
+        QUALIFY row_number() OVER (PARTITION BY oid ORDER BY path_pos, p.page_id) = 1"""
+
+
+@query("board_listings", "spage", sql=f"""
+    WITH {_SITES_SQL}, jf AS ({_first_page_sql(K.JOB_DETAIL_PATHS, K.JOB_BOARD_TERMS, 2, 200)}), sf AS ({_first_page_sql(K.STAY_PATHS, K.STAY_BOARD_TERMS, 2, 150)}),
+    jt AS (SELECT oid, url, {lines_text('html', K.SKIP_TAGS_FRAME)} AS text FROM jf), {title_blocks_sql('(SELECT struct_pack(oid, url) AS page, text FROM jt)', 'page')}
+    SELECT 'job' AS kind, page.oid AS organization_id, page.url AS url, b.title AS title, b.description AS description FROM titled
+    UNION ALL SELECT 'stay', oid, url, split_part({full_text('html', K.SKIP_TAGS_SIMPLE)}, '. ', 1), {full_text('html', K.SKIP_TAGS_SIMPLE)} FROM sf""")
 def _(t):
     org = site_org(t)
-    jobs = listings.board_jobs(org, t.spage).select(F.lit("job").alias("kind"), "organization_id", "url", "title")
-    return jobs.unionByName(listings.board_stays(org, t.spage).select(F.lit("stay").alias("kind"), "organization_id", "url", "title"))
+    jobs = listings.board_jobs(org, t.spage).select(F.lit("job").alias("kind"), "organization_id", "url", "title", "description")
+    return jobs.unionByName(listings.board_stays(org, t.spage).select(F.lit("stay").alias("kind"), "organization_id", "url", "title", "description"))
+
+
+def _event_url_sql(u):
+    host = f"regexp_extract({u}, '^[A-Za-z]+://([^/?#:]*)', 1)"
+    hosts = " OR ".join(f"lower({host}) = '{h}' OR ends_with(lower({host}), '.{h}')" for h in K.EVENT_BLOCKED_HOSTS)
+    return f"NOT ({hosts}) AND NOT regexp_matches(lower(regexp_extract({u}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '^({'|'.join(K.EVENT_BLOCKED_PATHS)})')"
+
+
+def _dated_sql(c):
+    layouts = ["%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%B %d, %Y", "%B %d %Y", "%b %d, %Y", "%b %d %Y", "%d %B %Y", "%d %b %Y", "%m/%d/%Y", "%d.%m.%Y"]
+    return f"try_strptime({c}, [{', '.join(f"'{x}'" for x in layouts)}])"
 
 
-@query("discover_events")
+@query("discover_events", "spage", sql=f"""
+    WITH {_SITES_SQL}, ok AS (SELECT * FROM spage WHERE {_event_url_sql('url')}), {event_blocks_sql('ok')},
+    path AS (SELECT unnest([{words(K.EVENT_PATHS)}]) AS path, unnest(range({len(K.EVENT_PATHS)})) AS ord),
+    direct AS (SELECT oid, page_id, ord FROM o, path JOIN ok ON ok.url = o.site || '/' || path.path),
+    e1 AS (SELECT oid, ord, ev.* FROM direct JOIN ev ON direct.page_id = ev.page_id
+        QUALIFY row_number() OVER (PARTITION BY oid, lower({trimmed('title')}), CASE WHEN {trimmed('title')} = '' THEN struct_pack(ord, p := ev.page_id, pos) END ORDER BY ord, ev.page_id, pos) = 1),
+    home AS (SELECT oid, ok.* FROM o JOIN ok ON rtrim(ok.url, '/') = o.site WHERE oid NOT IN (SELECT oid FROM e1)), {found_links_sql('home')},
+    led AS (SELECT home.oid, ok.page_id, found.pos AS ord FROM home JOIN found ON home.page_id = found.page_id JOIN ok ON ok.url = found.href
+        WHERE regexp_matches(lower(found.href), '{'|'.join(K.EVENT_LINK_WORDS)}') AND {_event_url_sql('found.href')}),
+    e2 AS (SELECT oid, ord, ev.* FROM led JOIN ev ON led.page_id = ev.page_id
+        QUALIFY row_number() OVER (PARTITION BY oid, lower({trimmed('title')}), CASE WHEN {trimmed('title')} = '' THEN struct_pack(ord, p := ev.page_id, pos) END ORDER BY ord, ev.page_id, pos) = 1)
+    SELECT oid AS organization_id, title, description, {_dated_sql('start_raw')} AS start_date, is_online, event_url FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2)""")
 def _(t):
     got = listings.discover_events(site_org(t), t.spage, NOW)
-    return got.events.select("organization_id", "title", "start_date", "is_online", "event_url")
+    return got.events.select("organization_id", "title", "description", "start_date", "is_online", "event_url")
 
 
 @query("refine_jobs", "spage", sql=f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -15,6 +17,7 @@ from meadowlark.operators import mutations as H
 from meadowlark.operators import privacy as L
 from meadowlark.operators import ranking as E
 from meadowlark.operators import sets as G
+from meadowlark.session import ensure_checkpoint_dir
 from meadowlark.sources import gazetteer as Z
 from meadowlark.sources import tables as S
 
@@ -629,6 +632,18 @@ def _(t):
     return H.upsert(t.org.select("id", "name"), delta)
 
 
+@query("upsert_buckets", "org", "evt", sql="""
+    WITH d AS (SELECT organization_id * 20 AS id, max(title) AS name FROM evt GROUP BY organization_id)
+    SELECT id, name FROM d UNION ALL SELECT id, name FROM org WHERE id NOT IN (SELECT id FROM d)""")
+def _(t):
+    path = f"{ensure_checkpoint_dir(t.spark)}/buckets-{uuid.uuid4().hex}"
+    H.write_buckets(t.org.select("id", "name"), path, buckets=32)
+    # every event is a row of the delta; the last title of an organization stays
+    delta = t.evt.select((F.col("organization_id") * 20).alias("id"), F.col("title").alias("name"))
+    H.upsert_buckets(t.spark, path, delta, order=[F.col("name")])
+    return H.read_buckets(t.spark, path)
+
+
 @query("replace_by_parent", "job", "evt", sql="""
     SELECT organization_id, id, title FROM evt UNION ALL
     SELECT organization_id, id, title FROM job WHERE organization_id NOT IN (SELECT organization_id FROM evt)""")

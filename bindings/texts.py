@@ -242,6 +242,14 @@ def full_text(c: str, tags=tuple(K.SKIP_TAGS_FULL)) -> str:
     return squeezed(f"regexp_replace({unescaped(c)}, '&amp$|&amp ', '& ', 'g')")
 
 
+def lines_text(c: str, tags) -> str:
+    """The visible text runs of a page, one a line."""
+    for part in ("<!--.*?-->", "<!DOCTYPE[^>]*>", *(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in tags)):
+        c = f"regexp_replace({c}, '(?is){part}', chr(1), 'g')"
+    runs = f"string_split(regexp_replace({c}, '(?s)<[^>]+>', chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_filter(list_transform({runs}, lambda x: {squeezed(unescaped('x'))}), lambda x: x <> ''), chr(10))"
+
+
 @query("html_text_full", "rich", sql=f"SELECT page_id, {full_text('html')} AS text FROM rich")
 def _(t):
     return HT.html_text(t.rich, "full").select("page_id", "text")
@@ -273,16 +281,21 @@ def _(t):
 _ANCHOR = """'(?is)(<a\\s[^>]*?href=["''][^"'']+["''][^>]*>.*?</a>)'"""
 
 
-_FOUND_LINKS = f"""
-    WITH a AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, {_ANCHOR}, 1), lambda x: {{
+def found_links_sql(pages):
+    """``found``: page_id, pos, text, href of the content links of pages (page_id, url, html)."""
+    return f"""
+    a AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, {_ANCHOR}, 1), lambda x: {{
             'text': {squeezed(unescaped("regexp_replace(regexp_extract(x, '(?is)^<a\\s[^>]*>(.*)</a>$', 1), '(?s)<[^>]+>', '', 'g')"))},
             'href': {unescaped("regexp_extract(x, '(?is)href=[" + chr(34) + "'']([^" + chr(34) + "'']+)[" + chr(34) + "'']', 1)")}}}),
-            lambda p: p.text <> '' AND NOT regexp_matches(p.href, '^(#|javascript:|mailto:|tel:|data:)')) AS l FROM rich),
+            lambda p: p.text <> '' AND NOT regexp_matches(p.href, '^(#|javascript:|mailto:|tel:|data:)')) AS l FROM {pages}),
     u AS (SELECT page_id, url, unnest(l) AS p, unnest(range(len(l))) AS pos FROM a),
     v AS (SELECT page_id, url, pos, p.text AS text, p.href AS href FROM u),
     found AS (SELECT page_id, pos, text, {_RESOLVED} AS href FROM v)"""
 
 
+_FOUND_LINKS = f"WITH {found_links_sql('rich')}"
+
+
 @query("links", "rich", sql=_FOUND_LINKS + " SELECT page_id, pos, text, href FROM found")
 def _(t):
     return C.links(t.rich).select("page_id", F.col("pos").cast("long").alias("pos"), "text", "href")
@@ -409,16 +422,21 @@ def _(t):
     return pages.select("page_id", F.inline(X.job_blocks("text", F.col("url"), min_len=100))).select("page_id", "title", "role", F.length("block").cast("long").alias("n"))
 
 
-@query("title_blocks", "doc", sql=rf"""
-    WITH n AS (SELECT id, replace(text, '. ', '.' || chr(10)) AS text FROM doc),
-    l AS (SELECT id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '') AS lines FROM n),
-    m AS (SELECT id, text, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN length(x) < 100 AND ((regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))
+def title_blocks_sql(lined, key):
+    """``titled``: key, b (title, description) of the listings in texts with line breaks (key, text)."""
+    return rf"""
+    l AS (SELECT {key}, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '') AS lines FROM {lined}),
+    m AS (SELECT {key}, text, string_split(array_to_string(list_transform(lines, lambda x: CASE WHEN length(x) < 100 AND ((regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))
         OR (regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '(^|[^\p{{L}}])\p{{Ll}}') AND NOT regexp_matches(x, '\p{{L}}\p{{Lu}}')) OR ends_with(x, ':'))
         THEN chr(1) || x ELSE x END), chr(10)), chr(1))[2:] AS pieces FROM l),
-    k AS (SELECT id, text, list_filter(list_transform(pieces, lambda p: {{'title': split_part(p, chr(10), 1),
+    k AS (SELECT {key}, text, list_filter(list_transform(pieces, lambda p: {{'title': split_part(p, chr(10), 1),
         'description': {trimmed("replace(regexp_replace(p, '^[^' || chr(10) || ']*' || chr(10) || '?', ''), chr(10), ' ')")}}}), lambda x: length(x.description) > 50) AS kept FROM m),
-    a AS (SELECT id, unnest(CASE WHEN len(kept) = 0 AND length(text) > 200 THEN [{{'title': split_part(text, '. ', 1), 'description': text}}] ELSE kept END) AS b FROM k)
-    SELECT id, b.title AS title, b.description AS description FROM a""")
+    titled AS (SELECT {key}, unnest(CASE WHEN len(kept) = 0 AND length(text) > 200 THEN [{{'title': split_part(text, '. ', 1), 'description': text}}] ELSE kept END) AS b FROM k)"""
+
+
+@query("title_blocks", "doc", sql=f"""
+    WITH n AS (SELECT id, replace(text, '. ', '.' || chr(10)) AS text FROM doc), {title_blocks_sql('n', 'id')}
+    SELECT id, b.title AS title, b.description AS description FROM titled""")
 def _(t):
     lined = t.doc.select("id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("text"))
     return lined.select("id", F.inline(X.title_blocks("text")))
@@ -614,18 +632,61 @@ def _(t):
 
 # --- events ----------------------------------------------------------------------------------
 
-@query("calendar_system", "rich", sql="""
-    SELECT page_id, CASE WHEN regexp_matches(lower(html), 'href=["''][^"'']+\\.ics["'']') THEN 'ics_feed' WHEN contains(lower(html), 'calendar.google.com') OR contains(lower(html), 'google.com/calendar') THEN 'google_embed'
+CALENDAR_SQL = """CASE WHEN regexp_matches(lower(html), 'href=["''][^"'']+\\.ics["'']') THEN 'ics_feed' WHEN contains(lower(html), 'calendar.google.com') OR contains(lower(html), 'google.com/calendar') THEN 'google_embed'
         WHEN contains(lower(html), 'eventbrite') THEN 'eventbrite' WHEN contains(lower(html), 'meetup.com') THEN 'meetup'
-        WHEN contains(lower(html), 'outlook.office365.com') OR contains(lower(html), 'outlook.live.com') THEN 'outlook' END AS system FROM rich""")
+        WHEN contains(lower(html), 'outlook.office365.com') OR contains(lower(html), 'outlook.live.com') THEN 'outlook' END"""
+
+
+@query("calendar_system", "rich", sql=f"SELECT page_id, {CALENDAR_SQL} AS system FROM rich")
 def _(t):
     return t.rich.select("page_id", X.calendar_system("html").alias("system"))
 
 
-@query("event_blocks")
+_EVENT_DATES = f"list_filter(list_transform(list_concat({', '.join(f"regexp_extract_all(text, '{esc(p)}', 1)" for p in K.EVENT_DATE_PATTERNS)}), lambda x: {trimmed('x')}), lambda x: length(x) > 5)"
+
+
+def event_blocks_sql(pages):
+    """``ev``: the listings of pages (page_id, url, html), found by the patterns of whole containers."""
+    marked = (rf"(?is)<(?:{K.EVENT_MARKED_TAGS})[^>]*?(?:class|id)=[" + '"' + rf"''][^" + '"' + rf"'']*(?:{K.EVENT_MARKS})[^" + '"' + rf"'']*["
+              + '"' + rf"''][^>]*>(.*?)</(?:{K.EVENT_MARKED_TAGS})>")
+    dated = rf"(?is)<(?:{K.EVENT_DATED_TAGS})[^>]*>(.*?{K.EVENT_BLOCK_DATE}.*?)</(?:{K.EVENT_DATED_TAGS})>"
+    timed = rf"(?is)<(?:{K.EVENT_DATED_TAGS})[^>]*>(.*?<time[^>]*>.*?</time>.*?)</(?:{K.EVENT_DATED_TAGS})>"
+    title = "|".join(f"(?:{p})" for p in K.JUNK_TITLES)
+    about = "|".join(f"(?:{p})" for p in K.JUNK_DESCRIPTIONS)
+    junk = (rf"(({trimmed('title')} = '' AND {trimmed('description')} = '') OR regexp_matches({trimmed('title')}, '(?i){esc(title)}') OR regexp_matches({trimmed('description')}, '(?i){esc(about)}')"
+            rf" OR (len(list_filter(string_split_regex({trimmed('title')}, '\s+'), lambda w: w <> '')) <= 2 AND length({trimmed('description')}) < 50 AND start_raw IS NULL))")
+    flags = f"regexp_matches(text, '{K.BLOCK_ONLINE}') AS is_online, regexp_matches(text, '{K.BLOCK_IN_PERSON}') AS is_in_person"
+    link = rf"""list_filter(list_transform(list_filter(regexp_extract_all(b, '(?is)<a\s[^>]*?href=["'']([^"'']+)["'']', 1), lambda href: NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:|data:)')),
+        lambda href: {_RESOLVED}), lambda x: regexp_matches(x, '{K.BLOCK_REGISTER}'))[1]"""
+    return rf"""
+    v0 AS (SELECT page_id, url, html, regexp_extract_all(html, '{marked}', 1) AS marked, regexp_extract_all(html, '{dated}', 1) AS dated, regexp_extract_all(html, '{timed}', 1) AS timed FROM {pages}),
+    v1 AS (SELECT *, CASE WHEN len(marked) < 2 THEN list_concat(marked, list_filter(dated, lambda x, i: list_position(dated, x) = i)) ELSE marked END AS f FROM v0),
+    v2 AS (SELECT page_id, url, CASE WHEN len(f) < 2 THEN list_concat(f, timed) ELSE f END AS f FROM v1),
+    v3 AS (SELECT page_id, url, unnest(f) AS b, unnest(range(len(f))) AS pos FROM v2),
+    v4 AS (SELECT *, {simple_text('b')} AS text, {simple_text("regexp_extract(b, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)")} AS heading FROM v3),
+    v5 AS (SELECT *, {_EVENT_DATES} AS l FROM v4),
+    v6 AS (SELECT page_id, 1000000 + pos AS pos, coalesce(nullif(heading, ''), string_split_regex(text, '[.!?]\s+')[1]) AS title, text AS description,
+        list_filter(l, lambda x, i: list_position(l, x) = i)[1] AS start_raw, list_filter(l, lambda x, i: list_position(l, x) = i)[2] AS end_raw, {flags}, {link} AS registration_url, url AS event_url FROM v5),
+    v7 AS (SELECT * FROM v6 WHERE length(description) >= 20 AND NOT {junk}),
+    w0 AS (SELECT page_id, unnest(l) AS j, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1) AS l FROM {pages})),
+    w1 AS (SELECT page_id, pos, coalesce(j ->> '$.name', '') AS title, coalesce(j ->> '$.description', '') AS description, j ->> '$.startDate' AS start_raw, j ->> '$.endDate' AS end_raw,
+        regexp_matches(lower(coalesce(j ->> '$.location', '')), 'virtual|online') AS is_online, NOT regexp_matches(lower(coalesce(j ->> '$.location', '')), 'virtual|online') AS is_in_person,
+        CAST(NULL AS VARCHAR) AS registration_url, coalesce(j ->> '$.url', '') AS event_url FROM w0 WHERE contains(lower(j ->> '$."@type"'), 'event')),
+    y0 AS (SELECT page_id, url, html, {simple_text('html')} AS text, {CALENDAR_SQL} AS kind, nullif(regexp_extract(html, '(?i)href=["'']([^"'']+\.ics)["'']', 1), '') AS href FROM {pages}
+        WHERE page_id NOT IN (SELECT page_id FROM v7) AND page_id NOT IN (SELECT page_id FROM w1)),
+    y1 AS (SELECT *, CASE WHEN href IS NOT NULL THEN {_RESOLVED} END AS feed FROM y0 WHERE len(regexp_extract_all(text, '{K.DATE_MENTION}', 1)) >= 3 OR regexp_matches(text, '{K.EVENT_PAGE_WORDS}')),
+    y2 AS (SELECT page_id, 0 AS pos, coalesce('Calendar (' || CASE kind WHEN 'ics_feed' THEN 'Ics Feed' WHEN 'google_embed' THEN 'Google Embed' ELSE upper(kind[1]) || kind[2:] END || ')', 'Events & Programs') AS title,
+        coalesce('Embedded ' || kind || ' calendar detected. ' || text || coalesce(' Feed: ' || feed, ''), text) AS description, CAST(NULL AS VARCHAR) AS start_raw, CAST(NULL AS VARCHAR) AS end_raw, {flags},
+        feed AS registration_url, url AS event_url, length(text) AS n FROM y1),
+    every AS (SELECT * FROM v7 UNION ALL SELECT * FROM w1 UNION ALL SELECT * EXCLUDE (n) FROM y2 WHERE n >= 20 AND NOT {junk}),
+    ev AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY page_id, lower({trimmed('title')}), CASE WHEN {trimmed('title')} = '' THEN pos END ORDER BY pos) = 1)"""
+
+
+@query("event_blocks", "rich", sql=f"""
+    WITH {event_blocks_sql('rich')} SELECT page_id, title, description, start_raw, end_raw, is_online, is_in_person, registration_url FROM ev""")
 def _(t):
     from meadowlark.operators.events import event_blocks
-    return event_blocks(t.rich).select("page_id", "title", "start_raw", "is_online", "is_in_person", "registration_url")
+    return event_blocks(t.rich).select("page_id", "title", "description", "start_raw", "end_raw", "is_online", "is_in_person", "registration_url")
 
 
 @query("event_dates", "note", sql=f"""

@@ -27,8 +27,8 @@ def marked_containers(html: Column) -> Column:
     """Of every piece that an end tag closes, what follows the first start tag with an event word in class or id."""
     tags = K.EVENT_MARKED_TAGS
     start = rf"<(?:{tags})[^>]*?(?:class|id)=[\"'][^\"']*(?:{K.EVENT_MARKS})[^\"']*[\"'][^>]*>"
-    found = F.transform(_closed_pieces(html, tags), lambda p: F.regexp_extract(p, rf"(?is){start}(.*)</(?:{tags})>$", 1))
-    return F.filter(found, lambda b: b != "")
+    marked = F.filter(_closed_pieces(html, tags), lambda p: p.rlike(rf"(?is){start}"))
+    return F.transform(marked, lambda p: F.regexp_extract(p, rf"(?is){start}(.*)</(?:{tags})>$", 1))
 
 
 def _until_closed(html: Column, states: int, reach) -> Column:

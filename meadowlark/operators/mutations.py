@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
 from meadowlark.operators import filters
 from meadowlark.scale import keys_of
+from meadowlark.session import durable
 
 
 def evolve_schema(df: DataFrame, target) -> DataFrame:
@@ -23,6 +24,8 @@ def last_per_key(delta: DataFrame, key: str, order: Sequence = ()) -> DataFrame:
     """One row of every key: the last by ``order``; of equal ones the one whose values sort last. Rows
     without a key all stay. One aggregation, so a hot key is reduced before it is shuffled."""
     rest = [c for c in delta.columns if c != key]
+    if not rest:
+        return delta.distinct()
     keyed = delta.where(F.col(key).isNotNull())
     best = F.max_by(F.struct(*rest), F.struct(*order, *[F.col(c).cast("string") for c in rest]))
     one = keyed.groupBy(key).agg(best.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(key) for c in delta.columns])
@@ -35,6 +38,37 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "id", order: Sequence =
     return base.join(keys_of(delta, key, key), key, "left_anti").unionByName(last_per_key(delta, key, order))
 
 
+BUCKET = "_bucket"
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, path: str, key: str = "id", buckets: int = 256) -> None:
+    """A table in folders by the hash of its key, which ``upsert_buckets`` changes one by one."""
+    dealt = _bucketed(df, key, buckets).withColumn("_n", F.lit(buckets))
+    dealt.repartition(BUCKET).write.mode("overwrite").partitionBy("_n", BUCKET).parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_n", BUCKET)
+
+
+def upsert_buckets(spark: SparkSession, path: str, delta: DataFrame, key: str = "id", order: Sequence = ()) -> None:
+    """``upsert`` into a table of ``write_buckets``: only the folders that hold a key of the delta are
+    read and written. They are swapped when the job commits, so a failed run leaves the old ones;
+    the same delta again changes nothing."""
+    stored = spark.read.parquet(path)
+    buckets = stored.select("_n").first()[0]
+    one = durable(_bucketed(last_per_key(delta, key, order), key, buckets))
+    touched = [r[0] for r in one.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    old = stored.where(F.col(BUCKET).isin(touched)).select(*delta.columns, BUCKET)
+    changed = durable(old.join(keys_of(one, key, key), key, "left_anti").select(*delta.columns, BUCKET).unionByName(one))
+    (changed.withColumn("_n", F.lit(buckets)).repartition(BUCKET).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_n", BUCKET).parquet(path))
+
+
 def refresh(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meadowlark import schemas
+from meadowlark.functions import extract as X
 from meadowlark.functions import text as T
 from meadowlark.operators import aggregates as A
 from meadowlark.operators import filters as B
@@ -522,3 +523,77 @@ def test_nearby_crosses_the_date_line(spark):
 
 def test_keyword_hits(one):
     assert one(T.keyword_hits("s", ["permaculture", "farm", "yoga"]), s="A permaculture farm") == ["permaculture", "farm"]
+
+
+# --- event containers -----------------------------------------------------------------------------
+
+def test_event_containers_equal_the_patterns(spark):
+    """One pass over the markup finds what patterns over whole containers find."""
+    import re
+
+    from meadowlark import constants as K
+    from meadowlark.operators import events as EV
+    marked = (rf"(?is)<(?:{K.EVENT_MARKED_TAGS})[^>]*?(?:class|id)=[\"'][^\"']*(?:{K.EVENT_MARKS})[^\"']*[\"'][^>]*>(.*?)</(?:{K.EVENT_MARKED_TAGS})>")
+    dated = rf"(?is)<(?:{K.EVENT_DATED_TAGS})[^>]*>(.*?{K.EVENT_BLOCK_DATE}.*?)</(?:{K.EVENT_DATED_TAGS})>"
+    timed = rf"(?is)<(?:{K.EVENT_DATED_TAGS})[^>]*>(.*?<time[^>]*>.*?</time>.*?)</(?:{K.EVENT_DATED_TAGS})>"
+    rng = random.Random(12)
+    bits = ["<div>", "</div>", "<li class='event'>", "</LI>", "<tr id=\"row\">", "</tr>", "<section>", "</section>", "<time>", "</time>", " x ", "May 5, 2026",
+            "<p>", "June 12 24", "<time datetime=q>", "<article class=\"post\">", "</article>", "é\n"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", "no markup", "</div>", "<div class='item'></div>"]
+    html = F.col("html")
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select(
+        "i", EV.marked_containers(html).alias("m"), EV.dated_containers(html).alias("d"), EV.timed_containers(html).alias("t")).collect()
+    for r in got:
+        page = pages[r["i"]]
+        assert r["m"] == re.findall(marked, page), page
+        assert r["d"] == list(dict.fromkeys(re.findall(dated, page))), page
+        assert r["t"] == re.findall(timed, page), page
+
+
+def test_event_containers_take_one_pass(spark):
+    """A page of megabytes without dates, of containers that open and never hold one."""
+    import time
+    page = "<div><section>" * 40_000 + "<div>text</div>" * 40_000
+    df = spark.createDataFrame([(1, "https://a.org", page)], "page_id int, url string, html string")
+    start = time.time()
+    assert event_blocks(df).collect() is not None
+    assert time.time() - start < 60
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    base = spark.createDataFrame([(1, "old", 0), (2, "stays", 0)], "id int, name string, at int")
+    delta = spark.createDataFrame([(1, "x", 1), (1, "y", 3), (1, "z", 2), (3, None, 1), (3, None, 1), (None, "q", 1)], "id int, name string, at int")
+    got = sorted((tuple(r) for r in H.upsert(base, delta, order=[F.col("at")]).collect()), key=repr)
+    assert got == sorted([(1, "y", 3), (2, "stays", 0), (3, None, 1), (None, "q", 1)], key=repr)
+    assert H.upsert(base, delta.limit(0)).count() == 2
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    import os
+    path = str(tmp_path / "table")
+    H.write_buckets(spark.range(1000).select("id", F.lit("old").alias("name")), path, buckets=16)
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    delta = spark.createDataFrame([(5, "a"), (5, "b"), (2000, "new")], "id long, name string")
+    H.upsert_buckets(spark, path, delta)
+    got = {r["id"]: r["name"] for r in H.read_buckets(spark, path).collect()}
+    assert len(got) == 1001 and got[5] == "b" and got[2000] == "new" and got[6] == "old"
+    kept = before & files()
+    assert len({os.path.dirname(f) for f in kept}) >= 14
+    H.upsert_buckets(spark, path, delta)  # again: the same table
+    assert H.read_buckets(spark, path).count() == 1001
+
+
+def test_nothing_is_cut_unless_asked(one):
+    words = " ".join(f"Sentence number {i} tells of gardens and volunteers here." for i in range(40))
+    assert one(T.prefix("s", None), s=words) == words and one(T.prefix("s", 5), s=words) == words[:5]
+    assert one(X.lead_sentences("s"), s=words).count("Sentence") == 40 and one(X.lead_sentences("s", keep=3), s=words).count("Sentence") == 3
+    assert one(X.best_sentences("s", keep=4), s=words).count("Sentence") == 4 and one(X.best_sentences("s"), s=words).count("Sentence") == 40
+    assert one(X.stay_listing("s"), s=words)["description"] == words
+    assert one(X.price_info("s"), s=" ".join(f"$ {i}" for i in range(20, 31))).count(",") == 10
+    assert one(X.event_dates("s"), s="May 5, 2025 and June 6, 2025 and July 7, 2025") == ["May 5, 2025", "June 6, 2025", "July 7, 2025"]
+    long_meta = "A quiet farm community. " * 40
+    whole = one(X.job_description("s", F.lit("t"), F.lit("o"), F.lit(long_meta)), s="x")
+    assert whole == long_meta and len(one(X.job_description("s", F.lit("t"), F.lit("o"), F.lit(long_meta), limit=500), s="x")) <= 500
