@@ -3,10 +3,12 @@
 1. A text becomes the set of hashes of its five-word shingles; shorter texts are one
    shingle. Texts with equal sets are copies of each other and go on as one node.
 2. Nodes meet in buckets of BANDS bands of ROWS MinHash values each. In a bucket, every
-   node is paired with the smallest one only, so a bucket of any size yields as many pairs
-   as nodes. Those whose pair is pruned meet again without it, for ROUNDS rounds; what is
-   left then stays paired unpruned. So no two nodes of a bucket lose sight of each other
-   unless pruning says that they are too far apart.
+   node is paired with one pivot only, so a bucket of any size yields as many pairs as
+   nodes. A bucket of which all pairs survive is done: its nodes are one cluster. In any
+   other, all nodes but the pivot meet again, those that survived as well, with a pruned
+   one as the next pivot, for ROUNDS rounds; what is left then stays paired unpruned. So of
+   any two nodes of a bucket either they were compared themselves, or they are in one
+   cluster.
 3. Pruning compares MinHash values step by step and drops a pair once the posterior
    probability that its similarity reaches the threshold, under a uniform prior, is below
    TOLERANCE.
@@ -142,11 +144,12 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     """(a, b) that connect all nodes which share a bucket and survive pruning."""
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
-    left = nodes.select("node", F.explode(keys).alias("band"))
+    left = nodes.select("node", F.explode(keys).alias("band"), F.lit(True).alias("alive"))
     edges = None
     for turn in range(ROUNDS + 1):
-        pivots = left.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = left.join(pivots.select("band", "pivot"), "band").where("node <> pivot")
+        # the next pivot is a pruned node if there is one: false sorts first
+        pivots = left.groupBy("band").agg(F.min(F.struct("alive", "node")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = left.select("node", "band").join(pivots.select("band", F.col("least.node").alias("pivot")), "band").where("node <> pivot")
         if turn == ROUNDS:
             return edges.unionAll(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
         met = written(met, "bucket-members")
@@ -156,7 +159,8 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
         dropped = judged.where("NOT alive").select("node", "pivot")
         if dropped.isEmpty():
             return edges
-        left = met.join(dropped, ["node", "pivot"], "left_semi").select("node", "band")
+        opened = met.join(dropped, ["node", "pivot"], "left_semi").select("band").distinct()
+        left = met.join(opened, "band", "left_semi").join(judged, ["node", "pivot"]).select("node", "band", "alive")
 
 
 def _verified(sets, sigs, copies, ids, block, across, threshold, needed):

@@ -233,3 +233,36 @@ def test_source_targets_reshare_what_is_above_the_limit(spark):
     left = 1.5 * 2010 - 20
     assert got["a"] == 20
     assert got["b"] == pytest.approx(left * 2 / 3) and got["c"] == pytest.approx(left / 3)
+
+
+def test_kept_and_pruned_nodes_of_a_bucket_meet(spark):
+    """A pivot p, a node that survives against it and one that does not, which are near each other:
+    all nodes that share a bucket are compared or end in one component."""
+    rnd = np.random.default_rng(5)
+    sets, names = [], []
+    for t in range(120):
+        p = rnd.integers(0, 2**63, 100).astype(np.uint64)
+        for name, (gone, new) in (("p", (0, 0)), ("a", (11, 11)), ("b", (26, 26))):
+            base = sets[-1] if name == "b" else p
+            own = np.concatenate([base[gone if name != "b" else 15:], rnd.integers(0, 2**63, new if name != "b" else 15).astype(np.uint64)])
+            sets.append(np.sort(own))
+            names.append((t, name))
+    sigs = jaccard_join.signatures(sets)
+    order = rnd.permutation(len(sets))
+    nodes = spark.createDataFrame([(int(order[i]), sigs[i].tobytes()) for i in range(len(sets))], "node long, sig binary")
+    got = {r["node"]: r["root"] for r in components(jaccard_join.candidate_edges(nodes)).collect()}
+    width = jaccard_join.ROWS
+    for t in range(120):
+        three = [3 * t + k for k in range(3)]
+        for i in three:
+            for j in three:
+                share = (sigs[i].reshape(-1, width) == sigs[j].reshape(-1, width)).all(1).any()
+                if i < j and share and jaccard_join.survivors(sigs[i:i + 1], sigs[j:j + 1])[0]:
+                    assert got[int(order[i])] == got[int(order[j])]
+
+
+def test_words_that_defeat_polynomial_hashes_are_not_copies(spark):
+    letters = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    pair = [f"xxxxxxxx{t}xxxxxxxx q" for t in (letters, letters.translate(str.maketrans("ab", "ba")))]
+    df = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert sorted(r["class_id"] for r in jaccard_join.near_duplicates(df).collect()) == [0, 1]
