@@ -2,9 +2,12 @@
 
 Pages become element trees. Pages of a host are folded into one wrapper: simple tree
 matching aligns a page with the wrapper, aligned nodes are counted together, others are
-added. Runs of equal siblings, as paragraphs or list items, are one repeated node, so a
-wrapper stays as small as the host's layout. Each partition folds its own pages, then the
-wrappers of a host are folded in two steps, a sixteenth of them first; all pages count.
+added. Elements are equal if tag, role and the words of class and id are; words that fewer than
+SHARED of the host's pages have, as slugs and tags of single articles, do not count, unless they
+are votes (below). Runs of equal siblings, as paragraphs or list items, are one repeated node, so a
+wrapper stays as small as the host's layout; beyond NODES nodes it drops those of the fewest pages.
+Each partition folds its own pages, then the wrappers of a host are folded in two steps, a
+sixteenth of them first; all pages count.
 
 A wrapper node whose own text is the same on nearly all pages is template. An element,
 role, class or id that speaks of menus, headers, footers, sidebars, notices, adverts, forms
@@ -30,9 +33,9 @@ import html
 import json
 import re
 import zlib
-from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,9 @@ LOST = -1  # the key, no checksum, of what their counts may be too low by
 MAIN_SHARE = 0.7  # of the varying text, for a child to be entered in search of the node whose links are content too
 SMALL_SHARE = 0.25  # of the varying text, below which a node's name may speak against it
 OWN_SHARE = 0.7  # of the text of a page without content nodes, from which a name does not count
+SHARED = 0.1  # of a host's pages, from which a word of class or id tells elements apart
+NODES = 4000  # of a wrapper
+HELD = 300_000  # counts of class words that a task holds before it sends them
 DEPTH = 64  # elements from which plain ones dissolve into their parents; twice as many, and all do
 BROADCAST_BYTES = 32 << 20  # of wrappers sent to every executor; more are joined by a shuffle
 SALTS = 16
@@ -71,9 +77,11 @@ _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponso
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMENT_WORDS = frozenset("comment comments reply".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
+_VOTE_WORDS = _NOISE_WORDS | _COMMENT_WORDS | _HEADER_WORDS
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\s*\Z")  # a value that ends in a slash, which closes nothing
+_NAMES = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 
 
@@ -87,20 +95,34 @@ class Node:
         self.depth = up.depth + 1 if up is not None else 0
 
 
-def _signature(tag: str, raw: str) -> str:
+def _words(value: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())) - {""}
+
+
+def _signature(tag: str, raw: str, shared: frozenset | None) -> str:
     """Element, words of class and id, and marks of its role, of being hidden and of being no link."""
     if not raw.strip(" /\n\t"):
         return "a.~anchor" if tag == "a" else tag
     given = {m[1].lower() if m[1] else m[5].lower(): next((x for x in (m[2], m[3], m[4]) if x is not None), "") for m in _ATTRIBUTE.finditer(raw)}
-    names = sorted({x for k in ("class", "id") for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", given.get(k, "")).lower()) if x})
+    names = sorted(x for x in _words(given.get("class", "")) | _words(given.get("id", "")) if shared is None or x in shared or x in _VOTE_WORDS)
     role = given.get("role", "").strip().lower().replace(".", " ")
     hidden = "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
     return ".".join([tag, *names, *(["~" + role] if role else []), *(["~~hidden"] if hidden else []),
                      *(["~anchor"] if tag == "a" and "href" not in given else [])])
 
 
-@lru_cache(1 << 16)
+_VOTES: dict[str, str] = {}  # of signatures met in a task
+
+
 def _vote(sig: str) -> str:
+    if (vote := _VOTES.get(sig)) is None:
+        if len(_VOTES) > 1 << 16:
+            _VOTES.clear()
+        vote = _VOTES[sig] = _new_vote(sig)
+    return vote
+
+
+def _new_vote(sig: str) -> str:
     """What a signature says against an element: 'never' text of an article, 'tag', 'name', 'header', or ''."""
     tag, *names = sig.split(".")
     if tag in _NEVER_TAGS:
@@ -113,8 +135,9 @@ def _vote(sig: str) -> str:
     return "header" if tag == "header" or tag not in ("html", "body", "article", "main") and not _HEADER_WORDS.isdisjoint(names) else ""
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page, with the usual implied end tags."""
+def parse(page: str, shared: frozenset | None = None) -> Node:
+    """The element tree of a page, with the usual implied end tags. ``shared`` are the words of
+    class and id that count, None for all."""
     root = here = Node("", "", None)
     at, size = 0, len(page)
     while at < size:
@@ -149,7 +172,7 @@ def parse(page: str) -> Node:
                 x = x.up
             if closed is not None:
                 here = closed.up
-        node = Node(tag, _signature(tag, m[3]), here)
+        node = Node(tag, _signature(tag, m[3], shared), here)
         if node.depth > DEPTH and node.noise != "never" and (node.depth > 2 * DEPTH or not node.noise and tag not in ("article", "main")):
             node.depth, node.children = here.depth, here.children  # dissolved: what it holds is its parent's
             if tag not in _INLINE:
@@ -240,10 +263,35 @@ def fold(a: list, b: list, same_page: bool = False) -> list:
     return [a[0], max(a[1], b[1]) if same_page else a[1] + b[1], a[2] + b[2], a[3] + b[3], texts, children]
 
 
+def _size(x: list) -> int:
+    return 1 + sum(_size(c) for c in x[5])
+
+
+def bounded(x: list, most: int = 0) -> list:
+    """A wrapper of at most ``most`` nodes: those on the fewest pages go, with what is below them."""
+    most = most or NODES
+    if _size(x) <= most:
+        return x
+    counts = []
+
+    def count(y):
+        counts.append(y[1])
+        for c in y[5]:
+            count(c)
+
+    count(x)
+    least = sorted(counts, reverse=True)[most // 2]  # half of the room stays free, so this is seldom done
+
+    def kept(y):
+        return [*y[:5], [kept(c) for c in y[5] if c[1] > least]]
+
+    return kept(x)
+
+
 def _fold_all(wrappers: list[list]) -> list:
     out = wrappers[0]
     for x in wrappers[1:]:
-        out = fold(out, x)
+        out = bounded(fold(out, x))
     return out
 
 
@@ -357,9 +405,9 @@ def _rule_shape(rule: list) -> list:
     return [rule[0], 0, 0, 0, None, [[c[0], 0, 0, 0, None, []] for c in rule[3]]]
 
 
-def read(page: str, wrapper: list | None) -> str:
+def read(page: str, wrapper: list | None, shared: frozenset | None = None) -> str:
     """The main text of a page."""
-    root = parse(page)
+    root = parse(page, shared)
     labels: dict[int, list] = {}
     if wrapper:
         _aligned(root, wrapper, labels)
@@ -457,18 +505,21 @@ def _content(root: Node, labels: dict, drop_constants: bool) -> str:
 def _wrap(batches):
     """One wrapper for each host of a partition, over its distinct pages."""
     held: dict[str, list] = {}
+    shared: dict[str | None, frozenset] = {}
     seen: set[tuple[str, int, int]] = set()
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, page, words in zip(*[c.to_pylist() for c in batch.columns]):
             if not page:
                 continue
+            if words not in shared:
+                shared[words] = frozenset((words or "").split())
             raw = page.encode()
             key = (host, zlib.crc32(raw), zlib.adler32(raw))
             if key in seen:
                 continue
             seen.add(key)
-            one = skeleton(parse(page))
-            held[host] = fold(held[host], one) if host in held else one
+            one = skeleton(parse(page, shared[words]))
+            held[host] = bounded(fold(held[host], one) if host in held else one)
     if held:
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"host": list(held), "part": [part] * len(held), "wrapper": [json.dumps(x) for x in held.values()]},
@@ -502,34 +553,68 @@ _WRAPPERS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("wrapper",
 _COLUMNS = "host string, part int, wrapper string"
 
 
+def shared_words(pages: DataFrame, share: float = SHARED) -> DataFrame:
+    """(host, words) from (host, html): the words of class and id that at least this share of the host's pages
+    have, joined by spaces. They are fewer than a page's words divided by the share."""
+    def count(batches):
+        held: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for host, page in zip(*[c.to_pylist() for c in batch.columns]):
+                found = {w for m in _NAMES.finditer(page or "") for w in _words(m[1] or m[2] or m[3] or "")}
+                for word in (*found, ""):
+                    held[host, word] = held.get((host, word), 0) + 1
+            if len(held) > HELD:
+                yield sent(held)
+                held = {}
+        yield sent(held)
+
+    def sent(held):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()),
+                                           pa.array(held.values(), pa.int64())], ["host", "word", "n"])
+
+    counted = written(pages.mapInArrow(count, "host string, word string, n long").groupBy("host", "word").agg(F.sum("n").alias("n")), "class-words")
+    all_pages = counted.where("word = ''").select(F.col("host").alias("_host"), F.col("n").alias("_pages"))
+    often = counted.join(all_pages, F.col("host").eqNullSafe(F.col("_host"))).where(
+        (F.col("n") >= share * F.col("_pages")) & ((F.col("n") >= 3) | (F.col("_pages") < 10)))
+    return often.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) with the rules of each host's wrapper, from (host, html)."""
+    """(host, wrapper) with the rules of each host's wrapper, from (host, html, words)."""
     folded = pages.mapInArrow(_wrap, _COLUMNS)
     salt = (F.col("part") % SALTS).alias("salt")
     once = folded.repartition("host", salt).sortWithinPartitions("host", salt, "part").mapInArrow(_joined(False), _COLUMNS)
     return once.repartition("host").sortWithinPartitions("host", "part").mapInArrow(_joined(True), _COLUMNS).select("host", "wrapper")
 
 
+def _sized(table: DataFrame, *columns: str) -> DataFrame:
+    """A table of one row a host, to be broadcast if its texts are small."""
+    total = sum(F.coalesce(F.length(c), F.lit(0)) for c in columns)
+    return F.broadcast(table) if (table.agg(F.sum(total)).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of every page."""
     bound_batches(pages.sparkSession)
     host, rule = free_name(pages, "_host"), free_name(pages, "_rule")
     placed = pages.withColumn(host, host_of(F.col(f"`{url}`").cast("string")))
-    made = written(wrappers(placed.select(F.col(host).alias("host"), F.col(f"`{page}`").cast("string").alias("html"))), "wrappers")
-    made = made.select(F.col("host").alias("_h"), F.col("wrapper").alias(rule))
-    if (made.agg(F.sum(F.length(rule))).first()[0] or 0) <= BROADCAST_BYTES:
-        made = F.broadcast(made)
+    plain = placed.select(F.col(host).alias("host"), F.col(f"`{page}`").cast("string").alias("html"))
+    words = _sized(written(shared_words(plain), "shared-words"), "words")
+    named = words.select(F.col("host").alias("_h"), "words")
+    made = wrappers(plain.join(named, F.col("host") == F.col("_h"), "left").select("host", "html", "words"))
+    made = _sized(written(made.join(words, "host", "left").select("host", "wrapper", "words"), "wrappers"), "wrapper", "words")
+    made = made.select(F.col("host").alias("_h"), F.struct("wrapper", "words").alias(rule))
 
     @F.arrow_udf("string")
     def read_all(htmls: pa.Array, held: pa.Array) -> pa.Array:
-        known: dict[str, list] = {}
+        coded = pc.dictionary_encode(held.field("wrapper"))  # each wrapper of a batch is read once
+        known = [json.loads(w) if w else None for w in coded.dictionary.to_pylist()]
+        shared: dict[str | None, frozenset] = {}
         texts = []
-        for h, w in zip(htmls.to_pylist(), held.to_pylist()):
-            if w and w not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[w] = json.loads(w)
-            texts.append(read(h, known.get(w)) if h else "")
+        for h, w, names in zip(htmls.to_pylist(), coded.indices.to_pylist(), held.field("words").to_pylist()):
+            if names not in shared:
+                shared[names] = frozenset((names or "").split())
+            texts.append(read(h, known[w] if w is not None else None, shared[names]) if h else "")
         return pa.array(texts, pa.string())
 
     joined = placed.join(made, F.col(host) == F.col("_h"), "left")

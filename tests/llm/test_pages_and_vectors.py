@@ -273,3 +273,84 @@ def test_op9_recall(spark):
     assert sorted(got) == asked
     hits = sum(len({x for x, _ in got[i]} & {x for x, _ in brute(ids, v, v[ids == i][0], i, 10)}) for i in asked)
     assert hits >= 0.95 * 10 * len(asked)
+
+
+# --- wrappers ------------------------------------------------------------------------------------
+
+def slug_page(i):
+    """A page whose theme puts tags, category and slug into classes and ids."""
+    return (f'<body class="post-{i} story-{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x"><div id="top-{chr(97 + i * 7 % 26)}q{chr(97 + i // 3 % 26)}"><a href="/">Home</a></div>'
+            f'<div class="post tag-{chr(97 + i % 23)}{chr(97 + i % 19)}z category-{chr(97 + i % 17)}{chr(97 + i % 13)}w" id="story-{chr(97 + i % 26)}{chr(97 + i // 26)}k"><h1>Title {i}</h1>'
+            f'<p>Body number {i} speaks of {i * 31 % 977} things.</p></div><div class="x{chr(97 + i % 26)}{chr(97 + i // 26)}y"><span>Copyright Example Publishing Company</span></div></body>')
+
+
+def wrapper_of(pages, words):
+    out = None
+    for p in pages:
+        one = page_text.skeleton(page_text.parse(p, words))
+        out = page_text.bounded(page_text.fold(out, one) if out else one)
+    return out
+
+
+def test_slugs_and_tags_do_not_grow_the_wrapper(spark):
+    pages = [slug_page(i) for i in range(400)]
+    df = spark.createDataFrame([(i, f"http://blog.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    words = page_text.shared_words(df.select(page_text.host_of(page_text.F.col("url")).alias("host"), "html")).collect()
+    assert [r["host"] for r in words] == ["blog.example"] and {"post", "story", "tag", "category"} <= set(words[0]["words"].split())
+    shared = frozenset(words[0]["words"].split())
+    few, many = (page_text._size(wrapper_of(pages[:n], shared)) for n in (100, 400))
+    assert few == many < 12
+    got = {r["page_id"]: r["text"] for r in page_text.main_text(df).collect()}
+    assert all(got[i] == f"Title {i} Body number {i} speaks of {i * 31 % 977} things." for i in range(400))
+
+
+def test_wrappers_are_bounded(monkeypatch):
+    monkeypatch.setattr(page_text, "NODES", 60)
+    rnd = random.Random(1)
+    pages = ["<body><div class='main'><p>t</p></div>" + "".join(f"<{rnd.choice(['ul', 'table', 'section', 'dl'])} class='{chr(97 + rnd.randint(0, 25)) * 3}'>x</{'ul'}>"
+                                                             for _ in range(8)) + "</body>" for _ in range(200)]
+    out = wrapper_of(pages, None)
+    assert page_text._size(out) <= 60
+    body = out[5][0]
+    assert body[0] == "body" and body[1] == 200 and any(c[0] == "div.main" and c[1] == 200 for c in body[5])
+
+
+def simple_tree_matching(a, b):
+    """The plain recursion, without its pairs."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[5]) + 1) for _ in range(len(a[5]) + 1)]
+    for i, x in enumerate(a[5], 1):
+        for j, y in enumerate(b[5], 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + simple_tree_matching(x, y))
+    return m[-1][-1] + 1
+
+
+def test_match_is_simple_tree_matching():
+    rnd = random.Random(7)
+
+    def tree(depth):
+        return [rnd.choice("abc"), 1, 0, 0, {}, [tree(depth - 1) for _ in range(rnd.randint(0, 4))] if depth else []]
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        b[0] = a[0]
+        score, pairs = page_text.match(a, b)
+        assert score == simple_tree_matching(a, b)
+        assert score == 1 + sum(simple_tree_matching(a[5][i], b[5][j]) for i, j in pairs)
+        assert all(x < y and p < q for (x, p), (y, q) in zip(pairs, pairs[1:]))
+
+
+@pytest.mark.parametrize("module,name", [("page_text", "read"), ("page_text", "_wrap"), ("decontamination", "candidates"), ("spelling", "slice_words"),
+                                         ("divergence", "slice_counts"), ("jaccard_join", "_facts"), ("token_files", "_encoder"), ("url_filters", "runs")])
+def test_functions_travel_by_value(module, name, tmp_path):
+    """Workers need no copy of the package: what is sent to them is loaded where it cannot be imported."""
+    import importlib
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    sent = tmp_path / "sent"
+    sent.write_bytes(cloudpickle.dumps(getattr(importlib.import_module(f"meadowlark.llm.{module}"), name)))
+    code = f"import pickle; f = pickle.load(open({str(sent)!r}, 'rb')); import sys; assert not any(m.split('.')[0] == 'meadowlark' for m in sys.modules); print(callable(f))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    assert done.stdout.strip().endswith("True"), done.stderr[-800:]
