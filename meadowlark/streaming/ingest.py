@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from meadowlark import schemas
 from meadowlark.functions import dates
 from meadowlark.functions import text as T
 from meadowlark.operators import filters as B
-from meadowlark.operators import joins as C
-from meadowlark.scale import first_per
+from meadowlark.scale import keys_of
 from meadowlark.session import durable
 
 
@@ -27,44 +26,84 @@ def _land(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
 
+class _FirstOfName(StatefulProcessor):
+    """Of the valid submissions of a name the first is accepted, once and for all; a name that has
+    state is taken. Rows are (valid, order, payload); of one batch the least order comes first. Only
+    one row of a name is held, however many come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", StructType([StructField("taken", BooleanType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.taken.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        free, best = not self.taken.exists(), None
+        for part in rows:
+            out = []
+            for valid, order, payload in zip(part["valid"], part["order"], part["payload"]):
+                if not (valid and free):
+                    out.append((payload, False))
+                elif best is None or (order, payload) < best:
+                    out += [] if best is None else [(best[1], False)]
+                    best = order, payload
+                else:
+                    out.append((payload, False))
+            yield pd.DataFrame(out, columns=["payload", "fresh"])
+        if best is not None:
+            self.taken.update((True,))
+            yield pd.DataFrame([(best[1], True)], columns=["payload", "fresh"])
+
+    def close(self) -> None:
+        pass
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ingest_submissions(stream: DataFrame, known: Callable[[], DataFrame], accepted_path: str, rejects_path: str,
                        checkpoint: str, now=None, once: bool = True) -> StreamingQuery:
     """Validate submissions, refuse names that exist, land the rest.
 
-    ``known`` reads the organizations (id or name tables) at the start of each batch. Names
-    accepted by earlier batches are read from ``accepted_path``, without the running batch's own
-    folder, so a replay decides the same way and overwrites the same folders.
+    Names that are taken are keyed state of the stream. ``known`` (organizations) seeds it before
+    the first batch of a checkpoint; after that a batch reads nothing but itself. State is kept
+    with the checkpoint, so a replayed batch decides the same way and overwrites its folders.
     """
+    checked = B.validate(stream)
+    kept = [c for c in checked.columns if c not in ("matched",)]
+    payload = F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
+    rows = checked.select(F.coalesce(F.lower(T.strip("name")), F.lit("")).alias("_name"), F.col("reason").isNull().alias("valid"),
+                          F.xxhash64("name", "description").alias("order"), payload.alias("payload"))
+    seed = keys_of(known(), F.lower("name"), "_name").groupBy("_name")
+    judged = rows.groupBy("_name").transformWithStateInPandas(
+        _FirstOfName(), "payload string, fresh boolean", "Append", "None", initialState=seed)
+    schema = StructType([f for f in checked.schema.fields if f.name in kept])
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        # row ids are fixed by the checkpoint, so each submission lands in exactly one folder
-        checked = durable(B.validate(batch).withColumn("_row", F.monotonically_increasing_id()))
-        names = known().select("name")
-        earlier = _earlier(batch.sparkSession, accepted_path, epoch)
-        if earlier is not None:
-            names = names.unionByName(earlier.select("name"))
-        trimmed = {c: T.strip(c) for c in ("name", "description", "country", "website") if c in checked.columns}
-        good = B.accepted(checked).withColumns(trimmed)
-        unknown = C.without_conflicts(good, names).withColumn("_name", F.lower("name"))
-        fresh = first_per(unknown, ["_name"], [F.xxhash64("name", "description"), F.col("_row")])
-        fresh = durable(fresh.drop("_name"))
-        taken = good.join(fresh.select("_row"), "_row", "left_anti").withColumn("reason", F.lit("duplicate_name"))
+        read = durable(batch.select("fresh", F.from_json("payload", schema).alias("r")).select("fresh", "r.*"))
+        trimmed = {c: T.strip(c) for c in ("name", "description", "country", "website") if c in read.columns}
         stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else dates.moment(now)
-        landed = fresh.drop("_row", "matched").withColumn("source", F.lit("user_submitted")).withColumn("created_at", stamp)
+        landed = read.where("fresh").withColumns(trimmed).drop("fresh", "reason").withColumn(
+            "source", F.lit("user_submitted")).withColumn("created_at", stamp)
         if "website" in landed.columns:
             landed = landed.withColumn("direct_website", F.col("website"))
         _land(landed, accepted_path, epoch)
-        _land(B.rejected(checked).unionByName(taken).drop("_row", "matched"), rejects_path, epoch)
-
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def _earlier(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """Rows landed by other batches; None before the first."""
+        # what the rules refused keeps its texts; a good one whose name is taken is trimmed
+        refused = read.where("NOT fresh AND reason IS NOT NULL").drop("fresh")
+        taken = read.where("NOT fresh AND reason IS NULL").drop("fresh").withColumns(trimmed).withColumn("reason", F.lit("duplicate_name"))
+        _land(refused.unionByName(taken), rejects_path, epoch)
+
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)  # the query takes it when it starts
     try:
-        return spark.read.parquet(path).where(F.col("batch") < epoch)
-    except AnalysisException:
-        return None
+        writer = judged.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
 
 
 def read_new_pages(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:

@@ -109,6 +109,37 @@ def test_submissions_each_land_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 2
 
 
+def test_a_batch_of_submissions_reads_only_itself(spark, tmp_path):
+    """Taken names are state: neither the organizations nor landed batches are read again, and a replay lands the same rows."""
+    import shutil
+    cols = "name string, description string, country string, latitude double, longitude double"
+    reads = []
+
+    def known():
+        reads.append(1)
+        return spark.createDataFrame([("Old Farm",), (None,)], "name string")
+
+    def run():
+        ingest.ingest_submissions(ingest.read_submissions(spark, str(tmp_path / "in")), known, str(tmp_path / "ok"),
+                                  str(tmp_path / "no"), str(tmp_path / "ck"), "2024-01-01 00:00:00").awaitTermination()
+    first = [_submission("New"), _submission("Old Farm"), _submission("new"), _submission(None), _submission("", "x"), *[_submission("Hot")] * 50]
+    spark.createDataFrame(first, cols).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    landed = sorted((r["name"], r["latitude"], r["source"]) for r in spark.read.parquet(str(tmp_path / "ok")).collect())
+    assert [x[0].lower() for x in landed] == ["hot", "new"] and {x[2] for x in landed} == {"user_submitted"}
+    assert spark.read.parquet(str(tmp_path / "no")).count() == len(first) - 2
+    shutil.rmtree(tmp_path / "ok")  # what landed is not needed to decide
+    spark.createDataFrame([_submission("hot "), _submission("OLD FARM"), _submission("Later")], cols).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == ["Later"]
+    # the batch again, as after a failure between landing and commit
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == ["Later"]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
 def test_pages_are_extracted_once(spark, tmp_path):
     def add(i):
         spark.createDataFrame([(i, f"u{i}", f"<p>page {i}</p>")], "page_id bigint, url string, html string").write.mode("append").parquet(str(tmp_path / "in"))
