@@ -380,6 +380,14 @@ def _(t):
     return C.nearby(t.org, 10.0, 20.0, 2500, 20).select("id", F.round("distance_km", 4).alias("distance_km"))
 
 
+@query("nearby_points", "org", "host", sql="""
+    WITH d AS (SELECT h.id AS point_id, o.id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(h.latitude - o.latitude) / 2), 2)
+        + cos(radians(o.latitude)) * cos(radians(h.latitude)) * pow(sin(radians(h.longitude - o.longitude) / 2), 2)))) AS distance_km FROM org o, host h)
+    SELECT point_id, id, round(distance_km, 4) AS distance_km FROM d WHERE distance_km <= 2500""")
+def _(t):
+    return C.nearby_points(t.org, t.host.withColumnRenamed("id", "point_id"), 2500).withColumn("distance_km", F.round("distance_km", 4))
+
+
 # --- aggregates --------------------------------------------------------------------------
 
 @query("count_all", "org", "job", sql="SELECT 'org' AS name, count(*) AS n FROM org UNION ALL SELECT 'job', count(*) FROM job")

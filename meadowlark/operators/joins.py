@@ -6,6 +6,7 @@ and splits skewed partitions of the child side; only fixed literal tables are hi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -219,11 +220,25 @@ def follow_links(listing: DataFrame, pages: DataFrame, pattern: str) -> DataFram
     return once.join(target, once["href"] == target["target_url"])
 
 
+EARTH_KM = 6371.0088
+
+
+def _half_width(lat: Column, reach: Column) -> Column:
+    """Degrees of longitude that a circle of ``reach`` degrees reaches on either side; all if a pole is in it."""
+    wide = F.degrees(F.asin(F.least(F.sin(F.radians(reach)) / F.cos(F.radians(lat)), F.lit(1.0)))) + 1e-9
+    return F.when(F.abs(lat) + reach >= 90, F.lit(180.0)).otherwise(wide)
+
+
 def nearby(df: DataFrame, lat: float, lon: float, radius_km: float, limit: int = 20) -> DataFrame:
-    """Rows within a radius, nearest first. A latitude band prunes the scan before the
-    great-circle distance is computed."""
-    band = radius_km / 110.574
-    near = df.where(F.col("latitude").between(lat - band, lat + band))
+    """Rows within a radius, nearest first. Bounds of latitude and longitude prune the scan
+    before the great-circle distance is computed; a box across the date line is two ranges."""
+    reach = math.degrees(radius_km / EARTH_KM) + 1e-9
+    near = df.where(F.col("latitude").between(lat - reach, lat + reach))
+    if abs(lat) + reach < 90:
+        half = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(lat))))) + 1e-9
+        ranges = [F.col("longitude").between(max(a, -180.0), min(b, 180.0))
+                  for shift in (-360, 0, 360) for a, b in [(lon - half + shift, lon + half + shift)] if b >= -180 and a <= 180]
+        near = near.where(T.any_of(ranges))
     return (
         near.withColumn("distance_km", haversine_km(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)))
         .where(F.col("distance_km") <= radius_km)
@@ -231,8 +246,41 @@ def nearby(df: DataFrame, lat: float, lon: float, radius_km: float, limit: int =
     )
 
 
+def nearby_points(df: DataFrame, points: DataFrame, radius_km: float, key: str = "id", point_key: str = "point_id") -> DataFrame:
+    """(point_key, key, distance_km): all rows of ``df`` (latitude, longitude) within a radius of each
+    row of ``points``.
+
+    The globe is cut into bands of latitude as high as the radius, and a band into cells about as
+    wide as the circles that reach into it, fewer towards the poles. A place lies in one cell; a
+    point looks into the cells that its circle reaches in its own band and the two beside it,
+    around the date line, two or three a band. Cells meet in an equi-join.
+    """
+    height = math.degrees(radius_km / EARTH_KM) + 1e-9
+    bands = max(1, math.ceil(180 / height))
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has: its circles reach as far as those at its edge nearer to a pole."""
+        edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
+        return F.greatest(F.floor(180.0 / _half_width(F.least(edge, F.lit(90.0)), F.lit(height))), F.lit(1))
+
+    band = F.least(F.greatest(F.floor((F.col("latitude") + 90) / height), F.lit(0)), F.lit(bands - 1))
+    turned = F.pmod(F.col("longitude") + 180, F.lit(360.0))
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    placed = df.where(known).withColumn("band", band).withColumn("cell", F.least(F.floor(turned * cells(F.col("band")) / 360), cells(F.col("band")) - 1))
+    asked = points.where(known).select(F.col(point_key).alias("_point"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
+                                       turned.alias("_turned"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
+    asked = asked.where(F.col("_band").between(0, bands - 1)).withColumn("_n", cells(F.col("_band"))).withColumn(
+        "_half", _half_width(F.col("_lat"), F.lit(height)))
+    first = F.floor((F.col("_turned") - F.col("_half")) * F.col("_n") / 360)
+    last = F.least(F.floor((F.col("_turned") + F.col("_half")) * F.col("_n") / 360), first + F.col("_n") - 1)
+    looks = asked.withColumn("_cell", F.explode(F.sequence(first, last))).withColumn("_cell", F.pmod(F.col("_cell"), F.col("_n")))
+    met = placed.join(looks, (F.col("band") == F.col("_band")) & (F.col("cell") == F.col("_cell")))
+    measured = met.withColumn("distance_km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon")))
+    return measured.where(F.col("distance_km") <= radius_km).select(F.col("_point").alias(point_key), key, "distance_km")
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * 6371.0088) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 

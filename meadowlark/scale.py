@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from meadowlark.session import durable
 
 BLOCK_ROWS = 8192
+LARGE_KEY = 100_000  # rows of a key that one task may sort
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
@@ -63,34 +64,49 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
     numbered = number_rows(df, [F.col(k) for k in keys] + list(order), "_pos")
     starts = numbered.groupBy(*keys).agg(F.min("_pos").alias("_from"), F.count(F.lit(1)).alias("_size"))
     renamed = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_from", "_size")
-    on = None
-    for i, k in enumerate(keys):
-        match = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        on = match if on is None else on & match
+    on = _same_keys(keys, [f"_k{i}" for i in range(len(keys))])
     out = numbered.join(renamed, on).withColumn(name, F.col("_pos") - F.col("_from") + 1)
     if count:
         out = out.withColumn(count, F.col("_size"))
     return out.drop("_pos", "_from", "_size", *[f"_k{i}" for i in range(len(keys))])
 
 
+def _same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
 def list_pages(df: DataFrame, keys: Sequence[str], order: Sequence, item: Column,
-               page_size: int = 1000) -> DataFrame:
+               page_size: int = 1000, large_key: int = LARGE_KEY) -> DataFrame:
     """Ordered lists per key, in pages of at most ``page_size`` items.
 
-    Every item appears; a key with many rows simply has many pages, so no task ever
+    Every item appears; a key with many rows simply has many pages, so no row ever
     holds more than one page. Columns: keys, page (from 0), n_items (of the key), items. All
     columns of ``df`` are shuffled, so pass only those that keys, order and item need.
+
+    Keys are counted first, reduced before they are shuffled. Those of up to ``large_key`` rows,
+    usually all, are ranked, counted and listed by one exchange, in sorts that may spill; only
+    the rows of the others are ranked over range partitions.
     """
-    ranked = rank_within(df.withColumn("_item", item), keys, order, "_rank", "n_items")
-    page = F.floor((F.col("_rank") - 1) / page_size).cast("long").alias("page")
-    return (
-        ranked.groupBy(*keys, page)
-        .agg(
-            F.first("n_items").alias("n_items"),
-            F.array_sort(F.collect_list(F.struct("_rank", "_item"))).alias("_sorted"),
-        )
-        .select(*keys, "page", "n_items", F.transform("_sorted", lambda x: x["_item"]).alias("items"))
-    )
+    named = df.withColumn("_item", item)
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    on = _same_keys(keys, [f"_k{i}" for i in range(len(keys))])
+    large = durable(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_key).select(*renamed))
+    many = not large.isEmpty()
+    own = Window.partitionBy(*keys)
+    ranked = named.join(large, on, "left_anti") if many else named
+    ranked = ranked.withColumn("_rank", F.row_number().over(own.orderBy(*order))).withColumn("n_items", F.count(F.lit(1)).over(own))
+
+    def paged(rows):
+        page = F.floor((F.col("_rank") - 1) / page_size).cast("long").alias("page")
+        lists = rows.groupBy(*keys, page).agg(F.first("n_items").alias("n_items"), F.array_sort(F.collect_list(F.struct("_rank", "_item"))).alias("_sorted"))
+        return lists.select(*keys, "page", "n_items", F.transform("_sorted", lambda x: x["_item"]).alias("items"))
+
+    if not many:
+        return paged(ranked)
+    return paged(ranked).unionByName(paged(rank_within(named.join(large, on, "left_semi"), keys, order, "_rank", "n_items")))
 
 
 def keys_of(df: DataFrame, col, name: str) -> DataFrame:

@@ -597,3 +597,38 @@ def test_nothing_is_cut_unless_asked(one):
     long_meta = "A quiet farm community. " * 40
     whole = one(X.job_description("s", F.lit("t"), F.lit("o"), F.lit(long_meta)), s="x")
     assert whole == long_meta and len(one(X.job_description("s", F.lit("t"), F.lit("o"), F.lit(long_meta), limit=500), s="x")) <= 500
+
+
+@pytest.mark.parametrize("radius", [30.0, 900.0, 9000.0])
+def test_nearby_points_brute(spark, radius):
+    import math
+    rng = random.Random(int(radius))
+
+    def place():
+        return rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.uniform(88, 90), rng.uniform(-180, 180)), (rng.uniform(-0.3, 0.3), rng.choice([179.9, -179.9, 180.0, -180.0])),
+                           (10 + rng.uniform(-.2, .2), 20 + rng.uniform(-.2, .2)), (90.0, 0.0), (-90.0, 50.0)])
+    spots, points = [place() for _ in range(250)], [place() for _ in range(60)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)] + [(999, None, 1.0)], "id int, latitude double, longitude double").repartition(3)
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(999, 1.0, None)], "point_id int, latitude double, longitude double")
+
+    def km(a, b):
+        (p, q), (r, t) = ((math.radians(x) for x in y) for y in (a, b))
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1.0, math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((t - q) / 2) ** 2)))
+    got = C.nearby_points(df, asked, radius).collect()
+    assert sorted((r["point_id"], r["id"]) for r in got) == sorted((j, i) for j, q in enumerate(points) for i, p in enumerate(spots) if km(p, q) <= radius)
+    for j, q in list(enumerate(points))[:12]:
+        near = C.nearby(df, *q, radius, 1000).collect()
+        assert sorted(r["id"] for r in near) == [i for i, p in enumerate(spots) if km(p, q) <= radius]
+
+
+def test_list_pages_of_small_and_large_keys(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([None, "a", "a", "a", "b", "c"]), rng.randint(0, 10**6), i) for i in range(400)] + [("lone", 1, 1)]
+    df = spark.createDataFrame(data, "k string, o int, i int").repartition(5)
+    for size, large in ((7, 100), (100, 100_000), (1000, 0)):
+        for order in ([F.col("o"), F.col("i")], [F.col("o").desc(), F.col("i")]):
+            got = {(r["k"], r["page"]): (r["n_items"], r["items"]) for r in list_pages(df, ["k"], order, F.col("i"), size, large).collect()}
+            for k in {x[0] for x in data}:
+                own = [x[2] for x in sorted((x for x in data if x[0] == k), key=lambda x: (x[1] if order[0]._jc.toString().find("DESC") < 0 else -x[1], x[2]))]
+                pages = [own[a: a + size] for a in range(0, len(own), size)]
+                assert [got[k, p] for p in range(len(pages))] == [(len(own), p) for p in pages]
