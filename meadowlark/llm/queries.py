@@ -85,7 +85,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are loaded under one vocabulary; those not in English are then revised to another."""
+    """All documents are loaded under one vocabulary; those not in English are then revised to another, by a
+    delete and an insert in two batches with a snapshot between."""
     first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
     count = {v: token_counts.token_count(spark, public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN)
              for v in (first, second)}
@@ -97,7 +98,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = counts.withColumns({"tokenizer": F.lit(second), "tokens": F.col("n2")})
     ledger = scratch(spark, "token-ledger")
     token_counts.commit(token_counts.signed(old, 1), ledger, "load")
-    token_counts.commit(token_counts.revised(old.where(other), new.where(other)), ledger, "revise")
+    token_counts.commit(token_counts.signed(old.where(other), -1), ledger, "delete")
+    token_counts.compact(spark, ledger)
+    token_counts.commit(token_counts.signed(new.where(other), 1), ledger, "insert")
     token_counts.commit(token_counts.signed(old, 1), ledger, "load")  # a retried batch counts once
     return token_counts.totals(spark, ledger)
 

@@ -1,9 +1,15 @@
 """Token totals by source, language and tokenizer version, kept up to date by deltas.
 
 Totals are sums of signed rows: an insert adds a document and its tokens, a delete takes
-them away, a revised count does both. A batch of deltas is summed before it is written
-under its own name; a name that is already committed is not written again, so a retried
-batch counts once, and a half-written one is replaced.
+them away, a revised count does both. A batch of deltas is summed, written aside and moved
+under its own name when it is whole; a name that is already committed is not written again,
+so a retried batch counts once, as does one that two writers commit at the same time, and a
+half-written one is replaced.
+
+The rollup is a snapshot of the totals and the batches it holds. ``compact`` adds the batches
+committed since to the snapshot before and writes the next; ``totals`` reads the last whole
+snapshot and the batches after it, never the ledger from its beginning. Only names of batches
+come to the driver.
 
 Defined results: null and empty texts count no tokens but are documents; null sources and
 languages are groups of their own; repeated rows count each; groups whose documents and
@@ -14,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 import zlib
 from pathlib import Path
 
@@ -69,20 +76,74 @@ def _sums(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+_SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+
+
+def _files(spark: SparkSession, ledger: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path, path(ledger).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _whole(spark: SparkSession, ledger: str, stem: str) -> list[str]:
+    """What follows ``stem`` in the names of the ledger's finished folders."""
+    path, fs = _files(spark, ledger)
+    if not fs.exists(path(ledger)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(path(ledger))]
+    return sorted(n[len(stem):] for n in names if n.startswith(stem) and fs.exists(path(f"{ledger}/{n}/_SUCCESS")))
+
+
+def _publish(df: DataFrame, ledger: str, name: str) -> bool:
+    """``df`` written aside and moved to its name; False if that is taken by a whole folder. A folder
+    that comes second is moved below the first, where an underscore hides it from readers."""
+    spark = df.sparkSession
+    path, fs = _files(spark, ledger)
+    target, aside = path(f"{ledger}/{name}"), f"{ledger}/_aside-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    if fs.exists(path(f"{ledger}/{name}/_SUCCESS")):
+        return False
+    if fs.exists(target):
+        fs.delete(target, True)  # half-written
+    return fs.rename(path(aside), target) and not fs.exists(path(f"{ledger}/{name}/{aside.rsplit('/', 1)[1]}"))
+
+
 def commit(deltas: DataFrame, ledger: str, batch: str) -> bool:
     """Add a batch to the ledger once. False if it was there already."""
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
         raise ValueError(f"batch name {batch!r}")
-    spark = deltas.sparkSession
-    folder = f"{ledger}/batch={batch}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    path, fs = _files(deltas.sparkSession, ledger)
+    if fs.exists(path(f"{ledger}/batch={batch}/_SUCCESS")):
+        return False
+    return _publish(_sums(deltas), ledger, f"batch={batch}")
+
+
+def _snapshot(spark: SparkSession, ledger: str) -> tuple[int, list[str]]:
+    """The number of the last whole snapshot and the batches in it; 0 and none before the first."""
+    numbers = [int(n) for n in _whole(spark, ledger, "_totals-")]
+    if not numbers:
+        return 0, []
+    names = spark.read.schema("batch string").parquet(f"{ledger}/_batches-{max(numbers)}")
+    return max(numbers), [r[0] for r in names.collect()]
+
+
+def _current(spark: SparkSession, ledger: str) -> tuple[DataFrame, int, list[str], list[str]]:
+    number, held = _snapshot(spark, ledger)
+    later = sorted(set(_whole(spark, ledger, "batch=")) - set(held))
+    parts = [f"{ledger}/_totals-{number}"] * bool(number) + [f"{ledger}/batch={b}" for b in later]
+    rows = spark.read.schema(_SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], _SCHEMA)
+    return _sums(rows).where("n_docs <> 0 OR n_tokens <> 0"), number, held, later
+
+
+def compact(spark: SparkSession, ledger: str) -> bool:
+    """Write the next snapshot, if batches came since the last. Its names are written first, so a
+    snapshot that is whole has them."""
+    rows, number, held, later = _current(spark, ledger)
+    if not later:
         return False
-    _sums(deltas).write.mode("overwrite").parquet(folder)
-    return True
+    spark.createDataFrame([(b,) for b in held + later], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/_batches-{number + 1}")
+    return _publish(rows.coalesce(1), ledger, f"_totals-{number + 1}")
 
 
 def totals(spark: SparkSession, ledger: str) -> DataFrame:
     """The current totals over all committed batches."""
-    schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string"
-    return _sums(spark.read.schema(schema).parquet(ledger)).where("n_docs <> 0 OR n_tokens <> 0")
+    return _current(spark, ledger)[0]

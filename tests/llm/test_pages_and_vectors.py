@@ -354,3 +354,25 @@ def test_functions_travel_by_value(module, name, tmp_path):
     code = f"import pickle; f = pickle.load(open({str(sent)!r}, 'rb')); import sys; assert not any(m.split('.')[0] == 'meadowlark' for m in sys.modules); print(callable(f))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
     assert done.stdout.strip().endswith("True"), done.stderr[-800:]
+
+
+def test_cells_leave_far_ones_unsearched(spark):
+    """Recall on cells against brute force, for spread and for clustered vectors, and how many cells are entered."""
+    rnd = np.random.default_rng(21)
+    middles = rnd.normal(size=(40, 32)) * 6
+    for name, vectors, least in (("clustered", middles[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 32)), 0.95),
+                                 ("spread", rnd.normal(size=(3000, 32)), 0.95)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+        got = {}
+        for r in neighbours.nearest(df, df.where("vec_id % 100 = 0"), k=10, block=200).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, len(vectors), 100):
+            d = ((vectors - vectors[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert hits >= least * 10 * len(got), name
+    tree = neighbours.Cells(middles @ neighbours.projections(32), 16)
+    points = rnd.normal(size=(500, 32)) @ neighbours.projections(32)
+    cell = tree.of(points)
+    assert all(tree.gaps(p)[c] == 0 and (np.delete(tree.gaps(p), c) >= 0).all() for p, c in zip(points, cell))

@@ -259,3 +259,47 @@ def test_op8_over_the_table(spark, reference):
         expected[r["source"], r["lang"], name] = n + 1, t + len(coder.encode_ordinary(r["text"] or ""))
     got = {tuple(r)[:3]: tuple(r)[3:] for r in QUERIES["op8_token_counts"](spark, sf).collect()}
     assert got == expected
+
+
+def test_ledger_without_batches_is_empty(spark):
+    ledger = scratch(spark, "ledger")
+    assert token_counts.totals(spark, ledger).collect() == [] and not token_counts.compact(spark, ledger)
+
+
+def test_snapshots_hold_the_batches_before_them(spark):
+    ledger = scratch(spark, "ledger")
+
+    def rows(*r):
+        return spark.createDataFrame(list(r), "source string, lang string, tokenizer string, tokens long")
+    seen = {}
+    for i in range(6):
+        token_counts.commit(token_counts.signed(rows(("a", None, "v", i), ("b", "en", "v", 10)), 1), ledger, f"b{i}")
+        if i % 2:
+            assert token_counts.compact(spark, ledger) and not token_counts.compact(spark, ledger)
+        seen[i] = sorted(map(str, token_counts.totals(spark, ledger).collect()))
+        assert seen[i] == sorted(map(str, [Row for Row in token_counts._sums(spark.read.schema(token_counts._SCHEMA).parquet(
+            *[f"{ledger}/batch=b{j}" for j in range(i + 1)])).collect()]))
+    assert token_counts._snapshot(spark, ledger) == (3, [f"b{i}" for i in range(6)])
+    # a batch that the snapshot holds is not read again, and not committed again
+    assert not token_counts.commit(token_counts.signed(rows(("a", None, "v", 9)), 1), ledger, "b0")
+    paths = [f.rsplit("/", 2)[1] for f in token_counts._current(spark, ledger)[0].inputFiles()]
+    assert set(paths) == {"_totals-3"}
+    # a snapshot that never became whole does not count
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/_totals-3/_SUCCESS")
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, False)
+    assert sorted(map(str, token_counts.totals(spark, ledger).collect())) == seen[5]
+    # a folder that is not whole is not read
+    rows(("zz", "en", "v", 1)).write.parquet(f"{ledger}/batch=half")
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/batch=half/_SUCCESS")
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm, False)
+    assert sorted(map(str, token_counts.totals(spark, ledger).collect())) == seen[5]
+
+
+def test_two_writers_of_a_batch_count_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    ledger = scratch(spark, "ledger")
+    rows = spark.createDataFrame([("a", "en", "v", 7)], "source string, lang string, tokenizer string, tokens long")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda _: token_counts.commit(token_counts.signed(rows, 1), ledger, "same"), range(4)))
+    assert any(done)
+    assert [tuple(r) for r in token_counts.totals(spark, ledger).collect()] == [("a", "en", "v", 1, 7)]
