@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -40,11 +39,15 @@ def hashed_words(dim: int = 256) -> Callable[[], Callable[[list[str]], np.ndarra
         import xxhash
 
         def encode(texts):
+            words = [(text or "").lower().split() for text in texts]
+            known = {w: i for i, w in enumerate(dict.fromkeys(w for line in words for w in line))}
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)  # each word of a batch once
+            which = np.array([known[w] for line in words for w in line], np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(line) for line in words])
             out = np.zeros((len(texts), dim), np.float32)
-            for row, words in enumerate(texts):
-                for w in (words or "").lower().split():
-                    h = xxhash.xxh64_intdigest(w)
-                    out[row, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
+            sign = np.where((hashes >> np.uint64(32)) & np.uint64(1), 1.0, -1.0).astype(np.float32)
+            place = (hashes % np.uint64(dim)).astype(np.int64)
+            np.add.at(out, (row, place[which]), sign[which])
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norm == 0, 1, norm)
 
@@ -58,16 +61,17 @@ def encode(df: DataFrame, text: str, encoder: Callable[[], Callable] | None = No
     call and returns a function from a list of texts to a matrix."""
     load = encoder or hashed_words()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = load()
         for part in parts:
-            texts = part[text].tolist()
-            rows = [fn(texts[i:i + batch]) for i in range(0, len(texts), batch)]
+            texts = part.to_pylist()
+            rows = [np.asarray(fn(texts[i:i + batch]), np.float32) for i in range(0, len(texts), batch)]
             vectors = np.concatenate(rows) if rows else np.zeros((0, 1), np.float32)
-            yield part.assign(**{out: list(vectors.astype(np.float32))})
+            ends = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(vectors.ravel()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, `{out}` array<float>")
+    return df.withColumn(out, run(F.col(text)))  # only the text crosses
 
 
 # --- retrieval ---------------------------------------------------------------------------

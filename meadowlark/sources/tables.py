@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from meadowlark import schemas
 from meadowlark.functions import vectors as V
+from meadowlark.sources.json_splits import json_objects
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None, cols: Sequence[str] | None = None,
@@ -20,10 +21,9 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType, one_per_line: bool = False) -> DataFrame:
-    """Records from JSON array files. A file that is one array is read by one task; files with an
-    array per line are split."""
+    """Records from JSON array files: one array a file, which any number of tasks read, or one a line."""
     if not one_per_line:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return json_objects(spark, path).select(F.from_json("value", schema).alias("r")).select("r.*")
     arrays = spark.read.text(path).select(F.from_json("value", ArrayType(schema)).alias("a"))
     return arrays.select(F.inline("a"))
 
@@ -33,12 +33,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Flat rows from FeatureCollection files, from bare lists of features, or from one feature
-    per line. All shapes fit one reading schema: a bare feature has no ``features``."""
-    wide = StructType(list(schemas.FEATURE.fields)).add("features", ArrayType(schemas.FEATURE))
-    raw = spark.read.schema(wide).option("multiLine", True).json(path)
-    own = F.array(F.struct("type", "geometry", "properties"))
-    one = raw.select(F.explode(F.coalesce("features", own)).alias("f")).where(F.col("f.geometry").isNotNull())
+    """Flat rows from FeatureCollection files, from bare lists of features, or from features one
+    after the other. Files of any size are read by many tasks."""
+    one = json_objects(spark, path, "features").select(F.from_json("value", schemas.FEATURE).alias("f")).where(F.col("f.geometry").isNotNull())
     point = F.col("f.geometry.coordinates")
     return one.select("f.properties.*", F.get(point, F.lit(1)).alias("latitude"), F.get(point, F.lit(0)).alias("longitude"))
 

@@ -280,3 +280,42 @@ def test_board_variants(spark):
     jobs = listings.board_jobs(org, pages).collect()
     assert {r["organization_id"] for r in jobs} == {1} and {r["title"] for r in jobs} == {"Garden Helper"}
     assert [(r["organization_id"], r["title"]) for r in listings.board_stays(org, pages).collect()] == [(2, "Stay with us in the guest room")]
+
+
+def test_json_files_are_read_in_splits(spark, tmp_path):
+    """Arrays, objects one after the other and collections, cut at any place: in strings, after escapes, between braces."""
+    import json
+    import random
+
+    from meadowlark.sources.json_splits import json_objects
+    rng = random.Random(2)
+    odd = ["}", "{", '"', "\\", "\\\\", "}{", "[]", "é", "\n", 'a"}b', ""]
+
+    def thing(depth=0):
+        return {rng.choice("abc{}"): thing(depth + 1) if depth < 3 and rng.random() < .4 else rng.choice([*odd, 1, None, [{"q": "}"}], {}]) for _ in range(rng.randint(0, 3))}
+    records = [{"id": i, "text": "".join(rng.choice(odd) for _ in range(rng.randint(0, 9))), "more": thing()} for i in range(120)]
+    (tmp_path / "array").mkdir()
+    (tmp_path / "array" / "one.json").write_text(json.dumps(records))
+    (tmp_path / "array" / "two.json").write_text(json.dumps(records, indent=2, ensure_ascii=False) + "\n")
+    (tmp_path / "array" / "none.json").write_text("[]")
+    (tmp_path / "array" / "empty.json").write_text("")
+    (tmp_path / "array" / "loose.json").write_text("\n".join(map(json.dumps, records[:7])))
+    (tmp_path / "map").mkdir()
+    (tmp_path / "map" / "one.json").write_text(json.dumps({"type": "FeatureCollection", "features": records, "crs": {"x": 1}}))
+    want = sorted(json.dumps(r, sort_keys=True) for r in records)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64m", "997", "37"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = sorted(json.dumps(json.loads(r["value"]), sort_keys=True) for r in json_objects(spark, str(tmp_path / "array")).collect())
+            assert got == sorted(2 * want + [json.dumps(r, sort_keys=True) for r in records[:7]])
+            inner = [json.loads(r["value"]) for r in json_objects(spark, str(tmp_path / "map"), "features").collect()]
+            assert sorted(json.dumps(r, sort_keys=True) for r in inner if "id" in r) == want
+            if size == "997":
+                assert json_objects(spark, str(tmp_path / "array")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    read = tables.read_json(spark, str(tmp_path / "array"), "id int, text string")
+    assert read.count() == 247 and sorted(r["text"] for r in read.where("id = 5").collect()) == sorted([records[5]["text"]] * 3)
