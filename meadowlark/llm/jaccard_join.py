@@ -21,7 +21,8 @@
 Defined results: null and empty texts and those of white space have no shingles and are in
 a class of their own, without links; rows with equal ids are documents each; a row without
 id takes part, and a class without any id has a null class id; an empty table gives an
-empty result. Extra columns are ignored.
+empty result. Extra columns are ignored. Ids are whole numbers, or texts of such; other texts
+are an error.
 """
 
 from __future__ import annotations

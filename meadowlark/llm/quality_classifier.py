@@ -10,7 +10,8 @@ and the model of both folds scores documents.
 Defined results: null and empty texts have the statistics of no words and are scored like
 any text; the label of a document is the mean of its labels, null labels are ignored, and a
 document that repeats counts each time. Without labels, every score is 0.5. Extra columns
-pass through; one named as a result is replaced; an empty table stays empty.
+pass through; one named as a result is replaced; an empty table stays empty. Keys are whole numbers, or texts
+of such; other texts are an error.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ as rows of a Parquet table, because only Spark reaches the file system of a clus
 are in ascending document id, nulls first; equal ids are ordered by a hash of the text.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are written
-each; an empty table writes no shard. Extra columns are ignored.
+each; an empty table writes no shard. Extra columns are ignored. Keys are whole numbers, or texts of
+such; other texts are an error.
 """
 
 from __future__ import annotations

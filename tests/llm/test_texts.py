@@ -266,3 +266,65 @@ def test_words_that_defeat_polynomial_hashes_are_not_copies(spark):
     pair = [f"xxxxxxxx{t}xxxxxxxx q" for t in (letters, letters.translate(str.maketrans("ab", "ba")))]
     df = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
     assert sorted(r["class_id"] for r in jaccard_join.near_duplicates(df).collect()) == [0, 1]
+
+
+def plain_statistics(text):
+    """The statistics of a text, one after the other, by plain Python."""
+    text = text or ""
+    raw, found = text.encode(), [w.encode() for w in WORD.findall(text)]
+    n, some = len(found), max(len(found), 1)
+    classes = [range(65, 91), range(48, 58), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"#*$%&<>", b"!", b"|", range(128, 256)]
+    length = [len(w) for w in found]
+    mean = sum(length) / some
+    spread = math.sqrt(sum((x - mean) ** 2 for x in length) / some)
+    grams = Counter(tuple(found[i: i + 5]) for i in range(n - 4))
+    counts = Counter(found)
+    share = lambda flags: sum(flags) / some
+    return [math.sqrt(sum(b in c for b in raw) / max(len(raw), 1)) for c in classes] + [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.sqrt(raw.count(b"\n") / some),
+        share([a == b for a, b in zip(found, found[1:])]), share([counts[w] > 1 for w in found]), share([grams[tuple(found[i: i + 5])] > 1 for i in range(n - 4)]),
+        share([w[0] in classes[0] for w in found]), share([w[-1] in classes[2] for w in found]), share([w[0] in classes[2] for w in found]),
+        share([x <= 3 for x in length]), share([x > 16 for x in length])]
+
+
+def test_classifier_equals_a_plain_fit(spark):
+    """Random Fourier ridge, cross-fitted and calibrated by the min-max formula of isotonic regression, in plain numpy."""
+    Q = quality_classifier
+    docs = [(i, t) for i, t in enumerate(texts(260, seed=9))]
+    rnd = random.Random(1)
+    labels = [(i, float((len(t or "") % 7 < 3) ^ (rnd.random() < .2))) for i, t in docs if i % 5]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    given = spark.createDataFrame(labels, "doc_id long, y double")
+    model = Q.fit(df, given)
+    x = np.array([plain_statistics(t) for _, t in docs])
+    assert Q.statistics(pa.array([t for _, t in docs])) == pytest.approx(x, abs=1e-9)
+    x = x.astype(np.float32).astype(float)
+    folds = {r["doc_id"]: r["f"] for r in given.selectExpr("doc_id", "cast(xxhash64(doc_id) % 2 != 0 as int) as f").collect()}
+    key, y = np.array([i for i, _ in labels]), np.array([v for _, v in labels])
+    fold = np.array([folds[i] for i in key])
+    own = x[key]
+    centre, width = own.mean(0), np.maximum(own.std(0), 1e-3)
+    rng = np.random.default_rng(Q.SEED)
+    directions, phases = rng.standard_normal((x.shape[1], Q.FEATURES)) * np.sqrt(2 * Q.GAMMA), rng.uniform(0, 2 * np.pi, Q.FEATURES)
+    z = np.cos(np.clip((x - centre) / width, -8, 8) @ directions + phases)
+    z = np.concatenate([z, np.ones((len(z), 1))], 1)
+
+    def ridge(rows):
+        a = np.concatenate([z[key[rows]], np.eye(z.shape[1])])  # least squares with one row for each weight
+        return np.linalg.lstsq(a, np.concatenate([y[rows], np.zeros(z.shape[1])]), rcond=None)[0]
+    every = ridge(np.arange(len(key)))
+    assert model.weights == pytest.approx(every, abs=0.02)  # cosines are rounded
+    raw = np.empty(len(key))
+    for f in (0, 1):
+        raw[fold == f] = z[key[fold == f]] @ ridge(np.flatnonzero(fold != f))
+    bins = np.clip((raw + 1) * Q.BINS / 3, 0, Q.BINS - 1).astype(int)
+    at = np.unique(bins)
+    n, good = np.array([(bins == b).sum() for b in at]), np.array([y[bins == b].sum() for b in at])
+    best = [max(min(good[a:b + 1].sum() / n[a:b + 1].sum() for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    pools = [[i for i in range(len(at)) if abs(best[i] - v) < 1e-12] for v in sorted(set(np.round(best, 12)))]
+    centres = [((at[p] + 0.5) * 3 / Q.BINS - 1) @ n[p] / n[p].sum() for p in pools]
+    shares = np.maximum.accumulate([(good[p].sum() + 0.5) / (n[p].sum() + 1) for p in pools])
+    want = np.interp(z @ every, centres, shares)
+    got = {r["doc_id"]: r["score"] for r in Q.score(df, model).collect()}
+    assert np.mean(np.abs(np.array([got[i] for i, _ in docs]) - want) < 0.05) > 0.9  # a rounded cosine may move a row to the next bin
+    assert np.corrcoef([got[i] for i, _ in docs], want)[0, 1] > 0.97
