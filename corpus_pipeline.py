@@ -1,4 +1,20 @@
-"""From raw documents to token ids in five stages, each over all that the one before kept."""
+"""From raw documents to token ids in five stages, each over all that the one before kept.
+
+What the operators define holds for the stages; taken together:
+
+* quality classifier: a null or empty text is scored like any text; rows of one id are scored one
+  by one; without labels every score is 0.5 and all documents stay.
+* quality rules: null, empty and short texts (under ten words) go, as does what repeats itself;
+  a text of any length is judged whole; equal texts get equal verdicts.
+* near duplicates: of every class the document with the smallest id stays, once if its row repeats;
+  rows without id stay if no row of their class has one; documents without words stay.
+* source mix: rows come out as often as their source's target asks for, whole, in no order; null
+  sources are one source; a document without words may be drawn, a source without any is left out.
+* byte BPE: a null text has no ids; every row, repeated ones too, is encoded and decoded whole.
+
+Only the columns of ``documents`` are carried, so further columns, whatever their names, are left
+behind. An empty table goes through all stages and stays empty. Ids are whole numbers.
+"""
 
 from __future__ import annotations
 
