@@ -121,7 +121,7 @@ def test_job_title(one):
 def test_best_sentences_bonus_and_scan(one):
     plain = [f"plain sentence number {i} without any of those words." for i in range(8)]
     late = "we are seeking a volunteer to help with permaculture."
-    best = one(X.best_sentences("s"), s=" ".join(plain + [late]))
+    best = one(X.best_sentences("s", scan=15, keep=4), s=" ".join(plain + [late]))
     # the late sentence outscores the early bonus; after five accepted, plain ones drop out
     assert best.startswith(late) and "number 0" in best and "number 3" not in best
 
