@@ -52,6 +52,7 @@ SMALL_SHARE = 0.25  # of the varying text, below which a node's name may speak a
 OWN_SHARE = 0.7  # of the text of a page without content nodes, from which a name does not count
 SHARED = 0.1  # of a host's pages, from which a word of class or id tells elements apart
 NODES = 4000  # of a wrapper
+KNOWN = 20_000  # start tags whose signatures a task remembers for a host
 HELD = 300_000  # counts of class words that a task holds before it sends them
 DEPTH = 64  # elements from which plain ones dissolve into their parents; twice as many, and all do
 BROADCAST_BYTES = 32 << 20  # of wrappers sent to every executor; more are joined by a shuffle
@@ -135,9 +136,10 @@ def _new_vote(sig: str) -> str:
     return "header" if tag == "header" or tag not in ("html", "body", "article", "main") and not _HEADER_WORDS.isdisjoint(names) else ""
 
 
-def parse(page: str, shared: frozenset | None = None) -> Node:
+def parse(page: str, shared: frozenset | None = None, known: dict | None = None) -> Node:
     """The element tree of a page, with the usual implied end tags. ``shared`` are the words of
-    class and id that count, None for all."""
+    class and id that count, None for all; ``known`` keeps the signatures of start tags met with them."""
+    known = {} if known is None else known
     root = here = Node("", "", None)
     at, size = 0, len(page)
     while at < size:
@@ -172,7 +174,11 @@ def parse(page: str, shared: frozenset | None = None) -> Node:
                 x = x.up
             if closed is not None:
                 here = closed.up
-        node = Node(tag, _signature(tag, m[3], shared), here)
+        if (sig := known.get((tag, m[3]))) is None:
+            sig = _signature(tag, m[3], shared)
+            if len(m[3]) < 200 and len(known) < KNOWN:
+                known[tag, m[3]] = sig
+        node = Node(tag, sig, here)
         if node.depth > DEPTH and node.noise != "never" and (node.depth > 2 * DEPTH or not node.noise and tag not in ("article", "main")):
             node.depth, node.children = here.depth, here.children  # dissolved: what it holds is its parent's
             if tag not in _INLINE:
@@ -405,9 +411,9 @@ def _rule_shape(rule: list) -> list:
     return [rule[0], 0, 0, 0, None, [[c[0], 0, 0, 0, None, []] for c in rule[3]]]
 
 
-def read(page: str, wrapper: list | None, shared: frozenset | None = None) -> str:
+def read(page: str, wrapper: list | None, shared: frozenset | None = None, known: dict | None = None) -> str:
     """The main text of a page."""
-    root = parse(page, shared)
+    root = parse(page, shared, known)
     labels: dict[int, list] = {}
     if wrapper:
         _aligned(root, wrapper, labels)
@@ -505,20 +511,22 @@ def _content(root: Node, labels: dict, drop_constants: bool) -> str:
 def _wrap(batches):
     """One wrapper for each host of a partition, over its distinct pages."""
     held: dict[str, list] = {}
-    shared: dict[str | None, frozenset] = {}
+    shared: dict[str | None, tuple[frozenset, dict]] = {}
     seen: set[tuple[str, int, int]] = set()
     for batch in batches:
         for host, page, words in zip(*[c.to_pylist() for c in batch.columns]):
             if not page:
                 continue
             if words not in shared:
-                shared[words] = frozenset((words or "").split())
+                if len(shared) >= 64:
+                    shared.clear()
+                shared[words] = frozenset((words or "").split()), {}
             raw = page.encode()
             key = (host, zlib.crc32(raw), zlib.adler32(raw))
             if key in seen:
                 continue
             seen.add(key)
-            one = skeleton(parse(page, shared[words]))
+            one = skeleton(parse(page, *shared[words]))
             held[host] = bounded(fold(held[host], one) if host in held else one)
     if held:
         part = TaskContext.get().partitionId()
@@ -558,9 +566,16 @@ def shared_words(pages: DataFrame, share: float = SHARED) -> DataFrame:
     have, joined by spaces. They are fewer than a page's words divided by the share."""
     def count(batches):
         held: dict[tuple[str, str], int] = {}
+        known: dict[str, set[str]] = {}
         for batch in batches:
             for host, page in zip(*[c.to_pylist() for c in batch.columns]):
-                found = {w for m in _NAMES.finditer(page or "") for w in _words(m[1] or m[2] or m[3] or "")}
+                found: set[str] = set()
+                for value in {a or b or c for a, b, c in _NAMES.findall(page or "")}:
+                    if (words := known.get(value)) is None:
+                        words = _words(value)
+                        if len(value) < 200 and len(known) < KNOWN:
+                            known[value] = words
+                    found |= words
                 for word in (*found, ""):
                     held[host, word] = held.get((host, word), 0) + 1
             if len(held) > HELD:
@@ -609,12 +624,14 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     def read_all(htmls: pa.Array, held: pa.Array) -> pa.Array:
         coded = pc.dictionary_encode(held.field("wrapper"))  # each wrapper of a batch is read once
         known = [json.loads(w) if w else None for w in coded.dictionary.to_pylist()]
-        shared: dict[str | None, frozenset] = {}
+        shared: dict[str | None, tuple[frozenset, dict]] = {}
         texts = []
         for h, w, names in zip(htmls.to_pylist(), coded.indices.to_pylist(), held.field("words").to_pylist()):
             if names not in shared:
-                shared[names] = frozenset((names or "").split())
-            texts.append(read(h, known[w] if w is not None else None, shared[names]) if h else "")
+                if len(shared) >= 64:
+                    shared.clear()
+                shared[names] = frozenset((names or "").split()), {}
+            texts.append(read(h, known[w] if w is not None else None, *shared[names]) if h else "")
         return pa.array(texts, pa.string())
 
     joined = placed.join(made, F.col(host) == F.col("_h"), "left")
