@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # role -> (tables and joins in SQL, [(expression, alias)])
-# Parts have a few dozen names; the number, spelled in letters, makes every name its own.
-PRODUCT_NAME = "concat(p_name, ' ', translate(CAST(p_partkey AS VARCHAR(20)), '0123456789', 'kelomatrin'))"
+# Parts have a few dozen names. A word of their own, a scattered number spelled in letters, before the kind makes every name its own.
+PRODUCT_NAME = ("concat(translate(CAST(p_partkey * 48271 % 99990001 AS VARCHAR(20)), '0123456789', 'kelomatrin'), ' ', "
+                "split_part(p_name, ' ', 2))")
 ROLES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "org": (
         "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",

@@ -212,7 +212,7 @@ REF = {
     "long": (f"concat({PRODUCT_NAME}, ' ', lower(p_type), ' ', p_size)", "p_partkey * 2"),
     "short": ("split_part(p_name, ' ', 2)", "p_partkey * 2 + 1"),
     "close": (f"concat(substr({PRODUCT_NAME}, 2), p_size % 7, 's')", "p_partkey"),
-    "token": (f"concat(p_brand, ' ', split_part({PRODUCT_NAME}, ' ', 3), ' ', lower(p_type))", "p_partkey"),
+    "token": (f"concat(p_brand, ' ', split_part({PRODUCT_NAME}, ' ', 1), ' ', lower(p_type))", "p_partkey"),
 }
 
 

@@ -202,12 +202,13 @@ def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str
         cut, probe = _segments(long_df, long, threshold), _pieces_for(short_df, short, threshold, longer)
         left, gap = F.col("edits") - F.col("nth"), F.col("own") - F.col("_size")
         near = (F.abs(F.col("at") - F.col("place")) <= F.col("nth")) & (F.abs(F.col("at") - F.col("place") - gap) <= left)
+        # verified where they meet, so that only similar pairs are shuffled again
+        alike = F.expr("levenshtein(short, long, edits) >= 0")
         both = probe.join(cut.withColumnsRenamed({"size": "_size", "piece": "_piece"}),
-                          (F.col("size") == F.col("_size")) & (F.col("piece") == F.col("_piece")) & near)
-        pairs = both.select("short", "long", F.col("edits").alias("most")).distinct()
-        edits = F.expr("levenshtein(short, long, most)")
+                          (F.col("size") == F.col("_size")) & (F.col("piece") == F.col("_piece")) & near & alike)
+        pairs = both.select("short", "long").distinct()
         return pairs.select(F.col(short_or(short, long, name)).alias(name), F.col(short_or(short, long, ref)).alias(ref),
-                            edits.alias("edits")).where("edits >= 0")
+                            F.levenshtein("short", "long").alias("edits"))
 
     def short_or(short, long, wanted):
         return "short" if short == wanted else "long"
