@@ -2,7 +2,9 @@
 
 Names are collapsed to distinct keys first, so a group of copies is matched once.
 Nothing here crosses two tables: containment, token rules and edit distances become
-equi-joins on fingerprints, words and segments.
+equi-joins on fingerprints, words and segments. Their sides are shuffled, by hint: a table of
+names that were cut up is many times larger than Spark's estimate, by which it would be sent
+through the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from meadowlark.session import durable
 
 def _attach(df: DataFrame, found: DataFrame, name: str, cols) -> DataFrame:
     """Found values (by lower-case key ``_name``) given to every row with that name."""
-    return df.join(found.select("_name", *cols), F.lower(F.col(name)) == F.col("_name"), "left").drop("_name")
+    return df.join(found.select("_name", *cols).hint("merge"), F.lower(F.col(name)) == F.col("_name"), "left").drop("_name")
 
 
 def match_exact(df: DataFrame, ref: DataFrame, name: str = "name") -> DataFrame:
@@ -51,15 +53,15 @@ def contained_pairs(short: DataFrame, long: DataFrame, short_text: str, long_id:
     wanted = usable.select(short_text, F.explode(P.own_fingerprints(short_text, "_kind")).alias("g"))
     wanted = durable(wanted)
     prints = long.select(long_id, F.explode(P.fingerprints(long_text, kinds)).alias("g"))
-    met = durable(prints.join(keys_of(wanted, "g", "_g"), F.col("g") == F.col("_g"), "left_semi"))
+    met = durable(prints.join(keys_of(wanted, "g", "_g").hint("merge"), F.col("g") == F.col("_g"), "left_semi"))
     counts = met.groupBy(F.col("g").alias("_g")).agg(F.count(F.lit(1)).alias("n"))
     rare = (
-        wanted.join(counts, F.col("g") == F.col("_g"), "left").groupBy(short_text)
+        wanted.join(counts.hint("merge"), F.col("g") == F.col("_g"), "left").groupBy(short_text)
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("p"))
         .where("p.n > 0").select(short_text, F.col("p.g").alias("_g"))
     )
-    cands = met.join(rare, F.col("g") == F.col("_g")).select(F.col(long_id).alias("_id"), short_text)
-    return long.select(long_id, long_text).join(cands, F.col(long_id) == F.col("_id")).where(
+    cands = met.join(rare.hint("merge"), F.col("g") == F.col("_g")).select(F.col(long_id).alias("_id"), short_text)
+    return long.select(long_id, long_text).join(cands.hint("merge"), F.col(long_id) == F.col("_id")).where(
         F.col(long_text).contains(F.col(short_text))).select(long_id, short_text)
 
 
@@ -76,7 +78,7 @@ def match_contains(df: DataFrame, ref: DataFrame, name: str = "name", longer_tha
     inside = contained_pairs(theirs.select("_ref"), mine_as_text, "_ref", "_name", "_text")
     around = contained_pairs(mine.select("_name"), refs_as_text, "_name", "_ref", "_rtext").select("_name", "_ref")
     best = (
-        inside.select("_name", "_ref").unionByName(around).join(theirs, "_ref")
+        inside.select("_name", "_ref").unionByName(around).join(theirs.hint("merge"), "_ref")
         .groupBy("_name").agg(F.min_by("_hit", "_hit.pos").alias("_hit"))
         .select("_name", F.col("_hit.url").alias("match_url"))
     )
@@ -87,7 +89,7 @@ def passages_in(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str
                 passage_text: str) -> DataFrame:
     """(doc_id, passage_id) for all passages, blank ones aside, that occur inside documents."""
     pairs = contained_pairs(passages, docs, passage_text, doc_id, doc_text)
-    return pairs.join(passages.select(passage_id, passage_text), passage_text).select(doc_id, passage_id)
+    return pairs.join(passages.select(passage_id, passage_text).hint("merge"), passage_text).select(doc_id, passage_id)
 
 
 # --- tokens --------------------------------------------------------------------------------
@@ -108,26 +110,26 @@ def match_tokens(df: DataFrame, ref: DataFrame, name: str = "name", long_word: i
     words = refs.select(F.explode("_words").alias("_key"), "pos", F.col("_words").alias("_theirs"))
 
     lowest = words.groupBy("_key").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("_n"))
-    single = keyed.where(F.size("_words") == 1).join(lowest, F.get("_words", F.lit(0)) == F.col("_key")).select("_name", "pos")
+    single = keyed.where(F.size("_words") == 1).join(lowest.hint("merge"), F.get("_words", F.lit(0)) == F.col("_key")).select("_name", "pos")
 
     # names of two words and more: the words that references have, the commonest left away
     asked = keyed.where(F.size("_words") > 1).select("_name", "_words", F.explode("_words").alias("_word"))
-    known = asked.join(lowest.select("_key", "_n"), F.col("_word") == F.col("_key"))
+    known = asked.join(lowest.select("_key", "_n").hint("merge"), F.col("_word") == F.col("_key"))
     common = F.max(F.struct("_n", "_word"))
     least = known.groupBy("_name").agg(common.alias("_most"))
-    probes = (known.join(least.withColumnRenamed("_name", "_of"), F.col("_name") == F.col("_of"))
+    probes = (known.join(least.withColumnRenamed("_name", "_of").hint("merge"), F.col("_name") == F.col("_of"))
               .where(F.col("_word") != F.col("_most._word")).select("_name", "_words", "_word"))
-    double = probes.join(words, F.col("_word") == F.col("_key")).where(
+    double = probes.join(words.hint("merge"), F.col("_word") == F.col("_key")).where(
         F.size(F.array_intersect("_words", "_theirs")) > 1).groupBy("_name").agg(F.min("pos").alias("pos"))
 
     long_words = F.array_distinct(F.filter(F.split("_name", r"\s+"), lambda w: F.length(w) > long_word))
     third = keyed.where(F.size("_words") > 0).select("_name", F.explode(long_words).alias("_long"))
     titles = refs.select("_ref", F.col("_ref").alias("_title"))
     holding = contained_pairs(third.select("_long").distinct(), titles, "_long", "_ref", "_title")
-    held = holding.join(refs.select("_ref", "pos"), "_ref").groupBy(F.col("_long").alias("_key")).agg(F.min("pos").alias("pos"))
-    third = third.join(held, F.col("_long") == F.col("_key")).select("_name", "pos")
+    held = holding.join(refs.select("_ref", "pos").hint("merge"), "_ref").groupBy(F.col("_long").alias("_key")).agg(F.min("pos").alias("pos"))
+    third = third.join(held.hint("merge"), F.col("_long") == F.col("_key")).select("_name", "pos")
     first = single.unionByName(double).unionByName(third).groupBy("_name").agg(F.min("pos").alias("pos"))
-    found = first.join(ref.select("pos", F.col("url").alias("match_url")), "pos").select("_name", "match_url")
+    found = first.join(ref.select("pos", F.col("url").alias("match_url")).hint("merge"), "pos").select("_name", "match_url")
     return _attach(df, found, name, ["match_url"])
 
 
@@ -164,59 +166,94 @@ def most_edits(length: Column, threshold: float) -> Column:
     return F.coalesce(*[F.when(1.0 - (guess - i) / longest > threshold, guess - i) for i in range(2)], guess - 2)
 
 
-def _segments(df: DataFrame, text: str, threshold: float) -> DataFrame:
-    """(long, size, edits, nth, place, piece): each name cut into one segment more than its most edits."""
+WIDE = 12  # edits up to which a segment is looked for at its possible places only
+
+
+def _segments(df: DataFrame, text: str, threshold: float, edits: Callable = most_edits) -> DataFrame:
+    """(long, size, edits, nth, slot, place, piece, further columns): each name cut into one segment
+    more than its most edits. ``slot`` is the number of the segment, or -1 in names of many edits."""
     size = F.char_length(text)
-    cut = df.select(F.col(text).alias("long"), size.alias("size"), most_edits(size, threshold).alias("edits"))
+    further = [F.col(c) for c in df.columns if c != text]
+    cut = df.select(F.col(text).alias("long"), size.alias("size"), edits(size, threshold).alias("edits"), *further)
     nth = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("nth"))
-    begin = F.floor(F.col("nth") * F.col("size") / (F.col("edits") + 1)).cast("int")
-    end = F.floor((F.col("nth") + 1) * F.col("size") / (F.col("edits") + 1)).cast("int")
-    return nth.select("long", "size", "edits", "nth", begin.alias("place"), F.substring(F.col("long"), begin + 1, end - begin).alias("piece"))
+    begin, end = _ends()
+    slot = F.when(F.col("edits") <= WIDE, F.col("nth")).otherwise(-1)
+    return nth.withColumns({"slot": slot, "place": begin, "piece": F.substring(F.col("long"), begin + 1, end - begin)})
 
 
-def _pieces_for(df: DataFrame, text: str, threshold: float, longer: int) -> DataFrame:
-    """(short, own, size, at, piece): the pieces of a name that may be a segment of a name of ``size``
-    characters, ``longer`` or more characters longer, in the two lengths that such segments have."""
-    own = F.char_length(text)
-    most = F.ceil(own / threshold).cast("int")
-    sizes = df.select(F.col(text).alias("short"), own.alias("own"),
-                      F.explode(F.when(most >= own + longer, F.sequence(own + longer, most))).alias("size"))
-    edits = most_edits(F.col("size"), threshold)
-    usable = sizes.where(F.col("size") - F.col("own") <= edits)
-    least = F.floor(F.col("size") / (edits + 1)).cast("int")
-    lengths = F.array_distinct(F.array(least, F.ceil(F.col("size") / (edits + 1)).cast("int")))
-    each = usable.select("short", "own", "size", F.explode(lengths).alias("n")).where(F.col("n") <= F.col("own"))
-    at = each.select("*", F.explode(F.sequence(F.lit(0), F.col("own") - F.col("n"))).alias("at"))
-    return at.select("short", "own", "size", "at", F.substring(F.col("short"), F.col("at") + 1, F.col("n")).alias("piece"))
+def _ends() -> tuple[Column, Column]:
+    """Begin and end of the ``nth`` segment of a name of ``size`` characters."""
+    return tuple(F.floor((F.col("nth") + i) * F.col("size") / (F.col("edits") + 1)).cast("int") for i in range(2))
 
 
-def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str = "_name", ref: str = "_ref") -> DataFrame:
-    """(name, ref, edits): every two names whose edits are less than ``1 - threshold`` of the longer's length.
+def _pieces_for(df: DataFrame, text: str, threshold: float, longer: int, known: DataFrame, edits: Callable = most_edits,
+                stretch: Callable = lambda t: 1 / t) -> DataFrame:
+    """(short, own, size, slot, at, piece, further columns): the pieces of a name that may be a segment of a
+    name of ``size`` characters, ``longer`` or more characters longer, for the sizes in ``known``.
 
-    With at most d edits one of d + 1 segments of the longer name stands in the shorter one
-    unchanged, shifted by no more than the edits before or after it, so the two meet in a join
-    on length and segment. Each of the two tables gives the longer name once. Cost grows with
-    the square of a name's length, as names are short.
+    A segment that edits leave whole has as many before it, at least, as segments before it or as it is
+    shifted, and as many after it as the rest is. Names of many edits give all pieces of the two lengths
+    that segments have.
     """
+    own = F.char_length(text)
+    most = F.ceil(own * stretch(threshold)).cast("int")
+    further = [F.col(c) for c in df.columns if c != text]
+    sizes = df.select(F.col(text).alias("short"), own.alias("own"), *further,
+                      F.explode(F.when(most >= own + longer, F.sequence(own + longer, most))).alias("size"))
+    # one row for each length of a name, so small by nature
+    usable = sizes.join(F.broadcast(known), "size").withColumn("edits", edits(F.col("size"), threshold)).where(F.col("size") - F.col("own") <= F.col("edits"))
+    tight = F.col("edits") <= WIDE
+    least = F.floor(F.col("size") / (F.col("edits") + 1)).cast("int")
+    uneven = F.when(F.col("size") % (F.col("edits") + 1) > 0, 1).otherwise(0)
+    nth = usable.select("*", F.explode(F.sequence(F.lit(0), F.when(tight, F.col("edits")).otherwise(uneven))).alias("nth"))
+    begin, end = _ends()
+    long = F.when(tight, end - begin).otherwise(least + F.col("nth"))
+    first = F.when(tight, F.greatest(begin - F.col("edits"), F.lit(0))).otherwise(0)
+    last = F.when(tight, F.least(begin + F.col("edits"), F.col("own") - long)).otherwise(F.col("own") - long)
+    at = nth.withColumns({"place": begin, "n": long, "first": first, "last": last}).where("first <= last").select(
+        "*", F.explode(F.sequence("first", "last")).alias("at"))
+    shift = F.col("at") - F.col("place")
+    possible = F.greatest(F.abs(shift), F.col("nth")) + F.abs(F.col("own") - F.col("size") - shift) <= F.col("edits")
+    slot = F.when(tight, F.col("nth")).otherwise(-1).alias("slot")
+    return at.where(~tight | possible).select("short", "own", "size", slot, "at", F.substring(F.col("short"), F.col("at") + 1, F.col("n")).alias("piece"),
+                                              *[c for c in df.columns if c != text])
+
+
+def _meetings(names: DataFrame, refs: DataFrame, threshold: float, name: str, ref: str, **kind) -> DataFrame:
+    """(name, ref, further columns) of names that share a segment and are within the edits of the longer one,
+    one row or more for each two. Both sides are shuffled: of the rows that names are cut into Spark's
+    estimate knows nothing."""
     def met(long_df, long, short_df, short, longer):
-        cut, probe = _segments(long_df, long, threshold), _pieces_for(short_df, short, threshold, longer)
+        known = long_df.select(F.char_length(long).alias("size")).distinct()
+        cut = _segments(long_df, long, threshold, kind.get("edits", most_edits))
+        probe = _pieces_for(short_df, short, threshold, longer, known, **kind)
         left, gap = F.col("edits") - F.col("nth"), F.col("own") - F.col("_size")
         near = (F.abs(F.col("at") - F.col("place")) <= F.col("nth")) & (F.abs(F.col("at") - F.col("place") - gap) <= left)
+        near = near | (F.col("slot") >= 0)
         # verified where they meet, so that only similar pairs are shuffled again
         alike = F.expr("levenshtein(short, long, edits) >= 0")
-        both = probe.join(cut.withColumnsRenamed({"size": "_size", "piece": "_piece"}),
-                          (F.col("size") == F.col("_size")) & (F.col("piece") == F.col("_piece")) & near & alike)
-        pairs = both.select("short", "long").distinct()
-        return pairs.select(F.col(short_or(short, long, name)).alias(name), F.col(short_or(short, long, ref)).alias(ref),
-                            F.levenshtein("short", "long").alias("edits"))
-
-    def short_or(short, long, wanted):
-        return "short" if short == wanted else "long"
+        both = probe.join(cut.withColumnsRenamed({"size": "_size", "piece": "_piece", "slot": "_slot"}).hint("merge"),
+                          (F.col("size") == F.col("_size")) & (F.col("slot") == F.col("_slot")) & (F.col("piece") == F.col("_piece")) & near & alike)
+        out = {"short": short, "long": long}
+        return both.withColumnsRenamed(out).select(name, ref, *[c for d, x in ((names, name), (refs, ref)) for c in d.columns if c != x])
 
     return met(refs, ref, names, name, 0).unionByName(met(names, name, refs, ref, 1))
 
 
+def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str = "_name", ref: str = "_ref") -> DataFrame:
+    """(name, ref, edits): every two names whose edits are less than ``1 - threshold`` of the longer's length.
+
+    With at most d edits one of d + 1 segments of the longer name stands in the shorter one
+    unchanged, shifted by no more than the edits before or after it, so the two meet in a join
+    on length, segment and its number. Each of the two tables gives the longer name once. Cost grows
+    with the square of a name's length, as names are short.
+    """
+    pairs = _meetings(names.select(name), refs.select(ref), threshold, name, ref).distinct()
+    return pairs.withColumn("edits", F.levenshtein(name, ref))
+
+
 SURE = (0.9, 0.75)  # names with a partner above one of these are not looked up again below it
+SURE_RATIO = (0.9, 0.88, 0.85)  # the same for matched letters; an edit more costs most, so in small steps
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -224,18 +261,18 @@ def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: s
     """The most similar reference entry above the threshold, the first one on ties. Adds
     ``match_url`` and ``match_score``.
 
-    Exact. By edit distance, names meet through segments (``similar_pairs``), first those that
-    are very alike; only names without such a partner go on to the threshold itself. Other
-    metrics compare blocks of names of like length.
+    Exact. Names meet through segments (``similar_pairs``), first those that are very alike; only
+    names without such a partner go on, by edit distance to the threshold itself, by other metrics
+    to a comparison of blocks of names of like length.
     """
     mine = durable(df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct())
     refs = durable(
         ref.select(F.lower("name").alias("_ref"), "pos", "url").where(F.col("_ref").isNotNull()).groupBy("_ref")
         .agg(F.min("pos").alias("pos"), F.min_by("url", "pos").alias("url"))
     )
-    best = _best_by_edits(mine, refs, threshold) if metric == "levenshtein" else _best_in_blocks(mine, refs, threshold, metric)
+    best = (_best_by_edits if metric == "levenshtein" else _best_by_letters)(mine, refs.select("_ref", "pos"), threshold, metric)
     found = best.select("_name", F.col("m.score").alias("match_score"), F.col("m.pos").alias("pos")).join(
-        refs.select(F.col("pos"), F.col("url").alias("match_url")), "pos").drop("pos")
+        refs.select(F.col("pos"), F.col("url").alias("match_url")).hint("merge"), "pos").drop("pos")
     return _attach(df, found, name, ["match_url", "match_score"])
 
 
@@ -243,15 +280,46 @@ def _best(scored: DataFrame) -> DataFrame:
     return scored.groupBy("_name").agg(F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
 
 
-def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
+def _staged(mine: DataFrame, stages, best_at: Callable) -> tuple[DataFrame | None, DataFrame]:
+    """The best partners that ``best_at`` finds above each of the stages, and the names without one."""
     found = None
-    longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
-    for least in (*[s for s in SURE if s > threshold], threshold):
-        pairs = similar_pairs(mine, refs.select("_ref"), least).withColumn("score", 1.0 - F.col("edits") / longest)
-        best = durable(_best(pairs.join(refs.select("_ref", "pos"), "_ref")))
+    for least in stages:
+        best = durable(_best(best_at(mine, least)))
         found = best if found is None else found.unionByName(best)
-        mine = mine.join(best.select("_name"), "_name", "left_anti")
-    return found
+        mine = durable(mine.join(best.select("_name").hint("merge"), "_name", "left_anti"))
+        if mine.isEmpty():
+            break
+    return found, mine
+
+
+def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float, metric: str = "levenshtein") -> DataFrame:
+    longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
+
+    def best_at(names, least):
+        return _meetings(names, refs, least, "_name", "_ref").withColumn("score", 1.0 - F.levenshtein("_name", "_ref") / longest)
+
+    return _staged(mine, (*[s for s in SURE if s > threshold], threshold), best_at)[0]
+
+
+def _best_by_letters(mine: DataFrame, refs: DataFrame, threshold: float, metric: str) -> DataFrame:
+    """Letters that a sequence matcher leaves unmatched, of both names, are edits, of which two of the same
+    length have the most."""
+    def unmatched(length, least):
+        return most_edits(2 * length, least - 1e-9)
+
+    @F.arrow_udf("double")
+    def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+
+    def best_at(names, least):
+        met = _meetings(names, refs, least, "_name", "_ref", edits=unmatched, stretch=lambda t: (2 - t) / t)
+        return met.withColumn("score", ratio.asNondeterministic()("_name", "_ref")).where(F.col("score") > least)
+
+    found, left = _staged(mine, [s for s in SURE_RATIO if s > threshold], best_at)
+    if found is not None and left.isEmpty():
+        return found
+    rest = _best_in_blocks(left, refs, threshold, metric)
+    return rest if found is None else found.unionByName(rest)
 
 
 # metric -> best partner in a block, and the least quotient of the lengths of two names that can exceed a threshold

@@ -338,6 +338,62 @@ def test_segments_keep_most_pairs_apart(spark):
     assert cut.agg({"count": "max"}).first()[0] == 8  # seven edits at most
 
 
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {kind: plan.count(f"{kind} [") for kind in ("SortMergeJoin", "BroadcastHashJoin", "BroadcastNestedLoopJoin", "CartesianProduct")}
+
+
+def test_cut_names_are_not_sent_through_the_driver(names):
+    mine, theirs, df, ref = names
+    plan = _joins(M.similar_pairs(df.select(F.col("name").alias("_name")), ref.select(F.col("name").alias("_ref")), 0.75))
+    # broadcast are only the lengths that names have
+    assert plan == {"SortMergeJoin": 2, "BroadcastHashJoin": 2, "BroadcastNestedLoopJoin": 0, "CartesianProduct": 0}
+    assert _joins(M.match_fuzzy(df, ref))["BroadcastHashJoin"] == 0
+
+
+def test_words_are_not_sent_through_the_driver(names):
+    mine, theirs, df, ref = names
+    plan = _joins(M.match_tokens(df, ref))
+    assert plan["SortMergeJoin"] and not plan["BroadcastHashJoin"]
+
+
+def test_segments_meet_at_possible_places_only(spark):
+    """Names that share their last word, but not within the edits, are no candidates."""
+    rng = random.Random(4)
+    codes = ["".join(rng.choice("kelomatrin") for _ in range(8)) for _ in range(200)]
+    names = spark.createDataFrame([(f"{c} almond",) for c in codes], "_name string")
+    refs = spark.createDataFrame([(f"{c[1:]} almond3s",) for c in codes], "_ref string")
+    cut, known = M._segments(refs, "_ref", 0.75), refs.select(F.char_length("_ref").alias("size")).distinct()
+    probe = M._pieces_for(names, "_name", 0.75, 0, known)
+    met = probe.join(cut.withColumnRenamed("nth", "_nth"), ["size", "slot", "piece"]).select("short", "long").distinct().count()
+    assert 200 <= met < 2000  # of 40,000
+    assert M.similar_pairs(names, refs, 0.75).count() >= 200
+
+
+def test_names_of_many_edits_meet(spark):
+    a = "a very long name of a farm by the river that has more than fifty characters"
+    b = a.replace("river", "stream").replace("fifty", "some forty").replace("very", "quite")
+    got = M.similar_pairs(spark.createDataFrame([(a,)], "_name string"), spark.createDataFrame([(b,)], "_ref string"), 0.6).collect()
+    assert [tuple(r) for r in got] == [(a, b, _edits(a, b))]
+
+
+def test_only_names_without_a_like_partner_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    codes = ["".join(rng.choice("kelomatrin") for _ in range(9)) for _ in range(60)]
+    df = spark.createDataFrame([*((i, f"{c} almond") for i, c in enumerate(codes)), (60, "abcde")], "id long, name string")
+    ref = spark.createDataFrame([*((f"{c[1:]} almond3s", i, f"u{i}") for i, c in enumerate(codes)), ("abcdxyz", 60, "u60")], "name string, pos long, url string")
+    asked = []
+
+    def met(left, *rest, **options):
+        asked.extend(r["_name"] for r in left.select("_name").distinct().collect())
+        return meet_in_blocks(left, *rest, **options)
+
+    monkeypatch.setattr(M, "meet_in_blocks", met)
+    got = {r["id"]: r["match_url"] for r in M.match_fuzzy(df, ref, metric="ratio").collect()}
+    assert asked == ["abcde"]
+    assert got == {i: f"u{i}" for i in range(61)}
+
+
 def test_two_common_words_are_not_paired_with_each_other(spark):
     """A name of many words looks up each word but its commonest once, not every pair of them."""
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
