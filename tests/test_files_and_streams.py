@@ -319,3 +319,34 @@ def test_json_files_are_read_in_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     read = tables.read_json(spark, str(tmp_path / "array"), "id int, text string")
     assert read.count() == 247 and sorted(r["text"] for r in read.where("id = 5").collect()) == sorted([records[5]["text"]] * 3)
+
+
+def test_names_of_a_group_are_taken_one_by_one(spark, tmp_path, monkeypatch):
+    """All names in one group of the state: known ones, repeated ones and those of a later batch."""
+    monkeypatch.setattr(ingest, "NAME_GROUPS", 1)
+    cols = [f.name for f in schemas.SUBMISSIONS.fields]
+
+    def send(batch, names):
+        rows = [{"name": n, "description": f"a long enough description {batch} {i}", "latitude": 1.0, "longitude": 2.0} for i, n in enumerate(names)]
+        spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schemas.SUBMISSIONS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        known = spark.createDataFrame([("Old Farm",), (None,), ("old farm",), ("other",)], "name string")
+        ingest.ingest_submissions(ingest.read_submissions(spark, str(tmp_path / "in")), lambda: known, str(tmp_path / "ok"),
+                                  str(tmp_path / "no"), str(tmp_path / "ckpt"), datetime(2024, 1, 10)).awaitTermination()
+        return sorted(r["name"].lower() for r in spark.read.parquet(str(tmp_path / "ok")).collect())
+
+    assert send(1, ["old farm", "New", " new ", "Third"]) == ["new", "third"]
+    assert send(2, ["third", "OTHER", "Fourth", "new"]) == ["fourth", "new", "third"]
+    assert spark.read.parquet(str(tmp_path / "no")).count() == 5
+
+
+def test_bodies_cross_in_small_batches(spark):
+    from meadowlark.operators import html as HT
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        pages = spark.range(600).select(F.concat(F.lit("<p>a "), "id", F.lit("</p><script>x</script>")).alias("html"))
+        assert {r["text"] for r in HT.html_text(pages).collect()} == {f"a {i}" for i in range(600)}
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= HT.BATCH_PAGES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
