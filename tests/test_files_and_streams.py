@@ -327,7 +327,7 @@ def test_names_of_a_group_are_taken_one_by_one(spark, tmp_path, monkeypatch):
     cols = [f.name for f in schemas.SUBMISSIONS.fields]
 
     def send(batch, names):
-        rows = [{"name": n, "description": f"a long enough description {batch} {i}", "latitude": 1.0, "longitude": 2.0} for i, n in enumerate(names)]
+        rows = [{"name": n, "description": f"an organic farm and ecovillage community {batch} {i}", "country": "Spain", "latitude": 1.0, "longitude": 2.0} for i, n in enumerate(names)]
         spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schemas.SUBMISSIONS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
         known = spark.createDataFrame([("Old Farm",), (None,), ("old farm",), ("other",)], "name string")
         ingest.ingest_submissions(ingest.read_submissions(spark, str(tmp_path / "in")), lambda: known, str(tmp_path / "ok"),
