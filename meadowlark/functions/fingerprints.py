@@ -9,6 +9,9 @@ length. All the classes of a long text are found in one pass over its bytes.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from meadowlark.functions import bloom
+
 PIECE = 8
 WINDOWS = (64, 16, 4, 1)  # powers of two
 AT_ONCE = 1 << 20  # bytes of text in one numpy pass
@@ -88,10 +93,14 @@ def _lists(texts: pa.Array, rows_of: dict[int, np.ndarray]) -> pa.ListArray:
             row, h = _of_class(data, ends - ends[0], kind)
             mine = rows[a:b][row]
             found.append((row[mine] + a, h[mine]))
+    return _as_lists(found, len(texts))
+
+
+def _as_lists(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.ListArray:
     row = np.concatenate([r for r, _ in found] or [np.zeros(0, np.int64)])
     h = np.concatenate([x for _, x in found] or [np.zeros(0, np.uint64)]).view(np.int64)
     order = np.argsort(row, kind="stable")
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order]))
 
 
@@ -112,3 +121,34 @@ def own_fingerprints(text, kind) -> Column:
         return _lists(texts, {int(k): kinds == k for k in np.unique(kinds) if k})
 
     return of_own.asNondeterministic()(F.col(text), F.col(kind))
+
+
+def _remainders(texts: pa.Array, keeps: pa.Array, cells: np.ndarray | None = None) -> pa.ListArray:
+    alike, found = defaultdict(list), []
+    names = texts.to_pylist()
+    for i, (name, kept) in enumerate(zip(names, keeps.to_pylist())):
+        for keep in kept or ():
+            alike[len(name), keep].append(i)
+    for (size, keep), rows in alike.items():
+        chars = np.frombuffer("".join(names[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
+        left = np.array(list(combinations(range(size), keep)), np.int64)
+        h = np.full((len(rows), len(left)), keep, np.uint64)
+        for k in range(keep):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + chars[:, left[:, k]]
+        h = np.sort(_mix(h), axis=1)
+        new = np.ones(h.shape, bool)
+        new[:, 1:] = h[:, 1:] != h[:, :-1]
+        row, h = np.repeat(np.array(rows, np.int64), len(left)).reshape(h.shape)[new], h[new]
+        some = slice(None) if cells is None else bloom.maybe(cells, h)
+        found.append((row[some], h[some]))
+    return _as_lists(found, len(names))
+
+
+def remainders(text, keeps, held=None) -> Column:
+    """Hashes, each once, of what is left of a text when all but ``keep`` characters are taken out, in every way
+    and for every ``keep`` of the list; of those only what may be in the filter ``held``, a broadcast one."""
+    @F.arrow_udf(ArrayType(LongType()))
+    def of_all(texts: pa.Array, kept: pa.Array) -> pa.Array:
+        return _remainders(texts, kept, held and held.value)
+
+    return of_all.asNondeterministic()(F.col(text), F.col(keeps))

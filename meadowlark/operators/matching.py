@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meadowlark import constants as K
+from meadowlark.functions import bloom
 from meadowlark.functions import extract as X
 from meadowlark.functions import fingerprints as P
 from meadowlark.functions import text as T
@@ -187,13 +188,13 @@ def _ends() -> tuple[Column, Column]:
 
 
 def _pieces_for(df: DataFrame, text: str, threshold: float, longer: int, known: DataFrame, edits: Callable = most_edits,
-                stretch: Callable = lambda t: 1 / t) -> DataFrame:
+                stretch: Callable = lambda t: 1 / t, others: Callable = lambda rows, text: rows) -> DataFrame:
     """(short, own, size, slot, at, piece, further columns): the pieces of a name that may be a segment of a
     name of ``size`` characters, ``longer`` or more characters longer, for the sizes in ``known``.
 
     A segment that edits leave whole has as many before it, at least, as segments before it or as it is
     shifted, and as many after it as the rest is. Names of many edits give all pieces of the two lengths
-    that segments have.
+    that segments have. ``others`` leaves the pairs of lengths that are asked for.
     """
     own = F.char_length(text)
     most = F.ceil(own * stretch(threshold)).cast("int")
@@ -202,6 +203,7 @@ def _pieces_for(df: DataFrame, text: str, threshold: float, longer: int, known:
                       F.explode(F.when(most >= own + longer, F.sequence(own + longer, most))).alias("size"))
     # one row for each length of a name, so small by nature
     usable = sizes.join(F.broadcast(known), "size").withColumn("edits", edits(F.col("size"), threshold)).where(F.col("size") - F.col("own") <= F.col("edits"))
+    usable = others(usable, text)
     tight = F.col("edits") <= WIDE
     least = F.floor(F.col("size") / (F.col("edits") + 1)).cast("int")
     uneven = F.when(F.col("size") % (F.col("edits") + 1) > 0, 1).otherwise(0)
@@ -253,7 +255,11 @@ def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str
 
 
 SURE = (0.9, 0.75)  # names with a partner above one of these are not looked up again below it
-SURE_RATIO = (0.9, 0.88, 0.85)  # the same for matched letters; an edit more costs most, so in small steps
+SURE_RATIO = (0.88, 0.85)  # the same for matched letters; a letter more taken out costs most, so in small steps
+WAYS = (512, 128)  # ways to take letters out of a name up to which names meet by what is left, for few and for many names
+CHEAP = 32  # comparisons in place of which one remainder is cut
+FILTERED = bloom.MOST_BITS // 16  # remainders of names up to which a filter of them is sent to the references,
+SPARSE = 8  # if these have so many times as many
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -261,9 +267,10 @@ def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: s
     """The most similar reference entry above the threshold, the first one on ties. Adds
     ``match_url`` and ``match_score``.
 
-    Exact. Names meet through segments (``similar_pairs``), first those that are very alike; only
-    names without such a partner go on, by edit distance to the threshold itself, by other metrics
-    to a comparison of blocks of names of like length.
+    Exact. Names meet through segments (``similar_pairs``), by matched letters through what is left of
+    them when a few are taken out, first those that are very alike; only names without such a partner go
+    on, by edit distance to the threshold itself, by other metrics to a comparison of blocks of names of
+    like length.
     """
     mine = durable(df.select(F.lower(F.col(name)).alias("_name")).where(F.col("_name").isNotNull()).distinct())
     refs = durable(
@@ -301,6 +308,57 @@ def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float, metric: s
     return _staged(mine, (*[s for s in SURE if s > threshold], threshold), best_at)[0]
 
 
+def _letters_left(a: Column, b: Column, least: float) -> Column:
+    """The fewest letters that two names of these lengths, not both empty, must share in order to exceed the ratio."""
+    guess = F.floor((a + b) * (least / 2)).cast("int")
+    return F.when(2.0 * guess / (a + b) > least, guess).otherwise(guess + 1)
+
+
+def _ways(size: Column, out: Column) -> Column:
+    """Ways to take up to three letters out of a name."""
+    return (F.when(out == 0, 1).when(out == 1, size).when(out == 2, size * (size - 1) / 2)
+            .when(out == 3, size * (size - 1) * (size - 2) / 6).cast("long"))
+
+
+def _lengths(names: DataFrame, refs: DataFrame, least: float) -> DataFrame:
+    """(_a, _b, _keep, _ways, _cut_a, _cut_b): for two lengths of names and references how many letters they must
+    share and how many remainders of so many letters both sides have, if these are far fewer than
+    the comparisons of such names. One row for each two lengths, so small by nature."""
+    asked = names.groupBy(F.char_length("_name").alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
+    held = refs.groupBy(F.char_length("_ref").alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
+    both = asked.crossJoin(F.broadcast(held)).where("_a > 0 AND _b > 0").withColumn("_keep", _letters_left(F.col("_a"), F.col("_b"), least))
+    a, b = (_ways(F.col(x), F.col(x) - F.col("_keep")) for x in ("_a", "_b"))
+    cut = both.withColumns({"_ways": F.greatest(a, b), "_cut_a": F.col("_n") * a, "_cut_b": F.col("_m") * b}).where(a.isNotNull() & b.isNotNull())
+    return durable(cut.where(F.col("_n") * F.col("_m") > CHEAP * (F.col("_cut_a") + F.col("_cut_b"))))
+
+
+def _same_remainder(names: DataFrame, refs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(_name, _ref, pos) of names that may exceed the ratio, and the lengths (_a, _b) that this holds of: two that
+    share so many letters, in order, are the same when the others are taken out. What is left is nearly
+    the whole name, so a word that many names have brings no two of them together.
+
+    Few names send a filter of their remainders, of bounded size, to the references, which then may
+    have more of them.
+    """
+    lengths = _lengths(names, refs, least)
+
+    def cut(df: DataFrame, text: str, size: str, held=None) -> DataFrame:
+        keeps = pairs.groupBy(size).agg(F.collect_set("_keep").alias("_keeps"))
+        own = df.join(F.broadcast(keeps), F.char_length(text) == F.col(size))
+        return own.withColumn("_left", F.explode(P.remainders(text, "_keeps", held))).select(*df.columns, F.col("_left").alias(f"_left{size}"))
+
+    mine, held = names.select("_name"), None
+    pairs = lengths.where(F.col("_ways") <= WAYS[0])
+    sums = [F.coalesce(F.sum(f"_cut_{x}"), F.lit(0)) for x in "ab"]
+    keys, others = (pairs.select(f"_{x}", "_keep", f"_cut_{x}").distinct().agg(n).first()[0] for x, n in zip("ab", sums))
+    if keys > FILTERED or SPARSE * keys > others:
+        pairs = lengths.where(F.col("_ways") <= WAYS[1])
+    elif keys:
+        held = names.sparkSession.sparkContext.broadcast(bloom.build(cut(mine, "_name", "_a").select("_left_a"), keys))
+    met = cut(mine, "_name", "_a").join(cut(refs, "_ref", "_b", held).hint("merge"), F.col("_left_a") == F.col("_left_b"))
+    return met.select("_name", *refs.columns), pairs.select("_a", "_b")
+
+
 def _best_by_letters(mine: DataFrame, refs: DataFrame, threshold: float, metric: str) -> DataFrame:
     """Letters that a sequence matcher leaves unmatched, of both names, are edits, of which two of the same
     length have the most."""
@@ -311,8 +369,20 @@ def _best_by_letters(mine: DataFrame, refs: DataFrame, threshold: float, metric:
     def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
+    # names grow to many rows, so each core has some of them
+    tasks = 4 * mine.sparkSession.sparkContext.defaultParallelism
+    refs = durable(refs.repartition(tasks, "_ref"))
+
     def best_at(names, least):
-        met = _meetings(names, refs, least, "_name", "_ref", edits=unmatched, stretch=lambda t: (2 - t) / t)
+        names = names.repartition(tasks, "_name")
+        same, known = _same_remainder(names, refs, least)
+
+        def others(rows, text):
+            a, b = ("own", "size") if text == "_name" else ("size", "own")
+            return rows.join(F.broadcast(known.select(F.col("_a").alias(a), F.col("_b").alias(b))), [a, b], "left_anti")
+
+        met = _meetings(names, refs, least, "_name", "_ref", edits=unmatched, stretch=lambda t: (2 - t) / t, others=others)
+        met = met.unionByName(same).distinct()
         return met.withColumn("score", ratio.asNondeterministic()("_name", "_ref")).where(F.col("score") > least)
 
     found, left = _staged(mine, [s for s in SURE_RATIO if s > threshold], best_at)

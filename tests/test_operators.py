@@ -329,6 +329,50 @@ def test_similar_pairs_lose_none(spark, threshold):
     assert sorted(tuple(r) for r in got.select("_name", "_ref", "edits").collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("filtered", [1 << 20, 0])
+def test_names_meet_by_what_is_left_of_them(spark, monkeypatch, filtered):
+    """Names that share a word are not compared for it, and none is lost, with a filter and without."""
+    rng = random.Random(11)
+    codes = ["".join(rng.choice("kelomatrin") for _ in range(rng.choice([2, 5, 6, 7, 8]))) for _ in range(150)]
+    mine = [*(f"{c} almond" for c in codes), "aaaaaaaaaaaa", "é b", ""]
+    theirs = [*(f"{c[1:]} almond{len(c) % 3}s" for c in codes), *(f"{c[:3]}x{c[3:]} almond" for c in codes[:40]), "aaaaaaaaaaa", "é bc", ""]
+    monkeypatch.setattr(M, "CHEAP", 0)
+    monkeypatch.setattr(M, "FILTERED", filtered)
+    monkeypatch.setattr(M, "SPARSE", 0)
+    cut, compared, meetings = [], [], M._meetings
+
+    def remainders(text, keeps, held=None, real=M.P.remainders):
+        cut.append((text, held is not None))
+        return real(text, keeps, held)
+
+    def counted(*args, **kind):
+        met = meetings(*args, **kind)
+        compared.append(met.count())
+        return met
+
+    monkeypatch.setattr(M.P, "remainders", remainders)
+    monkeypatch.setattr(M, "_meetings", counted)
+    df = spark.createDataFrame(list(enumerate(mine)), "id long, name string")
+    ref = spark.createDataFrame([(n, i, f"u{i}") for i, n in enumerate(theirs)], "name string, pos long, url string")
+    got = {r["id"]: (r["match_url"], r["match_score"]) for r in M.match_fuzzy(df, ref, metric="ratio").collect()}
+    for i, n in enumerate(mine):
+        score, at = max(((SequenceMatcher(None, n, k).ratio(), -p) for p, k in enumerate(theirs)))
+        assert got[i] == ((f"u{-at}", score) if score > 0.6 else (None, None)), n
+    assert ("_name", False) in cut and ("_ref", filtered > 0) in cut
+    assert compared[0] < 20  # of 29,000 pairs; those of other lengths meet by what is left
+
+
+def test_remainders_are_subsequences(spark):
+    from itertools import combinations
+
+    names = ["abcab", "aaaa", "kelo ring", "é€😀x", None, ""]
+    rows_ = [(i, n, [len(n) - k for k in (0, 1, 2) if len(n) > k] if n else None) for i, n in enumerate(names)]
+    got = {r["id"]: r["h"] for r in spark.createDataFrame(rows_, "id int, t string, k array<int>").select("id", M.P.remainders("t", "k").alias("h")).collect()}
+    for i, n, keeps in rows_:
+        want = {"".join(c) for k in keeps or () for c in combinations(n, k)}
+        assert len(got[i]) == len(set(got[i])) == len(want)
+
+
 def test_segments_keep_most_pairs_apart(spark):
     rng = random.Random(8)
     names = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(20)),) for _ in range(400)], "_name string")
