@@ -9,6 +9,7 @@ length. All the classes of a long text are found in one pass over its bytes.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from itertools import combinations
 
@@ -128,8 +129,11 @@ def _remainders(texts: pa.Array, keeps: pa.Array, cells: np.ndarray | None = Non
     names = texts.to_pylist()
     for i, (name, kept) in enumerate(zip(names, keeps.to_pylist())):
         for keep in kept or ():
-            alike[len(name), keep].append(i)
-    for (size, keep), rows in alike.items():
+            if keep <= len(name):
+                alike[len(name), keep].append(i)
+    parts = ((size, keep, rows[i: i + n]) for (size, keep), rows in alike.items() for n in [max(1, AT_ONCE // math.comb(size, keep))]
+             for i in range(0, len(rows), n))
+    for size, keep, rows in parts:
         chars = np.frombuffer("".join(names[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
         left = np.array(list(combinations(range(size), keep)), np.int64)
         h = np.full((len(rows), len(left)), keep, np.uint64)

@@ -146,12 +146,17 @@ def _letter_counts(names: list[str]) -> np.ndarray:
     return out
 
 
-def _best_ratio(a: str, own: np.ndarray, block) -> tuple[float, int]:
+def _best_ratio(a: str, own: np.ndarray, block, threshold: float) -> tuple[float, int]:
+    """The best partner above the threshold, or -1. Only references that share enough letters are put in order."""
     names, lengths, letters, pos = block
     total = np.maximum(lengths + len(a), 1)
-    bound = 2.0 * np.minimum(letters, own).sum(axis=1) / total
+    some = np.flatnonzero(own)
+    bound = 2.0 * np.minimum(letters[some], own[some, None]).sum(axis=0) / total
+    if not len(a):
+        bound = np.where(lengths == 0, 1.0, bound)
+    able = np.flatnonzero(bound > threshold)
     best, at = -1.0, -1
-    for i in np.lexsort((pos, -bound)):
+    for i in able[np.lexsort((pos[able], -bound[able]))]:
         if bound[i] < best:
             break
         score = SequenceMatcher(None, a, names[i]).ratio()
@@ -254,12 +259,20 @@ def similar_pairs(names: DataFrame, refs: DataFrame, threshold: float, name: str
     return pairs.withColumn("edits", F.levenshtein(name, ref))
 
 
-SURE = (0.9, 0.75)  # names with a partner above one of these are not looked up again below it
-SURE_RATIO = (0.88, 0.85)  # the same for matched letters; a letter more taken out costs most, so in small steps
-WAYS = (512, 128)  # ways to take letters out of a name up to which names meet by what is left, for few and for many names
-CHEAP = 32  # comparisons in place of which one remainder is cut
+# names with a partner above one of these are not looked up again below it; a letter more taken out costs most, so in small steps
+SURE = (0.9, 0.88, 0.85, 0.82, 0.8, 0.79, 0.78, 0.77, 0.76, 0.75, 0.74, 0.72, 0.7, 0.65)
+SURE_RATIO = (0.9, 0.88, 0.85, 0.8)  # the same for matched letters; from LIKELY on only if names meet by what is left of them alone
+LIKELY = 0.85
+EASY = 1 << 22  # remainders up to which steps are taken together,
+STEEP = 2  # or if they are so many times those of the next step alone
+WAYS = 512  # remainders of a name, on average, up to which names meet by what is left
+MOST_WAYS = 1 << 13  # and of a single one
+LONGEST = 256  # letters of names that meet by what is left
+CHEAP = 32  # comparisons by a sequence matcher in place of which one remainder is cut,
+QUICK = 16  # and so many times more by edits
 FILTERED = bloom.MOST_BITS // 16  # remainders of names up to which a filter of them is sent to the references,
-SPARSE = 8  # if these have so many times as many
+LOOSE = 12  # or so many times more of references up to which one is sent to the names,
+SPARSE = 8  # if the other side has so many times as many
 
 
 def match_fuzzy(df: DataFrame, ref: DataFrame, threshold: float = 0.6, metric: str = "levenshtein",
@@ -287,11 +300,127 @@ def _best(scored: DataFrame) -> DataFrame:
     return scored.groupBy("_name").agg(F.max_by(F.struct("score", "pos"), F.struct("score", -F.col("pos"))).alias("m"))
 
 
-def _staged(mine: DataFrame, stages, best_at: Callable) -> tuple[DataFrame | None, DataFrame]:
-    """The best partners that ``best_at`` finds above each of the stages, and the names without one."""
-    found = None
-    for least in stages:
-        best = durable(_best(best_at(mine, least)))
+def _letters(df: DataFrame, text: str) -> set[str]:
+    """All characters of the texts, found by tasks; of Unicode's, so of bounded number."""
+    def own(batches):
+        found = np.zeros(0, np.uint32)
+        for batch in batches:
+            joined = "".join(t for t in batch.column(0).to_pylist() if t)
+            found = np.union1d(found, np.frombuffer(joined.encode("utf-32-le"), np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], ["letter"])
+
+    return {chr(r[0]) for r in df.select(text).mapInArrow(own, "letter int").distinct().collect()}
+
+
+def _most_out(length: np.ndarray, least: float) -> np.ndarray:
+    """``most_edits`` of many lengths."""
+    longest = np.maximum(length, 1)
+    guess = np.ceil((1 - least) * longest).astype(np.int64)
+    return np.where(1.0 - guess / longest > least, guess, np.where(1.0 - (guess - 1) / longest > least, guess - 1, guess - 2))
+
+
+def _kept_by_edits(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """The fewest letters, in order, that names of these lengths share if their edits are within the threshold."""
+    longest = np.maximum(a, b)
+    return longest - _most_out(longest, least)
+
+
+def _kept_by_letters(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """The fewest letters that two names of these lengths must share in order to exceed the ratio."""
+    total = np.maximum(a + b, 1)
+    guess = np.floor(total * (least / 2)).astype(np.int64)
+    return np.where((2.0 * guess / total > least) | (a + b == 0), guess, guess + 1)
+
+
+_SIZE = np.arange(LONGEST + 1)
+_OUT = np.array([[float(math.comb(n, k)) for k in _SIZE] for n in _SIZE])  # ways to keep k of n letters
+
+
+class _Lengths:
+    """Names counted by length, and by the letters that may be kept, those that the other table has too. One row for
+    each two lengths is collected, so few by nature; all that is longer than ``LONGEST`` is one length."""
+
+    def __init__(self, df: DataFrame, text: str, kept: str):
+        size = [F.least(F.char_length(c), F.lit(LONGEST + 1)) for c in (text, kept)]
+        self.n, self.ways, self.most = np.zeros(LONGEST + 2), np.zeros((LONGEST + 1, LONGEST + 1)), np.zeros((LONGEST + 1, LONGEST + 1))
+        for a, c, n in df.groupBy(*size).count().collect():
+            self.n[a] += n
+            if a <= LONGEST:
+                self.ways[a] += n * _OUT[c]
+                self.most[a] = np.maximum(self.most[a], _OUT[c])
+
+
+class _Plan:
+    """Which lengths of names and references meet by what is left of them at a threshold, and at what cost. Lengths that
+    must share no fewer letters than at the step ``before`` have met there."""
+
+    def __init__(self, names: _Lengths, refs: _Lengths, least: float, kept: Callable, cheap: int, before: float | None):
+        a, b = np.meshgrid(_SIZE, _SIZE, indexing="ij")
+        self.least, self.keep = least, kept(a, b, least)
+        n, m = names.n[:-1, None], refs.n[None, :-1]
+        possible = (n > 0) & (m > 0) & (self.keep <= np.minimum(a, b))
+        self.met_before = np.zeros_like(possible) if before is None else possible & (self.keep >= kept(a, b, before))
+        possible &= ~self.met_before
+        at = np.clip(self.keep, 0, LONGEST)
+        cut_a, cut_b = names.ways[a, at], refs.ways[b, at]
+        settled = possible & (self.keep > 0) & (cut_a <= WAYS * n) & (cut_b <= WAYS * m) & (n * m > cheap * (cut_a + cut_b))
+        self.settled = settled & (names.most[a, at] <= MOST_WAYS) & (refs.most[b, at] <= MOST_WAYS)
+        # lengths that have too many letters which the other table has not are no work at all
+        self.settled |= possible & (self.keep > 0) & ((cut_a == 0) | (cut_b == 0))
+        self.met = self.settled & (cut_a > 0) & (cut_b > 0)
+        self.open = possible & ~self.settled
+        self.keys = [self._sum(names, a), self._sum(refs, b)]
+        self.cost = sum(self.keys) + (n * m)[self.open].sum() / max(cheap, 1)
+        self.long = [bool(x.n[-1]) for x in (names, refs)]
+
+    def _sum(self, side: _Lengths, size: np.ndarray) -> float:
+        return sum(side.ways[s, k] for s, k in {*zip(size[self.met].tolist(), self.keep[self.met].tolist())})
+
+    def keeps(self, axis: int) -> list[tuple[int, list[int]]]:
+        """For each length of names (0) or references (1) how many letters are kept."""
+        met, keep = (self.met, self.keep) if axis == 0 else (self.met.T, self.keep.T)
+        return [(int(s), sorted({*keep[s][met[s]].tolist()})) for s in np.flatnonzero(met.any(axis=1))]
+
+    def others(self, axis: int, text: str) -> Column:
+        """Names (0) or references (1) that may have partners of a length that is not settled."""
+        sizes = {*np.flatnonzero(self.open.any(axis=1 - axis)).tolist()}
+        if any(self.long):
+            sizes = {*_SIZE.tolist(), LONGEST + 1}
+        return F.least(F.char_length(text), F.lit(LONGEST + 1)).isin(sorted(sizes))
+
+    def all_settled(self) -> bool:
+        return not self.open.any() and not any(self.long)
+
+
+def _next_plan(names: _Lengths, refs: _Lengths, steps: list[float], kept: Callable, cheap: int, likely: float, before: float | None) -> _Plan | None:
+    """The lowest of the next steps that costs little, by itself or beside the first of them; below ``likely``
+    only if it settles all lengths."""
+    best = first = None
+    for least in steps:
+        plan = _Plan(names, refs, least, kept, cheap, before)
+        first = first or plan
+        if plan.cost > max(EASY, STEEP * first.cost) or (least < likely and not plan.all_settled()):
+            break
+        best = plan
+    return best
+
+
+def _staged(mine: DataFrame, refs: DataFrame, steps: list[float], kept: Callable, best_at: Callable,
+            cheap: int, likely: float = 0.0) -> tuple[DataFrame | None, DataFrame]:
+    """The best partners that ``best_at`` finds above the steps, and the names without one."""
+    own, theirs = _letters(mine, "_name"), _letters(refs, "_ref")
+    refs = refs.withColumn("_rkept", _without("_ref", theirs - own))
+    held, found, before = _Lengths(refs, "_ref", "_rkept"), None, None
+    while steps:
+        asked = mine.withColumn("_nkept", _without("_name", own - theirs))
+        plan = _next_plan(_Lengths(asked, "_name", "_nkept"), held, steps, kept, cheap, likely, before)
+        if plan is None:
+            break
+        before = plan.least
+        steps = [s for s in steps if s < plan.least]
+        if not plan.met.any() and plan.all_settled() and (steps or found is not None):
+            continue  # no lengths are near enough
+        best = durable(_best(best_at(asked, refs, plan)))
         found = best if found is None else found.unionByName(best)
         mine = durable(mine.join(best.select("_name").hint("merge"), "_name", "left_anti"))
         if mine.isEmpty():
@@ -299,64 +428,72 @@ def _staged(mine: DataFrame, stages, best_at: Callable) -> tuple[DataFrame | Non
     return found, mine
 
 
-def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float, metric: str = "levenshtein") -> DataFrame:
-    longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
+def _without(text: str, letters: set[str]) -> Column:
+    return F.translate(text, "".join(sorted(letters)), "") if letters else F.col(text)
 
-    def best_at(names, least):
-        return _meetings(names, refs, least, "_name", "_ref").withColumn("score", 1.0 - F.levenshtein("_name", "_ref") / longest)
 
-    return _staged(mine, (*[s for s in SURE if s > threshold], threshold), best_at)[0]
+def _same_remainder(names: DataFrame, refs: DataFrame, plan: _Plan) -> DataFrame:
+    """(_name, _ref, pos) of names that may exceed the threshold, of the lengths that the plan settles: two that
+    share so many letters, in order, are the same when the others are taken out. What is left is nearly
+    the whole name, so a word that many names have brings no two of them together. Letters that the other
+    table has nowhere are never kept.
 
+    The side that has far fewer remainders sends a filter of them, of bounded size, to the other, which then
+    need not shuffle all of its own.
+    """
+    spark = names.sparkSession
 
-def _letters_left(a: Column, b: Column, least: float) -> Column:
-    """The fewest letters that two names of these lengths, not both empty, must share in order to exceed the ratio."""
-    guess = F.floor((a + b) * (least / 2)).cast("int")
-    return F.when(2.0 * guess / (a + b) > least, guess).otherwise(guess + 1)
+    def cut(df: DataFrame, text: str, kept: str, axis: int, held=None) -> DataFrame:
+        keeps = spark.createDataFrame(plan.keeps(axis), "_size int, _keeps array<int>")
+        own = df.join(F.broadcast(keeps), F.char_length(text) == F.col("_size"))
+        left = own.withColumnsRenamed({text: "_whole", kept: text}).withColumn("_left", F.explode(P.remainders(text, "_keeps", held)))
+        return left.select(F.col("_whole").alias(text), *[c for c in df.columns if c not in (text, kept)], F.col("_left").alias(f"_left{axis}"))
 
+    sides = [(names.select("_name", "_nkept"), "_name", "_nkept", 0), (refs, "_ref", "_rkept", 1)]
+    held = [None, None]  # the filter that a side asks
+    for own, most in ((0, FILTERED), (1, LOOSE * FILTERED)):
+        keys, others = plan.keys[own], plan.keys[1 - own]
+        if held[own] is None and 0 < keys <= most and SPARSE * keys <= others:
+            df, text, kept, axis = sides[own]
+            asked = bloom.build(cut(df.select(text, kept), text, kept, axis).select(f"_left{axis}"), int(keys))
+            held[1 - own] = spark.sparkContext.broadcast(asked)
+    mine, theirs = (cut(*side, held[side[-1]]) for side in sides)
+    return mine.join(theirs.hint("merge"), F.col("_left0") == F.col("_left1")).drop("_left0", "_left1")
 
-def _ways(size: Column, out: Column) -> Column:
-    """Ways to take up to three letters out of a name."""
-    return (F.when(out == 0, 1).when(out == 1, size).when(out == 2, size * (size - 1) / 2)
-            .when(out == 3, size * (size - 1) * (size - 2) / 6).cast("long"))
 
+def _by_segments(names: DataFrame, refs: DataFrame, plan: _Plan, **kind) -> DataFrame:
+    """(_name, _ref, pos) of names that share a segment, of the lengths that the plan does not settle."""
+    rows = [(int(a), int(b)) for a, b in zip(*np.nonzero(plan.settled | plan.met_before))]
+    settled = names.sparkSession.createDataFrame(rows, "_a int, _b int")
 
-def _lengths(names: DataFrame, refs: DataFrame, least: float) -> DataFrame:
-    """(_a, _b, _keep, _ways, _cut_a, _cut_b): for two lengths of names and references how many letters they must
-    share and how many remainders of so many letters both sides have, if these are far fewer than
-    the comparisons of such names. One row for each two lengths, so small by nature."""
-    asked = names.groupBy(F.char_length("_name").alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
-    held = refs.groupBy(F.char_length("_ref").alias("_b")).agg(F.count(F.lit(1)).alias("_m"))
-    both = asked.crossJoin(F.broadcast(held)).where("_a > 0 AND _b > 0").withColumn("_keep", _letters_left(F.col("_a"), F.col("_b"), least))
-    a, b = (_ways(F.col(x), F.col(x) - F.col("_keep")) for x in ("_a", "_b"))
-    cut = both.withColumns({"_ways": F.greatest(a, b), "_cut_a": F.col("_n") * a, "_cut_b": F.col("_m") * b}).where(a.isNotNull() & b.isNotNull())
-    return durable(cut.where(F.col("_n") * F.col("_m") > CHEAP * (F.col("_cut_a") + F.col("_cut_b"))))
+    def others(rows, text):
+        a, b = ("own", "size") if text == "_name" else ("size", "own")
+        return rows.join(F.broadcast(settled.select(F.col("_a").alias(a), F.col("_b").alias(b))), [a, b], "left_anti")
 
+    return _meetings(names.drop("_nkept").where(plan.others(0, "_name")), refs.drop("_rkept").where(plan.others(1, "_ref")), plan.least, "_name", "_ref",
+                     others=others, **kind)
 
-def _same_remainder(names: DataFrame, refs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(_name, _ref, pos) of names that may exceed the ratio, and the lengths (_a, _b) that this holds of: two that
-    share so many letters, in order, are the same when the others are taken out. What is left is nearly
-    the whole name, so a word that many names have brings no two of them together.
 
-    Few names send a filter of their remainders, of bounded size, to the references, which then may
-    have more of them.
-    """
-    lengths = _lengths(names, refs, least)
+def _dealt(names: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names grow to many rows, so each core has some of them."""
+    tasks = 4 * names.sparkSession.sparkContext.defaultParallelism
+    return names.repartition(tasks, "_name"), durable(refs.repartition(tasks, "_ref"))
 
-    def cut(df: DataFrame, text: str, size: str, held=None) -> DataFrame:
-        keeps = pairs.groupBy(size).agg(F.collect_set("_keep").alias("_keeps"))
-        own = df.join(F.broadcast(keeps), F.char_length(text) == F.col(size))
-        return own.withColumn("_left", F.explode(P.remainders(text, "_keeps", held))).select(*df.columns, F.col("_left").alias(f"_left{size}"))
 
-    mine, held = names.select("_name"), None
-    pairs = lengths.where(F.col("_ways") <= WAYS[0])
-    sums = [F.coalesce(F.sum(f"_cut_{x}"), F.lit(0)) for x in "ab"]
-    keys, others = (pairs.select(f"_{x}", "_keep", f"_cut_{x}").distinct().agg(n).first()[0] for x, n in zip("ab", sums))
-    if keys > FILTERED or SPARSE * keys > others:
-        pairs = lengths.where(F.col("_ways") <= WAYS[1])
-    elif keys:
-        held = names.sparkSession.sparkContext.broadcast(bloom.build(cut(mine, "_name", "_a").select("_left_a"), keys))
-    met = cut(mine, "_name", "_a").join(cut(refs, "_ref", "_b", held).hint("merge"), F.col("_left_a") == F.col("_left_b"))
-    return met.select("_name", *refs.columns), pairs.select("_a", "_b")
+def _best_by_edits(mine: DataFrame, refs: DataFrame, threshold: float, metric: str = "levenshtein") -> DataFrame:
+    longest = F.greatest(F.char_length("_name"), F.char_length("_ref"), F.lit(1))
+
+    def best_at(names, refs, plan):
+        near = names.sparkSession.createDataFrame([], "_name string, _ref string, pos long") if plan.all_settled() else _by_segments(names, refs, plan)
+        if plan.met.any():
+            # verified where they meet, so that only similar pairs go on
+            limit = most_edits(longest, plan.least)
+            same = _same_remainder(names, refs, plan).withColumn("_limit", limit)
+            near = near.select("_name", "_ref", "pos").unionByName(same.where("levenshtein(_name, _ref, _limit) >= 0").select("_name", "_ref", "pos"))
+        return near.withColumn("score", 1.0 - F.levenshtein("_name", "_ref") / longest)
+
+    mine, refs = _dealt(mine, refs)
+    return _staged(mine, refs, [*[s for s in SURE if s > threshold], threshold], _kept_by_edits, best_at, QUICK * CHEAP)[0]
 
 
 def _best_by_letters(mine: DataFrame, refs: DataFrame, threshold: float, metric: str) -> DataFrame:
@@ -369,23 +506,15 @@ def _best_by_letters(mine: DataFrame, refs: DataFrame, threshold: float, metric:
     def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
-    # names grow to many rows, so each core has some of them
-    tasks = 4 * mine.sparkSession.sparkContext.defaultParallelism
-    refs = durable(refs.repartition(tasks, "_ref"))
-
-    def best_at(names, least):
-        names = names.repartition(tasks, "_name")
-        same, known = _same_remainder(names, refs, least)
-
-        def others(rows, text):
-            a, b = ("own", "size") if text == "_name" else ("size", "own")
-            return rows.join(F.broadcast(known.select(F.col("_a").alias(a), F.col("_b").alias(b))), [a, b], "left_anti")
-
-        met = _meetings(names, refs, least, "_name", "_ref", edits=unmatched, stretch=lambda t: (2 - t) / t, others=others)
-        met = met.unionByName(same).distinct()
-        return met.withColumn("score", ratio.asNondeterministic()("_name", "_ref")).where(F.col("score") > least)
+    def best_at(names, refs, plan):
+        met = _by_segments(names, refs, plan, edits=unmatched, stretch=lambda t: (2 - t) / t).select("_name", "_ref", "pos")
+        if plan.met.any():
+            met = met.unionByName(_same_remainder(names, refs, plan))
+        met = met.distinct()
+        return met.withColumn("score", ratio.asNondeterministic()("_name", "_ref")).where(F.col("score") > plan.least)
 
-    found, left = _staged(mine, [s for s in SURE_RATIO if s > threshold], best_at)
+    mine, refs = _dealt(mine, refs)
+    found, left = _staged(mine, refs, [s for s in SURE_RATIO if s > threshold], _kept_by_letters, best_at, CHEAP, LIKELY)
     if found is not None and left.isEmpty():
         return found
     rest = _best_in_blocks(left, refs, threshold, metric)
@@ -404,19 +533,19 @@ def _best_in_blocks(mine: DataFrame, refs: DataFrame, threshold: float, metric:
     length_class = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1)).cast("double")) / step).cast("int")
     near = F.explode(F.array(*[length_class("_name") + i for i in (-1, 0, 1)])).alias("_class")
     scored = meet_in_blocks(durable(mine.select("_name", near)), refs.select("_ref", "pos", length_class("_ref").alias("_class")),
-                            "_name", "_ref", _scorer(best_of), "_name string, score double, pos long", on=["_class"])
+                            "_name", "_ref", _scorer(best_of, threshold), "_name string, score double, pos long", on=["_class"])
     return _best(scored.where(F.col("score") > threshold))
 
 
-def _scorer(best_of):
+def _scorer(best_of, threshold: float):
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         asked, names = mine.column("_name").to_pylist(), theirs.column("_ref").to_pylist()
         hits = []
         if asked and names:
             lengths = np.array([len(s) for s in names], np.int32)
-            block = (names, lengths, _letter_counts(names), theirs.column("pos").to_numpy())
+            block = (names, lengths, np.ascontiguousarray(_letter_counts(names).T), theirs.column("pos").to_numpy())
             own = _letter_counts(asked)
-            hits = [(a, *best_of(a, own[i], block)) for i, a in enumerate(asked)]
+            hits = [(a, *best_of(a, own[i], block, threshold)) for i, a in enumerate(asked)]
         name, score, pos = zip(*hits) if hits else ((), (), ())
         return pa.table({"_name": pa.array(name, pa.string()), "score": pa.array(score, pa.float64()), "pos": pa.array(pos, pa.int64())})
 

@@ -362,6 +362,42 @@ def test_names_meet_by_what_is_left_of_them(spark, monkeypatch, filtered):
     assert compared[0] < 20  # of 29,000 pairs; those of other lengths meet by what is left
 
 
+def test_names_of_few_edits_meet_without_segments(spark, monkeypatch):
+    """Names that share a word meet by what is left of them, not by a segment of that word."""
+    rng = random.Random(12)
+    codes = sorted({"".join(rng.choice("kelomatrin") for _ in range(8)) for _ in range(120)})
+    mine, theirs = [f"{c} almond" for c in codes], [f"{c[1:]} almond{len(c) % 7}\U0001f600" for c in codes]
+    met = []
+    for name, value in (("CHEAP", 0), ("EASY", 0), ("STEEP", 1)):
+        monkeypatch.setattr(M, name, value)
+    monkeypatch.setattr(M, "_meetings", lambda *args, real=M._meetings, **kind: met.append(args[2]) or real(*args, **kind))
+    df = spark.createDataFrame(list(enumerate(mine)), "id long, name string")
+    ref = spark.createDataFrame([(n, i, f"u{i}") for i, n in enumerate(theirs)], "name string, pos long, url string")
+    got = {r["id"]: (r["match_url"], r["match_score"]) for r in M.match_fuzzy(df, ref).collect()}
+    for i, n in enumerate(mine):
+        score, at = max((1.0 - _edits(n, k) / max(len(n), len(k)), -p) for p, k in enumerate(theirs))
+        assert got[i] == (f"u{-at}", score), n
+    assert not met
+
+
+@pytest.mark.parametrize("metric", ["ratio", "levenshtein"])
+def test_small_steps_lose_none(spark, monkeypatch, metric):
+    """Lengths meet at the step where they share fewer letters than before, with letters that one table has not."""
+    rng = random.Random(13)
+    mine, theirs = ([*{"".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(70)}] for letters in ("abcx", "abcéy"))
+    for name, value in (("CHEAP", 0), ("EASY", 0), ("STEEP", 1), ("SPARSE", 0), ("FILTERED", 1)):
+        monkeypatch.setattr(M, name, value)
+    monkeypatch.setattr(M, "SURE", (0.9, 0.8, 0.7))
+    monkeypatch.setattr(M, "LOOSE", 1 << 20)
+    df = spark.createDataFrame(list(enumerate(mine)), "id long, name string")
+    ref = spark.createDataFrame([(n, i, f"u{i}") for i, n in enumerate(theirs)], "name string, pos long, url string")
+    score = {"ratio": lambda a, b: SequenceMatcher(None, a, b).ratio(), "levenshtein": lambda a, b: 1.0 - _edits(a, b) / max(len(a), len(b), 1)}[metric]
+    got = {r["id"]: (r["match_url"], r["match_score"]) for r in M.match_fuzzy(df, ref, metric=metric).collect()}
+    for i, n in enumerate(mine):
+        best, at = max((score(n, k), -p) for p, k in enumerate(theirs))
+        assert got[i] == ((f"u{-at}", best) if best > 0.6 else (None, None)), n
+
+
 def test_remainders_are_subsequences(spark):
     from itertools import combinations
 
