@@ -757,6 +757,35 @@ def test_nearby_points_brute(spark, radius):
         assert sorted(r["id"] for r in near) == [i for i, p in enumerate(spots) if km(p, q) <= radius]
 
 
+def test_nearby_points_beyond_poles_and_in_pieces(spark, monkeypatch):
+    """Latitudes beyond a pole are the places that the SQL's sines and cosines give; crowded cells meet in pieces."""
+    import math
+    monkeypatch.setattr(C, "PIECE", 16)
+    rng = random.Random(14)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(10 + rng.uniform(-2, 2), 20 + rng.uniform(-2, 2)) for _ in range(60)] + [(10.0, 20.0)] * 5
+    points = [(i * 23.7 - 700, i * 47.4) for i in range(70)] + [(10.0, 20.0), (370.0, 380.0), (170.0, 200.0), (90.0, 0.0)] * 8
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id int, latitude double, longitude double").repartition(3)
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "point_id int, latitude double, longitude double")
+
+    def km(a, b):
+        (p, q), (r, t) = ((math.radians(x) for x in y) for y in (a, b))
+        return 2 * 6371.0088 * math.asin(math.sqrt(max(0.0, min(1.0, math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((t - q) / 2) ** 2))))
+    for radius in (2500.0, 21000.0):
+        got = {(r["point_id"], r["id"]): r["distance_km"] for r in C.nearby_points(df, asked, radius).collect()}
+        want = {(j, i): d for j, q in enumerate(points) for i, p in enumerate(spots) if (d := km(p, q)) <= radius}
+        # at the place itself and opposite of it the formula has few digits
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < (1e-6 if 1 < want[x] < 19000 else 1e-3) for x in want)
+        assert C.nearby_points(df, asked, radius).count() == len(want)
+    mine, theirs, tasks = C._in_pieces(*(x.withColumn("k", F.lit(1)).withColumnsRenamed({"latitude": "_s", "longitude": "_u"}) for x in (df, asked)), ["k"], "id", "point_id")
+    assert tasks > 20 and mine.groupBy("_mine", "_theirs").count().agg({"count": "max"}).first()[0] < 60  # of 215
+
+
+def test_rounded_is_round(spark):
+    values = [0.0, 1.00005, 2.00015, 0.99995, 1234.56785, 1234.56784999, 19999.99995, 2500.0, 1e12 + 0.33335, float("nan"), -1.00005, None] + [random.Random(i).uniform(0, 2e4) for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [repr(r[0]) == repr(r[1]) for r in df.select(C.rounded("v", 4), F.round("v", 4)).collect()] == [True] * len(values)
+
+
 def test_list_pages_of_small_and_large_keys(spark):
     rng = random.Random(3)
     data = [(rng.choice([None, "a", "a", "a", "b", "c"]), rng.randint(0, 10**6), i) for i in range(400)] + [("lone", 1, 1)]
