@@ -398,6 +398,19 @@ def test_small_steps_lose_none(spark, monkeypatch, metric):
         assert got[i] == ((f"u{-at}", best) if best > 0.6 else (None, None)), n
 
 
+def test_letters_of_one_table_are_never_kept(spark):
+    """Letters that the names have nowhere are taken out of the references first, not in every way."""
+    rng = random.Random(15)
+    codes = sorted({"".join(rng.choice("kelomatrin") for _ in range(8)) for _ in range(200)})
+    names = spark.createDataFrame([(f"{c} almond",) for c in codes], "_name string")
+    refs = spark.createDataFrame([(f"{c[1:]} almond3s",) for c in codes], "_ref string")
+    bare = M._without("_ref", M._letters(refs, "_ref") - M._letters(names, "_name"))
+    asked, held = M._Lengths(names.withColumn("k", F.col("_name")), "_name", "k"), M._Lengths(refs.withColumn("k", bare), "_ref", "k")
+    plan = M._Plan(asked, held, 0.85, M._kept_by_letters, 0, None)
+    assert plan.keys == [15 * len(codes), len(codes)] and plan.all_settled()  # of 16 letters 14 are kept, in 120 ways
+    assert not M._Plan(asked, held, 0.84, M._kept_by_letters, 0, 0.85).met.any()  # nothing new to meet
+
+
 def test_remainders_are_subsequences(spark):
     from itertools import combinations
 
